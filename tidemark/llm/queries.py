@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, url_filter
 
 RULES = [
     url_filter.Rule("net/", "block"),
@@ -25,6 +25,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
