@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, url_filter
+from . import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, sharding, substring_dedup, topk_search, url_filter
 
 RULES = [
     url_filter.Rule("net/", "block"),
@@ -47,6 +47,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_paths())
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.integral(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return lm_scoring.score_documents(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -70,8 +81,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_exact_top_k": op5_exact_top_k,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_url_filters": op7_url_filters,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
     }
