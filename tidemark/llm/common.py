@@ -31,7 +31,8 @@ def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     This cuts the lineage in a way that outlives lost executors. The shuffle files of the steps
     before are then of no more use, so both collectors run and Spark removes them.
     """
-    return read_back(df.sparkSession, write_table(df, name, partition_by))
+    # With the schema an empty table of partitions can be read too.
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, partition_by))
 
 
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
@@ -43,10 +44,6 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return path
 
 
-def read_back(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`write_table` wrote and nothing reads any more."""
     jvm = spark._jvm
@@ -54,6 +51,17 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that added columns never clash with its own; see :func:`one_each`."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def one_each(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows (``_row``, ``_key``) whose key is among ``kept``, one for each key, as they were."""
+    one = Window.partitionBy("_key").orderBy(F.xxhash64("_row"))
+    return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
+
+
 def gapless_rank(df: DataFrame, group: str, order: list[Column], name: str, buckets: int = 256) -> DataFrame:
     """Number the rows of each group from 0 without gaps, however large a group is.
 

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import one_each, store, whole_row
 
 QUOTIENT_BITS = 12
 #: Fingerprints that a task gathers before it emits its filter; filters merge without loss.
@@ -167,6 +167,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = lambda id_, sha: F.concat_ws(":", sha, F.col(id_).cast("string"))
     kept = exact_groups(docs, id_col, text_col).where("kept").select(key(id_col, F.col("text_sha256")).alias("_key")).distinct()
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = docs.withColumn("_key", key(id_col, F.sha2(lower, 256))).join(kept, "_key", "left_semi")
-    one = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-    return found.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_key", "_n")
+    return one_each(docs.select(whole_row(docs), key(id_col, F.sha2(lower, 256)).alias("_key")), kept)

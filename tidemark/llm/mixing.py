@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, below, store, weighted_cuts
+from .common import WORD, store, weighted_cuts, whole_row
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -36,6 +36,45 @@ def cycle_weights(weights: list[float]) -> Callable[[list], list[float]]:
     return lambda names: [weights[i % len(weights)] for i in range(len(names))]
 
 
+def hashed(docs: DataFrame, seed: int, id_col: str, text_col: str) -> Column:
+    """The place of a row in its source's seeded order."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 2)
+
+
+def source_rates(table: DataFrame, weigh: Callable[[list], list[float]], share: float, max_epochs: float) -> DataFrame:
+    """One row per source of a stored table (source, size, hash): target, whole repetitions, and where one more ends."""
+    sums = table.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    sums = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
+    sizes = [int(r["size"]) for r in sums]
+    targets = water_fill(sizes, weigh([r["source"] for r in sums]), share * sum(sizes), max_epochs)
+    whole = [math.floor(t / n) if n else 0 for n, t in zip(sizes, targets, strict=True)]
+    kind = table.schema["source"].dataType.simpleString()
+    names = table.sparkSession.createDataFrame([(k, r["source"]) for k, r in enumerate(sums)], f"code int, _source {kind}")
+    coded = table.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")))
+    needs = {k: t - w * n for k, (n, t, w) in enumerate(zip(sizes, targets, whole, strict=True)) if n and t > w * n}
+    cuts = weighted_cuts(coded, "code", ["hash"], "size", needs) if needs else {}
+    rows = []
+    for k, (r, n, t, w) in enumerate(zip(sums, sizes, targets, whole, strict=True)):
+        (at, *_), inclusive = cuts.get(k, ([0], False))
+        rows.append((r["source"], n, t, w, at + inclusive))
+    return table.sparkSession.createDataFrame(rows, f"_source {kind}, source_size bigint, target double, _whole int, _more_below bigint")
+
+
+def sizes_table(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return store(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+            F.col(source_col).alias("source"),
+            hashed(docs, seed, id_col, text_col).alias("hash"),
+        ),
+        "mix-sizes",
+    )
+
+
+REPEATS = "_whole + cast(hash < _more_below as int)"
+
+
 def mix_plan(
     docs: DataFrame,
     weigh: Callable[[list], list[float]] = cycle_weights([5, 2, 1]),
@@ -58,40 +97,31 @@ def mix_plan(
     The driver gets one row a source. Returns the id, size, source, source_size, target,
     repeats, taken.
     """
-    table = store(
-        docs.select(
-            F.col(id_col).cast("bigint").alias("doc_id"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            F.col(source_col).alias("source"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 2).alias("hash"),
-        ),
-        "mix-sizes",
-    )
-    sums = table.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    sums = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    sizes = [int(r["size"]) for r in sums]
-    targets = water_fill(sizes, weigh([r["source"] for r in sums]), share * sum(sizes), max_epochs)
-
-    codes = table.sparkSession.createDataFrame(
-        [(k, r["source"], n, t, math.floor(t / n) if n else 0) for k, (r, n, t) in enumerate(zip(sums, sizes, targets, strict=True))],
-        f"code int, _source {table.schema['source'].dataType.simpleString()}, source_size bigint, target double, whole int",
-    )
-    coded = table.join(F.broadcast(codes), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    needs = {k: t - math.floor(t / n) * n for k, (n, t) in enumerate(zip(sizes, targets, strict=True)) if n and t / n > math.floor(t / n)}
-    more = F.lit(False)
-    for k, cut in (weighted_cuts(coded, "code", ["hash"], "size", needs) if needs else {}).items():
-        more = more | ((F.col("code") == k) & below(cut, ["hash"]))
+    table = sizes_table(docs, seed, id_col, text_col, source_col)
+    rates = source_rates(table, weigh, share, max_epochs)
     return (
-        coded.withColumn("repeats", F.col("whole") + more.cast("int"))
+        table.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("repeats", F.expr(REPEATS))
         .withColumn("taken", F.col("size") * F.col("repeats"))
-        .select(F.col("doc_id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "repeats", "taken", "hash")
+        .select(F.col("doc_id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "repeats", "taken")
     )
 
 
-def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` with all their columns, each as often as the plan says."""
-    plan = mix_plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    chosen = plan.select(F.col("hash").alias("_hash"), F.col(source_col).alias("_src"), F.col("repeats").alias("_times")).distinct()
-    hashed = docs.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 2))
-    joined = hashed.join(chosen, (F.col("_h") == F.col("_hash")) & F.col(source_col).eqNullSafe(F.col("_src"))).where("_times > 0")
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+def mix(
+    docs: DataFrame,
+    weigh: Callable[[list], list[float]] = cycle_weights([5, 2, 1]),
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mixed corpus: rows of ``docs`` with all their columns, each as often as :func:`mix_plan` says.
+
+    A row's hash and its source's rate tell its repeats, so no text is shuffled.
+    """
+    rates = source_rates(sizes_table(docs, seed, id_col, text_col, source_col), weigh, share, max_epochs)
+    placed = docs.select(whole_row(docs), F.col(source_col).alias("_mix_source"), hashed(docs, seed, id_col, text_col).alias("hash"))
+    times = placed.join(F.broadcast(rates), F.col("_mix_source").eqNullSafe(F.col("_source"))).select("_row", F.expr(REPEATS).alias("_times")).where("_times > 0")
+    return times.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

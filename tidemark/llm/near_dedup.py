@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import one_each, store, whole_row
 
 WORDS = 3
 RADIUS = 2
@@ -158,6 +158,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns."""
-    kept = near_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows of ``docs`` whose id names their component, with all their columns.
+
+    Rows that repeat an id count as one document, of which one row stays.
+    """
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
+    kept = near_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key(id_col)).distinct()
+    return one_each(docs.select(whole_row(docs), key(id_col)), kept)

@@ -74,6 +74,21 @@ def leaves(gain: np.ndarray, weight: np.ndarray, depth: int, ridge: float) -> np
     return np.full(len(g), g[-1] / (h[-1] + ridge))
 
 
+def quadrants(gain: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+    """The Newton step of the best tree that cuts a grid once along either axis, as one value per cell."""
+    sums = []
+    for grid in (gain, weight):
+        c = grid.cumsum(0).cumsum(1)
+        corner, row, column = c[:-1, :-1], c[:-1, -1:], c[-1:, :-1]
+        sums.append(np.stack([corner, row - corner, column - corner, c[-1, -1] - row - column + corner]))
+    g, h = sums
+    a, b = np.unravel_index((g**2 / (h + ridge)).sum(0).argmax(), g.shape[1:])
+    value = (g / (h + ridge))[:, a, b]
+    step = np.empty(gain.shape)
+    step[: a + 1, : b + 1], step[: a + 1, b + 1 :], step[a + 1 :, : b + 1], step[a + 1 :, b + 1 :] = value
+    return step
+
+
 def fit_tables(x: np.ndarray, y: np.ndarray, bins: list[int], pairs: int, rounds: int, rate: float = 0.15, coarse: int = 8, ridge: float = 2.0):
     """Lookup tables of binned features ``x``: an intercept, one table per feature, some per pair.
 
@@ -102,13 +117,7 @@ def fit_tables(x: np.ndarray, y: np.ndarray, bins: list[int], pairs: int, rounds
         for k in chosen:
             c = cells[k]
             p = 1 / (1 + np.exp(-score))
-            grid_g = np.bincount(c, y - p, coarse**2).reshape(coarse, coarse)
-            grid_h = np.bincount(c, p * (1 - p), coarse**2).reshape(coarse, coarse)
-            rows = leaves(grid_g.sum(1), grid_h.sum(1), 1, ridge)
-            step = np.empty((coarse, coarse))
-            for value in np.unique(rows):  # a cut along one feature, then one along the other on each side
-                part = rows == value
-                step[part] = leaves(grid_g[part].sum(0), grid_h[part].sum(0), 1, ridge)
+            step = quadrants(np.bincount(c, y - p, coarse**2).reshape(coarse, coarse), np.bincount(c, p * (1 - p), coarse**2).reshape(coarse, coarse), ridge)
             double[k] += rate * step.ravel()
             score += rate * step.ravel()[c]
     return intercept, single, double
