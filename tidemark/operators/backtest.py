@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .calendar import by_time
 from .features import equity
@@ -51,13 +52,13 @@ def moments(df: DataFrame, keys: list[str], returns: str) -> DataFrame:
     )
 
 
-@F.udf("double")
+@F.udf(DoubleType())
 def normal_cdf(z: float | None) -> float | None:
     """Spark SQL has no error function; this runs on one row per key."""
     return None if z is None else NormalDist().cdf(z)
 
 
-@F.udf("double")
+@F.udf(DoubleType())
 def expected_max_sharpe(variance: float | None, trials: int | None) -> float:
     """What the best of some skill-less trials is expected to reach; 0 for fewer than two or no variance."""
     if not trials or trials < 2 or not variance or variance <= 0:
@@ -66,10 +67,11 @@ def expected_max_sharpe(variance: float | None, trials: int | None) -> float:
     return math.sqrt(variance) * ((1 - EULER_GAMMA) * inverse(1 - 1 / trials) + EULER_GAMMA * inverse(1 - 1 / (trials * math.e)))
 
 
-def probabilistic_sharpe(stats: DataFrame, benchmark: Column = F.lit(0.0), name: str = "psr") -> DataFrame:
+def probabilistic_sharpe(stats: DataFrame, benchmark: Column | None = None, name: str = "psr") -> DataFrame:
     """Add the probability that the true Sharpe ratio per period exceeds ``benchmark``; null below four rows."""
     spread = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.pow("sharpe", 2)
-    z = (F.col("sharpe") - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(F.greatest(spread, F.lit(1e-12)))
+    above = F.col("sharpe") if benchmark is None else F.col("sharpe") - benchmark
+    z = above * F.sqrt(F.col("n") - 1) / F.sqrt(F.greatest(spread, F.lit(1e-12)))
     return stats.withColumn(name, normal_cdf(F.when(F.col("n") >= 4, z)))
 
 

@@ -13,7 +13,10 @@ class Rolling:
 
     def __init__(self, keys: list[str], ts: str = "ts"):
         self.keys, self.ts = keys, ts
-        self.w = by_time(keys, ts)
+
+    @property
+    def w(self):
+        return by_time(self.keys, self.ts)
 
     def frame(self, rows: int):
         return self.w.rowsBetween(1 - rows, 0)

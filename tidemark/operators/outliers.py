@@ -94,7 +94,8 @@ def control(
     tail = F.slice(weights, window + 1 - F.size("_h"), F.size("_h"))
     df = df.withColumn("_w", tail).withColumn("_w", F.transform("_w", lambda w: w / F.aggregate(F.col("_w"), F.lit(0.0), lambda a, x: a + x)))
     add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    votes = {f"_v{k}": add(F.zip_with("_h", "_w", lambda x, w, k=k: F.get(x.p, k) * w)) for k in range(len(classes))}
+    vote = lambda k: add(F.zip_with("_h", "_w", lambda x, w: F.get(x.p, F.lit(k)) * w))
+    votes = {f"_v{k}": vote(k) for k in range(len(classes))}
     df = df.withColumns(votes)
     top = F.greatest(*[F.col(v) for v in votes])
     dominant = F.coalesce(*[F.when(F.col(v) == top, F.lit(c)) for v, c in zip(votes, classes, strict=True)])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import patterns
@@ -23,7 +24,6 @@ def episodes(
     tolerance: float = 1.0,
     confirm: int = 2,
     min_life: int = 1,
-    first_horizon: int = 64,
     ts: str = "ts",
 ) -> DataFrame:
     """Non-overlapping lives of price channels, one row each.
@@ -32,64 +32,64 @@ def episodes(
     rows in a row beyond a band by more than ``tolerance`` average ranges of that row; it is
     censored at a null or the end of the series. The next window may end two rows after the last.
 
-    Each candidate's break is independent of the others: it is searched in the next
-    ``first_horizon`` rows, and those still open go on with four times as many, until none is. Only the
-    choice of non-overlapping ones is sequential, a fold over two integers per candidate.
+    Labels, lines and features come from whole-column expressions over all windows. Only the scan
+    that skips from one life to the next runs series by series, over a few numbers per row, and
+    looks at each row about once.
     """
     r = Rolling(keys, ts)
     step, average = r.average_range(F.col(value))
     series = row_index(df, keys, ts).withColumn("_step", step).withColumn("atr", average(F.col("_step"))).drop("_step")
-    windows = label(sliding(series.drop("row_idx"), keys, value, lookback, ts=ts), threshold)
-    candidates = windows.where(F.col("label").isin(*patterns.CHANNELS))
+    windows = label(sliding(series.drop("row_idx"), keys, value, lookback, ts=ts), threshold).where(F.col("label").isin(*patterns.CHANNELS))
     rising = F.col("label") == patterns.CHANNELS[0]
-    candidates = candidates.withColumns({"_l": channel_line("prices"), "_f": channel_shape("prices", "atr", rising)})
-    candidates = candidates.select(
-        *keys, "end", F.col("end_date").alias("start_date"), "label", F.col("confidence").alias("conf_detection"),
-        F.col("_l.slope").alias("_slope"), F.col("_l.intercept").alias("_icept"), F.col("_l.resid_std").alias("_sd"), "_f",
-    )
-    lengths = series.groupBy(*keys).agg(F.count("*").alias("_n"))
-    open_now, done, horizon = candidates, None, first_horizon
-    longest = lengths.agg(F.max("_n")).first()[0] or 0
-    while True:
-        ahead = series.select(*keys, (F.col("row_idx") + 1).alias("end"), F.collect_list(F.struct(F.col(value).alias("v"), F.col("atr").alias("a"))).over(r.w.rowsBetween(1, horizon)).alias("_next"))
-        start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("seen"), F.lit("").alias("dir"), F.lit(False).alias("over"))
-
-        def walk(s: Column, x: Column) -> Column:
-            middle = F.col("_icept") + F.col("_slope") * (lookback + s["seen"])
-            room = band * F.col("_sd") + tolerance * F.coalesce(x["a"], F.col("_sd"))
-            up, down = x["v"] > middle + room, x["v"] < middle - room
-            run = F.when(up | down, s["run"] + 1).otherwise(0)
-            broken = run >= confirm
-            moved = F.struct(run.alias("run"), (s["seen"] + 1).alias("seen"), F.when(broken, F.when(up, "up").otherwise("down")).otherwise("").alias("dir"), broken.alias("over"))
-            ended = F.struct(s["run"].alias("run"), s["seen"].alias("seen"), F.lit("").alias("dir"), F.lit(True).alias("over"))
-            return F.when(s["over"], s).when(x["v"].isNull(), ended).otherwise(moved)
-
-        walked = open_now.join(ahead, [*keys, "end"]).withColumn("_b", F.aggregate("_next", start, walk))
-        settled = F.col("_b.over") | (F.size("_next") < horizon)
-        found = walked.where(settled).select(*open_now.columns, F.col("_b.seen").alias("duration"), F.col("_b.dir").alias("breakout_dir"))
-        done = found if done is None else done.unionByName(found)
-        if horizon >= longest:
-            break
-        open_now = walked.where(~settled).select(*open_now.columns)
-        horizon = min(horizon * 4, longest)
-
-    # The greedy choice: take a candidate if it ends at or after the next allowed row.
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("end").cast("int").alias("t"), F.col("duration").cast("int").alias("d"))))
-    nothing = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("taken"))
-    greedy = F.aggregate(
-        pairs, nothing, lambda s, p: F.when(p["t"] >= s["next"], F.struct((p["t"] + p["d"] + 1).alias("next"), F.array_append(s["taken"], p["t"]).alias("taken"))).otherwise(s)
-    )
-    chosen = done.groupBy(*keys).agg(greedy.alias("_g")).select(*keys, F.explode("_g.taken").alias("end"))
-    lives = done.join(chosen, [*keys, "end"]).withColumn("event", (F.col("breakout_dir") != "").cast("int"))
-    lives = lives.where((F.col("event") == 1) | (F.col("duration") >= min_life))
-    dates = series.select(*keys, F.col(ts).alias("end_date"), F.col("row_idx").alias("_last"))
-    lives = lives.withColumn("_last", F.col("end") - 1 + F.col("duration")).join(dates, [*keys, "_last"])
-    return lives.select(
-        *keys, "start_date", "end_date", F.regexp_replace("label", "_channel", "").alias("direction"), "conf_detection", "duration", "event", "breakout_dir",
-        *[F.col(f"_f.{c}").alias(c) for c in patterns.CHANNEL_FEATURES],
+    windows = windows.withColumns({"_l": channel_line("prices"), "_f": channel_shape("prices", "atr", rising)})
+    windows = windows.select(*keys, (F.col("end") - 1).alias("row_idx"), "label", "confidence", "_l", "_f")
+    rows = series.select(*keys, "row_idx", F.col(ts).alias("_ts"), F.col(value).alias("_v"), "atr").join(windows, [*keys, "row_idx"], "left")
+
+    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row_idx")
+        v, atr, dates = frame["_v"].to_numpy(float), frame["atr"].to_numpy(float), frame["_ts"].to_numpy()
+        slope, start, sd = (frame[c].to_numpy(float) for c in ("_slope", "_icept", "_sd"))
+        lives, at, n = [], 0, len(frame)
+        for e0 in np.flatnonzero(frame["label"].notna().to_numpy()):
+            if e0 < at:
+                continue
+            last, way = _life(v, atr, e0, slope[e0], start[e0], sd[e0], lookback, band, tolerance, confirm)
+            if way or last - e0 >= min_life:
+                lives.append((e0, dates[last], last - e0, int(bool(way)), way))
+            at = last + 1
+        out = frame.iloc[[x[0] for x in lives]][[*keys, "row_idx"]].copy()
+        for k, name in enumerate(("end_date", "duration", "event", "breakout_dir"), 1):
+            out[name] = [x[k] for x in lives]
+        return out
+
+    narrow = rows.select(*keys, "row_idx", "_ts", "_v", "atr", "label", F.col("_l.slope").alias("_slope"), F.col("_l.intercept").alias("_icept"), F.col("_l.resid_std").alias("_sd"))
+    kinds = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
+    day = series.schema[ts].dataType.simpleString()
+    lives = narrow.groupBy(*keys).applyInPandas(scan, f"{kinds}, row_idx int, end_date {day}, duration int, event int, breakout_dir string")
+    return lives.join(rows.drop("_v", "atr"), [*keys, "row_idx"]).select(
+        *keys, F.col("_ts").alias("start_date"), "end_date", F.regexp_replace("label", "_channel", "").alias("direction"), F.col("confidence").alias("conf_detection"),
+        "duration", "event", "breakout_dir", *[F.col(f"_f.{c}").alias(c) for c in patterns.CHANNEL_FEATURES],
     )
 
 
+def _life(v, atr, e0, slope, start, sd, lookback, band, tolerance, confirm, step=256) -> tuple[int, str]:
+    """The last row of a channel detected at ``e0`` and the side on which it broke, or "" where it is censored."""
+    last, run = e0, 0
+    for lo in range(e0 + 1, len(v), step):
+        j = np.arange(lo, min(lo + step, len(v)))
+        off = v[j] - (start + slope * (lookback - 1 + j - e0))
+        room = band * sd + tolerance * np.where(np.isnan(atr[j]), sd, atr[j])
+        up, down, gone = off > room, off < -room, np.isnan(off)
+        for k in range(len(j)):
+            if gone[k]:
+                return last, ""
+            run = run + 1 if up[k] or down[k] else 0
+            last = int(j[k])
+            if run >= confirm:
+                return last, "up" if up[k] else "down"
+    return last, ""
+
+
 def kaplan_meier(df: DataFrame, keys: list[str] = (), duration: str = "duration", event: str = "event") -> DataFrame:
     """(keys, t, at_risk, deaths, survival): one row per duration, those under 0.5 counted as 0.5.
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions import patterns
 
@@ -37,19 +38,26 @@ def _struct(values: np.ndarray, names: list[str]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(values[:, k].astype(float)) for k in range(len(names))], names=names)
 
 
-@F.arrow_udf(", ".join(f"{p} double" for p in patterns.PATTERNS))
+def _doubles(names: list[str]) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
+
+
+LINE = ["slope", "intercept", "r2", "resid_std"]
+
+
+@F.arrow_udf(_doubles(patterns.PATTERNS))
 def pattern_scores(prices: pa.Array) -> pa.Array:
     """The eight pattern scores of windows of one length."""
     return _struct(patterns.scores(_matrix(prices)) if len(prices) else np.zeros((0, len(patterns.PATTERNS))), patterns.PATTERNS)
 
 
-@F.arrow_udf(", ".join(f"{m} double" for m in patterns.METRICS))
+@F.arrow_udf(_doubles(patterns.METRICS))
 def shape_metrics(prices: pa.Array) -> pa.Array:
     """The twelve shape metrics of windows of one length."""
     return _struct(patterns.metrics(_matrix(prices)) if len(prices) else np.zeros((0, len(patterns.METRICS))), patterns.METRICS)
 
 
-@F.arrow_udf(", ".join(f"{c} double" for c in patterns.CHANNEL_FEATURES))
+@F.arrow_udf(_doubles(patterns.CHANNEL_FEATURES))
 def channel_shape(prices: pa.Array, atr: pa.Array, ascending: pa.Array) -> pa.Array:
     """The eleven channel features of windows of one length."""
     if not len(prices):
@@ -58,11 +66,11 @@ def channel_shape(prices: pa.Array, atr: pa.Array, ascending: pa.Array) -> pa.Ar
     return _struct(values, patterns.CHANNEL_FEATURES)
 
 
-@F.arrow_udf("slope double, intercept double, r2 double, resid_std double")
+@F.arrow_udf(_doubles(LINE))
 def channel_line(prices: pa.Array) -> pa.Array:
     """The line through a window's smoothed prices."""
     values = np.stack(patterns.line(patterns.smooth(_matrix(prices))), axis=1) if len(prices) else np.zeros((0, 4))
-    return _struct(values, ["slope", "intercept", "r2", "resid_std"])
+    return _struct(values, LINE)
 
 
 def best_label(scores: dict[str, Column], threshold: float) -> tuple[Column, Column]:

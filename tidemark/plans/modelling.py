@@ -1 +1,270 @@
+"""Queries over splits, templates, models, outlier control and survival."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidemark.functions import patterns
+from tidemark.operators import calendar as cal
+from tidemark.operators import models, outliers, splits, survival, windows
+
+from .panels import brand_daily, flag_daily, predictions, sql, table
+from .registry import query, rounded
+
+KEYS = ["series_id"]
+W = "over (partition by series_id order by ts)"
+ENDS = f"""w as (select series_id, ts as end_date, row_number() {W} as "end" from flag_daily),
+    p as (select series_id, end_date, "end" - 32 as start, "end", row_number() over (partition by series_id order by "end") - 1 as win_idx, count(*) over (partition by series_id) as n from w where "end" >= 32)"""
+#: What a purged and embargoed split leaves out: train near valid or test, valid near test.
+NEAR = """({0}.l <= {1}.r and {0}.r >= {1}.l) or ({0}.win_idx > {1}.last and {0}.win_idx <= {1}.last + 5) or ({0}.win_idx < {1}.first and {0}.win_idx >= {1}.first - 5)"""
+
+
+def ends(spark, sf_dir):
+    """Positions of all complete windows of 32 days."""
+    return windows.sliding(flag_daily(spark, sf_dir), KEYS).select("series_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "end_date")
+
+
+def positions(df, *more):
+    return df.select("series_id", F.col("win_idx").cast("bigint").alias("win_idx"), *more)
+
+
+@query("c1_c2_ratio_split", sql(f"{ENDS} select series_id, win_idx, case when win_idx < floor(n * 0.7) then 'train' when win_idx < floor(n * 0.85) then 'valid' else 'test' end as split from p", "flag_daily"))
+def c1(spark, sf_dir):
+    return positions(splits.split_by_ratio(ends(spark, sf_dir), KEYS, 0.7, 0.15), "split")
+
+
+@query("c2_precomputed_split", sql(f"{ENDS} select series_id, win_idx, case when win_idx < 1350 then 'train' when win_idx < 1500 then 'valid' else 'test' end as split from p", "flag_daily"))
+def c2(spark, sf_dir):
+    return positions(splits.split_by_count(ends(spark, sf_dir), KEYS, 1500), "split")
+
+
+@query("c4_information_span", sql(f"{ENDS} select series_id, \"end\", start as \"left\", \"end\" + 9 as \"right\" from p", "flag_daily"))
+def c4(spark, sf_dir):
+    return splits.information_span(ends(spark, sf_dir), 10).select("series_id", "end", "left", "right")
+
+
+HOLDOUT = f"""{ENDS}, s as (select series_id, win_idx, start as l, "end" + 9 as r, case when win_idx < round_even(n * 0.72, 0) then 'train' when win_idx < round_even(n * 0.80, 0) then 'valid' else 'test' end as split from p),
+    e as (select series_id, split, min(l) as l, max(r) as r, min(win_idx) as first, max(win_idx) as last from s group by 1, 2),
+    k as (select s.* from s join e v on v.series_id = s.series_id and v.split = 'valid' join e t on t.series_id = s.series_id and t.split = 'test'
+    where not (s.split = 'train' and (({NEAR.format('s', 'v')}) or ({NEAR.format('s', 't')}))) and not (s.split = 'valid' and ({NEAR.format('s', 't')})))"""
+
+
+@query("c5_c6_c8_purged_holdout", sql(f"{HOLDOUT} select series_id, win_idx, split from k", "flag_daily"))
+def c8(spark, sf_dir):
+    return positions(splits.holdout(ends(spark, sf_dir), KEYS, 10, 5), "split")
+
+
+FOLDS = f"""{ENDS}, b as (select *, start as l, "end" + 9 as r, ntile(5) over (partition by series_id order by win_idx) - 1 as block from p),
+    t as (select series_id, block, min(win_idx) as lo, max(win_idx) as hi from b where block > 0 group by 1, 2),
+    s as (select t.series_id, t.block, b.win_idx, b.l, b.r, case when win_idx >= lo then 'test' when win_idx >= lo - least(greatest(1, round_even(lo * 0.15, 0)), lo - 1) then 'valid' else 'train' end as split
+        from t join b on b.series_id = t.series_id and b.win_idx <= t.hi where lo >= 64),
+    e as (select series_id, block, split, min(l) as l, max(r) as r, min(win_idx) as first, max(win_idx) as last from s group by 1, 2, 3),
+    k as (select s.* from s join e v on v.series_id = s.series_id and v.block = s.block and v.split = 'valid' join e t on t.series_id = s.series_id and t.block = s.block and t.split = 'test'
+        where not (s.split = 'train' and (({NEAR.format('s', 'v')}) or ({NEAR.format('s', 't')}))) and not (s.split = 'valid' and ({NEAR.format('s', 't')}))),
+    g as (select series_id, block from k group by 1, 2 having count(*) filter (where split = 'train') >= 64 and count(*) filter (where split = 'valid') > 0),
+    f as (select k.series_id, dense_rank() over (partition by k.series_id order by k.block) - 1 as fold_id, win_idx, split from k join g using (series_id, block))"""
+
+
+@query("c7_walk_forward", sql(f"{FOLDS} select * from f", "flag_daily"))
+def c7(spark, sf_dir):
+    out = splits.walk_forward(ends(spark, sf_dir), KEYS, 4, 10, 5)
+    return positions(out, F.col("fold_id").cast("bigint").alias("fold_id"), "split")
+
+
+@query("c9_fold_column", sql(f"{FOLDS} select p.series_id, p.win_idx, coalesce(f.split, 'none') as split from p left join f on f.series_id = p.series_id and f.win_idx = p.win_idx and f.fold_id = 1", "flag_daily"))
+def c9(spark, sf_dir):
+    all_ends = ends(spark, sf_dir)
+    return positions(splits.fold_column(all_ends, splits.walk_forward(all_ends, KEYS, 4, 10, 5), 1, KEYS), "split")
+
+
+@query("c10_date_split", sql("select series_id, ts, case when ts <= date '2000-08-20' then 'train' else 'test' end as split from brand_daily", "brand_daily"))
+def c10(spark, sf_dir):
+    return splits.split_by_date(brand_daily(spark, sf_dir), KEYS, "2000-08-20", date="ts", order="ts").drop("value")
+
+
+@query("c11_standardize_by_train", sql("""s as (select l_orderkey, l_linenumber, probability, forecast, ts <= date '2000-08-20' as train from predictions),
+    m as (select avg(probability) a, stddev_pop(probability) b, avg(forecast) c, stddev_pop(forecast) d from s where train)
+    select l_orderkey, l_linenumber, round((probability - a) / b, 5) as probability, round((forecast - c) / d, 5) as forecast from s, m""", "predictions"))
+def c11(spark, sf_dir):
+    rows = splits.split_by_date(predictions(spark, sf_dir), KEYS, "2000-08-20", date="ts")
+    return rounded(splits.standardize_by_train(rows, ["probability", "forecast"]).select("l_orderkey", "l_linenumber", "probability", "forecast"), 5)
+
+
+LONG = "u as (unpivot (select truth as label, probability, forecast, outcome from predictions) on probability, forecast, outcome into name metric value v)"
+
+
+@query("a1_template_fit", sql(f"{LONG} select label, metric, round(avg(v), 5) as mean, round(case when stddev_pop(v) <= 1e-8 then 1 else stddev_pop(v) end, 5) as std from u group by 1, 2", "predictions"))
+def a1(spark, sf_dir):
+    return rounded(outliers.fit_templates(predictions(spark, sf_dir), ["probability", "forecast", "outcome"], "truth"), 5)
+
+
+@query("a1_pattern_templates")
+def a1_patterns(spark, sf_dir):
+    """Templates of the shape metrics by label over the training windows."""
+    table_ = windows.training_windows(cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
+    return outliers.fit_templates(table_, patterns.METRICS)
+
+
+@query("o3_entropy", sql("""e as (select l_orderkey, l_linenumber, [least(greatest(p, 1e-12), 1) for p in [probability / 3, (1 - probability) / 3 + 0.1, 0.2]] as ps from predictions)
+    select l_orderkey, l_linenumber, round(-list_sum([p * ln(p) for p in ps]) / ln(3), 5) as pattern_entropy from e""", "predictions"))
+def o3(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumns({"a": F.col("probability") / 3, "b": (1 - F.col("probability")) / 3 + 0.1, "c": F.lit(0.2)})
+    return rounded(outliers.with_entropy(rows, ["a", "b", "c"]).select("l_orderkey", "l_linenumber", "pattern_entropy"), 5)
+
+
+@query("o4_j4_template_distance", sql(f"""{LONG}, t as (select label, metric, avg(v) as m, stddev_pop(v) as s from u where label <> 'N' group by 1, 2)
+    select l_orderkey, l_linenumber, round(coalesce(sqrt((pow((probability - a.m) / (a.s + 1e-8), 2) + pow((forecast - b.m) / (b.s + 1e-8), 2)) / 2), 0), 5) as metric_distance
+    from predictions left join t a on a.label = predicted and a.metric = 'probability' left join t b on b.label = predicted and b.metric = 'forecast'""", "predictions"))
+def o4(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    templates = outliers.fit_templates(rows.where("truth <> 'N'"), ["probability", "forecast"], "truth")
+    out = outliers.template_distance(rows, templates, ["probability", "forecast"], "predicted")
+    return rounded(out.select("l_orderkey", "l_linenumber", "metric_distance"), 5)
+
+
+def daily_predictions(spark, sf_dir):
+    """Class shares and forecasts of each brand and day, as a model would give them."""
+    p = predictions(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"])
+    p = p.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    share = lambda c: F.round(F.avg((F.col("predicted") == c).cast("double")), 6)
+    return p.groupBy(F.col("p_brand").alias("series_id"), "ts").agg(
+        share("A").alias("prob_A"), share("N").alias("prob_N"), share("R").alias("prob_R"), F.round(F.avg("forecast"), 6).alias("pred_return"),
+        F.max("predicted").alias("predicted_pattern"), F.round(F.avg(F.abs("outcome")), 6).alias("metric_distance"),
+    )
+
+
+@query("o5_o6_outlier_control")
+def o5(spark, sf_dir):
+    rows = outliers.with_entropy(daily_predictions(spark, sf_dir), ["prob_A", "prob_N", "prob_R"])
+    return outliers.control(rows, KEYS, ["A", "N", "R"], "ts")
+
+
+@query("o2_weighted_vote", sql("select series_id, predicted, round(sum(probability), 2) as vote from predictions group by 1, 2", "predictions"))
+def o2(spark, sf_dir):
+    return rounded(outliers.weighted_vote(predictions(spark, sf_dir), KEYS, "predicted", "probability"), 2)
+
+
+def lives(spark, sf_dir):
+    """Durations with an event flag and a risk, from line items."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").alias("duration"), (F.col("l_returnflag") == "R").cast("int").alias("event"), F.floor(F.col("l_discount") * 50).alias("risk"), (F.col("l_orderkey") % 3).alias("part")
+    )
+
+
+LIVES = "lives as (select l_quantity as duration, cast(l_returnflag = 'R' as int) as event, floor(l_discount * 50) as risk, l_orderkey % 3 as part from lineitem)"
+KM = """{0}_c as (select greatest(duration, 0.5) as t, count(*) as c, sum({1}) as deaths from lives {2} group by 1),
+    {0}_r as (select t, deaths, sum(c) over (order by t desc) as at_risk from {0}_c),
+    {0} as (select t, at_risk, deaths, exp(sum(ln(greatest(1 - deaths / at_risk, 1e-300))) over (order by t)) as survival from {0}_r)"""
+
+
+@query("v2_kaplan_meier", f"with {LIVES}, {KM.format('k', 'event', '')} select cast(t as double) as t, cast(at_risk as bigint) as at_risk, cast(deaths as bigint) as deaths, round(survival, 6) as survival from k")
+def v2(spark, sf_dir):
+    return rounded(survival.kaplan_meier(lives(spark, sf_dir)))
+
+
+@query("v2_survival_at_horizons", f"with {LIVES}, {KM.format('k', 'event', '')} select cast(h as double) as horizon, round((select arg_max(survival, t) from k where t <= h), 6) as survival from unnest([5, 10, 20]) u(h)")
+def v2h(spark, sf_dir):
+    return rounded(survival.survival_at(survival.kaplan_meier(lives(spark, sf_dir)), [5, 10, 20]))
+
+
+@query("v5_j9_concordance", f"""with {LIVES}, c as (select duration as t, event as e, risk, count(*) as n from lives group by 1, 2, 3)
+    select cast(sum(a.n * b.n) as bigint) as comparable, round(sum(a.n * b.n * case when a.risk > b.risk then 1 when a.risk = b.risk then 0.5 else 0 end) / sum(a.n * b.n), 6) as c_index
+    from c a join c b on a.e = 1 and (b.t > a.t or (b.t = a.t and b.e = 0))""")
+def v5(spark, sf_dir):
+    return rounded(survival.concordance(lives(spark, sf_dir)))
+
+
+@query("v6_v7_integrated_brier", f"""with {LIVES}, {KM.format('g', '1 - event', 'where part <> 0')},
+    x as (select duration, event, cast(h as double) as h, exp(-h * (1 + risk) / 100) as s from lives, unnest([5, 10, 20, 30]) u(h) where part = 0),
+    y as (select h, case when duration <= h and event = 1 then s * s / (select arg_max(survival, t) from g where t <= duration)
+        when duration > h then (1 - s) * (1 - s) / (select arg_max(survival, t) from g where t <= h) else 0 end as b from x),
+    z as (select h, avg(b) as b from y group by 1)
+    select count(*) as n_grid, round(sum(d * m) / (max(h) - min(h)), 6) as ibs from (select h, h - lag(h) over (order by h) as d, (b + lag(b) over (order by h)) / 2 as m from z)""")
+def v6(spark, sf_dir):
+    rows = lives(spark, sf_dir)
+    test = rows.where("part = 0").withColumn("horizon", F.explode(F.array(*[F.lit(float(h)) for h in (5, 10, 20, 30)])))
+    test = test.withColumn("survival", F.exp(-F.col("horizon") * (1 + F.col("risk")) / 100))
+    return rounded(survival.integrated_brier(test, rows.where("part <> 0"), [5, 10, 20, 30]))
+
+
+@query("a7_median_duration", f"with {LIVES} select part, median(duration) as median_duration, count(*) as n from lives where event = 1 group by 1")
+def a7(spark, sf_dir):
+    return lives(spark, sf_dir).where("event = 1").groupBy("part").agg(F.percentile("duration", 0.5).alias("median_duration"), F.count("*").alias("n"))
+
+
+def channel_lives(spark, sf_dir):
+    return survival.episodes(cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
+
+
+@query("v1_channel_episodes")
+def v1(spark, sf_dir):
+    return channel_lives(spark, sf_dir)
+
+
+def split_lives(spark, sf_dir):
+    rows = splits.split_by_date(channel_lives(spark, sf_dir), KEYS, date="start_date", order="start_date").cache()
+    scaled = splits.standardize_by_train(rows, patterns.CHANNEL_FEATURES)
+    return scaled.where("split = 'train'"), scaled.where("split = 'test'")
+
+
+#: The features whose columns are not collinear or constant.
+RISKS = [c for c in patterns.CHANNEL_FEATURES if c not in ("band_width",)]
+
+
+@query("v3_cox_hazards")
+def v3(spark, sf_dir):
+    train, test = split_lives(spark, sf_dir)
+    if survival.enough(train, test):
+        return spark.createDataFrame([], "model string, c_index double, comparable bigint")
+    beta = survival.fit_cox(train, RISKS)
+    return survival.concordance(survival.cox_risk(test, RISKS, beta)).select(F.lit("cox").alias("model"), "c_index", "comparable")
+
+
+@query("v4_accelerated_failure_time")
+def v4(spark, sf_dir):
+    train, test = split_lives(spark, sf_dir)
+    if survival.enough(train, test):
+        return spark.createDataFrame([], "horizon double, survival double")
+    model = models.fit_aft(train, RISKS)
+    return models.aft_survival(model, test, RISKS, [5, 10, 20]).groupBy("horizon").agg(F.avg("survival").alias("survival"))
+
+
+@query("m1_m2_pattern_heads")
+def m1(spark, sf_dir):
+    """Heads learned before a date, scores after it."""
+    rows = windows.with_metrics(windows.label(windows.inference_windows(cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"]), KEYS), 0.30))
+    rows = splits.split_by_date(rows.drop("prices", "ts", "value", "confidence"), KEYS, "2000-08-20").cache()
+    heads = models.fit_heads(rows.where("split = 'train'"), patterns.METRICS, list(patterns.CHANNELS))
+    return models.score_heads(rows.where("split = 'test'"), heads, patterns.METRICS).drop(*patterns.METRICS)
+
+
+def rising(matrix: np.ndarray) -> np.ndarray:
+    """A stand-in for a trained model: pattern scores as probabilities, drift as forecast."""
+    scores = patterns.scores(matrix) + 1e-9
+    drift = matrix[:, -1] / matrix[:, 0] - 1
+    return np.column_stack([scores / scores.sum(1, keepdims=True), drift, np.minimum(drift, 0), np.maximum(drift, 0)])
+
+
+@query("m3_batch_scoring")
+def m3(spark, sf_dir):
+    rows = windows.inference_windows(cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
+    return models.batch_score(rows, lambda: rising, patterns.PATTERNS).drop("prices", "ts", "value")
+
+
+@query("m5_channel_formation")
+def m5(spark, sf_dir):
+    """Will a channel form within ten days where there is none? Features of the window, judged after a date."""
+    from tidemark.operators.features import Rolling
+
+    rows = windows.channel_windows(cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
+    rows = rows.withColumn("soon", Rolling(KEYS, "end").upcoming_flag(F.col("is_channel"), 10)).where("is_channel = 0")
+    rows = splits.split_by_date(rows.select("series_id", "end", "end_date", "soon", *patterns.CHANNEL_FEATURES), KEYS, "2000-08-20").cache()
+    return models.formation_report(rows.where("split = 'train'"), rows.where("split = 'test'"), patterns.CHANNEL_FEATURES, "soon")
+
+
+@query("m6_breakout_direction")
+def m6(spark, sf_dir):
+    rows = channel_lives(spark, sf_dir).where("event = 1").withColumn("up", (F.col("breakout_dir") == "up").cast("int"))
+    rows = splits.split_by_date(rows, KEYS, date="start_date", order="start_date").cache()
+    return models.formation_report(rows.where("split = 'train'"), rows.where("split = 'test'"), patterns.CHANNEL_FEATURES, "up")

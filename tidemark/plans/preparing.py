@@ -14,7 +14,6 @@ from .registry import query, rounded, single
 
 KEYS = ["series_id"]
 R = features.Rolling(KEYS)
-V = F.col("value")
 W = "over (partition by series_id order by ts)"
 
 
@@ -117,7 +116,7 @@ def t4h(spark, sf_dir):
     select series_id, ts, {f32(f'last_value(value ignore nulls) {W}')} as forward,
     {f32('first_value(value ignore nulls) over (partition by series_id order by ts rows between current row and unbounded following)')} as backward from g""", "flag_daily"))
 def t5(spark, sf_dir):
-    gaps = flag_daily(spark, sf_dir).withColumn("forward", F.when(F.dayofmonth("ts") % 3 != 0, V)).withColumn("backward", F.col("forward")).drop("value")
+    gaps = flag_daily(spark, sf_dir).withColumn("forward", F.when(F.dayofmonth("ts") % 3 != 0, F.col("value"))).withColumn("backward", F.col("forward")).drop("value")
     return single(cal.fill_backward(cal.fill_forward(gaps, KEYS, ["forward"]), KEYS, ["backward"]))
 
 
@@ -148,7 +147,7 @@ def t13(spark, sf_dir):
 @query("t14_complete_windows", sql(f"""g as (select series_id, ts, case when day(ts) <> 13 then value end as value from flag_daily)
     select series_id, ts, count(value) {over(20)} = 20 as complete from g""", "flag_daily"))
 def t14(spark, sf_dir):
-    gaps = flag_daily(spark, sf_dir).withColumn("value", F.when(F.dayofmonth("ts") != 13, V))
+    gaps = flag_daily(spark, sf_dir).withColumn("value", F.when(F.dayofmonth("ts") != 13, F.col("value")))
     return gaps.select("series_id", "ts", cal.complete_window(KEYS, ["value"], 20).alias("complete"))
 
 
@@ -156,7 +155,7 @@ RETURNS = f"r as (select *, ln(value) - lag(ln(value)) {W} as lr from brand_dail
 
 
 def returns(spark, sf_dir):
-    return brand_daily(spark, sf_dir).withColumn("lr", R.log_return(V))
+    return brand_daily(spark, sf_dir).withColumn("lr", R.log_return(F.col("value")))
 
 
 def least(agg: str, x: str, n: int, mp: int) -> str:
@@ -170,7 +169,7 @@ def w1(spark, sf_dir):
 
 @query("w2_percent_change", sql(f"select series_id, ts, round(value / lag(value, 1) {W} - 1, 6) as c1, round(value / lag(value, 21) {W} - 1, 6) as c21, round(value / lag(value, 126) {W} - 1, 6) as c126 from brand_daily", "brand_daily"))
 def w2(spark, sf_dir):
-    return rounded(brand_daily(spark, sf_dir).select("series_id", "ts", R.change(V).alias("c1"), R.change(V, 21).alias("c21"), R.change(V, 126).alias("c126")))
+    return rounded(brand_daily(spark, sf_dir).select("series_id", "ts", R.change(F.col("value")).alias("c1"), R.change(F.col("value"), 21).alias("c21"), R.change(F.col("value"), 126).alias("c126")))
 
 
 @query("w3_rolling_std", sql(f"{RETURNS} select series_id, ts, round({least('stddev_pop', 'lr', 10, 5)}, 6) as s10, round({least('stddev_pop', 'lr', 20, 10)}, 6) as s20 from r", "brand_daily"))
@@ -181,23 +180,23 @@ def w3(spark, sf_dir):
 
 @query("w4_rolling_mean", sql(f"select series_id, ts, round({least('avg', 'value', 10, 5)}, 4) as m10, round({least('avg', 'value', 30, 10)}, 4) as m30 from brand_daily", "brand_daily"))
 def w4(spark, sf_dir):
-    return rounded(brand_daily(spark, sf_dir).select("series_id", "ts", R.mean(V, 10, 5).alias("m10"), R.mean(V, 30, 10).alias("m30")), 4)
+    return rounded(brand_daily(spark, sf_dir).select("series_id", "ts", R.mean(F.col("value"), 10, 5).alias("m10"), R.mean(F.col("value"), 30, 10).alias("m30")), 4)
 
 
 @query("w5_moving_average_gap", sql(f"select series_id, ts, round(value / {least('avg', 'value', 10, 5)} - 1, 6) as g10, round(value / {least('avg', 'value', 30, 10)} - 1, 6) as g30 from brand_daily", "brand_daily"))
 def w5(spark, sf_dir):
-    return rounded(brand_daily(spark, sf_dir).select("series_id", "ts", R.gap(V, 10, 5).alias("g10"), R.gap(V, 30, 10).alias("g30")))
+    return rounded(brand_daily(spark, sf_dir).select("series_id", "ts", R.gap(F.col("value"), 10, 5).alias("g10"), R.gap(F.col("value"), 30, 10).alias("g30")))
 
 
 @query("w6_drawdown", sql(f"select series_id, ts, {f32(least('max', 'value', 60, 10))} as peak, round(value / {least('max', 'value', 60, 10)} - 1, 6) as drawdown from brand_daily", "brand_daily"))
 def w6(spark, sf_dir):
-    out = brand_daily(spark, sf_dir).select("series_id", "ts", R.maximum(V, 60, 10).alias("peak"), R.drawdown(V).alias("drawdown"))
+    out = brand_daily(spark, sf_dir).select("series_id", "ts", R.maximum(F.col("value"), 60, 10).alias("peak"), R.drawdown(F.col("value")).alias("drawdown"))
     return out.withColumns({"peak": F.col("peak").cast("float").cast("double"), "drawdown": F.round("drawdown", 6)})
 
 
 @query("w7_rolling_zscore", sql(f"select series_id, ts, round((value - {least('avg', 'value', 20, 5)}) / nullif({least('stddev_pop', 'value', 20, 5)}, 0), 5) as z from brand_daily", "brand_daily"))
 def w7(spark, sf_dir):
-    return rounded(brand_daily(spark, sf_dir).select("series_id", "ts", R.zscore(V, 20).alias("z")), 5)
+    return rounded(brand_daily(spark, sf_dir).select("series_id", "ts", R.zscore(F.col("value"), 20).alias("z")), 5)
 
 
 PAIR = f"q as (select series_id, ts, ln(p_a) - lag(ln(p_a)) {W} as a, ln(eurusd) - lag(ln(eurusd)) {W} as b, inflation from market_wide)"
@@ -257,14 +256,14 @@ def w13(spark, sf_dir):
 @query("w14_average_range", sql(f"""s as (select *, coalesce(abs(value - lag(value) {W}), 0) as step from brand_daily)
     select series_id, ts, round(avg(step) {over(14)}, 4) as atr from s""", "brand_daily"))
 def w14(spark, sf_dir):
-    step, average = R.average_range(V)
+    step, average = R.average_range(F.col("value"))
     return rounded(brand_daily(spark, sf_dir).withColumn("step", step).select("series_id", "ts", average(F.col("step")).alias("atr")), 4)
 
 
 @query("w15_equity", sql(f"""c as (select series_id, ts, (value - 1500) / 15000 as ret from flag_daily), e as (select *, exp(sum(ln(1 + ret)) {W}) as equity from c)
     select series_id, ts, round(equity, 5) as equity, round(max(equity) {W}, 5) as peak, round(equity / max(equity) {W} - 1, 5) as drawdown from e""", "flag_daily"))
 def w15(spark, sf_dir):
-    rows = flag_daily(spark, sf_dir).select("series_id", "ts", ((V - 1500) / 15000).alias("ret"))
+    rows = flag_daily(spark, sf_dir).select("series_id", "ts", ((F.col("value") - 1500) / 15000).alias("ret"))
     return rounded(features.equity(rows, KEYS, "ret").drop("ret"), 5)
 
 
@@ -389,7 +388,7 @@ def e8(spark, sf_dir):
     select coalesce(a.ts, b.ts) as ts, cast(cast(a as float) as double) as a, cast(cast(b as float) as double) as b from a full join b on a.ts = b.ts""", "flag_daily"))
 def j1(spark, sf_dir):
     daily = flag_daily(spark, sf_dir)
-    part = lambda f, d, n: daily.where((F.col("series_id") == f) & (F.dayofmonth("ts") != d)).select("ts", V.alias(n))
+    part = lambda f, d, n: daily.where((F.col("series_id") == f) & (F.dayofmonth("ts") != d)).select("ts", F.col("value").alias(n))
     return single(series.merge_series([part("A", 5, "a"), part("N", 6, "b")], [], ts="ts"))
 
 
@@ -398,9 +397,9 @@ def j1(spark, sf_dir):
 def halo(spark, sf_dir):
     chunks = cal.chunk_with_halo(cal.row_index(brand_daily(spark, sf_dir), KEYS), KEYS, 500, 9, 0)
     r = features.Rolling(["series_id", "chunk"])
-    return chunks.withColumn("m", F.round(r.mean(V, 10, 1), 4)).where("in_chunk").select("series_id", "ts", "m")
+    return chunks.withColumn("m", F.round(r.mean(F.col("value"), 10, 1), 4)).where("in_chunk").select("series_id", "ts", "m")
 
 
 @query("orders_latest_gap", sql(f"select series_id, ts, round(value / avg(value) {over(10)} - 1, 6) as gap from orders_daily", "orders_daily"))
 def orders_gap(spark, sf_dir):
-    return rounded(orders_daily(spark, sf_dir).select("series_id", "ts", R.gap(V, 10, 1).alias("gap")))
+    return rounded(orders_daily(spark, sf_dir).select("series_id", "ts", R.gap(F.col("value"), 10, 1).alias("gap")))
