@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,8 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage in a way that outlives lost executors. The shuffle files of the steps
-    before are then of no more use, so both collectors run and Spark removes them.
+    This cuts the lineage in a way that outlives lost executors.
     """
     # With the schema an empty table of partitions can be read too.
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, partition_by))
@@ -39,11 +39,21 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
     return path
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished steps that nothing refers to any more.
+
+    It does so when the driver's collectors find them unreachable, which on a quiet driver can be
+    long after the disk is full. The second round finds what the first one's cleaning let go.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`write_table` wrote and nothing reads any more."""
     jvm = spark._jvm

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, shared_dir, store
+from .common import drop_table, free_shuffles, shared_dir, store
 
 WINDOW = 20
 #: Words of the inner windows that are indexed; every full window holds WINDOW - ANCHOR + 1 of them.
@@ -213,16 +213,17 @@ def spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, marks): for each document the (start, count) of its windows that also start earlier.
+    """(doc_id, marks): for each document its windows that also start earlier, as start << 32 | count.
 
     ``hits`` has each document's shared fingerprints. Only windows that select one of them can
-    repeat; those are verified by 128 bits over all their words. A task settles repeats among the
-    documents of one Arrow batch itself and passes on one window of each kind, so a passage that
-    a third of the documents share is a few rows.
+    repeat; those are verified by 64 bits over all their words beside the 64 of the fingerprint.
+    Neighbouring windows that select one fingerprint travel as one row. A task settles repeats
+    among the documents of one Arrow batch itself and passes on one window of each kind, so a
+    passage that a third of the documents share is a few rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_hash, second_hash = Hasher(1), Hasher(2)
+        inner_hash, whole_hash = Hasher(1), Hasher(2)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             wanted = batch.column("fps")
@@ -231,8 +232,7 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
                 start, end, owner = split_words(data, offsets)
                 if len(start) < window:
                     continue
-                words = first_hash.words(data, start, end)
-                least, whole, _ = window_minima(words, owner, first_hash, window, anchor)
+                least, whole, _ = window_minima(inner_hash.words(data, start, end), owner, inner_hash, window, anchor)
                 bounds = np.searchsorted(owner, np.arange(len(offsets)), side="left")
                 take = np.zeros(len(least), bool)
                 for k in range(len(offsets) - 1):
@@ -241,33 +241,41 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
                         take[a:b] = np.isin(least[a:b].view(np.int64), wanted[first + k].values.to_numpy())
                 at = np.flatnonzero(take & whole)
                 if len(at):
-                    w1 = first_hash.runs(words, window)[at]
-                    w2 = second_hash.runs(second_hash.words(data, start, end), window)[at]
-                    found.append((w1, w2, ids[first + owner[at]], at - bounds[owner[at]]))
+                    verify = whole_hash.runs(whole_hash.words(data, start, end), window)[at]
+                    found.append((least[at], verify, ids[first + owner[at]], at - bounds[owner[at]]))
             if not found:
                 continue
-            w1, w2, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, doc, w2, w1))
-            w1, w2, doc, start = w1[order], w2[order], doc[order], start[order]
-            new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
+            fp, verify, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((start, doc, verify, fp))
+            fp, verify, doc, start = fp[order], verify[order], doc[order], start[order]
+            new = np.r_[True, (fp[1:] != fp[:-1]) | (verify[1:] != verify[:-1])]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             again = (doc != doc[lead]) | (start != start[lead])
             later = np.lexsort((start[again], doc[again]))
             later_doc, later_start = doc[again][later], start[again][later]
             heads, counts = spans(later_doc, later_start)
-            columns = (
-                np.r_[w1[new].view(np.int64), np.zeros(len(heads), np.int64)],
-                np.r_[w2[new].view(np.int64), np.arange(len(heads))],
-                np.r_[doc[new], later_doc[heads]],
-                np.r_[start[new], later_start[heads]].astype(np.int32),
-                np.r_[np.zeros(int(new.sum()), np.int32), counts.astype(np.int32)],
+            by_place = np.flatnonzero(new)[np.lexsort((start[new], doc[new]))]
+            fp, verify, doc, start = fp[by_place], verify[by_place], doc[by_place], start[by_place]
+            runs = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (fp[1:] != fp[:-1])])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[fp[runs].view(np.int64), later_doc[heads]]),
+                    pa.array(np.r_[doc[runs], later_doc[heads]]),
+                    pa.array(np.r_[start[runs], later_start[heads]].astype(np.int32)),
+                    pa.array(np.r_[np.zeros(len(runs), np.int32), counts.astype(np.int32)]),
+                    pa.ListArray.from_arrays(np.r_[runs, np.full(len(heads) + 1, len(fp))].astype(np.int32), verify.view(np.int64)),
+                ],
+                names=["fp", "doc_id", "start", "count", "verify"],
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "doc_id", "start", "count"])
 
-    windows = docs.join(hits, "doc_id").mapInArrow(run, "w1 bigint, w2 bigint, doc_id bigint, start int, count int")
-    place = F.rank().over(Window.partitionBy("w1", "w2", F.col("count") > 0).orderBy("doc_id", "start"))
+    found = docs.join(hits, "doc_id").mapInArrow(run, "fp bigint, doc_id bigint, start int, count int, verify array<bigint>")
+    # One exchange by fingerprint serves the window functions over (fingerprint, verification) too.
+    windows = found.repartition("fp").select("fp", "doc_id", "start", "count", F.posexplode_outer("verify").alias("at", "verify"))
+    windows = windows.withColumn("start", F.col("start") + F.coalesce("at", F.lit(0)))
+    place = F.rank().over(Window.partitionBy("fp", "verify").orderBy("doc_id", "start"))
     settled = windows.withColumn("place", place).where("count > 0 or place > 1")
-    return settled.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.greatest("count", F.lit(1)).alias("count"))).alias("marks"))
+    mark = F.shiftleft(F.col("start").cast("bigint"), 32).bitwiseOR(F.greatest("count", F.lit(1)).cast("bigint"))
+    return settled.groupBy("doc_id").agg(F.collect_list(mark).alias("marks"))
 
 
 def shared_fingerprints(docs: DataFrame, batches: int, window: int, anchor: int) -> DataFrame:
@@ -280,6 +288,7 @@ def shared_fingerprints(docs: DataFrame, batches: int, window: int, anchor: int)
         index.add(scanned.where(F.col("batch") == b).select("fp", "n"))
     many = store(index.shared(), "shared-fingerprints")
     index.drop()
+    free_shuffles(spark)
     if many.count() * 8 <= BROADCAST_BYTES:
         many = F.broadcast(many)
     return store(scanned.join(many, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "hits")
@@ -304,6 +313,7 @@ def remove_repeats(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
     marks = store(repeated_windows(source, shared_fingerprints(source, batches, window, anchor), window, anchor), "marks")
+    free_shuffles(docs.sparkSession)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -314,8 +324,8 @@ def remove_repeats(
                 if found:
                     gone = np.zeros(n + 1, np.int64)
                     for m in found:
-                        gone[m["start"]] += 1
-                        gone[m["start"] + m["count"] - 1 + window] -= 1
+                        gone[m >> 32] += 1
+                        gone[(m >> 32) + (m & 0xFFFFFFFF) - 1 + window] -= 1
                     words = [w for w, g in zip(words, np.cumsum(gone).tolist(), strict=False) if not g]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
