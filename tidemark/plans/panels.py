@@ -70,7 +70,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linestatus") == "F").cast("int").alias("actual"),
         F.round((F.col("l_discount") * 7 + F.col("l_tax") * 3 + F.col("l_quantity") / 100) / 2, 3).alias("probability"),
         F.round(F.col("l_tax") - F.col("l_discount"), 4).alias("forecast"),
-        F.round((F.col("l_extendedprice") / F.col("l_quantity") - 1500) / 10000, 6).alias("outcome"),
+        F.round(F.ln(F.col("l_extendedprice") / F.col("l_quantity") / 2000) / 10, 6).alias("outcome"),
         F.col("l_shipdate").cast("date").alias("ts"),
         F.col("l_returnflag").alias("series_id"),
         "l_orderkey",
@@ -100,7 +100,7 @@ SQL = {
         cast(l_linestatus = 'F' as int) as actual,
         round((l_discount * 7 + l_tax * 3 + l_quantity / 100) / 2, 3) as probability,
         round(l_tax - l_discount, 4) as forecast,
-        round((l_extendedprice / l_quantity - 1500) / 10000, 6) as outcome,
+        round(ln(l_extendedprice / l_quantity / 2000) / 10, 6) as outcome,
         cast(l_shipdate as date) as ts, l_returnflag as series_id, l_orderkey, l_linenumber, l_suppkey from lineitem)""",
 }
 

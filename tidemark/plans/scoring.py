@@ -1 +1,288 @@
+"""Queries over metrics, backtests, reports and robustness."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import backtest, evaluation, robustness, windows
+from tidemark.operators import calendar as cal
+from tidemark.operators.features import Rolling
+
+from .panels import brand_daily, flag_daily, market_wide, predictions, sql, table
+from .registry import query, rounded
+
+KEYS = ["series_id"]
+CLASSES = ["A", "N", "R"]
+W = "over (partition by series_id order by ts)"
+
+GRID = """g as (select t.c as truth, p.c as predicted from (values ('A'), ('N'), ('R')) t(c), (values ('A'), ('N'), ('R')) p(c)),
+    m as (select g.truth, g.predicted, count(x.l_orderkey) as n from g left join predictions x on x.truth = g.truth and x.predicted = g.predicted group by 1, 2)"""
+PER_CLASS = f"""{GRID}, c as (select label, sum(n) filter (where truth = label) as support, sum(n) filter (where predicted = label) as called, sum(n) filter (where truth = label and predicted = label) as hits
+        from m, (values ('A'), ('N'), ('R')) l(label) group by 1),
+    s as (select label, support, hits / called as p, hits / support as r from c)"""
+
+
+@query("r1_confusion_matrix", sql(f"{GRID} select * from m", "predictions"))
+def r1(spark, sf_dir):
+    return evaluation.confusion(predictions(spark, sf_dir), CLASSES)
+
+
+@query("r2_classification", sql(f"{PER_CLASS} select cast(sum(support) as bigint) as n, round(sum(r * support) / sum(support), 6) as accuracy, round(avg(r), 6) as balanced_accuracy, round(avg(2 * p * r / (p + r)), 6) as macro_f1 from s", "predictions"))
+def r2(spark, sf_dir):
+    return rounded(evaluation.classification(evaluation.confusion(predictions(spark, sf_dir), CLASSES)))
+
+
+@query("r2_r6_per_class", sql(f"{PER_CLASS} select label, cast(support as bigint) as support, round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / (p + r), 6) as f1 from s", "predictions"))
+def r6(spark, sf_dir):
+    return rounded(evaluation.per_class(evaluation.confusion(predictions(spark, sf_dir), CLASSES)))
+
+
+AUC = """r as (select {1}, actual, rank() over (partition by {1} order by {0}) + (count(*) over (partition by {1}, {0}) - 1) / 2.0 as rk from {2})"""
+
+
+@query("r3_binary_metrics", sql(f"""{AUC.format('probability', 'series_id', 'predictions')},
+    a as (select series_id, (sum(rk) filter (where actual = 1) - count(*) filter (where actual = 1) * (count(*) filter (where actual = 1) + 1) / 2.0) / (count(*) filter (where actual = 1) * count(*) filter (where actual = 0)) as auc from r group by 1),
+    b as (select series_id, count(*) as n, avg(actual) as base_rate, avg(cast((probability >= 0.5) = (actual = 1) as int)) as accuracy, count(*) filter (where actual = 1 and probability >= 0.5) as h,
+        count(*) filter (where probability >= 0.5) as c, count(*) filter (where actual = 1) as y from predictions group by 1)
+    select series_id, n, round(base_rate, 6) as base_rate, round(accuracy, 6) as accuracy, round(coalesce(h / nullif(c, 0), 0), 6) as precision, round(coalesce(h / nullif(y, 0), 0), 6) as recall,
+        round(coalesce(2 * h / nullif(c + y, 0), 0), 6) as f1, round(auc, 6) as auc from a join b using (series_id)""", "predictions"))
+def r3(spark, sf_dir):
+    return rounded(evaluation.binary(predictions(spark, sf_dir), KEYS, "actual", "probability"))
+
+
+@query("r4_regression_metrics", sql("""select series_id, 'return' as target, count(*) as n, round(avg(abs(forecast - outcome)), 6) as mae, round(sqrt(avg(pow(forecast - outcome, 2))), 6) as rmse,
+    round(avg(cast(sign(forecast) = sign(outcome) as int)), 6) as directional_accuracy from predictions group by 1""", "predictions"))
+def r4(spark, sf_dir):
+    return rounded(evaluation.regression(predictions(spark, sf_dir), KEYS, [("return", "forecast", "outcome")]))
+
+
+@query("r5_j2_evaluation", sql("""t as (select l_orderkey, l_linenumber, truth, outcome from predictions where l_orderkey % 10 <> 0)
+    select count(*) as n, count(t.truth) as known, count(*) filter (where p.predicted = t.truth) as hits, round(avg(abs(p.forecast - t.outcome)), 6) as mae
+    from predictions p left join t using (l_orderkey, l_linenumber)""", "predictions"))
+def r5(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    truth = p.where("l_orderkey % 10 <> 0").select("l_orderkey", "l_linenumber", F.col("truth").alias("t"), F.col("outcome").alias("o"))
+    joined = p.join(truth, ["l_orderkey", "l_linenumber"], "left")
+    return rounded(joined.agg(F.count("*").alias("n"), F.count("t").alias("known"), F.sum((F.col("predicted") == F.col("t")).cast("bigint")).alias("hits"), F.avg(F.abs(F.col("forecast") - F.col("o"))).alias("mae")))
+
+
+@query("m4_class_weights", sql("""c as (select truth as label, count(*) as c from predictions group by 1), w as (select label, (select count(*) from predictions) / (4 * c) as w from c)
+    select label, round(w / avg(w) over (), 6) as weight from w""", "predictions"))
+def m4(spark, sf_dir):
+    return rounded(evaluation.class_weights(predictions(spark, sf_dir), "truth", [*CLASSES, "X"]))
+
+
+THRESHOLDS = """k as (select series_id, actual, least(greatest(floor(probability / 0.025 + 1e-9), 0), 40) as cell from predictions),
+    t as (select k.series_id, g.cell, count(*) filter (where k.cell >= g.cell) as c, count(*) filter (where k.cell >= g.cell and actual = 1) as h, count(*) filter (where actual = 1) as y
+        from k join (select distinct series_id, cell from k) g on g.series_id = k.series_id group by 1, 2)"""
+
+
+@query("x3_threshold_choice", sql(f"""{THRESHOLDS} select series_id, round(cell * 0.025, 6) as threshold, round(2 * h / (c + y), 6) as f1 from t qualify row_number() over (partition by series_id order by 2 * h / (c + y) desc, cell) = 1""", "predictions"))
+def x3(spark, sf_dir):
+    return rounded(evaluation.threshold_grid(predictions(spark, sf_dir), KEYS, "actual", "probability"))
+
+
+# Means of whole numbers, so that no engine's order of addition shows in a sign.
+DAILY = """d as (select series_id, ts, cast(sum(cast(round(forecast * 10000) as bigint)) as double) / (10000 * count(*)) as forecast,
+    cast(sum(cast(round(outcome * 1000000) as bigint)) as double) / (1000000 * count(*)) as outcome from predictions group by 1, 2)"""
+
+
+def daily(spark, sf_dir):
+    mean = lambda c, unit: (F.sum(F.round(F.col(c) * unit).cast("bigint")).cast("double") / (unit * F.count("*"))).alias(c)
+    return predictions(spark, sf_dir).groupBy("series_id", "ts").agg(mean("forecast", 10000), mean("outcome", 1000000))
+
+
+RULES = {
+    "sign": "sign(forecast)",
+    "long_only": "cast(forecast > 0.001 as int)::double",
+    "threshold": "case when forecast > 0.003 then 1.0 when forecast < -0.003 then -1.0 else 0.0 end::double",
+    "proportional": "greatest(least(forecast / (stddev_pop(forecast) over (partition by series_id) + 1e-8), 1), -1)",
+}
+
+
+def strategy_query(rule: str, threshold: float):
+    body = f"""{DAILY}, p as (select *, {RULES[rule]} as position from d)
+        select series_id, ts, round(position, 7) as position, round(position * outcome - abs(position - lag(position, 1, 0.0) {W}) * 0.0005, 7) as strategy_return from p"""
+
+    @query(f"b1_b2_strategy_{rule}", sql(body, "predictions"))
+    def run(spark, sf_dir):
+        out = backtest.strategy(daily(spark, sf_dir), KEYS, "forecast", "outcome", rule, threshold, 5)
+        return rounded(out.select("series_id", "ts", "position", "strategy_return"), 7)
+
+
+for _rule, _threshold in (("sign", 0.0), ("long_only", 0.001), ("threshold", 0.003), ("proportional", 0.0)):
+    strategy_query(_rule, _threshold)
+
+RETURNS = f"{DAILY}, s as (select *, sign(forecast) * outcome as ret from d)"
+
+
+@query("b3_b4_performance", sql(f"""{RETURNS}, e as (select *, exp(sum(ln(1 + ret)) {W}) as equity from s), f as (select *, equity / max(equity) {W} - 1 as dd from e)
+    select series_id, count(*) as n, round(avg(ret) * 252, 4) as annualized_return, round(stddev_samp(ret) * sqrt(252), 4) as annualized_vol, round(avg(ret) / stddev_samp(ret) * sqrt(252), 4) as sharpe_annual,
+        round(arg_max(equity, ts) - 1, 4) as cumulative_return, round(min(dd), 4) as max_drawdown, round(avg(cast(ret > 0 as int)) filter (where ret <> 0), 4) as hit_rate from f group by 1""", "predictions"))
+def b3(spark, sf_dir):
+    main = backtest.strategy(daily(spark, sf_dir), KEYS, "forecast", "outcome")
+    return rounded(backtest.performance(main, KEYS, "strategy_return").drop("psr_vs_zero"), 4)
+
+
+@query("b5_probabilistic_sharpe")
+def b5(spark, sf_dir):
+    main = backtest.strategy(daily(spark, sf_dir), KEYS, "forecast", "outcome")
+    return backtest.probabilistic_sharpe(backtest.moments(main, KEYS, "strategy_return"))
+
+
+@query("b5_return_moments", sql(f"""{RETURNS}, m as (select series_id, avg(ret) a, stddev_samp(ret) d from s group by 1)
+    select series_id, count(*) as n, round(any_value(a), 6) as mean, round(any_value(d), 6) as sd, round(any_value(a / d), 6) as sharpe, round(avg(pow(ret - a, 3)) / pow(any_value(d), 3), 5) as skew,
+        round(avg(pow(ret - a, 4)) / pow(any_value(d), 4), 5) as kurt from s join m using (series_id) group by 1""", "predictions"))
+def b5m(spark, sf_dir):
+    main = backtest.strategy(daily(spark, sf_dir), KEYS, "forecast", "outcome")
+    m = backtest.moments(main, KEYS, "strategy_return")
+    return m.select("series_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "sharpe")], F.round("skew", 5).alias("skew"), F.round("kurt", 5).alias("kurt"))
+
+
+def folded(spark, sf_dir):
+    return daily(spark, sf_dir).withColumn("fold_id", F.year("ts"))
+
+
+@query("b4_a8_sharpe_per_fold", sql(f"{RETURNS} select series_id, year(ts) as fold_id, round(avg(ret) / stddev_samp(ret) * sqrt(252), 4) as sharpe_annual from s group by 1, 2", "predictions"))
+def b4(spark, sf_dir):
+    main = backtest.strategy(folded(spark, sf_dir), [*KEYS, "fold_id"], "forecast", "outcome")
+    out = rounded(backtest.sharpe(main, [*KEYS, "fold_id"], "strategy_return"), 4)
+    return out.withColumn("fold_id", F.col("fold_id").cast("bigint"))
+
+
+@query("b6_b7_deflated_sharpe")
+def b7(spark, sf_dir):
+    return backtest.walk_forward_report(folded(spark, sf_dir), KEYS, "forecast", "outcome", "fold_id")["deflated_sharpe"]
+
+
+@query("b8_b9_overfitting")
+def b8(spark, sf_dir):
+    variants, names = backtest.variant_returns(daily(spark, sf_dir), KEYS, "forecast", "outcome")
+    return backtest.overfitting(variants, KEYS, names)
+
+
+@query("b10_backtest_report")
+def b10(spark, sf_dir):
+    """Strategy and buy-and-hold side by side, with the deflated Sharpe ratio."""
+    report = backtest.walk_forward_report(folded(spark, sf_dir), KEYS, "forecast", "outcome", "fold_id", fee_bps=1)
+    rows = report["strategy"].withColumn("path", F.lit("strategy")).unionByName(report["buy_and_hold"].withColumn("path", F.lit("buy_and_hold")))
+    return rows.join(report["deflated_sharpe"], KEYS).join(report["pbo"], KEYS)
+
+
+@query("a2_counts", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2")
+def a2(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("a3_feature_families", "select 'average ratio' as family, max(l_linenumber) * 0 + 1 as n from lineitem union all select 'level', 4 from region where r_regionkey = 0 union all select 'log return', 1 from region where r_regionkey = 0")
+def a3(spark, sf_dir):
+    wide = market_wide(spark, sf_dir).withColumns({"p_a_logret1": F.ln("p_a"), "p_a_ma520": F.col("p_a")})
+    out = robustness.families(wide, [c for c in wide.columns if c not in ("ts", "series_id", "inflation")])
+    return out.withColumn("n", F.col("n").cast("int"))
+
+
+@query("a4_a6_r8_profile", sql("""u as (unpivot (select ts, p_a, eurusd, case when ts > date '1997-01-01' then inflation end as inflation from market_wide) on p_a, eurusd, inflation into name feature value v)
+    select feature, count(v) as n, min(ts) filter (where v is not null) as first, max(ts) filter (where v is not null) as last, round(avg(v), 5) as mean, round(stddev_samp(v), 5) as std from u group by 1""", "market_wide"))
+def a4(spark, sf_dir):
+    wide = market_wide(spark, sf_dir).withColumn("inflation", F.when(F.col("ts") > "1997-01-01", F.col("inflation")))
+    return rounded(robustness.profile(wide, ["p_a", "eurusd", "inflation"]), 5)
+
+
+@query("a5_bundle_validation", sql("""a as (select series_id, ts, value from flag_daily where day(ts) <> 3), b as (select series_id, ts, case when month(ts) = 2 then value + 1 else value end as value from flag_daily where day(ts) <> 4)
+    select count(*) as rows, count(*) filter (where a.ts is null or b.ts is null) as missing, count(*) filter (where abs(a.value - b.value) > 1e-6) as different
+    from a full join b on a.series_id = b.series_id and a.ts = b.ts""", "flag_daily"))
+def a5(spark, sf_dir):
+    d = flag_daily(spark, sf_dir)
+    left = d.where(F.dayofmonth("ts") != 3)
+    right = d.where(F.dayofmonth("ts") != 4).withColumn("value", F.when(F.month("ts") == 2, F.col("value") + 1).otherwise(F.col("value")))
+    return robustness.bundle_differences(left, right, ["series_id", "ts"], ["value"])
+
+
+@query("a10_top_rows", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
+def a10(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("x1_bootstrap_auc_gap")
+def x1(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("other", F.least(F.greatest(F.col("probability") * 0.5 + 0.2 * F.col("actual"), F.lit(0.0)), F.lit(0.999)))
+    return robustness.bootstrap_auc_gap(rows.withColumn("probability", F.least("probability", F.lit(0.999))), "other", "probability")
+
+
+CUTS = ["1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01"]
+
+
+@query("x2_ageing", sql(f"""x as (select actual, probability, date_diff('day', make_date(year(ts)::int, 1, 1), ts) as d, ts from predictions where ts > date '1996-01-01' and ts < date '1999-12-31'),
+    y as (select actual, probability, case when ts <= make_date(year(ts)::int, 2, 1) then '0-1m' when ts <= make_date(year(ts)::int, 4, 1) then '1-3m' when ts <= make_date(year(ts)::int, 7, 1) then '3-6m' else '6-12m' end as age
+        from x where d > 0),
+    {AUC.format('probability', 'age', 'y')}
+    select age, count(*) as n, round((sum(rk) filter (where actual = 1) - count(*) filter (where actual = 1) * (count(*) filter (where actual = 1) + 1) / 2.0) / (count(*) filter (where actual = 1) * count(*) filter (where actual = 0)), 6) as auc from r group by 1""", "predictions"))
+def x2(spark, sf_dir):
+    rows = predictions(spark, sf_dir).where("ts > '1996-01-01' and ts < '1999-12-31' and dayofyear(ts) > 1")
+    return rounded(robustness.ageing_auc(rows, CUTS, "ts", "actual", "probability"))
+
+
+@query("x4_multi_scale_windows", sql(f"""n as (select series_id, ts, value, row_number() {W} as rn, ln(value) - lag(ln(value)) {W} as lr from brand_daily),
+    v as (select *, case when count(lr) over (partition by series_id order by ts rows between 19 preceding and current row) >= 10 then stddev_pop(lr) over (partition by series_id order by ts rows between 19 preceding and current row) end as vol from n),
+    t as (select *, ntile(3) over (partition by series_id, vol is null order by vol) - 1 as regime from v)
+    select series_id, cast(regime as int) as regime, count(*) as n from t where rn >= 64 and vol is not null group by 1, 2""", "brand_daily"))
+def x4(spark, sf_dir):
+    r = Rolling(KEYS)
+    panel = brand_daily(spark, sf_dir).withColumn("lr", r.log_return(F.col("value"))).withColumn("vol", r.std(F.col("lr"), 20, 10))
+    panel = robustness.regime(panel, KEYS, "vol")
+    scales = None
+    for lookback in (16, 32, 64):
+        part = windows.sliding(panel, KEYS, lookback=lookback).select("series_id", "end", F.col("prices").alias(f"prices_{lookback}"), *(["regime"] if lookback == 16 else []))
+        scales = part if scales is None else scales.join(part, ["series_id", "end"])
+    return scales.where("regime is not null").groupBy("series_id", "regime").agg(F.count("*").alias("n"))
+
+
+@query("x5_cross_asset_block", sql(f"""q as (select series_id, ts, ln(p_a) - lag(ln(p_a)) {W} as a, ln(eurusd) - lag(ln(eurusd)) {W} as b from market_wide)
+    select ts, round(a, 6) as p_a_logret1, round(b, 6) as eurusd_logret1,
+    round(case when count(case when a is not null and b is not null then 1 end) over (partition by series_id order by ts rows between 19 preceding and current row) >= 10 then corr(a, b) over (partition by series_id order by ts rows between 19 preceding and current row) end, 5) as eurusd_corr from q""", "market_wide"))
+def x5(spark, sf_dir):
+    out = robustness.asset_block(market_wide(spark, sf_dir), KEYS, "p_a", ["eurusd"])
+    return out.select("ts", F.round("p_a_logret1", 6).alias("p_a_logret1"), F.round("eurusd_logret1", 6).alias("eurusd_logret1"), F.round("eurusd_corr", 5).alias("eurusd_corr"))
+
+
+@query("x7_channel_strategy")
+def x7(spark, sf_dir):
+    """Long ascending and short descending channels, one position per five days, without overlap."""
+    rows = windows.label(windows.sliding(cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"]), KEYS), 0.30)
+    r = Rolling(KEYS, "end")
+    rows = rows.withColumn("outcome", F.try_divide(F.lead("price", 5).over(r.w), F.col("price")) - 1).where("`end` % 5 = 0 and outcome is not null")
+    rows = rows.withColumn("forecast", F.when(F.col("label") == "ascending_channel", 1.0).when(F.col("label") == "descending_channel", -1.0).otherwise(0.0))
+    return backtest.performance(backtest.strategy(rows, KEYS, "forecast", "outcome", order="end"), KEYS, "strategy_return", "end", 50)
+
+
+@query("x8_volatility_persistence", sql(f"""q as (select series_id, ts, ln(value) - lag(ln(value)) {W} as lr from brand_daily),
+    v as (select series_id, case when count(lr) over b = 10 then stddev_pop(lr) over b end as x, case when count(lr) over f = 10 then stddev_pop(lr) over f end as y from q
+        window b as (partition by series_id order by ts rows between 9 preceding and current row), f as (partition by series_id order by ts rows between 1 following and 10 following)),
+    m as (select series_id, median(x) mx, median(y) my from v where x is not null and y is not null group by 1)
+    select series_id, count(*) as n, round(corr(x, y), 5) as corr, round(avg(cast((x > mx) = (y > my) as int)), 6) as hit from v join m using (series_id) where x is not null and y is not null group by 1""", "brand_daily"))
+def x8(spark, sf_dir):
+    r = Rolling(KEYS)
+    out = robustness.volatility_persistence(brand_daily(spark, sf_dir).withColumn("lr", r.log_return(F.col("value"))), KEYS, "lr", 10)
+    return out.select("series_id", "n", F.round("corr", 5).alias("corr"), F.round("hit", 6).alias("hit"))
+
+
+@query("risk_tail", sql(f"""q as (select series_id, ln(value) - lag(ln(value)) {W} as lr from brand_daily), c as (select series_id, quantile_cont(lr, 0.01) as q from q group by 1)
+    select series_id, count(lr) as n, round(-any_value(c.q), 5) as var, round(-avg(lr) filter (where lr <= c.q), 5) as es from q join c using (series_id) group by 1""", "brand_daily"))
+def risk_tail(spark, sf_dir):
+    r = Rolling(KEYS)
+    return rounded(robustness.tail_risk(brand_daily(spark, sf_dir).withColumn("lr", r.log_return(F.col("value"))), KEYS, "lr"), 5)
+
+
+@query("risk_ewma_volatility", sql("""q as (select series_id, ts, row_number() over (partition by series_id order by ts) as i, coalesce(pow(ln(value) - lag(ln(value)) over (partition by series_id order by ts), 2), 0) as s from flag_daily)
+    select a.series_id, a.ts, round(sqrt(sum(0.06 * pow(0.94, a.i - b.i) * b.s)), 5) as ewma_vol from q a join q b on a.series_id = b.series_id and b.i between a.i - 99 and a.i group by 1, 2""", "flag_daily"))
+def risk_ewma(spark, sf_dir):
+    r = Rolling(KEYS)
+    out = robustness.ewma_volatility(flag_daily(spark, sf_dir).withColumn("lr", r.log_return(F.col("value"))), KEYS, "lr", rows=100)
+    return rounded(out.select("series_id", "ts", "ewma_vol"), 5)
+
+
+@query("risk_stability_index", sql("""c as (select cast(probability > 0.2 as int) + cast(probability > 0.4 as int) + cast(probability > 0.6 as int) as cell, count(*) filter (where ts <= date '2000-08-20') as a, count(*) filter (where ts > date '2000-08-20') as b from predictions group by 1),
+    s as (select a / sum(a) over () as p, b / sum(b) over () as q from c) select round(sum((q - p) * ln(q / p)), 6) as psi from s""", "predictions"))
+def risk_psi(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("recent", F.col("ts") > "2000-08-20")
+    return rounded(robustness.stability_index(rows, "probability", "recent", [0.2, 0.4, 0.6]))
