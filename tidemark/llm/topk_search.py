@@ -11,6 +11,10 @@ from .common import store
 
 #: Bound below which sums of products stay exact in double precision.
 EXACT = float(1 << 52)
+#: How much of the lists is read before each look at the bounds.
+DEPTHS = (0.2, 0.35, 0.5, 0.7)
+#: Rows of a block that are resolved instead of read on.
+RESOLVE = 64
 
 
 class SortedLists:
@@ -18,44 +22,47 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.argsort(-vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-
-    def top(self, query: np.ndarray, k: int, barred: np.ndarray, steps: int = 24, resolve: int = 64) -> np.ndarray:
-        """Rows that may be among the ``k`` best, ties included; every other row is provably below them.
-
-        The lists are read from the end that suits the weight's sign, a slice of each at a time.
-        A row's lower bound takes its unread components at the far end of their lists, its upper
-        bound at the place reached. Reading stops when few rows can still reach the k-th best lower
-        bound; rows not met yet have upper bounds like any other.
+        order = np.argsort(-vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, order, axis=0)
+        #: Where in each dimension's list a row stands.
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(len(vectors))[:, None], axis=0)
+
+    def top(self, queries: np.ndarray, k: int, barred: np.ndarray, depths: tuple[float, ...] = DEPTHS, resolve: int = RESOLVE) -> list[np.ndarray]:
+        """For each query the rows that may be among its ``k`` best, ties included; all others are provably below.
+
+        A query reads each list from the end that suits its weight's sign. The lists are read by
+        slices, for all queries at once: ``read`` marks the entries that reading from the top, or
+        from the bottom, has passed. A row's lower bound takes its unread components at the far end
+        of their lists, its upper bound at the place reached; rows not met yet have bounds like any
+        other. A query is done when few rows can still reach its k-th best lower bound. ``barred``
+        (rows, queries) are not candidates.
         """
-        n, dims = self.vectors.shape
-        live = np.flatnonzero(query)
-        if n <= resolve or not len(live):
-            return np.flatnonzero(~barred)
-        live = live[np.argsort(-np.abs(query[live]), kind="stable")]
-        weight = query[live]
-        down = weight > 0
-        partial, unread = np.zeros(n), np.ones((n, len(live)), np.float64)
-        worst = np.where(down, self.sorted[-1, live], self.sorted[0, live]) * weight
-        size = max(1, n // steps)
-        dead = np.where(barred, -np.inf, 0.0)
-        columns = np.arange(len(live))[None, :]
-        for at in range(0, n, size):
-            end = min(n, at + size)
-            place = np.where(down[None, :], np.arange(at, end)[:, None], n - 1 - np.arange(at, end)[:, None])
-            rows = self.order[place, live[None, :]]
-            gained = self.sorted[place, live[None, :]] * weight[None, :]
-            partial += np.bincount(rows.ravel(), gained.ravel(), n)
-            unread[rows, columns] = 0.0
-            bounds = unread @ np.stack([worst, gained[-1]], axis=1)
-            low, high = partial + bounds[:, 0] + dead, partial + bounds[:, 1] + dead
-            kept = min(k, n)
-            floor = np.partition(low, n - kept)[n - kept]
-            able = np.flatnonzero(high >= floor)
-            if len(able) <= resolve:
-                return able[~barred[able]]
-        return able[~barred[able]]
+        n = len(self.vectors)
+        out: list[np.ndarray] = [np.flatnonzero(~barred[:, j]) for j in range(len(queries))] if n <= resolve else [np.zeros(0, int)] * len(queries)
+        todo = np.arange(len(queries)) if n > resolve else np.zeros(0, int)
+        kept = min(k, n)
+        for depth in (*depths, 1.0):
+            if not len(todo):
+                break
+            end = max(1, min(n, int(np.ceil(n * depth))))
+            rising, falling = np.maximum(queries[todo], 0), np.minimum(queries[todo], 0)
+            from_top, from_bottom = self.place < end, self.place >= n - end
+            read = np.concatenate([np.where(from_top, self.vectors, 0.0), np.where(from_bottom, self.vectors, 0.0)], axis=1)
+            unread = np.concatenate([~from_top, ~from_bottom], axis=1).astype(float)
+            weights = np.concatenate([rising, falling], axis=1)
+            far = np.concatenate([self.sorted[-1], self.sorted[0]])
+            reached = np.concatenate([self.sorted[end - 1], self.sorted[n - end]])
+            low = read @ weights.T + unread @ (weights * far).T
+            high = low + unread @ (weights * (reached - far)).T
+            low[barred[:, todo]] = high[barred[:, todo]] = -np.inf
+            floor = np.partition(low, n - kept, axis=0)[n - kept]
+            able = (high >= floor) & ~barred[:, todo]
+            few = (able.sum(0) <= resolve) | (depth == 1.0)
+            for j in np.flatnonzero(few):
+                out[todo[j]] = np.flatnonzero(able[:, j])
+            todo = todo[~few]
+        return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048, query_rows: int = 512) -> DataFrame:
@@ -93,9 +100,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, dims) < EXACT
         lists = SortedLists(x)
         out = []
-        for query_id, weights in zip(wanted["vec_id"].to_numpy(), q, strict=True):
-            barred = ids == query_id
-            able = lists.top(weights, k, barred) if exact else np.flatnonzero(~barred)
+        query_ids = wanted["vec_id"].to_numpy()
+        barred = ids[:, None] == query_ids[None, :]
+        reach = lists.top(q, k, barred) if exact else [np.flatnonzero(~b) for b in barred.T]
+        for query_id, weights, able in zip(query_ids, q, reach, strict=True):
             scores = (x[able] @ weights).astype(np.int64) if exact else np.array([sum(int(a) * int(b) for a, b in zip(r, weights, strict=True)) for r in x[able]], dtype=object)
             best = np.lexsort((ids[able], -scores))[:k]
             out.extend((query_id, ids[able[i]], int(scores[i])) for i in best)
