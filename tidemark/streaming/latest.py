@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.windows import inference_windows, label
@@ -16,18 +16,26 @@ def latest_signals(history: DataFrame, keys: list[str], value: str = "value", lo
 
 
 def start(stream: DataFrame, keys: list[str], folder: str, lookback: int = 32, ts: str = "ts", watermark: str = "7 days", **trigger) -> StreamingQuery:
-    """Append each micro-batch, without repeated rows within the watermark, to ``folder``/prices and rewrite ``folder``/latest.
+    """Append each micro-batch, without repeated rows within the watermark, to ``folder``/prices, and the
+    latest signals of the series it touches to ``folder``/signals; see :func:`current`.
 
     Frames of rows are not for streams, so a batch takes the halo of earlier rows from the table.
+    A batch that is run again overwrites what it wrote before.
     """
-    from pyspark.sql import functions as F
 
     def take(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/prices/batch={batch_id}")
         touched = batch.select(*keys).distinct()
         history = spark.read.parquet(f"{folder}/prices").drop("batch").join(touched, keys, "left_semi").dropDuplicates([*keys, ts])
-        latest_signals(history, keys, lookback=lookback, ts=ts).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/latest")
+        latest_signals(history, keys, lookback=lookback, ts=ts).write.mode("overwrite").parquet(f"{folder}/signals/batch={batch_id}")
 
     unique = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([*keys, ts])
     return unique.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The last signal written for each series."""
+    return latest_rows(spark.read.parquet(f"{folder}/signals"), keys, "batch").drop("batch")
