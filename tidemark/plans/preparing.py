@@ -303,6 +303,47 @@ def l1(spark, sf_dir):
     return out.drop("prices", "ts", "value")
 
 
+@query("w18_provided_target", sql(f"""n as (select *, row_number() {W} as "end", ln(value) - lag(ln(value)) {W} as lr, count(value) {AHEAD} as ahead from flag_daily)
+    select series_id, "end", round(exp(lr) - 1, 6) as future_return from n where "end" >= 32 and ahead = 10 and lr is not null""", "flag_daily"))
+def w18(spark, sf_dir):
+    daily = flag_daily(spark, sf_dir).withColumn("lr", R.log_return(F.col("value")))
+    out = windows.training_windows(daily, KEYS, keep_unclassified=True, target="lr")
+    return out.select("series_id", F.col("end").cast("bigint").alias("end"), F.round("future_return", 6).alias("future_return"))
+
+
+@query("j3_j5_j8_windows_with_lines", sql(f"""n as (select series_id, ts, value, row_number() {W} as "end", list(value) {over(32)} as p from flag_daily),
+    w as (select series_id, "end" - 32 as start, "end", value, p from n where "end" >= 32),
+    m as (select series_id, start, "end", list_sum(list_transform(generate_series(1, 32), lambda i: p[i] * (i - 16.5::double))) / 2728 as slope from w where "end" % 3 = 0)
+    select w.series_id, w.start, w."end", {f32("w.value")} as price, round(m.slope, 5) as slope from w left join m using (series_id, start, "end")""", "flag_daily"))
+def j3(spark, sf_dir):
+    rows = windows.sliding(flag_daily(spark, sf_dir), KEYS)
+    lines = rows.where("`end` % 3 = 0").select("series_id", "start", "end", F.round(arrays.slope(F.col("prices")), 5).alias("slope"))
+    out = rows.select("series_id", "start", "end", F.element_at("prices", -1).cast("float").cast("double").alias("price")).join(lines, ["series_id", "start", "end"], "left")
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("start", "end")})
+
+
+@query("j6_raw_beside_zscores", sql(f"""m as (select avg(p_a) a, stddev_samp(p_a) s from market_wide) select ts, {f32("p_a")} as p_a, round((p_a - a) / s, 6) as z__p_a from market_wide, m""", "market_wide"))
+def j6(spark, sf_dir):
+    wide = market_wide(spark, sf_dir).select(F.col("ts").alias("date"), "p_a")
+    bundle = series.load_bundle(wide, wide.withColumn("target", F.lit(0.0)), "p_a")
+    z = cal.prefix_columns(bundle.zscore, ["p_a"])
+    return bundle.raw.join(z, "date").select(F.col("date").alias("ts"), F.col("p_a").cast("float").cast("double").alias("p_a"), F.round("z__p_a", 6).alias("z__p_a"))
+
+
+@query("x6_extended_history", sql("""select ts, cast(cast(p_a as float) as double) as p_a from market_wide where p_a is not null""", "market_wide"))
+def x6(spark, sf_dir):
+    """Columns that start late are dropped, so that rows before them count."""
+    wide = market_wide(spark, sf_dir).select("ts", "p_a", F.when(F.col("ts") > "1999-01-01", F.col("p_n")).alias("p_n"))
+    late = [r["feature"] for r in features.latest_starters(wide, ["p_a", "p_n"], 1).collect()]
+    kept = cal.select_matching(wide, None, drop=[f"^{c}$" for c in late])
+    return single(wide.select("ts", *kept).dropna())
+
+
+@query("r9_weak_label_summary")
+def r9(spark, sf_dir):
+    return windows.training_windows(cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"]), KEYS).select("series_id", "end_date", "label", "confidence", "price", "future_return", "pattern_idx")
+
+
 @query("l2_inference_windows", sql(f"""n as (select *, row_number() {W} as "end" from brand_daily)
     select series_id, "end" - 32 as start, "end", ts as end_date, {f32("value")} as price, {f32(f"sum(value) {over(32)}")} as total from n qualify "end" >= 32 and ("end" - 32) % 4 = 0""", "brand_daily"))
 def l2(spark, sf_dir):
