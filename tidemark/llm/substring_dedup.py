@@ -16,8 +16,6 @@ from .common import drop_table, free_shuffles, shared_dir, store
 WINDOW = 20
 #: Words of the inner windows that are indexed; every full window holds WINDOW - ANCHOR + 1 of them.
 ANCHOR = 8
-#: Shared fingerprints up to this many bytes are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 #: Bytes of text hashed at a time.
 CHUNK = 4 << 20
 
@@ -289,9 +287,8 @@ def shared_fingerprints(docs: DataFrame, batches: int, window: int, anchor: int)
     many = store(index.shared(), "shared-fingerprints")
     index.drop()
     free_shuffles(spark)
-    if many.count() * 8 <= BROADCAST_BYTES:
-        many = F.broadcast(many)
-    return store(scanned.join(many, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "hits")
+    # They grow with the documents, so they are never broadcast.
+    return store(scanned.join(many.hint("merge"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "hits")
 
 
 def remove_repeats(
