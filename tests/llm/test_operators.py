@@ -107,6 +107,7 @@ def test_quality_on_awkward_rows(spark, docs, odd, none):
     assert quality.classify(docs, labels.where("false")).where("score between 0 and 1").count() == docs.count()
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
+    assert quality.keep_good(odd, labels).count() <= 6 and quality.keep_good(none, labels).count() == 0
 
 
 def test_lookup_tables_add_up():
@@ -516,7 +517,8 @@ def test_mixing_meets_targets(docs, rows):
 
 def test_mixing_on_awkward_rows(odd, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
-    assert mixing.mix_plan(odd).count() == 6
+    plan = mixing.mix_plan(odd).collect()
+    assert len(plan) == 6 and mixing.mix(odd).count() == sum(r.repeats for r in plan)
 
 
 # shared helpers
@@ -535,3 +537,12 @@ def test_weighted_cuts_find_the_nearest_boundary(spark):
             sums.append(sums[-1] + r[2])
         got = table.where(F.col("g") == g).where(common.below(cuts[g], ["a", "b"])).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
         assert abs(got - need) == min(abs(s - need) for s in sums)
+
+
+def test_sweep_deletes_what_was_written(spark):
+    common.sweep(spark)
+    stored = common.store(spark.range(3), "swept")
+    (path,) = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    assert common.sweep(spark) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables written and not yet swept.
+WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,11 +39,23 @@ def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
     path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this driver's operators have written so far, and say how many.
+
+    Call it when the results that read them are written.
+    """
+    paths, WRITTEN[:] = list(WRITTEN), []
+    for path in paths:
+        drop_table(spark, path)
+    return len(paths)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Have Spark remove the shuffle files of finished steps that nothing refers to any more.
 
