@@ -137,9 +137,9 @@ def kept_by_brute_force(rows, window):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 6])
-def test_substring_dedup_matches_brute_force(docs, rows, batches):
-    out = substring_dedup.remove_repeats(docs, batches=batches, with_text=True).collect()
+@pytest.mark.parametrize("batches,hot", [(1, 5), (6, 512), (4, 2)])
+def test_substring_dedup_matches_brute_force(docs, rows, batches, hot):
+    out = substring_dedup.remove_repeats(docs, batches=batches, hot=hot, with_text=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == kept_by_brute_force(rows, 20)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in out)
 
@@ -157,10 +157,10 @@ def test_substring_dedup_on_awkward_rows(odd, none):
 
 
 def test_index_merges_runs(spark):
-    index = substring_dedup.FingerprintIndex(spark, fanout=2)
-    for part in ([(1, 1), (2, 2)], [(1, 1), (3, 1)], [(3, 1), (4, 1)], [(5, 1)]):
+    index = substring_dedup.FingerprintIndex(spark, fanout=2, hot=4)
+    for part in ([(1, 1), (2, 2)], [(1, 1), (3, 1)], [(3, 4), (4, 1)], [(5, 1)]):
         index.add(spark.createDataFrame(part, "fp long, n int"))
-    assert {r.fp for r in index.shared().collect()} == {1, 2, 3}
+    assert {(r.fp, r.hot) for r in index.shared().collect()} == {(1, False), (2, False), (3, True)}
     index.drop()
 
 
@@ -474,6 +474,18 @@ def test_sharding_is_even_and_whole(docs, rows):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in out}
 
 
+def test_sharding_keeps_equal_texts_together(spark):
+    rng = random.Random(12)
+    texts = [f"text {i % 600} " + "x" * rng.randint(0, 3) for i in range(3000)]
+    rows = [(i, t, rng.choice("ab"), rng.choice("cd")) for i, t in enumerate(texts)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    shards = {}
+    for r in out:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 7
+    check_shards(out, rows, 8)
+
+
 def test_sharding_on_awkward_rows(odd, none):
     assert sharding.shard_documents(none).count() == 0
     out = sharding.shard_documents(odd, 3).collect()

@@ -16,6 +16,8 @@ from .common import drop_table, free_shuffles, shared_dir, store
 WINDOW = 20
 #: Words of the inner windows that are indexed; every full window holds WINDOW - ANCHOR + 1 of them.
 ANCHOR = 8
+#: A fingerprint that occurs so often in one batch has its windows dealt out one by one.
+HOT = 512
 #: Bytes of text hashed at a time.
 CHUNK = 4 << 20
 
@@ -144,15 +146,16 @@ def scan(docs: DataFrame, batch_edges: list[int], window: int, anchor: int) -> D
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of historical fingerprints: (fp, many), ``many`` once it has occurred twice.
+    """Sorted immutable runs of historical fingerprints: (fp, level).
 
-    A run is a table in the shared folder, bucketed and sorted by fingerprint, so a batch is
-    merge-joined with it without moving it. A batch adds a run of what is new or has changed;
-    when ``fanout`` runs have gathered they are merged into one, where ``many`` wins.
+    The level is 0 for one that has occurred once, 1 for more often, 2 for ``hot`` times or more in
+    one batch. A run is a table in the shared folder, bucketed and sorted by fingerprint, so a
+    batch is merge-joined with it without moving it. A batch adds a run of what is new or has
+    risen; when ``fanout`` runs have gathered they are merged into one, where the highest level wins.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = 4, hot: int = HOT):
+        self.spark, self.fanout, self.hot = spark, fanout, hot
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"fingerprints_{uuid.uuid4().hex}"
         self.runs: list[tuple[str, str]] = []
@@ -171,16 +174,15 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Take a batch of (fp, n)."""
-        fresh = batch.groupBy("fp").agg((F.sum("n") > 1).alias("many"))
+        n = F.sum("n")
+        fresh = batch.groupBy("fp").agg(F.when(n >= self.hot, 2).when(n > 1, 1).otherwise(0).alias("level"))
         known = [f"known{k}" for k in range(len(self.runs))]
         for k, (name, _) in zip(known, self.runs, strict=True):
-            fresh = fresh.join(self.spark.table(name).withColumnRenamed("many", k), "fp", "left")
+            fresh = fresh.join(self.spark.table(name).withColumnRenamed("level", k), "fp", "left")
         if known:
-            seen = F.coalesce(*known).isNotNull()
-            settled = F.lit(False)
-            for k in known:
-                settled = settled | F.coalesce(k, F.lit(False))
-            fresh = fresh.where(~settled).select("fp", (F.col("many") | seen).alias("many"), seen.alias("seen")).where("many or not seen").drop("seen")
+            before = F.greatest(*[F.coalesce(k, F.lit(-1)) for k in known], F.lit(-1))
+            risen = F.when(before >= 0, F.greatest("level", F.lit(1))).otherwise(F.col("level"))
+            fresh = fresh.select("fp", risen.alias("level"), before.alias("before")).where("level > before").drop("before")
         self.runs.append(self._write(fresh))
         if len(self.runs) >= self.fanout:
             self.compact()
@@ -191,13 +193,13 @@ class FingerprintIndex:
             for name, _ in self.runs:
                 run = self.spark.table(name)
                 merged = run if merged is None else merged.unionByName(run)
-            old, self.runs = self.runs, [self._write(merged.groupBy("fp").agg(F.max("many").alias("many")))]
+            old, self.runs = self.runs, [self._write(merged.groupBy("fp").agg(F.max("level").alias("level")))]
             self._drop(old)
 
     def shared(self) -> DataFrame:
-        """The fingerprints that occur more than once."""
+        """(fp, hot): the fingerprints that occur more than once."""
         self.compact()
-        return self.spark.table(self.runs[0][0]).where("many").select("fp") if self.runs else self.spark.createDataFrame([], "fp bigint")
+        return self.spark.table(self.runs[0][0]).where("level > 0").select("fp", (F.col("level") == 2).alias("hot"))
 
     def drop(self) -> None:
         self._drop(self.runs)
@@ -217,14 +219,16 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
     repeat; those are verified by 64 bits over all their words beside the 64 of the fingerprint.
     Neighbouring windows that select one fingerprint travel as one row. A task settles repeats
     among the documents of one Arrow batch itself and passes on one window of each kind, so a
-    passage that a third of the documents share is a few rows.
+    passage that a third of the documents share is a few rows. Around such a passage the windows
+    differ from text to text but select the same fingerprint; those of a hot one are dealt out by
+    their verification too, so that no task gets them all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner_hash, whole_hash = Hasher(1), Hasher(2)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = batch.column("fps")
+            wanted, hot_ones = batch.column("fps"), batch.column("hot_fps")
             found: list[tuple[np.ndarray, ...]] = []
             for first, data, offsets in chunks(batch.column("text")):
                 start, end, owner = split_words(data, offsets)
@@ -232,20 +236,22 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
                     continue
                 least, whole, _ = window_minima(inner_hash.words(data, start, end), owner, inner_hash, window, anchor)
                 bounds = np.searchsorted(owner, np.arange(len(offsets)), side="left")
-                take = np.zeros(len(least), bool)
+                take, hot = np.zeros(len(least), bool), np.zeros(len(least), bool)
                 for k in range(len(offsets) - 1):
                     a, b = bounds[k], min(bounds[k + 1], len(least))
                     if a < b:
                         take[a:b] = np.isin(least[a:b].view(np.int64), wanted[first + k].values.to_numpy())
+                        if len(hot_ones[first + k]):
+                            hot[a:b] = np.isin(least[a:b].view(np.int64), hot_ones[first + k].values.to_numpy())
                 at = np.flatnonzero(take & whole)
                 if len(at):
                     verify = whole_hash.runs(whole_hash.words(data, start, end), window)[at]
-                    found.append((least[at], verify, ids[first + owner[at]], at - bounds[owner[at]]))
+                    found.append((least[at], verify, ids[first + owner[at]], at - bounds[owner[at]], hot[at]))
             if not found:
                 continue
-            fp, verify, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            fp, verify, doc, start, hot = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((start, doc, verify, fp))
-            fp, verify, doc, start = fp[order], verify[order], doc[order], start[order]
+            fp, verify, doc, start, hot = fp[order], verify[order], doc[order], start[order], hot[order]
             new = np.r_[True, (fp[1:] != fp[:-1]) | (verify[1:] != verify[:-1])]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             again = (doc != doc[lead]) | (start != start[lead])
@@ -253,46 +259,47 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
             later_doc, later_start = doc[again][later], start[again][later]
             heads, counts = spans(later_doc, later_start)
             by_place = np.flatnonzero(new)[np.lexsort((start[new], doc[new]))]
-            fp, verify, doc, start = fp[by_place], verify[by_place], doc[by_place], start[by_place]
-            runs = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (fp[1:] != fp[:-1])])
+            fp, verify, doc, start, hot = fp[by_place], verify[by_place], doc[by_place], start[by_place], hot[by_place]
+            runs = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (fp[1:] != fp[:-1]) | hot[1:]])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[fp[runs].view(np.int64), later_doc[heads]]),
+                    pa.array(np.r_[np.where(hot[runs], verify[runs].view(np.int64), 0), np.zeros(len(heads), np.int64)]),
                     pa.array(np.r_[doc[runs], later_doc[heads]]),
                     pa.array(np.r_[start[runs], later_start[heads]].astype(np.int32)),
                     pa.array(np.r_[np.zeros(len(runs), np.int32), counts.astype(np.int32)]),
                     pa.ListArray.from_arrays(np.r_[runs, np.full(len(heads) + 1, len(fp))].astype(np.int32), verify.view(np.int64)),
                 ],
-                names=["fp", "doc_id", "start", "count", "verify"],
+                names=["fp", "part", "doc_id", "start", "count", "verify"],
             )
 
-    found = docs.join(hits, "doc_id").mapInArrow(run, "fp bigint, doc_id bigint, start int, count int, verify array<bigint>")
-    # One exchange by fingerprint serves the window functions over (fingerprint, verification) too.
-    windows = found.repartition("fp").select("fp", "doc_id", "start", "count", F.posexplode_outer("verify").alias("at", "verify"))
+    found = docs.join(hits, "doc_id").mapInArrow(run, "fp bigint, part bigint, doc_id bigint, start int, count int, verify array<bigint>")
+    # One exchange by (fingerprint, part) serves the window functions over the verification too.
+    windows = found.repartition("fp", "part").select("fp", "part", "doc_id", "start", "count", F.posexplode_outer("verify").alias("at", "verify"))
     windows = windows.withColumn("start", F.col("start") + F.coalesce("at", F.lit(0)))
-    place = F.rank().over(Window.partitionBy("fp", "verify").orderBy("doc_id", "start"))
+    place = F.rank().over(Window.partitionBy("fp", "part", "verify").orderBy("doc_id", "start"))
     settled = windows.withColumn("place", place).where("count > 0 or place > 1")
     mark = F.shiftleft(F.col("start").cast("bigint"), 32).bitwiseOR(F.greatest("count", F.lit(1)).cast("bigint"))
     return settled.groupBy("doc_id").agg(F.collect_list(mark).alias("marks"))
 
 
-def shared_fingerprints(docs: DataFrame, batches: int, window: int, anchor: int) -> DataFrame:
-    """(doc_id, fps): documents with the fingerprints they share, found batch by batch in id order."""
+def shared_fingerprints(docs: DataFrame, batches: int, window: int, anchor: int, hot: int = HOT) -> DataFrame:
+    """(doc_id, fps, hot_fps): documents with the fingerprints they share, found batch by batch in id order."""
     spark = docs.sparkSession
     edges = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     scanned = store(scan(docs, sorted(set(edges)), window, anchor), "scanned", ["batch"])
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, hot=hot)
     for b in range(len(set(edges)) + 1):
         index.add(scanned.where(F.col("batch") == b).select("fp", "n"))
     many = store(index.shared(), "shared-fingerprints")
     index.drop()
     free_shuffles(spark)
     # They grow with the documents, so they are never broadcast.
-    return store(scanned.join(many.hint("merge"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "hits")
+    return store(scanned.join(many.hint("merge"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot_fps")), "hits")
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = 4, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = 4, hot: int = HOT, with_text: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: what is left of its words without repeated windows.
 
@@ -309,7 +316,7 @@ def remove_repeats(
     source = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
-    marks = store(repeated_windows(source, shared_fingerprints(source, batches, window, anchor), window, anchor), "marks")
+    marks = store(repeated_windows(source, shared_fingerprints(source, batches, window, anchor, hot), window, anchor), "marks")
     free_shuffles(docs.sparkSession)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
