@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import below, gapless_rank, store, weighted_cuts
 
 #: A cut may miss its weight by this part of a shard to leave equal texts together.
-SLACK = 0.002
+SLACK = 0.01
 
 
 def text_key(column: str) -> Column:
@@ -61,11 +61,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     """One row per document with its shard and its place there; the shards' bytes are near equal.
 
     Size is the text's UTF-8 bytes plus 1; a null text has none. Dimensions of the tree: size, the
-    id, and the string columns of ``metadata`` by their first seven bytes. Ties are ordered by the
-    text's CRC and then the id, so equal texts lie side by side and one cut parts at most one
-    group of them, and only where leaving it whole would unbalance the shards. A null id counts
-    as -1 in the order. Repeated rows each get a slot. Works from metadata only: texts are read
-    once and never shuffled.
+    id, and the string columns of ``metadata`` by their first seven bytes. Equal texts (of one size
+    and CRC) form a group that lies where its smallest id lies, in all dimensions, and ties are
+    ordered by CRC. So a cut goes through at most one group, and only if leaving that whole would
+    put more than ``SLACK`` of a shard on the wrong side. A null id counts as -1. Repeated rows
+    each get a slot. Works from metadata only: texts are read once and never shuffled.
     """
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     table = store(
@@ -78,7 +78,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         ),
         "shard-metadata",
     )
-    dimensions = ["size", *[f"k_{m}" for m in metadata], "k_id"]
-    placed = kd_shards(table, dimensions, ["text_crc32", "k_id"], "size", shards)
+    own = ["k_id", *[f"k_{m}" for m in metadata]]
+    places = table.groupBy("text_crc32", "size").agg(F.min(F.struct(*own)).alias("at"))
+    places = store(places.select("text_crc32", "size", *[F.col(f"at.{c}").alias(f"g{c}") for c in own]), "shard-groups")
+    grouped = store(table.drop(*own[1:]).join(places.hint("merge"), ["text_crc32", "size"]), "shard-grouped")
+    dimensions = ["size", *[f"gk_{m}" for m in metadata], "gk_id"]
+    placed = kd_shards(grouped, dimensions, ["text_crc32", "k_id"], "size", shards)
     ranked = gapless_rank(store(placed, "shard-placed"), "shard", [F.col("k_id"), F.col("text_crc32"), F.col("size")], "slot")
     return ranked.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
