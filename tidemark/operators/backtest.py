@@ -53,13 +53,13 @@ def moments(df: DataFrame, keys: list[str], returns: str) -> DataFrame:
 
 
 @F.udf(DoubleType())
-def normal_cdf(z: float | None) -> float | None:
+def normal_cdf(z):
     """Spark SQL has no error function; this runs on one row per key."""
     return None if z is None else NormalDist().cdf(z)
 
 
 @F.udf(DoubleType())
-def expected_max_sharpe(variance: float | None, trials: int | None) -> float:
+def expected_max_sharpe(variance, trials):
     """What the best of some skill-less trials is expected to reach; 0 for fewer than two or no variance."""
     if not trials or trials < 2 or not variance or variance <= 0:
         return 0.0
