@@ -275,6 +275,30 @@ def test_bins_are_whole_and_few():
         assert sum(t for t, _ in plan) <= sum(t for t, _ in packing.best_fit(counts, 100))
 
 
+def test_search_finds_and_proves_the_fewest_bins():
+    counts = {408: 1, 378: 2, 348: 1, 338: 2, 318: 1, 298: 1, 268: 1}
+    assert sum(t for t, _ in packing.pack_histogram(counts, 1024)) == 3  # every greedy pass needs 4
+
+    def fewest(items, capacity, rooms=()):
+        if not items:
+            return len(rooms)
+        placed = [fewest(items[1:], capacity, (*rooms[:k], r - items[0], *rooms[k + 1 :])) for k, r in enumerate(rooms) if r >= items[0] and r not in rooms[:k]]
+        return min([*placed, fewest(items[1:], capacity, (*rooms, capacity - items[0]))])
+
+    rng = random.Random(13)
+    for _ in range(40):
+        items = sorted((rng.randint(6, 32) for _ in range(8)), reverse=True)
+        counts = {n: items.count(n) for n in items}
+        plan, proven = packing.branch_and_bound(counts, 50, packing.best_fit(counts, 50), packing.fewest(counts, 50), 10**6)
+        assert proven and sum(t for t, _ in plan) == fewest(items, 50)
+
+
+def test_best_fit_leaves_the_least_room():
+    assert sum(t for t, _ in packing.best_fit({6: 1, 5: 1, 4: 1, 3: 1, 2: 1}, 10)) == 2
+    plan = packing.best_fit({60: 1, 50: 1, 45: 1, 5: 1}, 100)  # first fit puts 5 beside 60
+    assert {tuple(sorted(u)) for _, u in plan} == {(60,), (5, 45, 50)}
+
+
 # 5 top-k
 
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import gapless_rank, store
 
 END_ID = 2
+#: Fillings that the branch-and-bound over the histogram looks at before it settles for the best plan so far.
+NODES = 20_000
+#: States of at most so many lengths are remembered and bounded by more than their sum.
+SMALL = 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -68,7 +72,7 @@ def token_pieces(docs: DataFrame, paths: dict[str, str], capacity: int, id_col:
 
 
 def complete_bins(counts: dict[int, int], capacity: int, small_first: bool = False) -> list[tuple[int, dict[int, int]]]:
-    """Bins as (times, {length: pieces}) for a histogram of piece lengths.
+    """Bins as (times, {length: pieces}) for a histogram of piece lengths: one dive, without branching.
 
     Each step looks at the largest piece left and the room beside it. The sums that the other
     pieces can reach bound the waste of every filling from below, so branches that cannot attain
@@ -113,8 +117,8 @@ def complete_bins(counts: dict[int, int], capacity: int, small_first: bool = Fal
     return out
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best-fit decreasing over a histogram: the incumbent that bin completion has to beat."""
+def first_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """First-fit decreasing over a histogram: one bin at a time takes the largest pieces that fit."""
     left = {n: c for n, c in counts.items() if c > 0}
     out: list[tuple[int, dict[int, int]]] = []
     while left:
@@ -133,6 +137,28 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     return out
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Best-fit decreasing over a histogram: a piece goes where it leaves the least room.
+
+    Bins alike in what they hold are one entry; the empty ones are the entry of full room.
+    """
+    alike: dict[int, list[tuple[int, dict[int, int]]]] = {capacity: [(sum(counts.values()), {})]}
+    for n in sorted(counts, reverse=True):
+        c = counts[n]
+        while c > 0:
+            room = min(r for r in alike if r >= n)
+            times, used = alike[room].pop()
+            m = min(c, room // n)
+            k = min(times, c // m)
+            if times > k:
+                alike[room].append((times - k, used))
+            if not alike[room]:
+                del alike[room]
+            alike.setdefault(room - m * n, []).append((k, used | {n: m}))
+            c -= k * m
+    return [(times, used) for some in alike.values() for times, used in some if used]
+
+
 def fewest(counts: dict[int, int], capacity: int) -> int:
     """A bound on the bins from below: pieces above half need one each, and what else does not fit beside them."""
     best = -(-sum(n * c for n, c in counts.items()) // capacity)
@@ -145,17 +171,131 @@ def fewest(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+def dominated(used: dict[int, int], stock: dict[int, int], waste: int) -> bool:
+    """Whether a piece that is not in the filling fits in place of none, one or several smaller ones of it."""
+    ones, more = 0, 0  # sums of one piece, and of two or more
+    for n, m in used.items():
+        for _ in range(m):
+            more |= (more | ones) << n
+            ones |= 1 << n
+    sums = 1 | ones | more
+    for n, c in stock.items():
+        if c > used.get(n, 0) and (more >> n & 1 or sums >> max(0, n - waste) & ((1 << min(n, waste)) - 1)):
+            return True
+    return False
+
+
+def fillings(left: dict[int, int], capacity: int, waste: int, budget: list[int]) -> Iterator[tuple[dict[int, int], int]]:
+    """The undominated fillings of a bin that holds the largest piece, with their waste, least first.
+
+    None wastes more than ``waste``. Every filling looked at takes one of ``budget``.
+    """
+    big = max(left)
+    room = capacity - big
+    stock = {n: c - (n == big) for n, c in left.items() if n <= room and c > (n == big)}
+    sizes = sorted(stock, reverse=True)
+    mask = (1 << (room + 1)) - 1
+    reach = [1] * (len(sizes) + 1)  # bit s of reach[k]: sizes[k:] can fill s exactly
+    for k in range(len(sizes) - 1, -1, -1):
+        bits, n, todo, part = reach[k + 1], sizes[k], min(stock[sizes[k]], room // sizes[k]), 1
+        while todo > 0:
+            take = min(part, todo)
+            bits |= (bits << (take * n)) & mask
+            todo -= take
+            part *= 2
+        reach[k] = bits
+
+    def exact(k: int, fill: int) -> Iterator[dict[int, int]]:
+        if not fill:
+            yield {}
+            return
+        while k < len(sizes) and reach[k] >> fill & 1:
+            n = sizes[k]
+            for m in range(min(stock[n], fill // n), 0, -1):
+                if reach[k + 1] >> (fill - m * n) & 1:
+                    for rest in exact(k + 1, fill - m * n):
+                        yield {n: m, **rest}
+            k += 1
+
+    for fill in range(reach[0].bit_length() - 1, max(-1, room - waste - 1), -1):
+        if reach[0] >> fill & 1:
+            for used in exact(0, fill):
+                budget[0] -= 1
+                if budget[0] < 0:
+                    return
+                if not dominated(used, stock, room - fill):
+                    yield used | {big: used.get(big, 0) + 1}, room - fill
+
+
+def branch_and_bound(
+    counts: dict[int, int], capacity: int, best: list[tuple[int, dict[int, int]]], least: int, nodes: int
+) -> tuple[list[tuple[int, dict[int, int]]], bool]:
+    """The best plan found, and whether it is proven: it meets ``least`` or the search is exhausted.
+
+    Depth first. A branch is an undominated filling around the largest piece left, used as often as
+    the counts allow, half as often and so on down to once, which makes the search complete. It is
+    cut when the waste so far, or the bound on what is left, cannot lead to fewer bins than the
+    best plan has, or when the same pieces were left before after no more bins. At most ``nodes``
+    fillings are looked at.
+    """
+    left = {n: c for n, c in counts.items() if c > 0}
+    total, budget = sum(n * c for n, c in left.items()), [nodes]
+    few = sum(t for t, _ in best)
+    path: list[tuple[int, dict[int, int]]] = []
+    seen: dict[frozenset, int] = {}
+    bins, wasted = 0, 0
+
+    def branches() -> Iterator[tuple[int, dict[int, int], int]]:
+        slack = (few - 1) * capacity - total - wasted
+        for used, waste in fillings(left, capacity, slack, budget):
+            times = min(left[n] // m for n, m in used.items())
+            while times:
+                yield times, used, waste
+                times //= 2
+
+    stack = [branches()] if left else []
+    while stack and few > least and budget[0] >= 0:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                times, used = path.pop()
+                bins -= times
+                wasted -= times * (capacity - sum(n * m for n, m in used.items()))
+                for n, m in used.items():
+                    left[n] = left.get(n, 0) + times * m
+            continue
+        times, used, waste = step
+        if wasted + times * waste > (few - 1) * capacity - total:
+            continue
+        path.append((times, used))
+        bins, wasted = bins + times, wasted + times * waste
+        for n, m in used.items():
+            left[n] -= times * m
+            if not left[n]:
+                del left[n]
+        cut_off = False
+        if not left:
+            best, few, cut_off = list(path), bins, True
+        elif len(left) <= SMALL:
+            key = frozenset(left.items())
+            cut_off = seen.get(key, bins + 1) <= bins or bins + fewest(left, capacity) >= few
+            seen[key] = min(bins, seen.get(key, bins))
+        stack.append(iter(()) if cut_off else branches())
+    return best, few <= least or (budget[0] >= 0 and not stack)
+
+
+def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[int, dict[int, int]]]:
     """The fewest bins that the searches find; the first that meets the bound ends them."""
     least = fewest(counts, capacity)
     best = best_fit(counts, capacity)
-    for small_first in (False, True):
+    for attempt in (first_fit, complete_bins, lambda a, b: complete_bins(a, b, True)):
         if sum(t for t, _ in best) <= least:
-            break
-        found = complete_bins(counts, capacity, small_first)
+            return best
+        found = attempt(counts, capacity)
         if sum(t for t, _ in found) < sum(t for t, _ in best):
             best = found
-    return best
+    return branch_and_bound(counts, capacity, best, least, nodes)[0]
 
 
 def pack(
