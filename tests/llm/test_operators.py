@@ -156,6 +156,21 @@ def test_substring_dedup_on_awkward_rows(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("batches,hot,parts", [(4, 512, 1), (4, 512, 5), (2, 2, 3)])
+def test_substring_dedup_tells_texts_of_one_id_apart(spark, batches, hot, parts):
+    prose = lambda seed, n: " ".join(str(random.Random(seed * 1000 + k).random()) for k in range(n))
+    texts = ["a " * 70, None, "", "short one", prose(1, 50), prose(1, 25) + " " + prose(2, 30), prose(2, 40), "b " * 30]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts] + [(7, texts[4]), (None, texts[0]), (8, prose(3, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), F.coalesce("text", F.lit("")).cast("binary")).alias("h")).collect()
+    order = sorted({(r.doc_id is not None, r.doc_id or 0, r.h): r.text for r in hashed}.items())
+    want = kept_by_brute_force([(k, text) for k, (_, text) in enumerate(order)], 20)
+    place = {key: k for k, (key, _) in enumerate(order)}
+    out = substring_dedup.remove_repeats(docs.repartition(parts), batches=batches, hot=hot).collect()
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in out)
+    assert got == sorted((r.doc_id is not None, r.doc_id or 0, *want[place[r.doc_id is not None, r.doc_id or 0, r.h]]) for r in hashed)
+
+
 def test_index_merges_runs(spark):
     index = substring_dedup.FingerprintIndex(spark, fanout=2, hot=4)
     for part in ([(1, 1), (2, 2)], [(1, 1), (3, 1)], [(3, 4), (4, 1)], [(5, 1)]):

@@ -117,13 +117,21 @@ def window_minima(words: np.ndarray, owner: np.ndarray, hasher: Hasher, window:
     return least, whole, inner
 
 
+def named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (doc_id, key) of a batch in their order, and for each row the number of its own."""
+    rows = np.empty(len(batch), [("doc_id", np.int64), ("key", np.int64)])
+    for c in ("doc_id", "key"):
+        rows[c] = batch.column(c).to_numpy(zero_copy_only=False)
+    return np.unique(rows, return_inverse=True)
+
+
 def scan(docs: DataFrame, batch_edges: list[int], window: int, anchor: int) -> DataFrame:
-    """(batch, fp, doc_id, n): the fingerprints that a document's windows select, and how often."""
+    """(batch, fp, key, n): the fingerprints that a document's windows select, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, width = Hasher(1), window - anchor + 1
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, own = named(batch)
             for first, data, offsets in chunks(batch.column("text")):
                 start, end, owner = split_words(data, offsets)
                 if len(start) < window:
@@ -136,13 +144,13 @@ def scan(docs: DataFrame, batch_edges: list[int], window: int, anchor: int) -> D
                 keys = np.empty(len(at), [("doc", np.int64), ("fp", np.uint64)])
                 keys["doc"], keys["fp"] = owner[at], inner[at]
                 keys, n = np.unique(keys, return_counts=True)
-                doc_ids = ids[first + keys["doc"]]
+                doc = ids[own[first + keys["doc"]]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(batch_edges, doc_ids, side="left").astype(np.int32)), pa.array(keys["fp"].view(np.int64)), pa.array(doc_ids), pa.array(n.astype(np.int32))],
-                    names=["batch", "fp", "doc_id", "n"],
+                    [pa.array(np.searchsorted(batch_edges, doc["doc_id"], side="left").astype(np.int32)), pa.array(keys["fp"].copy().view(np.int64)), pa.array(doc["key"].copy()), pa.array(n.astype(np.int32))],
+                    names=["batch", "fp", "key", "n"],
                 )
 
-    return docs.mapInArrow(run, "batch int, fp bigint, doc_id bigint, n int")
+    return docs.mapInArrow(run, "batch int, fp bigint, key bigint, n int")
 
 
 class FingerprintIndex:
@@ -213,7 +221,7 @@ def spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, marks): for each document its windows that also start earlier, as start << 32 | count.
+    """(doc_id, key, marks): for each document its windows that also start earlier, as start << 32 | count.
 
     ``hits`` has each document's shared fingerprints. Only windows that select one of them can
     repeat; those are verified by 64 bits over all their words beside the 64 of the fingerprint.
@@ -227,7 +235,7 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner_hash, whole_hash = Hasher(1), Hasher(2)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, own = named(batch)
             wanted, hot_ones = batch.column("fps"), batch.column("hot_fps")
             found: list[tuple[np.ndarray, ...]] = []
             for first, data, offsets in chunks(batch.column("text")):
@@ -246,7 +254,7 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
                 at = np.flatnonzero(take & whole)
                 if len(at):
                     verify = whole_hash.runs(whole_hash.words(data, start, end), window)[at]
-                    found.append((least[at], verify, ids[first + owner[at]], at - bounds[owner[at]], hot[at]))
+                    found.append((least[at], verify, own[first + owner[at]], at - bounds[owner[at]], hot[at]))
             if not found:
                 continue
             fp, verify, doc, start, hot = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -261,30 +269,32 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
             by_place = np.flatnonzero(new)[np.lexsort((start[new], doc[new]))]
             fp, verify, doc, start, hot = fp[by_place], verify[by_place], doc[by_place], start[by_place], hot[by_place]
             runs = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (fp[1:] != fp[:-1]) | hot[1:]])
+            placed = ids[np.r_[doc[runs], later_doc[heads]]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[fp[runs].view(np.int64), later_doc[heads]]),
                     pa.array(np.r_[np.where(hot[runs], verify[runs].view(np.int64), 0), np.zeros(len(heads), np.int64)]),
-                    pa.array(np.r_[doc[runs], later_doc[heads]]),
+                    pa.array(placed["doc_id"].copy()),
+                    pa.array(placed["key"].copy()),
                     pa.array(np.r_[start[runs], later_start[heads]].astype(np.int32)),
                     pa.array(np.r_[np.zeros(len(runs), np.int32), counts.astype(np.int32)]),
                     pa.ListArray.from_arrays(np.r_[runs, np.full(len(heads) + 1, len(fp))].astype(np.int32), verify.view(np.int64)),
                 ],
-                names=["fp", "part", "doc_id", "start", "count", "verify"],
+                names=["fp", "part", "doc_id", "key", "start", "count", "verify"],
             )
 
-    found = docs.join(hits, "doc_id").mapInArrow(run, "fp bigint, part bigint, doc_id bigint, start int, count int, verify array<bigint>")
+    found = docs.join(hits, "key").mapInArrow(run, "fp bigint, part bigint, doc_id bigint, key bigint, start int, count int, verify array<bigint>")
     # One exchange by (fingerprint, part) serves the window functions over the verification too.
-    windows = found.repartition("fp", "part").select("fp", "part", "doc_id", "start", "count", F.posexplode_outer("verify").alias("at", "verify"))
+    windows = found.repartition("fp", "part").select("fp", "part", "doc_id", "key", "start", "count", F.posexplode_outer("verify").alias("at", "verify"))
     windows = windows.withColumn("start", F.col("start") + F.coalesce("at", F.lit(0)))
-    place = F.rank().over(Window.partitionBy("fp", "part", "verify").orderBy("doc_id", "start"))
+    place = F.rank().over(Window.partitionBy("fp", "part", "verify").orderBy("doc_id", "key", "start"))
     settled = windows.withColumn("place", place).where("count > 0 or place > 1")
     mark = F.shiftleft(F.col("start").cast("bigint"), 32).bitwiseOR(F.greatest("count", F.lit(1)).cast("bigint"))
-    return settled.groupBy("doc_id").agg(F.collect_list(mark).alias("marks"))
+    return settled.groupBy("doc_id", "key").agg(F.collect_list(mark).alias("marks"))
 
 
 def shared_fingerprints(docs: DataFrame, batches: int, window: int, anchor: int, hot: int = HOT) -> DataFrame:
-    """(doc_id, fps, hot_fps): documents with the fingerprints they share, found batch by batch in id order."""
+    """(key, fps, hot_fps): documents with the fingerprints they share, found batch by batch in id order."""
     spark = docs.sparkSession
     edges = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     scanned = store(scan(docs, sorted(set(edges)), window, anchor), "scanned", ["batch"])
@@ -295,7 +305,7 @@ def shared_fingerprints(docs: DataFrame, batches: int, window: int, anchor: int,
     index.drop()
     free_shuffles(spark)
     # They grow with the documents, so they are never broadcast.
-    return store(scanned.join(many.hint("merge"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot_fps")), "hits")
+    return store(scanned.join(many.hint("merge"), "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot_fps")), "hits")
 
 
 def remove_repeats(
@@ -305,8 +315,9 @@ def remove_repeats(
 
     A word goes if a window of ``window`` words covers it whose word sequence also starts earlier,
     in a smaller id or before in the same text. Words are runs of anything but ASCII white space.
-    Null and empty texts have no words and shorter ones no window. The ids order the documents;
-    rows that repeat an id must repeat its text and are then one document, and null ids come first.
+    Null and empty texts have no words and shorter ones no window. The ids order the documents,
+    null ids come first. Rows alike in id and text are one document; different texts of one id, or
+    of none, are documents of their own, in the order of the hashes of id and text.
 
     Full windows are found through the ``anchor``-word windows inside: each full window selects the
     inner one of least fingerprint, so equal windows select equal ones. Batches of documents, in
@@ -315,7 +326,7 @@ def remove_repeats(
     """
     source = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    )
+    ).withColumn("key", F.xxhash64("doc_id", "text"))
     marks = store(repeated_windows(source, shared_fingerprints(source, batches, window, anchor, hot), window, anchor), "marks")
     free_shuffles(docs.sparkSession)
 
@@ -338,6 +349,6 @@ def remove_repeats(
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    done = source.join(marks, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    done = source.join(marks, ["doc_id", "key"], "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63)))).withColumnRenamed("doc_id", id_col)
     return done if with_text else done.drop("kept_text")
