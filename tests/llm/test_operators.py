@@ -403,6 +403,14 @@ def test_near_dedup_on_awkward_rows(docs, odd, none):
     assert near_dedup.drop_near(docs).columns == docs.columns
 
 
+def test_near_dedup_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    prose = lambda seed: " ".join(str(random.Random(seed * 1000 + k).random()) for k in range(40))
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2)), (None, prose(3)), (9, prose(3)), (5, prose(4)), (5, prose(5)), (4, prose(5)), (5, prose(5))]
+    kept = near_dedup.drop_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, prose(1)), (None, prose(2)), (9, prose(3)), (5, prose(4)), (4, prose(5))]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 # 7 URL filters
 
 

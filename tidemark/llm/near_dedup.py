@@ -46,12 +46,21 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes = shingle_hashes(text)
             out.append(simhash(hashes) if len(hashes) else 0)
         prints = np.array(out, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(prints)], names=["doc_id", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return source.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """(doc_id, row, fp): id, hash of the whole row and fingerprint."""
+    source = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(whole_row(docs)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+    )
+    return source.mapInArrow(_fingerprints, "doc_id bigint, row bigint, fp bigint")
+
+
+def roots_of(nodes: DataFrame, dense: int) -> DataFrame:
+    """``nodes`` with ``root``, the least fingerprint that ``fp`` reaches."""
+    roots = components(near_links(nodes, dense))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
 
 
 def _high(fp: Column) -> Column:
@@ -150,18 +159,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     table = store(fingerprints(docs, id_col, text_col), "simhash")
     nodes = store(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(near_links(nodes, dense))
-    linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = roots_of(nodes, dense)
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "root").select("fp", "component_id")
     return table.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns.
+    """One row of ``docs`` for each component, with all its columns: the one of least id.
 
-    Rows that repeat an id count as one document, of which one row stays.
+    Null ids come last, so such a row stays only where no row of its component has an id. Rows of
+    one id, or of none, are told apart by a hash of the whole row; rows alike in all columns are one.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
-    kept = near_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key(id_col)).distinct()
-    return one_each(docs.select(whole_row(docs), key(id_col)), kept)
+    key = lambda doc_id, row: F.concat_ws(" ", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), row.cast("string")).alias("_key")
+    table = store(fingerprints(docs, id_col, text_col), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    nodes = store(table.groupBy("fp").agg(first), "simhash-nodes")
+    kept = roots_of(nodes, DENSE).groupBy("root").agg(F.min("least").alias("least")).select(key(F.col("least.doc_id"), F.col("least.row")))
+    return one_each(docs.select(whole_row(docs), key(F.col(id_col), F.xxhash64(whole_row(docs)))), kept)
