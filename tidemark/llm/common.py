@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,17 +10,25 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Tables written and not yet swept.
+#: Tables written and not yet swept, and the names of those that the catalog knows.
 WRITTEN: list[str] = []
+NAMED: list[str] = []
+#: Rows that a window's task gets when :func:`gapless_rank` deals a group into buckets.
+BUCKET_ROWS = 200_000
+#: Tables up to this many bytes may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is ``spark.checkpoint.dir``; a session without it, as on one machine, gets a temporary one.
+    It is ``spark.checkpoint.dir``. A session without it gets a temporary one if it runs on one
+    machine; on a cluster that would be another folder on every executor, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,23 +57,14 @@ def sweep(spark: SparkSession) -> int:
     Call it when the results that read them are written.
     """
     paths, WRITTEN[:] = list(WRITTEN), []
+    names, NAMED[:] = list(NAMED), []
+    for name in names:
+        spark.sql(f"drop table if exists {name}")
     for path in paths:
         drop_table(spark, path)
     return len(paths)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of finished steps that nothing refers to any more.
-
-    It does so when the driver's collectors find them unreachable, which on a quiet driver can be
-    long after the disk is full. The second round finds what the first one's cleaning let go.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`write_table` wrote and nothing reads any more."""
     jvm = spark._jvm
@@ -86,22 +83,37 @@ def one_each(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
 
 
-def gapless_rank(df: DataFrame, group: str, order: list[Column], name: str, buckets: int = 256) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, part: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row a key, of ``size`` rows each) without a hot key.
+
+    Groups that hold over one ``part``-th of all rows are fewer than ``part``, so they are
+    broadcast; the others are joined by a shuffle, in which no key is hot. Both tables should be stored.
+    """
+    hot = groups.where(F.col(size) * part > rows.count())
+    hot_keys = F.broadcast(hot.select(*keys))
+    few = rows.join(F.broadcast(hot), keys)
+    many = rows.join(hot_keys, keys, "left_anti").join(groups.join(hot_keys, keys, "left_anti"), keys, "left")
+    return few.unionByName(many)
+
+
+def gapless_rank(df: DataFrame, group: str, order: list[Column], name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Number the rows of each group from 0 without gaps, however large a group is.
 
-    Each group is dealt into hash buckets; a bucket's offset is the number of rows in the buckets
-    before it, so no task ever holds a whole group. Rows alike in ``order`` get numbers in any
-    order among themselves. ``group`` is never null and has few values: the offsets, ``buckets``
-    rows for each, are broadcast. ``df`` is read twice, so it should be a stored table.
+    Each group is dealt into hash buckets, as many as its rows make at ``bucket_rows`` each; a
+    bucket's offset is the number of rows in the buckets before it, so no task ever holds a whole
+    group. Rows alike in ``order`` get numbers in any order among themselves. ``group`` is never
+    null and has few values, so its counts are broadcast; the offsets, one for each bucket, are
+    left to Spark to broadcast by their size. ``df`` is read three times, so it should be a stored table.
     """
-    spread = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    sizes = df.groupBy(F.col(group).alias("_g")).agg((F.count("*") / bucket_rows + 1).cast("bigint").alias("_buckets"))
+    spread = df.join(F.broadcast(sizes), F.col(group) == F.col("_g")).withColumn("_b", F.pmod(F.xxhash64(*order), F.col("_buckets"))).drop("_buckets", "_g")
     counts = spread.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_gb")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_g").orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_g", "_gb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy(group, "_b").orderBy(*order)
     return (
         spread.withColumn("_r", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))
+        .join(offsets, (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))
         .withColumn(name, F.col("_off") + F.col("_r"))
         .drop("_b", "_g", "_gb", "_off", "_r")
     )

@@ -8,59 +8,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, free_shuffles, shared_dir, store
+from .common import NAMED, WRITTEN, drop_table, shared_dir, store
 
 WINDOW = 20
 #: Words of the inner windows that are indexed; every full window holds WINDOW - ANCHOR + 1 of them.
 ANCHOR = 8
-#: A fingerprint that occurs so often in one batch has its windows dealt out one by one.
+#: A fingerprint that occurs so often has its windows dealt out one by one.
 HOT = 512
 #: Bytes of text hashed at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Longest word that is hashed by table; longer ones are hashed each by itself.
+TABLED = 32
+#: The id that stands for null.
+NO_ID = -(1 << 63)
 
 SPACES = (9, 10, 11, 12, 13, 32)
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(SPACES)] = True
+
+FOUND = "fp bigint, part bigint, seq int, doc_id bigint, key bigint, start int, count int, words binary"
+KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
 class Hasher:
     """Hashes of words and of runs of words, all positions of a chunk of texts at once.
 
-    A word's hash is a polynomial over random values of its bytes, a run's one over its words'
-    mixed hashes, both modulo 2 ** 64 and taken from prefix sums.
+    A word's hash is the sum of one random number for each of its bytes and their places, a run's
+    the sum of its words' hashes times one random odd number for each place. They choose
+    candidates only; what is removed is compared word by word.
     """
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int = 1):
         rng = np.random.default_rng(seed)
-        draw = lambda n: rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.values = draw(256)
-        (self.base,) = draw(1)
-        (self.run_base,) = draw(1)
-        self.powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _powers(self, base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-        held = self.powers.get(int(base))
-        if held is None or len(held[0]) < n:
-            size = max(n, CHUNK)
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            held = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)], dtype=np.uint64) for b in (base, inverse))
-            self.powers[int(base)] = held
-        return held
+        self.table = rng.integers(0, 1 << 63, TABLED * 256, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, TABLED * 256, dtype=np.uint64)
+        self.places = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
     def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = self._powers(self.base, len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * up[: len(data)], out=sums[1:])
-        return mixed((sums[end] - sums[start]) * down[start])
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        length = end - start
+        first = np.cumsum(length) - length
+        at = np.arange(int(length.sum())) - np.repeat(first, length)
+        part = self.table[np.minimum(at, TABLED - 1) * 256 + data[at + np.repeat(start, length)]]
+        out = np.add.reduceat(part, first)
+        for k in np.flatnonzero(length > TABLED):
+            out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+        return mixed(out)
 
     def runs(self, words: np.ndarray, length: int) -> np.ndarray:
         """Hash of words[i : i + length] for every i that has so many."""
-        up, down = self._powers(self.run_base, len(words))
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=sums[1:])
         n = max(0, len(words) - length + 1)
-        return mixed((sums[length : length + n] - sums[:n]) * down[:n])
+        out = np.zeros(n, np.uint64)
+        for k in range(length):
+            out += words[k : k + n] * self.places[k % len(self.places)]
+        return mixed(out)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,10 +86,6 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[list(SPACES)] = True
-
-
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of every word."""
     inside = ~IS_SPACE[data]
@@ -117,21 +118,13 @@ def window_minima(words: np.ndarray, owner: np.ndarray, hasher: Hasher, window:
     return least, whole, inner
 
 
-def named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (doc_id, key) of a batch in their order, and for each row the number of its own."""
-    rows = np.empty(len(batch), [("doc_id", np.int64), ("key", np.int64)])
-    for c in ("doc_id", "key"):
-        rows[c] = batch.column(c).to_numpy(zero_copy_only=False)
-    return np.unique(rows, return_inverse=True)
-
-
-def scan(docs: DataFrame, batch_edges: list[int], window: int, anchor: int) -> DataFrame:
-    """(batch, fp, key, n): the fingerprints that a document's windows select, and how often."""
+def scan(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(fp, key, n): the fingerprints that a document's windows select, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, width = Hasher(1), window - anchor + 1
+        hasher, width = Hasher(), window - anchor + 1
         for batch in batches:
-            ids, own = named(batch)
+            key = batch.column("key").to_numpy()
             for first, data, offsets in chunks(batch.column("text")):
                 start, end, owner = split_words(data, offsets)
                 if len(start) < window:
@@ -141,108 +134,53 @@ def scan(docs: DataFrame, batch_edges: list[int], window: int, anchor: int) -> D
                 # A place is selected if it attains the minimum of a window that covers it.
                 best = sliding(np.r_[np.zeros(width - 1, np.uint64), chosen, np.zeros(width - 1, np.uint64)], width, np.maximum)
                 at = np.flatnonzero(best == inner)
-                keys = np.empty(len(at), [("doc", np.int64), ("fp", np.uint64)])
-                keys["doc"], keys["fp"] = owner[at], inner[at]
-                keys, n = np.unique(keys, return_counts=True)
-                doc = ids[own[first + keys["doc"]]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(batch_edges, doc["doc_id"], side="left").astype(np.int32)), pa.array(keys["fp"].copy().view(np.int64)), pa.array(doc["key"].copy()), pa.array(n.astype(np.int32))],
-                    names=["batch", "fp", "key", "n"],
-                )
-
-    return docs.mapInArrow(run, "batch int, fp bigint, key bigint, n int")
+                pairs = np.empty(len(at), [("doc", np.int64), ("fp", np.uint64)])
+                pairs["doc"], pairs["fp"] = owner[at], inner[at]
+                pairs, n = np.unique(pairs, return_counts=True)
+                columns = (pairs["fp"].copy().view(np.int64), key[first + pairs["doc"]], n.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["fp", "key", "n"])
 
+    return texts.select("key", "text").mapInArrow(run, "fp bigint, key bigint, n int")
 
-class FingerprintIndex:
-    """Sorted immutable runs of historical fingerprints: (fp, level).
 
-    The level is 0 for one that has occurred once, 1 for more often, 2 for ``hot`` times or more in
-    one batch. A run is a table in the shared folder, bucketed and sorted by fingerprint, so a
-    batch is merge-joined with it without moving it. A batch adds a run of what is new or has
-    risen; when ``fanout`` runs have gathered they are merged into one, where the highest level wins.
-    """
+def runs_of(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run, given for each row but the first whether it goes on its predecessor's."""
+    goes_on = same[0]
+    for s in same[1:]:
+        goes_on = goes_on & s
+    begin = np.flatnonzero(np.r_[True, ~goes_on])
+    return begin, np.r_[begin[1:], len(goes_on) + 1]
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, hot: int = HOT):
-        self.spark, self.fanout, self.hot = spark, fanout, hot
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"fingerprints_{uuid.uuid4().hex}"
-        self.runs: list[tuple[str, str]] = []
-        self.made = 0
-
-    def _write(self, run: DataFrame) -> tuple[str, str]:
-        name, self.made = f"{self.name}_{self.made}", self.made + 1
-        path = f"{shared_dir(self.spark)}/tidemark/{name}"
-        run.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).option("compression", "zstd").saveAsTable(name)
-        return name, path
-
-    def _drop(self, runs: list[tuple[str, str]]) -> None:
-        for name, path in runs:
-            self.spark.sql(f"drop table {name}")
-            drop_table(self.spark, path)
 
-    def add(self, batch: DataFrame) -> None:
-        """Take a batch of (fp, n)."""
-        n = F.sum("n")
-        fresh = batch.groupBy("fp").agg(F.when(n >= self.hot, 2).when(n > 1, 1).otherwise(0).alias("level"))
-        known = [f"known{k}" for k in range(len(self.runs))]
-        for k, (name, _) in zip(known, self.runs, strict=True):
-            fresh = fresh.join(self.spark.table(name).withColumnRenamed("level", k), "fp", "left")
-        if known:
-            before = F.greatest(*[F.coalesce(k, F.lit(-1)) for k in known], F.lit(-1))
-            risen = F.when(before >= 0, F.greatest("level", F.lit(1))).otherwise(F.col("level"))
-            fresh = fresh.select("fp", risen.alias("level"), before.alias("before")).where("level > before").drop("before")
-        self.runs.append(self._write(fresh))
-        if len(self.runs) >= self.fanout:
-            self.compact()
-
-    def compact(self) -> None:
-        if len(self.runs) > 1:
-            merged = None
-            for name, _ in self.runs:
-                run = self.spark.table(name)
-                merged = run if merged is None else merged.unionByName(run)
-            old, self.runs = self.runs, [self._write(merged.groupBy("fp").agg(F.max("level").alias("level")))]
-            self._drop(old)
-
-    def shared(self) -> DataFrame:
-        """(fp, hot): the fingerprints that occur more than once."""
-        self.compact()
-        return self.spark.table(self.runs[0][0]).where("level > 0").select("fp", (F.col("level") == 2).alias("hot"))
-
-    def drop(self) -> None:
-        self._drop(self.runs)
-        self.runs = []
-
-
-def spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first, and number, of each run of consecutive starts in one document; sorted input."""
-    heads = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
-    return heads, np.diff(np.r_[heads, len(doc)])
-
-
-def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, key, marks): for each document its windows that also start earlier, as start << 32 | count.
+def repeated_windows(texts: DataFrame, hits: DataFrame, seq: int, is_new: bool, window: int, anchor: int) -> DataFrame:
+    """Rows of ``FOUND``: the windows of the batch ``seq`` that may repeat, and those that do so nearby.
 
     ``hits`` has each document's shared fingerprints. Only windows that select one of them can
-    repeat; those are verified by 64 bits over all their words beside the 64 of the fingerprint.
-    Neighbouring windows that select one fingerprint travel as one row. A task settles repeats
-    among the documents of one Arrow batch itself and passes on one window of each kind, so a
-    passage that a third of the documents share is a few rows. Around such a passage the windows
-    differ from text to text but select the same fingerprint; those of a hot one are dealt out by
-    their verification too, so that no task gets them all.
+    repeat. A task compares those of the documents of one Arrow batch itself and passes on one
+    window of each kind, so a passage that a third of the documents share is a few rows.
+    Neighbouring windows that select one fingerprint travel as one row with all their words.
+    Around a shared passage the windows differ from text to text but select the same fingerprint;
+    those of a hot one are dealt out by a hash of their words. Rows without words are windows that
+    are known to start earlier too; of a batch that is not ``is_new`` they are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner_hash, whole_hash = Hasher(1), Hasher(2)
+        hasher = Hasher()
         for batch in batches:
-            ids, own = named(batch)
+            rows = np.empty(len(batch), [("doc_id", np.int64), ("key", np.int64)])
+            for c in ("doc_id", "key"):
+                rows[c] = batch.column(c).to_numpy()
+            ids, own = np.unique(rows, return_inverse=True)
+            plain = [b" ".join(t.split()) for t in batch.column("text").to_pylist()]
+            text_of = dict(zip(own.tolist(), plain, strict=True))
             wanted, hot_ones = batch.column("fps"), batch.column("hot_fps")
             found: list[tuple[np.ndarray, ...]] = []
-            for first, data, offsets in chunks(batch.column("text")):
+            for first, data, offsets in chunks(pa.array(plain, pa.binary())):
                 start, end, owner = split_words(data, offsets)
                 if len(start) < window:
                     continue
-                least, whole, _ = window_minima(inner_hash.words(data, start, end), owner, inner_hash, window, anchor)
+                words = hasher.words(data, start, end)
+                least, whole, _ = window_minima(words, owner, hasher, window, anchor)
                 bounds = np.searchsorted(owner, np.arange(len(offsets)), side="left")
                 take, hot = np.zeros(len(least), bool), np.zeros(len(least), bool)
                 for k in range(len(offsets) - 1):
@@ -253,94 +191,231 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, window: int, anchor: int)
                             hot[a:b] = np.isin(least[a:b].view(np.int64), hot_ones[first + k].values.to_numpy())
                 at = np.flatnonzero(take & whole)
                 if len(at):
-                    verify = whole_hash.runs(whole_hash.words(data, start, end), window)[at]
-                    found.append((least[at], verify, own[first + owner[at]], at - bounds[owner[at]], hot[at]))
+                    text = owner[at]
+                    found.append((least[at], hasher.runs(words, window)[at], own[first + text], at - bounds[text], start[at] - offsets[text], end[at + window - 1] - offsets[text], hot[at]))
             if not found:
                 continue
-            fp, verify, doc, start, hot = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, doc, verify, fp))
-            fp, verify, doc, start, hot = fp[order], verify[order], doc[order], start[order], hot[order]
-            new = np.r_[True, (fp[1:] != fp[:-1]) | (verify[1:] != verify[:-1])]
+            fp, sign, doc, start, low, high, hot = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((start, doc, sign, fp))
+            fp, sign, doc, start, low, high, hot = (x[order] for x in (fp, sign, doc, start, low, high, hot))
+            new = np.r_[True, (fp[1:] != fp[:-1]) | (sign[1:] != sign[:-1])]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            again = (doc != doc[lead]) | (start != start[lead])
-            later = np.lexsort((start[again], doc[again]))
-            later_doc, later_start = doc[again][later], start[again][later]
-            heads, counts = spans(later_doc, later_start)
-            by_place = np.flatnonzero(new)[np.lexsort((start[new], doc[new]))]
-            fp, verify, doc, start, hot = fp[by_place], verify[by_place], doc[by_place], start[by_place], hot[by_place]
-            runs = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (fp[1:] != fp[:-1]) | hot[1:]])
-            placed = ids[np.r_[doc[runs], later_doc[heads]]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[fp[runs].view(np.int64), later_doc[heads]]),
-                    pa.array(np.r_[np.where(hot[runs], verify[runs].view(np.int64), 0), np.zeros(len(heads), np.int64)]),
-                    pa.array(placed["doc_id"].copy()),
-                    pa.array(placed["key"].copy()),
-                    pa.array(np.r_[start[runs], later_start[heads]].astype(np.int32)),
-                    pa.array(np.r_[np.zeros(len(runs), np.int32), counts.astype(np.int32)]),
-                    pa.ListArray.from_arrays(np.r_[runs, np.full(len(heads) + 1, len(fp))].astype(np.int32), verify.view(np.int64)),
-                ],
-                names=["fp", "part", "doc_id", "key", "start", "count", "verify"],
-            )
-
-    found = docs.join(hits, "key").mapInArrow(run, "fp bigint, part bigint, doc_id bigint, key bigint, start int, count int, verify array<bigint>")
-    # One exchange by (fingerprint, part) serves the window functions over the verification too.
-    windows = found.repartition("fp", "part").select("fp", "part", "doc_id", "key", "start", "count", F.posexplode_outer("verify").alias("at", "verify"))
-    windows = windows.withColumn("start", F.col("start") + F.coalesce("at", F.lit(0)))
-    place = F.rank().over(Window.partitionBy("fp", "part", "verify").orderBy("doc_id", "key", "start"))
-    settled = windows.withColumn("place", place).where("count > 0 or place > 1")
-    mark = F.shiftleft(F.col("start").cast("bigint"), 32).bitwiseOR(F.greatest("count", F.lit(1)).cast("bigint"))
-    return settled.groupBy("doc_id", "key").agg(F.collect_list(mark).alias("marks"))
-
-
-def shared_fingerprints(docs: DataFrame, batches: int, window: int, anchor: int, hot: int = HOT) -> DataFrame:
-    """(key, fps, hot_fps): documents with the fingerprints they share, found batch by batch in id order."""
-    spark = docs.sparkSession
-    edges = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
-    scanned = store(scan(docs, sorted(set(edges)), window, anchor), "scanned", ["batch"])
-    index = FingerprintIndex(spark, hot=hot)
-    for b in range(len(set(edges)) + 1):
-        index.add(scanned.where(F.col("batch") == b).select("fp", "n"))
-    many = store(index.shared(), "shared-fingerprints")
-    index.drop()
-    free_shuffles(spark)
-    # They grow with the documents, so they are never broadcast.
-    return store(scanned.join(many.hint("merge"), "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot_fps")), "hits")
 
+            # Windows like an earlier one of the batch, in runs that have their likes in a run too.
+            later = np.flatnonzero((doc != doc[lead]) | (start != start[lead]))
+            later = later[np.lexsort((start[later], doc[later]))]
+            like = lead[later]
+            near = lambda x, step: x[1:] == x[:-1] + step
+            out: list[tuple] = []
+            begin, close = runs_of(near(doc[later], 0), near(start[later], 1), near(doc[like], 0), near(start[like], 1)) if len(later) else (later, later)
+            for a, b in zip(begin.tolist(), close.tolist(), strict=True):
+                i, j, p, q = later[a], later[b - 1], like[a], like[b - 1]
+                name = ids[doc[i]]
+                if text_of[doc[i]][low[i] : high[j]] == text_of[doc[p]][low[p] : high[q]]:
+                    if is_new:
+                        out.append((int(name["key"]), 0, seq, int(name["doc_id"]), int(name["key"]), int(start[i]), b - a, None))
+                    continue
+                for k in range(a, b):  # equal hashes of unequal words: these windows are settled later
+                    new[later[k]] = True
 
-def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = 4, hot: int = HOT, with_text: bool = False
-) -> DataFrame:
-    """One row per row of ``docs``: what is left of its words without repeated windows.
+            by_place = np.flatnonzero(new)
+            by_place = by_place[np.lexsort((start[by_place], doc[by_place]))]
+            fp, doc, start, low, high, hot = (x[by_place] for x in (fp, doc, start, low, high, hot))
+            begin, close = runs_of(near(doc, 0), near(start, 1), near(fp, 0), ~hot[1:])
+            names = ids[doc[begin]]
+            for a, b, fp_, doc_id, key in zip(begin.tolist(), close.tolist(), fp[begin].view(np.int64).tolist(), names["doc_id"].tolist(), names["key"].tolist(), strict=True):
+                words = text_of[doc[a]][low[a] : high[b - 1]]
+                part = xxhash.xxh3_64_intdigest(words) >> 1 if hot[a] else 0
+                out.append((fp_, part, seq, doc_id, key, int(start[a]), b - a, words))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
 
-    A word goes if a window of ``window`` words covers it whose word sequence also starts earlier,
-    in a smaller id or before in the same text. Words are runs of anything but ASCII white space.
-    Null and empty texts have no words and shorter ones no window. The ids order the documents,
-    null ids come first. Rows alike in id and text are one document; different texts of one id, or
-    of none, are documents of their own, in the order of the hashes of id and text.
+    # The text stays where its bucket is; the hits of a bucket fit in memory beside it.
+    return texts.join(hits.hint("shuffle_hash"), "key").mapInArrow(run, FOUND)
 
-    Full windows are found through the ``anchor``-word windows inside: each full window selects the
-    inner one of least fingerprint, so equal windows select equal ones. Batches of documents, in
-    id order, are merge-joined with the index of these; see :class:`FingerprintIndex`. Returns id,
-    n_words, n_removed, kept_sha256 and, on demand, kept_text.
+
+def settle(found: DataFrame, seq: int, window: int) -> DataFrame:
+    """(doc_id, key, mark): the windows of batch ``seq`` that also start earlier, as start << 32 | count.
+
+    The windows of a fingerprint meet in one task in their order and are compared by their words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen = None, {}
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for fp, part, seq_, doc_id, key, start, count, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if words is None:
+                    out.append((doc_id, key, start << 32 | count))
+                    continue
+                if (fp, part) != group:
+                    group, seen = (fp, part), {}
+                parts = words.split(b" ") if count > 1 else None
+                since = None
+                for k in range(count):
+                    here = (seq_, doc_id, key, start + k)
+                    first = seen.setdefault(words if parts is None else b" ".join(parts[k : k + window]), here)
+                    again = seq_ == seq and first != here
+                    if again and since is None:
+                        since = k
+                    elif not again and since is not None:
+                        out.append((doc_id, key, start + since << 32 | k - since))
+                        since = None
+                if since is not None:
+                    out.append((doc_id, key, start + since << 32 | count - since))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "key", "mark"])
+
+    ordered = found.repartition("fp", "part").sortWithinPartitions("fp", "part", "seq", "doc_id", "key", "start")
+    return ordered.mapInArrow(run, "doc_id bigint, key bigint, mark bigint")
+
+
+class SubstringIndex:
+    """The texts seen so far and sorted immutable runs of their windows' fingerprints, in a shared folder.
+
+    A batch's texts are written once, bucketed by their key, and its fingerprints as a run (fp, n),
+    bucketed and sorted by fingerprint. The batch is merge-joined with all runs without moving
+    them; what shares a fingerprint is verified word by word, and when ``fanout`` runs have gathered
+    they are compacted into one. What a batch added is entered in a new manifest, as the last step,
+    so a failed batch leaves the index as it was. ``folder`` may be one that an earlier run has left,
+    whatever its session was. Batches come one after the other.
     """
-    source = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    ).withColumn("key", F.xxhash64("doc_id", "text"))
-    marks = store(repeated_windows(source, shared_fingerprints(source, batches, window, anchor, hot), window, anchor), "marks")
-    free_shuffles(docs.sparkSession)
 
+    def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = 4, hot: int = HOT):
+        self.spark, self.folder, self.fanout, self.hot = spark, folder.rstrip("/"), fanout, hot
+        self.window, self.anchor = window, anchor
+        #: Of each kind the tables: (name, path, columns, key, buckets, batch).
+        self.held: list[tuple] = []
+        self.seq, self.version = 0, 0
+        self._open()
+
+    def _open(self) -> None:
+        jvm, where = self.spark._jvm, f"{self.folder}/manifests"
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return
+        done = [f.getPath().getName() for f in files.listStatus(path)]
+        versions = [int(v) for v in done if files.exists(jvm.org.apache.hadoop.fs.Path(f"{where}/{v}/_SUCCESS"))]
+        if not versions:
+            return
+        self.version = max(versions)
+        rows = self.spark.read.json(f"{where}/{self.version}").collect()
+        self.held = [(r["kind"], r["name"], r["path"], r["columns"], r["key"], r["buckets"], r["batch"]) for r in rows if r["kind"] != "settings"]
+        settings = next(r for r in rows if r["kind"] == "settings")
+        self.seq, self.window, self.anchor = settings["batch"], settings["buckets"], int(settings["columns"])
+        for kind, name, path, columns, key, buckets, _ in self.held:
+            if kind != "scanned" and not self.spark.catalog.tableExists(name):
+                self.spark.sql(f"create table {name} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {buckets} buckets location '{path}'")
+
+    def _commit(self, held: list[tuple], seq: int) -> None:
+        rows = [*held, ("settings", "", "", str(self.anchor), "", self.window, seq)]
+        named = self.spark.createDataFrame(rows, "kind string, name string, path string, columns string, key string, buckets int, batch int")
+        named.coalesce(1).write.json(f"{self.folder}/manifests/{self.version + 1}")
+        self.held, self.seq, self.version = held, seq, self.version + 1
+
+    def _write(self, kind: str, df: DataFrame, key: str, buckets: int, batch: int) -> tuple:
+        name = f"{kind}_{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}"
+        if kind == "scanned":
+            df.write.option("compression", "zstd").parquet(path)
+        else:
+            df.write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+        return kind, name, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), key, buckets, batch
+
+    def _read(self, table: tuple) -> DataFrame:
+        return self.spark.read.schema(table[3]).parquet(table[2]) if table[0] == "scanned" else self.spark.table(table[1])
+
+    def _of(self, kind: str, held: list[tuple] | None = None) -> list[tuple]:
+        return [t for t in (self.held if held is None else held) if t[0] == kind]
+
+    def _erase(self, tables: list[tuple]) -> None:
+        for kind, name, path, *_ in tables:
+            if kind != "scanned":
+                self.spark.sql(f"drop table if exists {name}")
+            drop_table(self.spark, path)
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Take a batch of (doc_id, key, text): its texts as stored, and (key, marks) of their repeated windows.
+
+        A window repeats if it starts earlier in the batch, or anywhere in an earlier one.
+        """
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int((docs.agg(F.sum(F.length("text"))).first()[0] or 0) >> 28))
+        wrote: list[tuple] = []
+        try:
+            wrote.append(self._write("texts", docs.repartition(buckets, "key"), "key", buckets, self.seq))
+            texts = self._read(wrote[0])
+            wrote.append(self._write("scanned", scan(texts, self.window, self.anchor), "", 0, self.seq))
+            runs = self._of("run")
+            run_buckets = runs[-1][5] if runs else buckets
+            fresh = self._read(wrote[1]).groupBy("fp").agg(F.sum("n").alias("n"))
+            wrote.append(self._write("run", fresh.repartition(run_buckets, "fp"), "fp", run_buckets, self.seq))
+            shared = self._read(wrote[2])
+            for k, run in enumerate(runs):
+                shared = shared.join(self._read(run).withColumnRenamed("n", f"n{k}").hint("merge"), "fp", "left")
+            total = F.col("n")
+            for k in range(len(runs)):
+                total = total + F.coalesce(f"n{k}", F.lit(0))
+            shared = store(shared.select("fp", total.alias("n")).where("n > 1").select("fp", (F.col("n") >= self.hot).alias("hot")), "shared-fingerprints")
+            found = None
+            for table in [*self._of("texts"), wrote[0]]:
+                batch = table[6]
+                scanned = next(t for t in [*self._of("scanned"), wrote[1]] if t[6] == batch)
+                # Shared fingerprints grow with the documents, so they are never broadcast.
+                hits = self._read(scanned).join(shared.hint("merge"), "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot_fps"))
+                rows = repeated_windows(self._read(table), hits, batch, batch == self.seq, self.window, self.anchor)
+                found = rows if found is None else found.unionByName(rows)
+            marks = settle(found, self.seq, self.window).groupBy("key").agg(F.collect_list(F.struct("doc_id", "mark")).alias("marks"))
+            marks = store(marks, "marks")
+            self._commit([*self.held, *wrote], self.seq + 1)
+        except BaseException:
+            self._erase(wrote)
+            raise
+        if len(self._of("run")) >= self.fanout:
+            self.compact()
+        return texts, marks
+
+    def compact(self) -> None:
+        """Merge all runs into one."""
+        old = self._of("run")
+        if len(old) > 1:
+            merged = self._read(old[0])
+            for run in old[1:]:
+                merged = merged.unionByName(self._read(run))
+            buckets = max(t[5] for t in old)
+            new = self._write("run", merged.groupBy("fp").agg(F.sum("n").alias("n")).repartition(buckets, "fp"), "fp", buckets, old[-1][6])
+            self._commit([*(t for t in self.held if t[0] != "run"), new], self.seq)
+            self._erase(old)
+
+    def remove_repeats(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+        """Take a batch of documents and tell what is left of each; see :func:`remove_repeats`."""
+        texts, marks = self.add(keyed(docs, id_col, text_col))
+        return kept_words(texts, marks, self.window, id_col, with_text)
+
+    def forget_runs(self) -> None:
+        """Delete all but the texts, which results may still read."""
+        self._erase([t for t in self.held if t[0] != "texts"])
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+    ).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
+def kept_words(texts: DataFrame, marks: DataFrame, window: int, id_col: str, with_text: bool) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[tuple] = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
                 words = text.split()
                 n = len(words)
                 if found:
                     gone = np.zeros(n + 1, np.int64)
                     for m in found:
-                        gone[m >> 32] += 1
-                        gone[(m >> 32) + (m & 0xFFFFFFFF) - 1 + window] -= 1
+                        if m["doc_id"] == doc_id:
+                            start, count = m["mark"] >> 32, m["mark"] & 0xFFFFFFFF
+                            gone[start] += 1
+                            gone[start + count - 1 + window] -= 1
                     words = [w for w, g in zip(words, np.cumsum(gone).tolist(), strict=False) if not g]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
@@ -349,6 +424,42 @@ def remove_repeats(
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    done = source.join(marks, ["doc_id", "key"], "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
-    done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63)))).withColumnRenamed("doc_id", id_col)
+    done = texts.join(marks.hint("shuffle_hash"), "key", "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).withColumnRenamed("doc_id", id_col)
     return done if with_text else done.drop("kept_text")
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = 2, hot: int = HOT, with_text: bool = False
+) -> DataFrame:
+    """One row per row of ``docs``: what is left of its words without repeated windows.
+
+    A word goes if a window of ``window`` words covers it whose word sequence also starts earlier,
+    in a smaller id or before in the same text. Words are runs of anything but ASCII white space.
+    Null and empty texts have no words and shorter ones no window. The ids order the documents,
+    null ids come first (as does the least long, which counts as null). Rows alike in id and text
+    are one document; different texts of one id, or of none, are documents of their own, in the
+    order of the hashes of id and text. Columns other than the two do not matter; an empty table
+    gives no rows.
+
+    Full windows are found through the ``anchor``-word windows inside: each full window selects the
+    inner one of least fingerprint, so equal windows select equal ones. The documents enter a
+    :class:`SubstringIndex` of their own in ``batches``, in the order of their ids; to go on with an
+    index that stays, call its :meth:`~SubstringIndex.remove_repeats`. Returns id, n_words,
+    n_removed, kept_sha256 and, on demand, kept_text.
+    """
+    spark = docs.sparkSession
+    index = SubstringIndex(spark, f"{shared_dir(spark)}/tidemark/substrings-{uuid.uuid4().hex}", window, anchor, hot=hot)
+    WRITTEN.append(index.folder)
+    source = keyed(docs, id_col, text_col)
+    edges = sorted(set(source.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
+    done = None
+    try:
+        for low, high in zip([None, *edges], [*edges, None], strict=True):
+            slice_ = source if low is None else source.where(F.col("doc_id") > low)
+            part = kept_words(*index.add(slice_ if high is None else slice_.where(F.col("doc_id") <= high)), window, id_col, with_text)
+            done = part if done is None else done.unionByName(part)
+    finally:
+        NAMED.extend(t[1] for t in index._of("texts"))
+        index.forget_runs()
+    return done
