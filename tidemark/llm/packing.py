@@ -24,7 +24,8 @@ class Encoder:
     """Ids of texts under a byte-level BPE, as the ``tokenizers`` library gives them.
 
     ``tiktoken`` does the work where all characters belong to blocks on which the two libraries'
-    character classes cannot differ; other texts go to ``tokenizers`` itself.
+    character classes cannot differ; other texts, and those that hold the string of a special
+    token, go to ``tokenizers`` itself.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -37,11 +38,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_path)
-        self.exact.encode_special_tokens = True
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile("[^\t\n\r -~¡-ȳΑ-ΡΣ-ϿА-я‐-‧€]").search
+        special = [re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join(["[^\t\n\r -~¡-ȳΑ-ΡΣ-ϿА-я‐-‧€]", *special])).search
 
     def __call__(self, text: str) -> list[int]:
         if self.odd(text):
@@ -303,12 +304,14 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it lies in which sequence of at most ``capacity`` tokens.
 
-    A document's ids end with id 2; null counts as empty. Documents longer than ``capacity`` are cut
-    into full pieces behind a first one that takes the rest. Packing needs the lengths only: their
-    histogram has at most ``capacity`` entries, whatever the number of documents, so the driver
-    searches over it and gets a plan of that order. Pieces of a length are numbered without gaps
-    (repeated rows are pieces of their own) and the number tells sequence and offset. ``paths``
-    names the tokenizer's files: json_path, ranks_path, pattern.
+    A document's ids end with id 2; null and empty texts are that id alone. Documents longer than
+    ``capacity``, however long, are cut into full pieces behind a first one that takes the rest.
+    Packing needs the lengths only: their histogram has at most ``capacity`` entries, whatever the
+    number of documents, so the driver searches over it and gets a plan of that order. Pieces of a
+    length are numbered without gaps (repeated rows are pieces of their own, those alike in id,
+    piece and ids in any order among themselves) and the number tells sequence and offset. Null
+    ids stay null, no other column is read, so names never clash, and an empty table gives no
+    rows. ``paths`` names the tokenizer's files: json_path, ranks_path, pattern.
     """
     spark = docs.sparkSession
     pieces = store(token_pieces(docs, paths, capacity, id_col, text_col), "pieces")
@@ -323,7 +326,7 @@ def pack(
             offset += m * n
         sequence += times
     table = spark.createDataFrame(plan, "_length bigint, _from bigint, _to bigint, _m bigint, _sequence bigint, _offset bigint")
-    ranked = gapless_rank(pieces, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_rank", buckets=64)
+    ranked = gapless_rank(pieces, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_rank")
     at = F.col("_rank") - F.col("_from")
     return ranked.join(
         F.broadcast(table), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
