@@ -236,14 +236,29 @@ def test_exact_dedup_on_awkward_rows(odd, none):
 
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = 3
-    for block in range(8):
-        mine = prints[(prints >> np.uint64(61)) == block]
-        parts = [exact_dedup.CountingQuotientFilter.unpack(bits, *exact_dedup.CountingQuotientFilter.build(block, bits, p).pack()) for p in np.array_split(mine, 3)]
-        whole = parts[0].merge(parts[1]).merge(parts[2])
-        values, counts = np.unique(mine, return_counts=True)
-        assert (whole.fingerprints() == values).all() and (whole.counts == counts).all()
+    build, unpack = exact_dedup.CountingQuotientFilter.build, exact_dedup.CountingQuotientFilter.unpack
+    for bits, kinds, n in ((3, 50, 400), (0, 3, 9), (20, 10**6, 5000), (1, 10**9, 200_000)):
+        prints = rng.integers(0, kinds, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        blocks = prints >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
+        for block in np.unique(blocks)[:8].tolist():
+            mine = prints[blocks == block]
+            parts = [unpack(bits, *build(block, bits, p).pack()) for p in np.array_split(mine, 3)]
+            got, counts = unpack(bits, *exact_dedup.CountingQuotientFilter.merge(parts).pack()).entries()
+            want, want_counts = np.unique(mine, return_counts=True)
+            assert (got == want).all() and (counts == want_counts).all()
+    # About eleven bits fewer than a word of the fingerprint for 200,000 entries, with all the rest.
+    whole = build(0, 0, rng.integers(0, 1 << 63, 200_000).astype(np.uint64) * np.uint64(2))
+    assert sum(map(len, whole.pack()[2:])) < 200_000 * 51 / 8
+
+
+def test_merging_reads_each_filter_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    filters = exact_dedup.CountingQuotientFilter
+    parts = [filters.build(0, 0, rng.integers(0, 10**6, 50).astype(np.uint64) << np.uint64(40)) for _ in range(1000)]
+    read, entries = [], filters.entries
+    monkeypatch.setattr(filters, "entries", lambda self: (read.append(self.size), entries(self))[1])
+    whole = filters.merge(parts)
+    assert len(read) == 1000 and entries(whole)[1].sum() == 50_000
 
 
 # 4 packing
@@ -255,7 +270,6 @@ def exact_encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -303,7 +317,9 @@ def test_fast_encoder_gives_the_same_ids(exact_encode, rows):
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [t or "" for _, t, *_ in rows]
     for part in (alphabet[:40], alphabet):
         texts += ["".join(rng.choice(part) for _ in range(12)) for _ in range(1000)]
+    texts += ["hello <|endoftext|> x", "<|endoftext|>", "<|endoftext|", "a<|endoftext|>b<|endoftext|>"]
     assert all(encode(t) == exact_encode(t) for t in texts)
+    assert encode("hello <|endoftext|> x") == [31373, 220, 50256, 2124]
 
 
 def test_bins_are_whole_and_few():
@@ -331,11 +347,14 @@ def test_search_finds_and_proves_the_fewest_bins():
         return min([*placed, fewest(items[1:], capacity, (*rooms, capacity - items[0]))])
 
     rng = random.Random(13)
-    for _ in range(40):
-        items = sorted((rng.randint(6, 32) for _ in range(8)), reverse=True)
+    assert sum(t for t, _ in packing.pack_histogram({n: 1 for n in (4, 6, 9, 11, 12, 13, 14, 20)}, 30)) == 3
+    for k in range(500):
+        low, high = ((6, 32), (3, 20), (12, 26), (1, 50))[k % 4]
+        items = sorted((rng.randint(low, high) for _ in range(8)), reverse=True)
         counts = {n: items.count(n) for n in items}
         plan, proven = packing.branch_and_bound(counts, 50, packing.best_fit(counts, 50), packing.fewest(counts, 50), 10**6)
-        assert proven and sum(t for t, _ in plan) == fewest(items, 50)
+        best = fewest(items, 50)
+        assert proven and sum(t for t, _ in plan) == best == sum(t for t, _ in packing.pack_histogram(counts, 50))
 
 
 def test_best_fit_leaves_the_least_room():

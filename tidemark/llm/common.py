@@ -73,14 +73,22 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def whole_row(docs: DataFrame) -> Column:
-    """All columns of a row as one, so that added columns never clash with its own; see :func:`one_each`."""
+    """All columns of a row as one, so that added columns never clash with its own; see :func:`keep_rows`."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
 
 
-def one_each(keyed: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows (``_row``, ``_key``) whose key is among ``kept``, one for each key, as they were."""
+def keep_rows(keyed: DataFrame, contested: DataFrame) -> DataFrame:
+    """Rows (``_row``, ``_key``) as they were: all whose key is not contested, and one for each contested key that is ``kept``.
+
+    ``contested`` is a stored table (_key, kept). While it is small enough to be broadcast, only
+    the rows of its kept keys are moved.
+    """
+    small = contested.count() * 128 <= BROADCAST_BYTES
+    sent = F.broadcast if small else lambda df: df.hint("merge")
     one = Window.partitionBy("_key").orderBy(F.xxhash64("_row"))
-    return keyed.join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
+    fought = keyed.join(sent(contested.where("kept").select("_key")), "_key", "left_semi")
+    fought = fought.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
+    return keyed.join(sent(contested.select("_key")), "_key", "left_anti").select("_row.*").unionByName(fought)
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, part: int = 1000) -> DataFrame:

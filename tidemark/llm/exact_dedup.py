@@ -11,60 +11,89 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_each, store, whole_row
+from .common import BROADCAST_BYTES, keep_rows, store, whole_row, with_groups
 
-QUOTIENT_BITS = 12
 #: Fingerprints that a task gathers before it emits its filter; filters merge without loss.
 FLUSH = 1 << 20
-#: Repeated fingerprints up to this many bytes are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Remainders that are packed at a time.
+PACKED = 1 << 16
 
-FILTER_SCHEMA = "block int, quotients binary, runs binary, remainders binary, counts binary"
+FILTER_SCHEMA = "block int, size int, quotients binary, remainders binary, repeated binary, counts binary"
 
 
 class CountingQuotientFilter:
     """A multiset of 64-bit fingerprints that share their top ``block_bits``.
 
-    Of what is left of a fingerprint the top bits are its quotient and the others its remainder.
-    A quotient's remainders form one sorted run; each has a count. The filter keeps whole
-    fingerprints, so merging two of them by their sorted remainders loses nothing.
+    Of what is left of a fingerprint the top bits are its quotient, about as many as the logarithm
+    of the entries, and the others its remainder. A quotient's remainders form one sorted run. The
+    filter holds the runs' lengths in unary (a one for each entry, a zero after each quotient),
+    the remainders in just their bits, one bit per entry that tells whether its count is above
+    one, and the counts of those. That is the remainder and about three bits for an entry, from
+    which the fingerprint can be told whole, so merging filters loses nothing.
     """
 
-    def __init__(self, block: int, block_bits: int, quotients, runs, remainders, counts):
-        self.block, self.block_bits = block, block_bits
-        self.quotients, self.runs, self.remainders, self.counts = quotients, runs, remainders, counts
+    def __init__(self, block: int, block_bits: int, prints: np.ndarray, counts: np.ndarray):
+        """``prints`` are sorted and distinct."""
+        self.block, self.block_bits, self.size = block, block_bits, len(prints)
+        low, q = self._geometry()
+        quotient = (prints >> np.uint64(low)).astype(np.int64) & ((1 << q) - 1)
+        unary = np.zeros(self.size + (1 << q), bool)
+        unary[np.arange(self.size) + quotient] = True
+        self.quotients = np.packbits(unary).tobytes()
+        parts = [np.unpackbits(prints[i : i + PACKED].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low :].ravel() for i in range(0, self.size, PACKED)]
+        self.remainders = np.packbits(np.concatenate(parts) if parts else np.zeros(0, bool)).tobytes()
+        self.repeated = np.packbits(counts > 1).tobytes()
+        self.counts = counts[counts > 1].astype(np.int64).tobytes()
+
+    def _geometry(self) -> tuple[int, int]:
+        """Bits of a remainder and of a quotient."""
+        q = min(max(1, self.size.bit_length() - 1), 63 - self.block_bits)
+        return 64 - self.block_bits - q, q
 
     @classmethod
-    def build(cls, block: int, block_bits: int, prints: np.ndarray, counts: np.ndarray | None = None):
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        counts = np.ones(len(prints), np.int64) if counts is None else counts[order]
-        first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]]) if len(prints) else np.zeros(0, np.int64)
-        prints, counts = prints[first], np.add.reduceat(counts, first) if len(first) else counts
-        low = np.uint64(64 - block_bits - QUOTIENT_BITS)
-        quotient = ((prints << np.uint64(block_bits)) >> np.uint64(64 - QUOTIENT_BITS)).astype(np.uint16)
-        starts = np.flatnonzero(np.r_[True, quotient[1:] != quotient[:-1]]) if len(prints) else np.zeros(0, np.int64)
-        runs = np.diff(np.r_[starts, len(prints)]).astype(np.uint32)
-        return cls(block, block_bits, quotient[starts], runs, prints & ((np.uint64(1) << low) - np.uint64(1)), counts)
-
-    def fingerprints(self) -> np.ndarray:
-        low = np.uint64(64 - self.block_bits - QUOTIENT_BITS)
-        quotient = np.repeat(self.quotients.astype(np.uint64), self.runs)
+    def build(cls, block: int, block_bits: int, prints: np.ndarray):
+        return cls(block, block_bits, *np.unique(prints, return_counts=True))
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprints in their order, and their counts."""
+        low, q = self._geometry()
+        unary = np.unpackbits(np.frombuffer(self.quotients, np.uint8), count=self.size + (1 << q))
+        quotient = (np.flatnonzero(unary) - np.arange(self.size)).astype(np.uint64)
+        packed, parts = np.frombuffer(self.remainders, np.uint8), []
+        for i in range(0, self.size, PACKED):  # PACKED remainders end at a byte
+            n = min(PACKED, self.size - i)
+            bits = np.unpackbits(packed[i * low // 8 :], count=n * low).reshape(n, low)
+            wide = np.zeros((n, 64), np.uint8)
+            wide[:, 64 - low :] = bits
+            parts.append(np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64))
+        remainder = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         top = np.uint64(self.block) << np.uint64(64 - self.block_bits) if self.block_bits else np.uint64(0)
-        return top | (quotient << low) | self.remainders
+        counts = np.ones(self.size, np.int64)
+        counts[np.unpackbits(np.frombuffer(self.repeated, np.uint8), count=self.size).astype(bool)] = np.frombuffer(self.counts, np.int64)
+        return top | (quotient << np.uint64(low)) | remainder, counts
+
+    @classmethod
+    def merge(cls, parts: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """One filter of what ``parts``, all of one block, hold together.
 
-    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        return CountingQuotientFilter.build(
-            self.block, self.block_bits, np.r_[self.fingerprints(), other.fingerprints()], np.r_[self.counts, other.counts]
-        )
+        Each part is read once, in the order of its quotients and sorted remainders. The stable
+        sort of these sorted runs is a merge of them, and entries that meet add their counts.
+        """
+        prints, counts = (np.concatenate(x) for x in zip(*(p.entries() for p in parts), strict=True))
+        order = np.argsort(prints, kind="stable")
+        prints, counts = prints[order], counts[order]
+        first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])[: len(prints)]
+        return cls(parts[0].block, parts[0].block_bits, prints[first], np.add.reduceat(counts, first) if len(first) else counts)
 
     def pack(self) -> tuple:
-        return (self.block, *(x.tobytes() for x in (self.quotients, self.runs, self.remainders, self.counts)))
+        return self.block, self.size, self.quotients, self.remainders, self.repeated, self.counts
 
     @classmethod
-    def unpack(cls, block_bits: int, block, quotients, runs, remainders, counts):
-        kinds = ((quotients, np.uint16), (runs, np.uint32), (remainders, np.uint64), (counts, np.int64))
-        return cls(block, block_bits, *(np.frombuffer(x, k) for x, k in kinds))
+    def unpack(cls, block_bits: int, block: int, size: int, *held: bytes):
+        out = cls.__new__(cls)
+        out.block, out.block_bits, out.size = block, block_bits, size
+        out.quotients, out.remainders, out.repeated, out.counts = held
+        return out
 
 
 def normalise(column):
@@ -94,10 +123,8 @@ def _filters(block_bits: int):
         order = np.argsort(blocks, kind="stable")
         cuts = np.flatnonzero(np.diff(blocks[order])) + 1
         parts = [CountingQuotientFilter.build(int(blocks[i[0]]), block_bits, prints[i]).pack() for i in np.split(order, cuts)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p[0] for p in parts], pa.int32()), *(pa.array([p[k] for p in parts], pa.binary()) for k in range(1, 5))],
-            names=["block", "quotients", "runs", "remainders", "counts"],
-        )
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=[f.split()[0] for f in FILTER_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, n = [], 0
@@ -116,12 +143,9 @@ def _filters(block_bits: int):
 
 def _repeated(block_bits: int):
     def run(table: pa.Table) -> pa.Table:
-        merged = None
-        for row in table.to_pylist():
-            part = CountingQuotientFilter.unpack(block_bits, *(row[k] for k in ("block", "quotients", "runs", "remainders", "counts")))
-            merged = part if merged is None else merged.merge(part)
-        many = merged.counts > 1
-        return pa.table({"print": pa.array(merged.fingerprints()[many].view(np.int64)), "count": pa.array(merged.counts[many])})
+        parts = [CountingQuotientFilter.unpack(block_bits, *row.values()) for row in table.to_pylist()]
+        prints, counts = CountingQuotientFilter.merge(parts).entries()
+        return pa.table({"print": pa.array(prints[counts > 1].view(np.int64)), "count": pa.array(counts[counts > 1])})
 
     return run
 
@@ -153,7 +177,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("print", F.sha2("text", 256).alias("sha"), "keep_id", "group_size")
     )
-    return digests.join(groups, ["print", "sha"], "left").select(
+    return with_groups(digests, store(groups, "exact-groups"), ["print", "sha"], "group_size").select(
         F.col("doc_id").alias(id_col),
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
@@ -163,8 +187,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows repeated with their id stay once."""
-    key = lambda id_, sha: F.concat_ws(":", sha, F.col(id_).cast("string"))
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(key(id_col, F.col("text_sha256")).alias("_key")).distinct()
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of equal texts (null and empty ones are equal) the row with the largest id stays; rows repeated
+    with their id stay once, the one of least row hash where other columns differ. A group without
+    ids keeps one row too. Rows whose text is not repeated are not moved. An empty table gives no rows.
+    """
+    key = lambda id_, sha: F.concat_ws(":", sha, F.col(id_).cast("string")).alias("_key")
+    groups = exact_groups(docs, id_col, text_col).where("group_size > 1")
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return one_each(docs.select(whole_row(docs), key(id_col, F.sha2(lower, 256)).alias("_key")), kept)
+    contested = store(groups.select(key(id_col, F.col("text_sha256")), "kept").distinct(), "contested")
+    return keep_rows(docs.select(whole_row(docs), key(id_col, F.sha2(lower, 256))), contested)

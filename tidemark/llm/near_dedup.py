@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_each, store, whole_row
+from .common import keep_rows, store, whole_row, with_groups
 
 WORDS = 3
 RADIUS = 2
@@ -166,14 +166,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: the one of least id.
+    """One row of ``docs`` for each component, with all its columns, whatever their names: the one of least id.
 
     Null ids come last, so such a row stays only where no row of its component has an id. Rows of
     one id, or of none, are told apart by a hash of the whole row; rows alike in all columns are one.
+    Null and empty texts form one component, with whatever fingerprint lies near zero. Rows that
+    are a component by themselves are not moved. An empty table gives no rows.
     """
     key = lambda doc_id, row: F.concat_ws(" ", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), row.cast("string")).alias("_key")
     table = store(fingerprints(docs, id_col, text_col), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    nodes = store(table.groupBy("fp").agg(first), "simhash-nodes")
-    kept = roots_of(nodes, DENSE).groupBy("root").agg(F.min("least").alias("least")).select(key(F.col("least.doc_id"), F.col("least.row")))
-    return one_each(docs.select(whole_row(docs), key(F.col(id_col), F.xxhash64(whole_row(docs)))), kept)
+    nodes = store(table.groupBy("fp").agg(first, F.count("*").alias("n")), "simhash-nodes")
+    linked = store(roots_of(nodes, DENSE), "simhash-roots")
+    groups = linked.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("size")).where("size > 1")
+    # A group's rows are found through its fingerprints; one that a third of the rows share is split.
+    members = store(linked.join(groups, "root").select("fp", "n", "first"), "simhash-groups")
+    rows = with_groups(table, members, ["fp"], "n").where("first is not null")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    contested = store(rows.select(key(F.col("doc_id"), F.col("row")), kept.alias("kept")).distinct(), "contested")
+    return keep_rows(docs.select(whole_row(docs), key(F.col(id_col), F.xxhash64(whole_row(docs)))), contested)
