@@ -3,121 +3,180 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
 
-#: Bound below which sums of products stay exact in double precision.
-EXACT = float(1 << 52)
+#: Bound below which doubles hold sums of products exactly.
+EXACT = float(1 << 53)
+#: The range of a score.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Just below the range's end, at which all larger scores tie.
+TIED = MOST * (1 - 1e-15)
 #: How much of the lists is read before each look at the bounds.
-DEPTHS = (0.2, 0.35, 0.5, 0.7)
-#: Rows of a block that are resolved instead of read on.
-RESOLVE = 64
+DEPTHS = (0.0, 0.5, 0.65, 0.8, 1.0)
+#: Outsiders this few are resolved instead of reading on.
+RESOLVE = 256
+#: Queries whose bounds are kept at a time.
+TOGETHER = 256
+#: Each round reads so many times the blocks of all before it.
+WIDER = 8
 
 
 class SortedLists:
-    """A block of vectors as one descending list of (value, row) per dimension."""
+    """A block of vectors as one descending list of (value, row) per dimension, read from either end."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        order = np.argsort(-vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, order, axis=0)
-        #: Where in each dimension's list a row stands.
-        self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.arange(len(vectors))[:, None], axis=0)
+        self.sorted = -np.sort(-vectors, axis=0)
+        self.largest = np.abs(vectors).max(axis=1, initial=0.0)
+        #: Entries that were read so far.
+        self.read = 0
 
-    def top(self, queries: np.ndarray, k: int, barred: np.ndarray, depths: tuple[float, ...] = DEPTHS, resolve: int = RESOLVE) -> list[np.ndarray]:
+    def reach(self, queries: np.ndarray, k: int, barred: np.ndarray, floor: np.ndarray, depths: tuple[float, ...] = DEPTHS, resolve: int = RESOLVE) -> list[np.ndarray]:
         """For each query the rows that may be among its ``k`` best, ties included; all others are provably below.
 
-        A query reads each list from the end that suits its weight's sign. The lists are read by
-        slices, for all queries at once: ``read`` marks the entries that reading from the top, or
-        from the bottom, has passed. A row's lower bound takes its unread components at the far end
-        of their lists, its upper bound at the place reached; rows not met yet have bounds like any
-        other. A query is done when few rows can still reach its k-th best lower bound. ``barred``
-        (rows, queries) are not candidates.
+        A query reads each list from the end that suits its weight's sign. A row's upper bound
+        takes the components that were read and, for the others, the value at which their list
+        stands; its lower bound takes the far end of those lists. ``floor`` is a score that the
+        k-th best is known to reach, -inf if none is; the k-th best lower bound raises it. Rows
+        whose upper bound is below are out. A query is done when few are left to be resolved, at
+        depth 0 if even the lists' first entries together stay below the floor. ``barred`` (rows,
+        queries) are not candidates. Bounds leave room for what doubles round.
         """
-        n = len(self.vectors)
-        out: list[np.ndarray] = [np.flatnonzero(~barred[:, j]) for j in range(len(queries))] if n <= resolve else [np.zeros(0, int)] * len(queries)
-        todo = np.arange(len(queries)) if n > resolve else np.zeros(0, int)
-        kept = min(k, n)
-        for depth in (*depths, 1.0):
-            if not len(todo):
-                break
-            end = max(1, min(n, int(np.ceil(n * depth))))
-            rising, falling = np.maximum(queries[todo], 0), np.minimum(queries[todo], 0)
-            from_top, from_bottom = self.place < end, self.place >= n - end
-            read = np.concatenate([np.where(from_top, self.vectors, 0.0), np.where(from_bottom, self.vectors, 0.0)], axis=1)
-            unread = np.concatenate([~from_top, ~from_bottom], axis=1).astype(float)
-            weights = np.concatenate([rising, falling], axis=1)
-            far = np.concatenate([self.sorted[-1], self.sorted[0]])
-            reached = np.concatenate([self.sorted[end - 1], self.sorted[n - end]])
-            low = read @ weights.T + unread @ (weights * far).T
-            high = low + unread @ (weights * (reached - far)).T
-            low[barred[:, todo]] = high[barred[:, todo]] = -np.inf
-            floor = np.partition(low, n - kept, axis=0)[n - kept]
-            able = (high >= floor) & ~barred[:, todo]
-            few = (able.sum(0) <= resolve) | (depth == 1.0)
-            for j in np.flatnonzero(few):
-                out[todo[j]] = np.flatnonzero(able[:, j])
-            todo = todo[~few]
-        return out
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048, query_rows: int = 512) -> DataFrame:
+        n, dims = self.vectors.shape
+        alive = ~barred
+        floor = floor.copy()
+        if n <= resolve:
+            return [np.flatnonzero(alive[:, j]) for j in range(len(queries))]
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        todo, before = np.arange(len(queries)), 0
+        size = np.abs(queries).max(axis=1, initial=0.0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for depth in depths:
+                end = int(np.ceil(n * depth))
+                self.read += len(todo) * dims * (end - before)
+                before = end
+                top, bottom = (self.sorted[end - 1], self.sorted[n - end]) if end else (self.sorted[0], self.sorted[-1])
+                if not end:
+                    high = up[todo] @ top + down[todo] @ bottom
+                    high = np.nan_to_num(high + size[todo] * self.largest.max() * dims * dims * 1e-15, nan=np.inf, posinf=np.inf)
+                    out = high < floor[todo]
+                    alive[:, todo[out]] = False
+                    todo = todo[~out]
+                    continue
+                rows = np.flatnonzero(alive[:, todo].any(axis=1))
+                x = self.vectors[rows]
+                room = np.outer(self.largest[rows], size[todo]) * (dims * dims * 1e-15)
+                if depth < 1.0 and (floor[todo] == -np.inf).any():
+                    low = np.where(x >= top, x, self.sorted[-1]) @ up[todo].T + np.where(x <= bottom, x, self.sorted[0]) @ down[todo].T - room
+                    low = np.where(alive[np.ix_(rows, todo)], np.nan_to_num(low, nan=-np.inf, neginf=-np.inf), -np.inf)
+                    if len(rows) >= k:
+                        floor[todo] = np.minimum(np.maximum(floor[todo], np.partition(low, len(rows) - k, axis=0)[len(rows) - k]), TIED)
+                high = np.nan_to_num(np.maximum(x, top) @ up[todo].T + np.minimum(x, bottom) @ down[todo].T + room, nan=np.inf, posinf=np.inf)
+                alive[np.ix_(rows, todo)] &= high >= floor[todo]
+                todo = todo[alive[:, todo].sum(axis=0) > resolve]
+                if not len(todo):
+                    break
+        return [np.flatnonzero(alive[:, j]) for j in range(len(queries))]
+
+
+def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products of integral doubles, kept within the range of a score."""
+    if not vectors.size:
+        return np.zeros(len(vectors), np.int64)
+    if float(np.abs(vectors).max()) * float(np.abs(query).max(initial=0.0)) * vectors.shape[1] < EXACT:
+        return (vectors @ query).astype(np.int64)
+    weights = [int(w) for w in query.tolist()]
+    return np.array([min(MOST, max(LEAST, sum(int(a) * b for a, b in zip(row, weights, strict=True) if a and b))) for row in vectors.tolist()], np.int64)
+
+
+def matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Lists as rows, shorter ones padded with zeros."""
+    held = column.combine_chunks()
+    offsets = held.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    out = np.zeros((len(held), dims))
+    row = np.repeat(np.arange(len(held)), lengths)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = held.values.to_numpy()[offsets[0] : offsets[-1]]
+    return out
+
+
+def block_best(held: pa.Table, wanted: pa.Table, k: int, resolve: int = RESOLVE) -> tuple[list[tuple[int, int, int]], int]:
+    """(query, id, score) of the rows of a block that may be among a query's ``k`` best, and the entries read."""
+    longest = [max(c.combine_chunks().value_lengths().to_pylist(), default=0) for c in (held.column("v"), wanted.column("v"))]
+    dims = max(longest)
+    x, q = matrix(held.column("v"), dims), matrix(wanted.column("v"), dims)
+    ids, query_ids = held.column("vec_id").to_numpy(), wanted.column("vec_id").to_numpy()
+    known = np.array([-np.inf if f is None else f for f in wanted.column("floor").to_pylist()], float)
+    known -= np.where(np.isinf(known), 0, np.abs(known) * 1e-15)
+    lists, out = SortedLists(x), []
+    for a in range(0, len(q), TOGETHER):
+        some = slice(a, a + TOGETHER)
+        able = lists.reach(q[some], k, ids[:, None] == query_ids[None, some], known[some], resolve=resolve)
+        for query_id, weights, rows in zip(query_ids[some].tolist(), q[some], able, strict=True):
+            found = scores(x[rows], weights)
+            best = np.lexsort((ids[rows], -found.astype(object) if len(found) and found.min() == LEAST else -found))[:k]
+            out.extend((query_id, int(ids[rows[i]]), int(found[i])) for i in best)
+    return out, lists.read
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
     """(query_id, rank, id, score): for each query its ``k`` largest inner products with other ids' vectors.
 
-    Both tables hold an id and an array of integral doubles; shorter vectors count as padded with
-    zeros. Ties go to the smaller id. Rows of the query's own id do not count; repeated ids are
-    candidates of their own. Each pair of a block of candidates and a block of queries is one
-    group, dealt by hash, so sizes are even and bounded; a group builds the block's sorted lists
-    once and runs every query over them. Scores are resolved exactly, with Python integers where
-    doubles could round.
+    Both tables hold an id and an array of integral doubles, as :func:`integral` gives them, and
+    perhaps other columns; shorter vectors count as padded with zeros. Ties go to the smaller id.
+    Rows of the query's own id do not count; repeated ids are candidates of their own, and a
+    repeated query is asked once. Scores outside the range of a long count as its end. Empty
+    tables give no rows.
+
+    Candidates are dealt into blocks by hash and visited in rounds, each of ``WIDER`` times the blocks
+    of those before. The k-th best score that the rounds so far have found is a query's floor in
+    the next one, so blocks stop reading early and a query's rows per round do not grow with the
+    blocks: what beats the best of an eighth of the candidates is about ``WIDER`` times k. Each pair
+    of a block of candidates and a block of queries is one group of bounded size.
     """
-    spark = vectors.sparkSession
-    candidates = store(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")), "candidates")
-    asked = store(queries.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")), "queries")
-    blocks = max(1, -(-candidates.count() // block_rows))
-    query_blocks = max(1, -(-asked.count() // query_rows))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = candidates.withColumn("cb", deal(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("qb", deal(query_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def matrix(column: pd.Series, dims: int) -> np.ndarray:
-        out = np.zeros((len(column), dims))
-        for i, v in enumerate(column):
-            out[i, : len(v)] = v
-        return out
-
-    def run(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        if held.empty or wanted.empty:
-            return empty
-        dims = max(map(len, [*held["v"], *wanted["v"]]))
-        x, q = matrix(held["v"], dims), matrix(wanted["v"], dims)
-        ids = held["vec_id"].to_numpy()
-        exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, dims) < EXACT
-        lists = SortedLists(x)
-        out = []
-        query_ids = wanted["vec_id"].to_numpy()
-        barred = ids[:, None] == query_ids[None, :]
-        reach = lists.top(q, k, barred) if exact else [np.flatnonzero(~b) for b in barred.T]
-        for query_id, weights, able in zip(query_ids, q, reach, strict=True):
-            scores = (x[able] @ weights).astype(np.int64) if exact else np.array([sum(int(a) * int(b) for a, b in zip(r, weights, strict=True)) for r in x[able]], dtype=object)
-            best = np.lexsort((ids[able], -scores))[:k]
-            out.extend((query_id, ids[able[i]], int(scores[i])) for i in best)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
-
-    found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(
-        lambda a, b: run(a, b), "query_id bigint, vec_id bigint, score bigint"
-    )
+    candidates = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v")).groupBy("query_id").agg(F.min("v").alias("v"))
+    n_candidates, n_asked = vectors.count(), queries.count()
+    blocks, query_blocks = max(1, -(-n_candidates // block_rows)), max(1, -(-n_asked // query_rows))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    candidates = store(candidates.withColumn("cb", deal("vec_id", blocks)), "candidates")
+    asked = store(asked.withColumn("qb", deal("query_id", query_blocks)), "queries")
+
+    def run(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        out = block_best(held, wanted, k)[0] if held.num_rows and wanted.num_rows else []
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    best, low = None, 0
+    while low < blocks:
+        high = min(blocks, max(1, low * WIDER))
+        known = asked.withColumn("floor", F.lit(None).cast("double"))
+        if best is not None:
+            floors = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+            known = asked.join(floors.hint("merge"), "query_id", "left")
+        left = candidates.where(F.col("cb").between(low, high - 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        right = known.withColumnRenamed("query_id", "vec_id").withColumn("cb", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = store(found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k), "best-so-far")
+        low = high
+    return best.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
 
 
 def integral(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Components x as floor(scale * x); vectors that are null or hold null or non-finite ones are left out."""
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """(id, vector): components x as floor(scale * x), as doubles, whatever their size.
+
+    Rows take no part whose id or vector is null, or whose vector holds a null or a component that
+    is not finite, or no more so after scaling. Empty vectors do, as zeros.
+    """
+    scaled = F.transform(F.col(vector_col), lambda x: x.cast("double") * scale)
+    fine = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    # From 2 ** 52 on all doubles are whole, and beyond the long range floor() would not hold them.
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x))
     return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("bigint").alias(id_col), whole.alias(vector_col))
