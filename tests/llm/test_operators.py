@@ -548,43 +548,86 @@ def test_rules_are_filed_under_their_rarest_token():
 # 8 LM scoring
 
 
-def test_lm_scores_match_a_direct_model(spark):
-    rows, target = [(1, "abab"), (2, "zzzz"), (3, "abba"), (4, None), (5, "")], ["abab", "abba"]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, docs.where("doc_id in (1, 3)")).collect()}
+def losses_by_brute_force(rows, wanted):
+    """(background, target) loss of each row under dictionaries of words and of bytes."""
 
     def model(texts):
-        counts = [{} for _ in range(3)]
+        grams, words = [{} for _ in range(3)], {}
         for t in texts:
-            padded = b"\0\0" + t.encode()
+            padded = b"".join(b"  " + w for w in WORD.findall(t.encode())) + b" "
             for k in range(2, len(padded)):
                 for order in range(3):
                     gram = padded[k - order : k + 1]
-                    counts[order][gram] = counts[order].get(gram, 0) + 1
+                    grams[order][gram] = grams[order].get(gram, 0) + 1
+            for w in WORD.findall(t.encode()):
+                words[w] = words.get(w, 0) + 1
 
-        def p(gram):
+        def byte(gram):
             value = 1 / 256
             for order in range(3):
                 g = gram[2 - order :]
-                beside = [n for x, n in counts[order].items() if x[:-1] == g[:-1]]
+                beside = [n for x, n in grams[order].items() if x[:-1] == g[:-1]]
                 lot = max(1, len(beside))
-                value = (counts[order].get(g, 0) + lot * value) / (sum(beside) + lot)
+                value = (grams[order].get(g, 0) + lot * value) / (sum(beside) + lot)
             return value
 
-        return p
-
-    wanted, background = model(target), model([t or "" for _, t in rows])
-    for doc_id, text in rows:
-        padded = b"\0\0" + (text or "").encode()
-        grams = [padded[k - 2 : k + 1] for k in range(2, len(padded))]
-        mean = np.mean([np.log2(wanted(g)) - np.log2(background(g)) for g in grams]) if grams else 0.0
-        assert out[doc_id] == pytest.approx(mean, abs=1e-5)
-    assert out[1] > out[2]
+        def loss(own, held):
+            total = 0.0
+            for w in own:
+                padded = b"  " + w + b" "
+                base = sum(np.log2(byte(padded[k - 2 : k + 1])) for k in range(2, len(padded)))
+                n = words.get(w, 0) - held * own.count(w)
+                total -= np.log2((n + (len(words) + 1) * 2**base) / (sum(words.values()) - held * len(own) + len(words) + 1))
+            return total / len(own) if own else 0.0
+
+        return loss
+
+    background, target = model([t or "" for _, t in rows]), model([t or "" for i, t in rows if i in wanted])
+    return [(background(WORD.findall((t or "").encode()), 1), target(WORD.findall((t or "").encode()), int(i in wanted))) for i, t in rows]
+
+
+def test_lm_losses_match_a_direct_model(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
+    rows = [(k, " ".join(word() for _ in range(rng.randint(1, 12)))) for k in range(20)] + [(20, None), (21, " "), (22, "a  b\na"), (23, "a b a"), (None, "a b"), (3, "again a")]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(3)
+    wanted = {1, 3, 5, 7, 20, 22}
+    out = lm_scoring.score_documents(docs, spark.createDataFrame([(w,) for w in [*wanted, 5, None, 99]], "doc_id long")).collect()
+    got = sorted((str(r.doc_id), r.tokens, round(r.background_loss, 4), round(r.target_loss, 4)) for r in out)
+    want = [(str(i), len(words_of(t)), round(b, 4), round(w, 4)) for (i, t), (b, w) in zip(rows, losses_by_brute_force(rows, wanted), strict=True)]
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-3)
+    assert all(r.score == r.background_loss - r.target_loss for r in out)
+
+
+def test_lm_tells_documents_that_occur_twice_apart(spark):
+    rng = random.Random(14)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.8 else "".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(100))
+    texts = [prose() for _ in range(200)]
+    rows = list(enumerate(texts + texts[:20]))
+    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in range(50, 120)], "doc_id long")).collect()
+    twice = [r.background_loss for r in out if r.doc_id < 20 or r.doc_id >= 200]
+    once = [r.background_loss for r in out if 20 <= r.doc_id < 200]
+    assert max(twice) < min(once)
+    # Held out of its own model, a document of the target does not look better for having been counted.
+    inside, outside = (np.mean([r.score for r in out if (50 <= r.doc_id < 120) == k and 20 <= r.doc_id < 200]) for k in (True, False))
+    assert abs(inside - outside) < 0.1
+
+
+def test_lm_counts_words_beyond_an_entry(spark):
+    rows = [(1, "a " * 70_000 + "b"), (2, "a b")]
+    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(2,)], "doc_id long")).collect()
+    for r, want in zip(sorted(out, key=lambda r: r.doc_id), losses_by_brute_force([(1, "a " * 3 + "b"), (2, "a b")], {2}), strict=True):
+        assert r.background_loss > 0 and r.tokens == (70_001 if r.doc_id == 1 else 2) and want[0] > 0
+    # Document 1's own a's are held out: the other documents have one a among two words.
+    assert {r.doc_id: r.background_loss for r in out}[1] < 3
 
 
 def test_lm_on_awkward_rows(odd, none):
     assert lm_scoring.score_documents(none, none).count() == 0
     assert lm_scoring.score_documents(odd, none).count() == 6
+    assert lm_scoring.score_documents(odd, odd.drop("score")).count() == 6
 
 
 # 9 sharding
@@ -613,6 +656,49 @@ def test_sharding_is_even_and_whole(docs, rows):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in out}
 
 
+def shards_by_plain_tree(points, ties, sizes, shards):
+    """Rows' shards under a k-d tree that is cut at exact weighted medians, the nearer side of the row that holds it."""
+    spans = [max(1, max(c) - min(c)) for c in zip(*points, strict=True)]
+    out = {}
+
+    def split(rows, first, n):
+        if n == 1 or not rows:
+            out.update(dict.fromkeys(rows, first))
+            return
+        widths = [(max(points[r][d] for r in rows) - min(points[r][d] for r in rows)) / spans[d] for d in range(len(spans))]
+        wide = widths.index(max(widths))
+        order = sorted(rows, key=lambda r: (points[r][wide], *ties[r]))
+        need, below, at = sum(sizes[r] for r in rows) * (n // 2) // n, 0, 0
+        while at < len(order) and below + sizes[order[at]] < need:
+            below += sizes[order[at]]
+            at += 1
+        if at < len(order) and abs(below + sizes[order[at]] - need) < abs(need - below):
+            at += 1
+        split(order[:at], first, n // 2)
+        split(order[at:], first + n // 2, n - n // 2)
+
+    split(list(range(len(points))), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 5, 8])
+def test_tree_matches_a_plain_one(spark, shards):
+    rng = random.Random(21)
+    rows = [(k, rng.randint(0, 9), rng.choice([3, 3, 3, 900, rng.randint(0, 10**6)]), rng.randint(1, 40)) for k in range(400)]
+    table = common.store(spark.createDataFrame(rows, "k long, a long, b long, size long"), "plain-tree")
+    got = {r.k: r.shard for r in sharding.kd_shards(table, ["a", "b"], ["k"], "size", shards, slack=0.0).collect()}
+    assert got == shards_by_plain_tree([r[1:3] for r in rows], [(r[0],) for r in rows], [r[3] for r in rows], shards)
+
+
+def test_values_that_begin_alike_are_cut_apart(spark):
+    rows = [(k, "same size", "en", f"https://crawl.example/{'ab'[k % 2]}") for k in range(400)]
+    docs = spark.createDataFrame([(k, f"{t} {k:03}", x, s) for k, t, x, s in rows], "doc_id long, text string, lang string, source string")
+    out = sharding.shard_documents(docs, 2).collect()
+    assert all(len({r.shard for r in out if r.doc_id % 2 == k}) == 1 for k in (0, 1)) and len({r.shard for r in out}) == 2
+    ranks = {r.value: r["rank"] for r in sharding.dense_ranks(docs.select("source").unionByName(spark.createDataFrame([(None,), ("b",)], "source string")), "source").collect()}
+    assert ranks == {None: 0, "b": 1, "https://crawl.example/a": 2, "https://crawl.example/b": 3}
+
+
 def test_sharding_keeps_equal_texts_together(spark):
     rng = random.Random(12)
     texts = [f"text {i % 600} " + "x" * rng.randint(0, 3) for i in range(3000)]

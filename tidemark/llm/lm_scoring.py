@@ -6,107 +6,246 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import BROADCAST_BYTES, store
+from .substring_dedup import Hasher, chunks, split_words
 
-#: The vocabulary both models share: the 256 bytes of UTF-8. A token's context is the two before it.
+#: Words are spelled by a model of bytes, each after the two before it.
 ORDER = 3
 SIZE = 256**ORDER
-#: Counts that a task gathers before it emits them.
+SPACE = 32
+#: Bytes after which a task emits what it has counted.
 FLUSH_BYTES = 256 << 20
+#: Words of a group of documents whose word counts travel together.
+GROUP_WORDS = 1 << 21
+#: Documents of a group, and occurrences in one entry, as they are packed into 32 bits.
+GROUP_DOCS, MOST = 1 << 16, (1 << 15) - 1
+
+SCANNED = (
+    "group bigint, word bigint, background bigint, target bigint, spelled_background float, spelled_target float, entries binary, "
+    "ids array<bigint>, tokens array<int>, wanted array<boolean>"
+)
+
+
+def text_bytes(column: str):
+    return F.coalesce(F.col(column), F.lit("")).cast("binary").alias("text")
+
+
+def flagged(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, wanted): whether a document's id is among those of ``wanted``.
+
+    The ids are broadcast while they are few bytes, otherwise joined by a shuffle.
+    """
+    ids = store(wanted.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id")).distinct().withColumn("wanted", F.lit(True)), "wanted")
+    sent = F.broadcast(ids) if ids.count() * 64 <= BROADCAST_BYTES else ids.hint("merge")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col))
+    return source.join(sent, "doc_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
 
 
 def codes(text: np.ndarray) -> np.ndarray:
-    """Each byte with the two before it as one number; the text is led by two zero bytes."""
-    padded = np.r_[np.zeros(2, np.int32), text.astype(np.int32)]
+    """Each byte with the two before it as one number; the text is led by two spaces."""
+    padded = np.r_[np.full(2, SPACE, np.int32), text.astype(np.int32)]
     return (padded[:-2] << 16) | (padded[1:-1] << 8) | padded[2:]
 
 
-def count_grams(docs: DataFrame, name: str) -> DataFrame:
-    """(code, name): how often each trigram occurs over all texts. A task adds up its own first."""
+def count_bytes(docs: DataFrame) -> DataFrame:
+    """(code, background, target): how often each three bytes occur in words between two spaces.
+
+    A task adds up its own first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(SIZE, np.int64), 0
+        counts, seen = np.zeros((2, SIZE), np.int32), 0
 
         def emit() -> pa.RecordBatch:
-            at = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["code", "n"])
+            at = np.flatnonzero(counts[0])
+            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c[at].astype(np.int64)) for c in counts)], names=["code", "background", "target"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    np.add.at(counts, codes(np.frombuffer(text, np.uint8)), 1)
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                words = text.split()
+                if words:
+                    code, n = np.unique(codes(np.frombuffer(b"  ".join(words) + b" ", np.uint8)), return_counts=True)
+                    counts[0, code] += n.astype(np.int32)
+                    if wanted:
+                        counts[1, code] += n.astype(np.int32)
                     seen += len(text)
-            if seen >= FLUSH_BYTES:
-                yield emit()
-                counts[:], seen = 0, 0
+                if seen >= FLUSH_BYTES:
+                    yield emit()
+                    counts[:], seen = 0, 0
         yield emit()
 
-    return docs.mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias(name))
+    found = docs.select("text", "wanted").mapInArrow(run, "code int, background bigint, target bigint")
+    return found.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def text_bytes(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+def log_model(code: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log2 p of a byte after its two for the given codes: Witten-Bell interpolation.
 
-
-def log_model(code: np.ndarray, counts: np.ndarray, strength: float) -> np.ndarray:
-    """log2 p of a byte after its two for the given trigrams: Witten-Bell style interpolation.
-
-    Each order is mixed with the next lower in proportion to its context's count and ``strength``
-    times its distinct continuations; the lowest is uniform over the vocabulary.
+    Each order is mixed with the next lower in proportion to its context's count and its distinct
+    continuations; the lowest is uniform over the bytes.
     """
     p = np.full(len(code), 1 / 256)
     for order in range(1, ORDER + 1):
-        mask = 256**order
-        gram = code % mask
-        context = gram // 256
-        n_gram = np.bincount(gram, counts, mask) if mask <= 1 << 16 else None
-        if n_gram is None:
-            n, context_n = counts.astype(float), np.bincount(context, counts, mask // 256)
-            kinds = np.bincount(context[counts > 0], minlength=mask // 256)
-        else:
-            n = n_gram[gram]
-            grid = n_gram.reshape(-1, 256)
-            context_n, kinds = grid.sum(1), (grid > 0).sum(1)
-        lot = strength * np.maximum(kinds[context], 1)
-        p = (n + lot * p) / (context_n[context] + lot)
+        gram = code % 256**order
+        kinds_of, at = np.unique(gram, return_inverse=True)
+        n = np.bincount(at, counts, len(kinds_of))
+        contexts, context = np.unique(kinds_of // 256, return_inverse=True)
+        context_n, kinds = np.bincount(context, n, len(contexts)), np.bincount(context[n > 0], minlength=len(contexts))
+        lot = np.maximum(kinds, 1)
+        p = (n[at] + lot[context[at]] * p) / (context_n[context[at]] + lot[context[at]])
     return np.log2(p)
 
 
-def differences(background: DataFrame, target: DataFrame, strength: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes and log2 p(target) - log2 p(background) of each, for all trigrams of the corpus.
-
-    Its length is at most the 2 ** 24 trigrams there are, whatever the corpus, so it may be
-    gathered and sent to every task.
-    """
-    both = background.join(target, "code", "full").select("code", F.coalesce("background", F.lit(0)).alias("b"), F.coalesce("target", F.lit(0)).alias("t"))
-    table = both.orderBy("code").toArrow()
-    code, b, t = (table.column(c).to_numpy().astype(np.int64) for c in ("code", "b", "t"))
-    return code, (log_model(code, t, strength) - log_model(code, b, strength)).astype(np.float32)
+def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """log2 p of words between spaces under each of ``tables``: of their bytes and the space behind."""
+    if not len(start):
+        return np.zeros((len(tables), 0))
+    length = end - start + 1
+    first = np.cumsum(length) - length
+    at = np.arange(int(length.sum())) - np.repeat(first, length)
+    byte = np.append(data, SPACE).astype(np.int64)[np.repeat(start, length) + at]
+    byte[first + length - 1] = SPACE
+    one, two = np.r_[SPACE, byte[:-1]], np.r_[SPACE, SPACE, byte[:-2]]
+    one[at == 0], two[at <= 1] = SPACE, SPACE
+    return np.add.reduceat(tables[:, (two << 16) | (one << 8) | byte].astype(np.float64), first, axis=1)
 
 
-def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 1.0) -> DataFrame:
-    """One row per document: tokens and ``score``, the mean of log2 p_target - log2 p_background per token.
+def scan(docs: DataFrame, code: np.ndarray, logs: np.ndarray) -> DataFrame:
+    """Rows of ``SCANNED``: for each group of documents its words, and one row, of null word, of its documents.
 
-    Higher means closer to ``target``; both models are counted over all their whole texts, the
-    background being ``docs``. Tokens are UTF-8 bytes. Texts without tokens and null ones score 0.
-    With an empty target its model is uniform. Repeated rows count and are scored each.
+    A word's row has its counts in the group, how likely it is spelled, and its entries: 16 bits for the
+    document's place in the group, one if the document is of the target, 15 for the occurrences.
     """
-    background = store(count_grams(text_bytes(docs, text_col), "background"), "background-grams")
-    wanted = store(count_grams(text_bytes(target, text_col), "target"), "target-grams")
-    code, difference = differences(background, wanted, strength)
-    sent = docs.sparkSession.sparkContext.broadcast((code.astype(np.int32), difference))
+    sent = docs.sparkSession.sparkContext.broadcast((code.astype(np.int32), logs.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values = sent.value
-        table = np.zeros(SIZE, np.float32)
-        table[at] = values
+        tables = np.zeros((2, SIZE), np.float32)
+        tables[:, sent.value[0]] = sent.value[1]
+        hasher, group = Hasher(), TaskContext.get().partitionId() << 24
+        held: list[tuple[np.ndarray, ...]] = []
+        documents: list[tuple] = []
+        n_words = n_bytes = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            ids, tokens, wanted = zip(*documents, strict=True)
+            data = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.uint8)
+            word, doc, start, end = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(1, 5))
+            order = np.lexsort((doc, word))
+            word, doc = word[order], doc[order]
+            new_word = np.r_[True, word[1:] != word[:-1]][: len(word)]
+            pair = np.flatnonzero(new_word | np.r_[True, doc[1:] != doc[:-1]][: len(word)])
+            n = np.diff(np.r_[pair, len(word)])
+            parts = (n - 1) // MOST + 1  # entries of an occurrence count that 15 bits do not hold
+            entry_n = np.full(int(parts.sum()), MOST)
+            last = np.cumsum(parts) - 1
+            entry_n[last] = n - (parts - 1) * MOST
+            entry_doc = np.repeat(doc[pair], parts)
+            flag = np.array(wanted, np.int64)
+            packed = (entry_doc | (flag[entry_doc] << 16) | (entry_n << 17)).astype("<u4")
+            heads = np.flatnonzero(new_word[pair])
+            begin = np.r_[last[heads] - parts[heads] + 1, len(packed)].astype(np.int64) if len(heads) else np.zeros(1, np.int64)
+            sums = [np.add.reduceat(x, heads) if len(heads) else np.zeros(0, np.int64) for x in (n, n * flag[doc[pair]])]
+            at = order[pair[heads]]
+            logs = spelled(data, start[at], end[at], tables)
+            words = len(heads)
+            none = lambda kind, k: pa.nulls(k, kind)
+            lists = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+            for a in range(0, words, 50_000):
+                b = min(words, a + 50_000)
+                entries = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((begin[a : b + 1] - begin[a]) * 4).astype(np.int32).tobytes()), pa.py_buffer(packed[begin[a] : begin[b]].tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(b - a, group)), pa.array(word[pair[heads[a:b]]].view(np.int64)), *(pa.array(s[a:b]) for s in sums), *(pa.array(x[a:b].astype(np.float32)) for x in logs), entries, *(none(k, b - a) for k in lists)],
+                    names=[f.split()[0] for f in SCANNED.split(", ")],
+                )
+            rows = [pa.array([group]), none(pa.int64(), 1), none(pa.int64(), 1), none(pa.int64(), 1), none(pa.float32(), 1), none(pa.float32(), 1), none(pa.binary(), 1)]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.array([list(x)], k) for x, k in zip((ids, tokens, wanted), lists, strict=True))], names=[f.split()[0] for f in SCANNED.split(", ")])
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            means = [float(table[codes(np.frombuffer(t, np.uint8))].mean(dtype=np.float64)) if t else 0.0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(means, pa.float64())], names=["doc_id", "tokens", "score"])
+            ids, wanted = batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist()
+            for first, data, offsets in chunks(batch.column("text")):
+                start, end, owner = split_words(data, offsets)
+                if documents and (n_words + len(start) > GROUP_WORDS or len(documents) + len(offsets) > GROUP_DOCS):
+                    yield from emit()
+                    held, documents, n_words, n_bytes, group = [], [], 0, 0, group + 1
+                tokens = np.bincount(owner, minlength=len(offsets) - 1).tolist()
+                held.append((data, hasher.words(data, start, end), owner + len(documents), start + n_bytes, end + n_bytes))
+                documents += list(zip(ids[first : first + len(tokens)], tokens, wanted[first : first + len(tokens)], strict=True))
+                n_words, n_bytes = n_words + len(start), n_bytes + len(data)
+        if documents:
+            yield from emit()
+
+    return docs.mapInArrow(run, SCANNED)
+
+
+def losses(entries: DataFrame, kinds: tuple[int, int]) -> DataFrame:
+    """(doc, background, target): sums of log2 of a document's words' counts in the other documents, smoothed by their spelling."""
+    log_kinds = np.log2(np.array(kinds, float) + 1)
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, tokens bigint, score double").withColumnRenamed("doc_id", id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("entries")
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            packed = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4").astype(np.int64)
+            row = np.repeat(np.arange(len(column)), np.diff(offsets) // 4)
+            n, flag = packed >> 17, (packed >> 16) & 1
+            doc = (batch.column("group").to_numpy()[row] << 16) | (packed & 0xFFFF)
+            # A document with over MOST of a word has it in several entries of the row.
+            key = np.lexsort((doc, row))
+            first = np.flatnonzero(np.r_[True, (doc[key][1:] != doc[key][:-1]) | (row[key][1:] != row[key][:-1])])
+            n, row, doc, flag = np.add.reduceat(n[key], first), row[key][first], doc[key][first], flag[key][first]
+            docs, at = np.unique(doc, return_inverse=True)
+            sums = []
+            for k, (name, own) in enumerate((("background", n), ("target", n * flag))):
+                others = batch.column(f"all_{name}").to_numpy()[row] - own
+                base = log_kinds[k] + batch.column(f"spelled_{name}").to_numpy()[row].astype(float)
+                with np.errstate(divide="ignore"):
+                    sums.append(np.bincount(at, n * np.logaddexp2(np.log2(others), base), len(docs)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs), *map(pa.array, sums)], names=["doc", "background", "target"])
+
+    return entries.mapInArrow(run, "doc bigint, background double, target double").groupBy("doc").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def score_documents(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, tokens, ``score`` and its parts, background_loss and target_loss.
+
+    The background model is counted over all of ``docs``, the target model over those whose id is
+    among ``wanted`` (nulls and repeats there do not matter). Both share one vocabulary, the words
+    (runs of anything but ASCII white space) as 64-bit hashes. A word's probability is its count in
+    the other documents, this one's own occurrences being held out of both models, mixed with how
+    the model's bytes, in trigrams interpolated down to the uniform one, spell it between spaces;
+    the spelling weighs as many occurrences as the model has distinct words, and one. A loss is
+    the mean of -log2 p per word, the score background_loss - target_loss: the higher, the closer
+    to the target. Null and texts without words have losses and score 0. Repeated rows count, and
+    are scored, each; null ids are of the background only. Other columns are not read. Empty
+    tables give no rows.
+
+    The table of bytes has at most 2 ** 24 rows whatever the input, so it is sent to the tasks. Word
+    counts grow with the input: documents are scanned in groups, whose words meet the counts of
+    the whole corpus in a join, and their sums return to the documents. No text is moved.
+    """
+    source = flagged(docs, wanted, id_col, text_col)
+    table = count_bytes(source).orderBy("code").toArrow()
+    code, *counts = (table.column(c).to_numpy().astype(np.int64) for c in ("code", "background", "target"))
+    scanned = store(scan(source, code, np.stack([log_model(code, c) for c in counts])), "scanned-words")
+    words = scanned.where("word is not null")
+    totals = store(words.groupBy("word").agg(F.sum("background").alias("all_background"), F.sum("target").alias("all_target")), "word-counts")
+    n_b, n_t, kinds_b, kinds_t = (x or 0 for x in totals.agg(F.sum("all_background"), F.sum("all_target"), F.count("*"), F.sum((F.col("all_target") > 0).cast("bigint"))).first())
+    # Words grow with the documents, so neither side is broadcast; a hot word's groups can be split.
+    sums = losses(words.select("group", "word", "spelled_background", "spelled_target", "entries").join(totals.hint("merge"), "word"), (kinds_b, kinds_t))
+    heads = scanned.where("word is null").select("group", F.posexplode(F.arrays_zip("ids", "tokens", "wanted")).alias("place", "d"))
+    heads = heads.select(F.shiftleft("group", 16).bitwiseOR(F.col("place").cast("bigint")).alias("doc"), "d.*")
+    mean = lambda name, n, own, kinds: F.coalesce((F.col("tokens") * F.log2(n - own + F.lit(kinds + 1.0)) - F.col(name)) / F.nullif("tokens", F.lit(0)), F.lit(0.0))
+    own = F.when(F.col("wanted"), F.col("tokens")).otherwise(0)
+    done = heads.join(sums, "doc", "left").select(
+        F.col("ids").alias(id_col),
+        F.col("tokens").cast("bigint").alias("tokens"),
+        mean("background", F.lit(n_b), F.col("tokens"), kinds_b).alias("background_loss"),
+        mean("target", F.lit(n_t), own, kinds_t).alias("target_loss"),
+    )
+    return done.withColumn("score", F.col("background_loss") - F.col("target_loss"))

@@ -61,10 +61,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # The labels grow with the documents, so they are never broadcast.
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().hint("merge")
-    return lm_scoring.score_documents(docs, docs.join(good, "doc_id", "left_semi"))
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

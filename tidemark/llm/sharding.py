@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import below, gapless_rank, store, weighted_cuts
+from .common import below, gapless_rank, store, weighted_cuts, with_groups
 
 #: A cut may miss its weight by this part of a shard to leave equal texts together.
 SLACK = 0.01
 
 
-def text_key(column: str) -> Column:
-    """A string's first seven bytes as a number, in the string's order; null before all."""
-    number = F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    return F.coalesce(number, F.lit(-1))
+def dense_ranks(table: DataFrame, column: str) -> DataFrame:
+    """(value, rank): the distinct values of ``column`` numbered from 0 in their order, null first.
+
+    A distributed sort: ranges of values are ranked each by itself, and a range starts where those
+    before it end. The driver gets one row a range.
+    """
+    spark = table.sparkSession
+    values = table.select(F.col(column).alias("value")).distinct().repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("value"))
+    ranges = store(values.withColumn("range", F.spark_partition_id()), "value-ranges")
+    counts = sorted((r["range"], r["count"]) for r in ranges.groupBy("range").count().collect())
+    starts, at = [], 0
+    for k, n in counts:
+        starts.append((k, at))
+        at += n
+    begin = F.broadcast(spark.createDataFrame(starts, "range int, _begin bigint"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(F.asc_nulls_first("value"))) - 1
+    return store(ranges.withColumn("_r", within).join(begin, "range").select("value", (F.col("_begin") + F.col("_r")).alias("rank")), "value-ranks")
+
+
+def ranked(table: DataFrame, column: str) -> DataFrame:
+    """``table`` with ``column`` replaced by ``k_<column>``, the dense rank of its value."""
+    ranks = dense_ranks(table, column)
+    groups = store(table.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")).join(ranks, F.col("_v").eqNullSafe(F.col("value"))).select(F.struct("value").alias("_value"), "_n", F.col("rank").alias(f"k_{column}")), "value-groups")
+    return with_groups(table.withColumn("_value", F.struct(F.col(column).alias("value"))), groups, ["_value"], "_n").drop("_value", "_n", column)
 
 
 def kd_shards(table: DataFrame, dimensions: list[str], ties: list[str], size: str, shards: int, slack: float = SLACK) -> DataFrame:
@@ -61,11 +81,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     """One row per document with its shard and its place there; the shards' bytes are near equal.
 
     Size is the text's UTF-8 bytes plus 1; a null text has none. Dimensions of the tree: size, the
-    id, and the string columns of ``metadata`` by their first seven bytes. Equal texts (of one size
-    and CRC) form a group that lies where its smallest id lies, in all dimensions, and ties are
-    ordered by CRC. So a cut goes through at most one group, and only if leaving that whole would
-    put more than ``SLACK`` of a shard on the wrong side. A null id counts as -1. Repeated rows
-    each get a slot. Works from metadata only: texts are read once and never shuffled.
+    id, and the string columns of ``metadata``, whose values count by their dense rank, so values
+    that begin alike are cut apart too. Equal texts (of one size and CRC) form a group that lies
+    where its smallest id lies, in all dimensions, and ties are ordered by CRC. So a cut goes
+    through at most one group, and only if leaving that whole would put more than ``SLACK`` of a
+    shard on the wrong side. A null id counts as -1, a null of the metadata comes before all
+    values. Repeated rows each get a slot, those alike in any order among themselves. Other
+    columns are not read; an empty table gives no rows. Works from metadata only: texts are read
+    once and never moved.
     """
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     table = store(
@@ -74,15 +97,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
             (F.length(binary) + 1).cast("bigint").alias("size"),
             F.crc32(binary).alias("text_crc32"),
             F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("k_id"),
-            *[text_key(m).alias(f"k_{m}") for m in metadata],
+            *[F.col(m).cast("string").alias(f"m{n}") for n, m in enumerate(metadata)],
         ),
         "shard-metadata",
     )
-    own = ["k_id", *[f"k_{m}" for m in metadata]]
-    places = table.groupBy("text_crc32", "size").agg(F.min(F.struct(*own)).alias("at"))
-    places = store(places.select("text_crc32", "size", *[F.col(f"at.{c}").alias(f"g{c}") for c in own]), "shard-groups")
-    grouped = store(table.drop(*own[1:]).join(places.hint("merge"), ["text_crc32", "size"]), "shard-grouped")
-    dimensions = ["size", *[f"gk_{m}" for m in metadata], "gk_id"]
+    own = ["k_id"]
+    for n in range(len(metadata)):
+        table = store(ranked(table, f"m{n}"), "shard-ranked")
+        own.append(f"k_m{n}")
+    places = table.groupBy("text_crc32", "size").agg(F.min(F.struct(*own)).alias("at"), F.count("*").alias("_n"))
+    places = store(places.select("text_crc32", "size", "_n", *[F.col(f"at.{c}").alias(f"g{c}") for c in own]), "shard-groups")
+    grouped = store(with_groups(table.drop(*own[1:]), places, ["text_crc32", "size"], "_n").drop("_n"), "shard-grouped")
+    dimensions = ["size", *[f"g{c}" for c in own[1:]], "gk_id"]
     placed = kd_shards(grouped, dimensions, ["text_crc32", "k_id"], "size", shards)
-    ranked = gapless_rank(store(placed, "shard-placed"), "shard", [F.col("k_id"), F.col("text_crc32"), F.col("size")], "slot")
-    return ranked.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    numbered = gapless_rank(store(placed, "shard-placed"), "shard", [F.col("k_id"), F.col("text_crc32"), F.col("size")], "slot")
+    return numbered.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
