@@ -50,7 +50,7 @@ def source_rates(table: DataFrame, weigh: Callable[[list], list[float]], share:
     whole = [math.floor(t / n) if n else 0 for n, t in zip(sizes, targets, strict=True)]
     kind = table.schema["source"].dataType.simpleString()
     names = table.sparkSession.createDataFrame([(k, r["source"]) for k, r in enumerate(sums)], f"code int, _source {kind}")
-    coded = table.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")))
+    coded = table.join(names, F.col("source").eqNullSafe(F.col("_source")))
     needs = {k: t - w * n for k, (n, t, w) in enumerate(zip(sizes, targets, whole, strict=True)) if n and t > w * n}
     cuts = weighted_cuts(coded, "code", ["hash"], "size", needs) if needs else {}
     rows = []
@@ -93,14 +93,16 @@ def mix_plan(
     takes each of its documents floor(target / size) times, and once more those first in the
     order of a seeded hash, up to the point where the words taken come nearest the target. That
     point is found by distributed sums. The same rows and seed give the same mix. Rows alike in
-    id and text have the same hash and are taken alike; empty texts are taken by the same rule.
-    The driver gets one row a source. Returns the id, size, source, source_size, target,
-    repeats, taken.
+    id and text have the same hash and are taken alike; null and empty texts are taken by the same
+    rule, as often as their source's others. Null ids and sources are values like others; other
+    columns are not read; an empty table gives no rows. The driver gets one row a source; Spark
+    broadcasts those while they are small and joins them by a shuffle, whose hot sources it
+    splits, beyond. Returns the id, size, source, source_size, target, repeats, taken.
     """
     table = sizes_table(docs, seed, id_col, text_col, source_col)
     rates = source_rates(table, weigh, share, max_epochs)
     return (
-        table.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("_source")))
+        table.join(rates, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("repeats", F.expr(REPEATS))
         .withColumn("taken", F.col("size") * F.col("repeats"))
         .select(F.col("doc_id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "repeats", "taken")
@@ -119,9 +121,11 @@ def mix(
 ) -> DataFrame:
     """The mixed corpus: rows of ``docs`` with all their columns, each as often as :func:`mix_plan` says.
 
-    A row's hash and its source's rate tell its repeats, so no text is shuffled.
+    Null, empty and repeated texts, ids and sources are taken as :func:`mix_plan` says, and columns may
+    have any names. An empty table gives no rows. A row's hash and its source's rate tell its
+    repeats, so no text is moved while the sources are small enough to be broadcast.
     """
     rates = source_rates(sizes_table(docs, seed, id_col, text_col, source_col), weigh, share, max_epochs)
     placed = docs.select(whole_row(docs), F.col(source_col).alias("_mix_source"), hashed(docs, seed, id_col, text_col).alias("hash"))
-    times = placed.join(F.broadcast(rates), F.col("_mix_source").eqNullSafe(F.col("_source"))).select("_row", F.expr(REPEATS).alias("_times")).where("_times > 0")
+    times = placed.join(rates, F.col("_mix_source").eqNullSafe(F.col("_source"))).select("_row", F.expr(REPEATS).alias("_times")).where("_times > 0")
     return times.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -217,7 +217,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns, whatever their names.
+
+    A row stays if its text's probability of label 1 is a half or more. Null and empty texts are
+    judged alike, by their features; ids do not matter, so rows of null or repeated ids and
+    repeated rows are judged each. Without labels of both classes every row is judged by the base
+    rate. An empty table gives no rows.
+    """
     model = train(training_rows(docs, labels, id_col=id_col, text_col=text_col, **options))
 
     @F.pandas_udf("boolean")
