@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages over the whole corpus."""
+"""From raw documents to packed training sequences: five stages over the whole corpus.
+
+All stages take null ids, texts and sources, repeated ids and rows, texts of any length, an empty
+table, and columns of any further names, which the first four hand on.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,27 @@ from tidemark.llm.queries import table, tokenizer_paths
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null and empty texts are judged by their features, repeated rows each."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
+    """Of equal texts the one with the largest id, a null id being the least; null and empty texts are equal, repeated rows one."""
     return exact_dedup.drop_exact(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by SimHash the one with the smallest id."""
+    """Of texts linked by SimHash the one with the smallest id, null ids last; unlike texts of one id, or of none, all stay."""
     return near_dedup.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to their target weights; documents repeat as rows."""
+    """Sources, null being one, brought to their target weights; documents repeat as rows, rows alike equally often."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences; null and empty texts are one token, repeated rows pieces of their own."""
     return packing.pack(docs, tokenizer_paths())
 
 
