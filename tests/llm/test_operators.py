@@ -554,13 +554,13 @@ def losses_by_brute_force(rows, wanted):
     def model(texts):
         grams, words = [{} for _ in range(3)], {}
         for t in texts:
-            padded = b"".join(b"  " + w for w in WORD.findall(t.encode())) + b" "
-            for k in range(2, len(padded)):
-                for order in range(3):
-                    gram = padded[k - order : k + 1]
-                    grams[order][gram] = grams[order].get(gram, 0) + 1
             for w in WORD.findall(t.encode()):
                 words[w] = words.get(w, 0) + 1
+                padded = b"  " + w + b" "
+                for k in range(2, len(padded)):
+                    for order in range(3):
+                        gram = padded[k - order : k + 1]
+                        grams[order][gram] = grams[order].get(gram, 0) + 1
 
         def byte(gram):
             value = 1 / 256
@@ -586,13 +586,14 @@ def losses_by_brute_force(rows, wanted):
     return [(background(WORD.findall((t or "").encode()), 1), target(WORD.findall((t or "").encode()), int(i in wanted))) for i, t in rows]
 
 
-def test_lm_losses_match_a_direct_model(spark):
+@pytest.mark.parametrize("frequent", [0, 5, 1 << 17])
+def test_lm_losses_match_a_direct_model(spark, frequent):
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
     rows = [(k, " ".join(word() for _ in range(rng.randint(1, 12)))) for k in range(20)] + [(20, None), (21, " "), (22, "a  b\na"), (23, "a b a"), (None, "a b"), (3, "again a")]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(3)
     wanted = {1, 3, 5, 7, 20, 22}
-    out = lm_scoring.score_documents(docs, spark.createDataFrame([(w,) for w in [*wanted, 5, None, 99]], "doc_id long")).collect()
+    out = lm_scoring.score_documents(docs, spark.createDataFrame([(w,) for w in [*wanted, 5, None, 99]], "doc_id long"), frequent=frequent).collect()
     got = sorted((str(r.doc_id), r.tokens, round(r.background_loss, 4), round(r.target_loss, 4)) for r in out)
     want = [(str(i), len(words_of(t)), round(b, 4), round(w, 4)) for (i, t), (b, w) in zip(rows, losses_by_brute_force(rows, wanted), strict=True)]
     for a, b in zip(got, sorted(want), strict=True):
@@ -615,9 +616,10 @@ def test_lm_tells_documents_that_occur_twice_apart(spark):
     assert abs(inside - outside) < 0.1
 
 
-def test_lm_counts_words_beyond_an_entry(spark):
+@pytest.mark.parametrize("frequent", [0, 9])
+def test_lm_counts_words_beyond_an_entry(spark, frequent):
     rows = [(1, "a " * 70_000 + "b"), (2, "a b")]
-    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(2,)], "doc_id long")).collect()
+    out = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(2,)], "doc_id long"), frequent=frequent).collect()
     for r, want in zip(sorted(out, key=lambda r: r.doc_id), losses_by_brute_force([(1, "a " * 3 + "b"), (2, "a b")], {2}), strict=True):
         assert r.background_loss > 0 and r.tokens == (70_001 if r.doc_id == 1 else 2) and want[0] > 0
     # Document 1's own a's are held out: the other documents have one a among two words.
