@@ -127,10 +127,13 @@ def log_model(code: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.log2(p)
 
 
-def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """log2 p of words between spaces under each of ``tables``: of their bytes and the space behind."""
+def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, index: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log2 p of words between spaces under each of ``logs``: of their bytes and the space behind.
+
+    ``index`` tells where in ``logs`` a code stands.
+    """
     if not len(start):
-        return np.zeros((len(tables), 0))
+        return np.zeros((len(logs), 0))
     length = end - start + 1
     first = np.cumsum(length) - length
     at = np.arange(int(length.sum())) - np.repeat(first, length)
@@ -138,7 +141,7 @@ def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, tables: np.nda
     byte[first + length - 1] = SPACE
     one, two = np.r_[SPACE, byte[:-1]], np.r_[SPACE, SPACE, byte[:-2]]
     one[at == 0], two[at <= 1] = SPACE, SPACE
-    return np.add.reduceat(tables[:, (two << 16) | (one << 8) | byte].astype(np.float64), first, axis=1)
+    return np.add.reduceat(logs[:, index[(two << 16) | (one << 8) | byte]].astype(np.float64), first, axis=1)
 
 
 def weighed(n: np.ndarray, others: np.ndarray, spelling: np.ndarray) -> np.ndarray:
@@ -159,8 +162,8 @@ def scan(docs: DataFrame, code: np.ndarray, logs: np.ndarray, frequent: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, logs, frequent, counts = sent.value
-        tables = np.zeros((2, SIZE), np.float32)
-        tables[:, code] = logs
+        index = np.zeros(SIZE, np.int32)
+        index[code] = np.arange(len(code))
         group = (TaskContext.get().partitionId() << 24) - 1
         for documents, data, (word, doc, start, end) in grouped(batches, Hasher()):
             group += 1
@@ -172,7 +175,7 @@ def scan(docs: DataFrame, code: np.ndarray, logs: np.ndarray, frequent: np.ndarr
             pair = np.flatnonzero(new_word | np.r_[True, sorted_doc[1:] != sorted_doc[:-1]][: len(word)])
             n, pair_doc, heads = np.diff(np.r_[pair, len(word)]), sorted_doc[pair].astype(np.int64), np.flatnonzero(new_word[pair])
             at = order[pair[heads]]
-            logs_of = spelled(data, start[at], end[at], tables)
+            logs_of = spelled(data, start[at], end[at], index, logs)
             of = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(pair)]))  # each pair's word
             words = sorted_word[pair[heads]]
             place = np.minimum(np.searchsorted(frequent, words), max(0, len(frequent) - 1))
