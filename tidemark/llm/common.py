@@ -107,13 +107,13 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 def gapless_rank(df: DataFrame, group: str, order: list[Column], name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Number the rows of each group from 0 without gaps, however large a group is.
 
-    Each group is dealt into hash buckets, as many as its rows make at ``bucket_rows`` each; a
+    Each group is dealt into hash buckets, as many as its rows make at ``bucket_rows`` each and 64; a
     bucket's offset is the number of rows in the buckets before it, so no task ever holds a whole
     group. Rows alike in ``order`` get numbers in any order among themselves. ``group`` is never
     null and has few values, so its counts are broadcast; the offsets, one for each bucket, are
     left to Spark to broadcast by their size. ``df`` is read three times, so it should be a stored table.
     """
-    sizes = df.groupBy(F.col(group).alias("_g")).agg((F.count("*") / bucket_rows + 1).cast("bigint").alias("_buckets"))
+    sizes = df.groupBy(F.col(group).alias("_g")).agg((F.count("*") / bucket_rows + 64).cast("bigint").alias("_buckets"))
     spread = df.join(F.broadcast(sizes), F.col(group) == F.col("_g")).withColumn("_b", F.pmod(F.xxhash64(*order), F.col("_buckets"))).drop("_buckets", "_g")
     counts = spread.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_gb")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_g").orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)
