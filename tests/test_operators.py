@@ -266,3 +266,46 @@ def test_stream_keeps_the_latest_signal(spark, tmp_path):
         got = {r.series_id: r for r in latest.current(spark, str(tmp_path / "out"), KEYS).collect()}
         want = {r.series_id: r for r in latest.latest_signals(df.where(f"dayofyear(ts) <= {40 if k == 0 else 60}"), KEYS).collect()}
         assert {s: (r.end_date, r.label) for s, r in got.items()} == {s: (r.end_date, r.label) for s, r in want.items()}
+
+
+@pytest.mark.parametrize("block", [15, 60, 50_000])
+def test_concordance_counts_pairs_without_forming_them(spark, block):
+    import itertools
+
+    rng = random.Random(31)
+    rows = [(rng.choice("ab"), rng.choice([0, 1, 2, 5, 5, 5, rng.randint(1, 90)]), rng.randint(0, 1), rng.choice([1.5, 2.5, rng.random() * 4])) for _ in range(300)]
+    out = survival.concordance(spark.createDataFrame(rows, "k string, duration int, event int, risk double"), keys=["k"], block=block).collect()
+    for key in "ab":
+        pairs = good = 0
+        for (_, t, e, r), (_, u, f, q) in itertools.permutations([x for x in rows if x[0] == key], 2):
+            t, u = max(t, 0.5), max(u, 0.5)
+            if e == 1 and (u > t or (u == t and f == 0)):
+                pairs += 1
+                good += 1.0 if r > q else 0.5 if r == q else 0.0
+        (got,) = [r for r in out if r.k == key]
+        assert got.comparable == pairs and got.c_index == pytest.approx(good / pairs)
+
+
+def test_bootstrap_of_exact_scores(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(y), float(np.round(y * 0.5 + rng.normal(), 2)), float(y * 0.4 + rng.normal())) for y in rng.integers(0, 2, 300)]
+    got = robustness.bootstrap_auc_gap(spark.createDataFrame(rows, "actual int, a double, b double"), "a", "b", replicates=400).first()
+    y, a, b = (np.array(x) for x in zip(*rows, strict=True))
+    area = lambda s, y: np.mean([(p > q) + (p == q) / 2 for p in s[y == 1] for q in s[y == 0]])
+    assert got.delta == pytest.approx(area(a, y) - area(b, y))
+    gaps = []
+    for _ in range(150):
+        at = np.concatenate([rng.choice(np.flatnonzero(y == k), (y == k).sum()) for k in (0, 1)])
+        gaps.append(area(a[at], y[at]) - area(b[at], y[at]))
+    assert got.replicates == 400 and got.low < got.delta < got.high
+    assert got.high - got.low == pytest.approx(np.subtract(*np.percentile(gaps, [97.5, 2.5])), rel=0.25)
+
+
+def test_ewma_carries_the_whole_history(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.random() if rng.random() < 0.9 else None) for k in range(57)]
+    out = robustness.ewma_volatility(spark.createDataFrame(rows, "ts int, r double").withColumn("k", F.lit(1)), ["k"], "r", rows=10).orderBy("ts").collect()
+    v = 0.0
+    for r, (_, x) in zip(out, rows, strict=True):
+        v = v * 0.94 + 0.06 * (x or 0.0) ** 2
+        assert r.ewma_vol == pytest.approx(v**0.5)

@@ -41,14 +41,12 @@ def strategy(df: DataFrame, keys: list[str], forecast: str, realized: str, rule:
 def moments(df: DataFrame, keys: list[str], returns: str) -> DataFrame:
     """(keys, n, mean, sd, sharpe, skew, kurt): per period; population moments over the sample deviation."""
     x = F.col(returns)
-    first = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
-    central = (df.join(F.broadcast(first), keys) if keys else df.join(F.broadcast(first))).groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"),
-        F.avg(F.pow(x - F.col("mean"), 3)).alias("m3"), F.avg(F.pow(x - F.col("mean"), 4)).alias("m4"),
-    )
-    sharpe = F.coalesce(F.try_divide(F.col("mean"), F.col("sd")), F.lit(0.0))
-    return central.select(
-        *keys, "n", "mean", "sd", sharpe.alias("sharpe"), F.coalesce(F.try_divide("m3", F.pow("sd", 3)), F.lit(0.0)).alias("skew"), F.coalesce(F.try_divide("m4", F.pow("sd", 4)), F.lit(3.0)).alias("kurt")
+    sums = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+    spread = F.col("sd") > 0
+    share = (F.col("n") - 1) / F.col("n")  # of the sample variance that is the population's
+    return sums.select(
+        *keys, "n", "mean", "sd", F.coalesce(F.try_divide(F.col("mean"), F.col("sd")), F.lit(0.0)).alias("sharpe"),
+        F.coalesce(F.when(spread, F.col("g1") * F.pow(share, 1.5)), F.lit(0.0)).alias("skew"), F.coalesce(F.when(spread, (F.col("g2") + 3) * F.pow(share, 2)), F.lit(3.0)).alias("kurt"),
     )
 
 

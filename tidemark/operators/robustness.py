@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,32 +13,49 @@ from .evaluation import auc
 from .features import Rolling
 
 
-def bootstrap_auc_gap(df: DataFrame, first: str, second: str, actual: str = "actual", cells: int = 1000, replicates: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap_auc_gap(df: DataFrame, first: str, second: str, actual: str = "actual", replicates: int = 3000, seed: int = 7) -> DataFrame:
     """(replicates, delta, low, high, p_better): AUC(first) - AUC(second) with a 95 % interval.
 
-    Scores are cut into ``cells`` and rows counted by (class, cell, cell), which a Poisson resample
-    of each count turns into a replicate: both models see the same one, and each class is
-    resampled by itself. So the rows are read once, whatever the number of replicates.
+    Rows are counted by their exact scores and class. A replicate draws a Poisson weight for each
+    count, the same for both models, and an AUC divides by the weights of either class, so
+    classes are resampled each by itself. A score's order does not change from replicate to
+    replicate: tasks go through ranges of it once, for all replicates together, and ranges meet
+    in sums. ``delta`` is the gap of the rows as they are. Null scores are left out.
     """
-    cell = lambda c: F.floor(F.col(c) * cells)
-    counts = df.groupBy(F.col(actual).alias("actual"), cell(first).alias("first"), cell(second).alias("second")).agg(F.count("*").alias("n"))
-    draws = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "replicate", "actual", "first", "second"), F.lit(1 << 52)) + 1) / float((1 << 52) + 2)
-    normal = F.sqrt(-2 * F.ln(unit(0))) * F.cos(unit(1) * 6.283185307179586)
-    # A sum of n Poisson(1) weights: exact inversion for one row, the normal limit's rounding for more.
-    one = F.lit(0)
-    part = 0.36787944117144233
-    total = part
-    for k in range(1, 8):
-        one = one + (unit(2) > total).cast("int")
-        part /= k
-        total += part
-    many = F.greatest(F.lit(0), F.bround(F.col("n") + F.sqrt(F.col("n").cast("double")) * normal).cast("int"))
-    weighted = draws.withColumn("w", F.when(F.col("replicate") == 0, F.col("n")).when(F.col("n") == 1, one).otherwise(many)).where("w > 0")
-    both = auc(weighted, ["replicate"], "actual", "first", "w").withColumnRenamed("auc", "a").join(auc(weighted, ["replicate"], "actual", "second", "w").withColumnRenamed("auc", "b"), "replicate")
-    gap = both.withColumn("d", F.col("a") - F.col("b"))
+    counts = df.dropna(subset=[actual, first, second]).groupBy(F.col(actual).cast("int").alias("actual"), F.col(first).cast("double").alias("first"), F.col(second).cast("double").alias("second"))
+    counts = counts.agg(F.count("*").alias("n")).withColumn("key", F.xxhash64(F.lit(seed), "actual", "first", "second"))
+
+    def ranged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wins, below, pos, neg, hits = (np.zeros(replicates + 1) for _ in range(5))
+        score = part = None
+
+        def close() -> None:
+            # Equal scores count half.
+            wins.__iadd__(pos * (below + neg / 2))
+            below.__iadd__(neg)
+            hits.__iadd__(pos)
+            pos[:], neg[:] = 0, 0
+
+        for frame in frames:
+            for s, y, n, key, number in frame[["score", "actual", "n", "key", "part"]].itertuples(index=False):
+                if s != score:
+                    close()
+                score, part = s, number
+                weights = np.r_[n, np.random.Generator(np.random.Philox(key % (1 << 63))).poisson(n, replicates)]
+                (pos if y == 1 else neg).__iadd__(weights)
+        if part is not None:
+            close()
+            yield pd.DataFrame({"part": part, "replicate": np.arange(replicates + 1), "wins": wins, "pos": hits, "neg": below})
+
+    def areas(score: str) -> DataFrame:
+        ranges = counts.withColumn("score", F.col(score)).repartitionByRange("score").withColumn("part", F.spark_partition_id()).sortWithinPartitions("score")
+        sums = ranges.select("score", "actual", "n", "key", "part").mapInPandas(ranged, "part int, replicate int, wins double, pos double, neg double")
+        before = F.coalesce(F.sum("neg").over(Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        met = sums.withColumn("wins", F.col("wins") + F.col("pos") * before)
+        return met.groupBy("replicate").agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias(score))
+
     drawn = F.when(F.col("replicate") > 0, F.col("d"))
-    return gap.agg(
+    return areas("first").join(areas("second"), "replicate").withColumn("d", F.col("first") - F.col("second")).agg(
         F.count(drawn).alias("replicates"), F.max(F.when(F.col("replicate") == 0, F.col("d"))).alias("delta"),
         F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"), F.avg((drawn > 0).cast("double")).alias("p_better"),
     )
@@ -72,16 +93,26 @@ def volatility_persistence(df: DataFrame, keys: list[str], returns: str, horizon
     both = df.withColumns({"_back": back, "_ahead": ahead}).dropna(subset=["_back", "_ahead"])
     medians = both.groupBy(*keys).agg(F.percentile("_back", 0.5).alias("_mb"), F.percentile("_ahead", 0.5).alias("_ma"))
     same = (F.col("_back") > F.col("_mb")) == (F.col("_ahead") > F.col("_ma"))
-    return both.join(F.broadcast(medians), keys).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_back", "_ahead").alias("corr"), F.avg(same.cast("double")).alias("hit"))
+    return both.join(medians, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_back", "_ahead").alias("corr"), F.avg(same.cast("double")).alias("hit"))
 
 
-def ewma_volatility(df: DataFrame, keys: list[str], returns: str, decay: float = 0.94, rows: int = 250, ts: str = "ts") -> DataFrame:
-    """Add ``ewma_vol`` and ``inverse_vol`` over the last ``rows`` returns; older ones would weigh decay ** rows."""
-    r = Rolling(keys, ts)
-    squares = F.collect_list(F.pow(F.coalesce(F.col(returns), F.lit(0.0)), 2)).over(r.frame(rows))
-    df = df.withColumn("_q", squares)
-    variance = F.aggregate("_q", F.lit(0.0), lambda a, q: a * decay + (1 - decay) * q)
-    df = df.withColumn("ewma_vol", F.sqrt(variance)).drop("_q")
+def ewma_volatility(df: DataFrame, keys: list[str], returns: str, decay: float = 0.94, rows: int = 1000, ts: str = "ts") -> DataFrame:
+    """Add ``ewma_vol`` and ``inverse_vol``: the exponentially weighted volatility over all returns so far.
+
+    A series is cut into blocks of ``rows``. A block's running sum weighs each return by its place, and
+    what the blocks before leave, one number each, is carried over their whole length.
+    """
+    every = Window.partitionBy(*keys).orderBy(ts)
+    q = F.pow(F.coalesce(F.col(returns), F.lit(0.0)), 2) * (1 - decay)
+    df = df.withColumn("_i", F.row_number().over(every) - 1)
+    df = df.withColumns({"_b": F.floor(F.col("_i") / rows), "_k": (F.col("_i") % rows).cast("double"), "_q": q})
+    inside = F.sum(F.col("_q") * F.pow(F.lit(decay), -F.col("_k"))).over(Window.partitionBy(*keys, "_b").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
+    left = df.groupBy(*keys, "_b").agg(F.sum(F.col("_q") * F.pow(F.lit(decay), rows - 1 - F.col("_k"))).alias("_v"))
+    before = F.collect_list("_v").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    carry = F.aggregate(before, F.lit(0.0), lambda a, v: a * decay**rows + v)
+    df = df.join(left.select(*keys, "_b", carry.alias("_carry")), [*keys, "_b"])
+    variance = F.pow(F.lit(decay), F.col("_k")) * (inside + F.col("_carry") * decay)
+    df = df.withColumn("ewma_vol", F.sqrt(variance)).drop("_i", "_b", "_k", "_q", "_carry")
     return df.withColumn("inverse_vol", F.try_divide(F.lit(1.0), F.col("ewma_vol")))
 
 
@@ -89,7 +120,7 @@ def tail_risk(df: DataFrame, keys: list[str], returns: str, level: float = 0.99)
     """(keys, n, var, es): historical value at risk and expected shortfall, as losses."""
     cut = df.groupBy(*keys).agg(F.percentile(returns, 1 - level).alias("_q"))
     tail = F.when(F.col(returns) <= F.col("_q"), F.col(returns))
-    return df.join(F.broadcast(cut), keys).groupBy(*keys).agg(F.count(returns).alias("n"), (-F.first("_q")).alias("var"), (-F.avg(tail)).alias("es"))
+    return df.join(cut, keys).groupBy(*keys).agg(F.count(returns).alias("n"), (-F.first("_q")).alias("var"), (-F.avg(tail)).alias("es"))
 
 
 def stability_index(df: DataFrame, column: str, recent: str, edges: list[float]) -> DataFrame:
@@ -123,11 +154,12 @@ def profile(df: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:
 
 
 def families(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(family, n): the columns by the family their name tells."""
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    """(family, n, filled): the columns by the family their name tells, and how many values they hold."""
+    long = df.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("name", "v"))
     n = F.col("name")
     family = (
         F.when(n.endswith("_logret1"), "log return").when(n.endswith("_vol20"), "volatility").when(n.endswith("_rangepct"), "range")
         .when(n.endswith("_ma520"), "average ratio").when(n.startswith("spread_") | n.startswith("ratio_"), "spread").otherwise("level")
     )
-    return names.groupBy(family.alias("family")).agg(F.count("*").alias("n"))
+    by_name = long.groupBy("name").agg(F.count("v").alias("filled"))
+    return by_name.groupBy(family.alias("family")).agg(F.count("*").alias("n"), F.sum("filled").alias("filled"))

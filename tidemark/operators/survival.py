@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,18 +113,78 @@ def survival_at(curve: DataFrame, horizons: list[float], keys: list[str] = ()) -
     return grid.groupBy(*keys, "horizon").agg(F.coalesce(F.max_by("survival", F.when(F.col("t") <= F.col("horizon"), F.col("t"))), F.lit(1.0)).alias("survival"))
 
 
-def concordance(df: DataFrame, risk: str = "risk", duration: str = "duration", event: str = "event", keys: list[str] = ()) -> DataFrame:
+def dominance(order: np.ndarray, risk: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[float, float]:
+    """Pairs of a row marked ``first`` with one of greater ``order``, and those of them of lower risk, ties half.
+
+    The orders' bits are gone through: two orders first differ in one bit, so at each bit the rows
+    of one parent that have it are ranked by risk among those that have it not. The work is
+    n log n for each bit, and no pair is formed.
+    """
+    order = np.unique(order, return_inverse=True)[1]
+    total = good = 0.0
+    for bit in range(int(order.max(initial=0)).bit_length()):
+        parent, upper = order >> (bit + 1), (order >> bit) & 1
+        by_risk = np.lexsort((risk, parent))
+        p, r, c = parent[by_risk], risk[by_risk], np.where(upper[by_risk] == 1, count[by_risk], 0.0)
+        sums = np.r_[0.0, np.cumsum(c)]
+        new_parent = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        new_value = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (r[1:] != r[:-1])])
+        place = lambda heads: np.searchsorted(heads, np.arange(len(p)), side="right") - 1
+        ends = lambda heads: np.r_[heads[1:], len(p)]
+        base = sums[new_parent][place(new_parent)]
+        below, up_to = sums[new_value][place(new_value)] - base, sums[ends(new_value)][place(new_value)] - base
+        mine = np.where((upper[by_risk] == 0) & first[by_risk], count[by_risk], 0.0)
+        total += float(mine @ (sums[ends(new_parent)][place(new_parent)] - base))
+        good += float(mine @ ((below + up_to) / 2))
+    return total, good
+
+
+def concordance(df: DataFrame, risk: str = "risk", duration: str = "duration", event: str = "event", keys: list[str] = (), block: int = 50_000) -> DataFrame:
     """(keys, comparable, c_index): Harrell's index; ties of risk count half.
 
-    A pair compares if the shorter life ended in an event. Rows are counted by (duration, event,
-    risk) first; an event's cell meets all cells of longer lives, and of equally long censored ones.
+    A pair compares if the shorter life ended in an event; of equally long lives the event comes
+    first. Rows are counted by (duration, event, risk) first and dealt into ranges of duration and
+    of risk of about ``block`` of these cells. Pairs within a range of duration are counted there,
+    those of two such ranges within a range of risk there (see :func:`dominance`), and all others
+    from the ranges' counts alone. So no pairs are joined and no task gets more than a range.
+    Rows without risk or duration do not compare.
     """
-    cells = df.groupBy(*keys, F.greatest(F.col(duration).cast("double"), F.lit(0.5)).alias("t"), F.col(event).alias("e"), F.col(risk).alias("risk")).agg(F.count("*").alias("c"))
-    first = cells.where("e = 1").select(*keys, F.col("t").alias("t1"), F.col("risk").alias("r1"), F.col("c").alias("c1"))
-    later = (F.col("t") > F.col("t1")) | ((F.col("t") == F.col("t1")) & (F.col("e") == 0))
-    pairs = (first.join(cells, keys).where(later) if keys else first.join(cells, later)).withColumn("n", F.col("c") * F.col("c1"))
-    good = F.when(F.col("r1") > F.col("risk"), 1.0).when(F.col("r1") == F.col("risk"), 0.5).otherwise(0.0)
-    return pairs.groupBy(*keys).agg(F.sum("n").alias("comparable"), (F.sum(good * F.col("n")) / F.sum("n")).alias("c_index"))
+    keys = list(keys)
+    cells = df.groupBy(*keys, F.greatest(F.col(duration).cast("double"), F.lit(0.5)).alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("risk"))
+    cells = cells.agg(F.count("*").cast("double").alias("c")).dropna(subset=["t", "e", "risk"])
+    ranges = max(1, -(-cells.count() // block))
+    cuts = cells.agg(*[F.percentile_approx(c, [k / ranges for k in range(1, ranges)], 10_000) for c in ("t", "risk")]).first() if ranges > 1 else (None, None)
+    for c, out, found in zip(("t", "risk"), ("bt", "br"), cuts, strict=True):
+        splits = [-float("inf"), *sorted(set(found or [])), float("inf")]
+        cells = Bucketizer(splits=splits, inputCol=c, outputCol=out).transform(cells) if len(splits) > 2 else cells.withColumn(out, F.lit(0.0))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = (kinds + ", " if kinds else "") + "comparable double, good double"
+
+    def within(column: str):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            order = frame["bt"].to_numpy()
+            if column == "bt":
+                order = np.unique(np.stack([frame["t"].to_numpy(), frame["e"].to_numpy() == 0], axis=1), axis=0, return_inverse=True)[1].ravel()
+            found = dominance(order, frame["risk"].to_numpy(), frame["c"].to_numpy(), frame["e"].to_numpy() == 1)
+            return pd.DataFrame([[*(frame[k].iloc[0] for k in keys), *found]], columns=[*keys, "comparable", "good"])
+
+        return run
+
+    parts = cells.groupBy(*keys, "bt").applyInPandas(within("bt"), schema)
+    if ranges > 1:
+        parts = parts.unionByName(cells.groupBy(*keys, "br").applyInPandas(within("br"), schema))
+        grid = cells.groupBy(*keys, "bt", "br").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("e") == 1, F.col("c")).otherwise(0.0)).alias("d"))
+        # A full grid of ranges; its rows and columns are windows of ``ranges`` cells.
+        numbers = F.sequence(F.lit(0), F.lit(ranges)).cast("array<double>")
+        full = grid.select(*keys, "bt").distinct().withColumn("br", F.explode(numbers)).join(grid, [*keys, "bt", "br"], "left").fillna(0.0, ["c", "d"])
+        along = Window.partitionBy(*keys, "bt").orderBy("br")
+        later = Window.partitionBy(*keys, "br").orderBy(F.desc("bt")).rowsBetween(Window.unboundedPreceding, -1)
+        full = full.withColumn("low", F.coalesce(F.sum("c").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        full = full.withColumn("other", F.sum("c").over(Window.partitionBy(*keys, "bt")) - F.col("c"))
+        sums = full.withColumns({"low": F.coalesce(F.sum("low").over(later), F.lit(0.0)), "other": F.coalesce(F.sum("other").over(later), F.lit(0.0))})
+        parts = parts.unionByName(sums.select(*keys, (F.col("d") * F.col("other")).alias("comparable"), (F.col("d") * F.col("low")).alias("good")))
+    out = parts.groupBy(*keys).agg(F.sum("comparable").cast("bigint").alias("comparable"), F.sum("good").alias("good"))
+    return out.select(*keys, "comparable", F.try_divide("good", F.col("comparable").cast("double")).alias("c_index"))
 
 
 def fit_cox(df: DataFrame, features: list[str], duration: str = "duration", event: str = "event", penalty: float = 0.1, steps: int = 25) -> np.ndarray:
@@ -156,14 +217,15 @@ def fit_cox(df: DataFrame, features: list[str], duration: str = "duration", even
             died = np.r_[row[2], ones[:, 1], twos[:, 1]]
             d = int(row[3])
             gradient += ones[:, 2]
-            for k in range(d):
-                s = at_risk - k / d * died
-                mean = s[1 : 1 + p] / s[0]
+            if d:
+                # Efron's terms of all deaths of this duration at once.
+                terms = at_risk - (np.arange(d) / d)[:, None] * died
+                means = terms[:, 1 : 1 + p] / terms[:, :1]
                 second = np.zeros((p, p))
-                for (i, j), v in zip(pairs, s[1 + p :] / s[0], strict=True):
+                for (i, j), v in zip(pairs, (terms[:, 1 + p :] / terms[:, :1]).sum(0), strict=True):
                     second[i, j] = second[j, i] = v
-                gradient -= mean
-                hessian -= second - np.outer(mean, mean)
+                gradient -= means.sum(0)
+                hessian -= second - means.T @ means
         move = np.linalg.solve(hessian, gradient)
         beta = beta - move
         if np.abs(move).max() < 1e-9:
@@ -206,12 +268,14 @@ def integrated_brier(test: DataFrame, train: DataFrame, horizons: list[float], d
     spans = test.agg(F.min(duration).alias("_lo"), F.max(duration).alias("_hi"))
     rows = test.join(F.broadcast(spans)).where((F.col("horizon") > F.col("_lo")) & (F.col("horizon") < F.col("_hi")))
     t = F.greatest(F.col(duration).cast("double"), F.lit(0.5))
-    steps = F.array_sort(F.collect_list(F.struct("_t", "_g")))
-    curve = censoring.agg(steps.alias("_curve"))  # one pair per distinct duration
-    at = lambda x: F.coalesce(F.element_at(F.filter("_curve", lambda c: c["_t"] <= x), -1)["_g"], F.lit(1.0))
-    rows = rows.join(F.broadcast(curve))
+    # The curve at all times that are asked for: one row per distinct duration, joined by time.
+    asked = rows.select(t.alias("_t")).union(rows.select(F.col("horizon").cast("double"))).distinct().withColumn("_g", F.lit(None).cast("double"))
+    filled = F.last("_g", ignorenulls=True).over(Window.orderBy("_t", F.col("_g").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    curve = censoring.unionByName(asked).select("_t", F.coalesce(filled, F.lit(1.0)).alias("_g"), F.col("_g").isNull().alias("_asked")).where("_asked").drop("_asked")
+    rows = rows.withColumn("_t", t).join(curve.withColumnRenamed("_g", "_at_end"), "_t", "left").drop("_t")
+    rows = rows.withColumn("_t", F.col("horizon").cast("double")).join(curve.withColumnRenamed("_g", "_at_horizon"), "_t", "left").drop("_t")
     died = (t <= F.col("horizon")) & (F.col(event) == 1)
-    part = F.when(died, F.try_divide(F.pow("survival", 2), at(t))).when(t > F.col("horizon"), F.try_divide(F.pow(1 - F.col("survival"), 2), at(F.col("horizon")))).otherwise(0.0)
+    part = F.when(died, F.try_divide(F.pow("survival", 2), F.col("_at_end"))).when(t > F.col("horizon"), F.try_divide(F.pow(1 - F.col("survival"), 2), F.col("_at_horizon"))).otherwise(0.0)
     by_horizon = rows.groupBy("horizon").agg(F.avg(F.coalesce(part, F.lit(0.0))).alias("bs"))
     w = Window.partitionBy().orderBy("horizon")  # one row a horizon
     area = by_horizon.withColumns({"_dx": F.col("horizon") - F.lag("horizon").over(w), "_y": (F.col("bs") + F.lag("bs").over(w)) / 2})

@@ -134,10 +134,29 @@ def daily_predictions(spark, sf_dir):
     )
 
 
-@query("o5_o6_outlier_control")
+CONTROL = """j as (select p_brand as series_id, x.ts, predicted, forecast, outcome from predictions x join lineitem l using (l_orderkey, l_linenumber) join part on l.l_partkey = p_partkey),
+    d as (select series_id, ts, round(avg((predicted = 'A')::int), 6) as pa, round(avg((predicted = 'N')::int), 6) as pn, round(avg((predicted = 'R')::int), 6) as pr,
+        round(avg(forecast), 6) as ret, max(predicted) as called, round(avg(abs(outcome)), 6) as distance from j group by 1, 2),
+    e as (select *, -list_sum(list_transform([pa, pn, pr], lambda p: least(greatest(p, 1e-12), 1) * ln(least(greatest(p, 1e-12), 1)))) / ln(3) as h,
+        case when count(ret) over b >= 5 then stddev_pop(ret) over b end as base from d window b as (partition by series_id order by ts rows between 19 preceding and current row)),
+    s as (select *, coalesce(base / (case when count(base) over b >= 5 then avg(base) over b end + 1e-8), 1.0) as spike from e window b as (partition by series_id order by ts rows between 19 preceding and current row)),
+    x as (select *, list({'pa': pa, 'pn': pn, 'pr': pr, 'd': 1 - exp(-distance), 'h': h, 's': 1 - 2 / (exp(2 * greatest(spike - 1, 0)) + 1), 'c': called}) over (partition by series_id order by ts rows between 9 preceding and current row) as past from s),
+    r as (select *, list_transform(range(len(past)), lambda i: pow(0.01, i / 10.0)) as raw from x),
+    w as (select *, list_transform(raw, lambda v: v / list_sum(raw)) as w from r),
+    v as (select *, list_sum(list_transform(range(1, len(past) + 1), lambda i: w[i] * past[i].pa)) as va, list_sum(list_transform(range(1, len(past) + 1), lambda i: w[i] * past[i].pn)) as vn,
+        list_sum(list_transform(range(1, len(past) + 1), lambda i: w[i] * past[i].pr)) as vr from w),
+    t as (select *, greatest(va, vn, vr) as top from v),
+    y as (select *, case when abs(va - top) < 1e-9 then 'A' when abs(vn - top) < 1e-9 then 'N' else 'R' end as dominant from t),
+    z as (select *, list_sum(list_transform(range(1, len(past) + 1), lambda i: w[i] * (0.45 * past[i].d + 0.25 * past[i].h + 0.2 * past[i].s + 0.1 * (past[i].c <> dominant)::int))) as score from y)
+    select series_id, ts, round(spike, 4) as volatility_spike, dominant as dominant_pattern_window, round(top, 4) as dominant_confidence_window, round(score, 4) as weighted_outlier_score,
+        cast(score >= 0.68 or top < 0.55 or distance >= 2.5 as int) as outlier_flag from z"""
+
+
+@query("o5_o6_outlier_control", sql(CONTROL, "predictions"))
 def o5(spark, sf_dir):
     rows = outliers.with_entropy(daily_predictions(spark, sf_dir), ["prob_A", "prob_N", "prob_R"])
-    return outliers.control(rows, KEYS, ["A", "N", "R"], "ts")
+    out = outliers.control(rows, KEYS, ["A", "N", "R"], "ts")
+    return rounded(out.select(*KEYS, "ts", "volatility_spike", "dominant_pattern_window", "dominant_confidence_window", "weighted_outlier_score", "outlier_flag"), 4)
 
 
 @query("o2_weighted_vote", sql("select series_id, predicted, round(sum(probability), 2) as vote from predictions group by 1, 2", "predictions"))
@@ -148,8 +167,9 @@ def o2(spark, sf_dir):
 def lives(spark, sf_dir):
     """Durations with an event flag and a risk, from line items."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_quantity").alias("duration"), (F.col("l_returnflag") == "R").cast("int").alias("event"), F.floor(F.col("l_discount") * 50).alias("risk"), (F.col("l_orderkey") % 3).alias("part")
-    )
+        F.col("l_quantity").alias("duration"), (F.col("l_returnflag") == "R").cast("int").alias("event"), F.floor(F.col("l_discount") * 50).alias("risk"), (F.col("l_orderkey") % 3).alias("part"),
+        "l_extendedprice", "l_linenumber",
+    )
 
 
 LIVES = "lives as (select l_quantity as duration, cast(l_returnflag = 'R' as int) as event, floor(l_discount * 50) as risk, l_orderkey % 3 as part from lineitem)"
@@ -168,11 +188,12 @@ def v2h(spark, sf_dir):
     return rounded(survival.survival_at(survival.kaplan_meier(lives(spark, sf_dir)), [5, 10, 20]))
 
 
-@query("v5_j9_concordance", f"""with {LIVES}, c as (select duration as t, event as e, risk, count(*) as n from lives group by 1, 2, 3)
-    select cast(sum(a.n * b.n) as bigint) as comparable, round(sum(a.n * b.n * case when a.risk > b.risk then 1 when a.risk = b.risk then 0.5 else 0 end) / sum(a.n * b.n), 6) as c_index
-    from c a join c b on a.e = 1 and (b.t > a.t or (b.t = a.t and b.e = 0))""")
+@query("v5_j9_concordance", f"""with c as (select part, t, e, risk, count(*) as n from (select l_linenumber as part, l_quantity as t, cast(l_returnflag = 'R' as int) as e, l_extendedprice as risk from lineitem) group by all)
+    select part, cast(sum(a.n * b.n) as bigint) as comparable, round(sum(a.n * b.n * case when a.risk > b.risk then 1 when a.risk = b.risk then 0.5 else 0 end) / sum(a.n * b.n), 6) as c_index
+    from c a join c b using (part) where a.e = 1 and (b.t > a.t or (b.t = a.t and b.e = 0)) group by part""")
 def v5(spark, sf_dir):
-    return rounded(survival.concordance(lives(spark, sf_dir)))
+    rows = lives(spark, sf_dir).drop("part", "risk").withColumnsRenamed({"l_extendedprice": "risk", "l_linenumber": "part"})
+    return rounded(survival.concordance(rows, keys=["part"]))
 
 
 @query("v6_v7_integrated_brier", f"""with {LIVES}, {KM.format('g', '1 - event', 'where part <> 0')},

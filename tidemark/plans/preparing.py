@@ -47,12 +47,12 @@ def s2(spark, sf_dir):
     return single(cal.clip(flag_daily(spark, sf_dir), "1996-03-01", "1996-06-30"))
 
 
-@query("s6_load_prices", """with p as (select cast(o_orderdate as date) as ts, avg(o_totalprice) as v from orders where o_orderkey % 3 = 0 group by 1),
+@query("s6_load_prices", f"""with p as (select cast(o_orderdate as date) as ts, avg(o_totalprice) as v from orders group by 1),
     c as (select cast(unnest(generate_series(min(ts), max(ts), interval 1 day)) as date) as ts from p)
-    select ts, round(last_value(v ignore nulls) over (order by ts), 4) as value from c left join p using (ts) where isodow(ts) < 6""")
+    select ts, {f32("last_value(v ignore nulls) over (order by ts)")} as value from c left join p using (ts) where isodow(ts) < 6""")
 def s6(spark, sf_dir):
-    daily = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_orderdate").cast("date").alias("fecha")).agg(F.avg("o_totalprice").alias("Close"))
-    return rounded(series.load_prices(daily), 4)
+    daily = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("fecha")).agg(F.avg("o_totalprice").alias("Close"))
+    return single(series.load_prices(daily))
 
 
 @query("s7_bundle_zscores", sql("""m as (select avg(p_a) ma, stddev_samp(p_a) sa, avg(p_n) mn, stddev_samp(p_n) sn, avg(p_r) mr from market_wide)
@@ -316,6 +316,7 @@ def w18(spark, sf_dir):
     m as (select series_id, start, "end", list_sum(list_transform(generate_series(1, 32), lambda i: p[i] * (i - 16.5::double))) / 2728 as slope from w where "end" % 3 = 0)
     select w.series_id, w.start, w."end", {f32("w.value")} as price, round(m.slope, 5) as slope from w left join m using (series_id, start, "end")""", "flag_daily"))
 def j3(spark, sf_dir):
+    """Every window with its price; every third has a line, so that the left join finds some without."""
     rows = windows.sliding(flag_daily(spark, sf_dir), KEYS)
     lines = rows.where("`end` % 3 = 0").select("series_id", "start", "end", F.round(arrays.slope(F.col("prices")), 5).alias("slope"))
     out = rows.select("series_id", "start", "end", F.element_at("prices", -1).cast("float").cast("double").alias("price")).join(lines, ["series_id", "start", "end"], "left")
@@ -330,13 +331,16 @@ def j6(spark, sf_dir):
     return bundle.raw.join(z, "date").select(F.col("date").alias("ts"), F.col("p_a").cast("float").cast("double").alias("p_a"), F.round("z__p_a", 6).alias("z__p_a"))
 
 
-@query("x6_extended_history", sql("""select ts, cast(cast(p_a as float) as double) as p_a from market_wide where p_a is not null""", "market_wide"))
+@query("x6_extended_history", sql(f"""w as (select ts, p_a, case when ts > date '1999-01-01' then p_n end as p_n from market_wide),
+    u as (unpivot w on p_a, p_n into name feature value v), late as (select feature from u group by 1 order by min(ts) desc, feature limit 1)
+    select ts, feature, {f32("v")} as value from u where feature not in (select feature from late)""", "market_wide"))
 def x6(spark, sf_dir):
     """Columns that start late are dropped, so that rows before them count."""
     wide = market_wide(spark, sf_dir).select("ts", "p_a", F.when(F.col("ts") > "1999-01-01", F.col("p_n")).alias("p_n"))
     late = [r["feature"] for r in features.latest_starters(wide, ["p_a", "p_n"], 1).collect()]
-    kept = cal.select_matching(wide, None, drop=[f"^{c}$" for c in late])
-    return single(wide.select("ts", *kept).dropna())
+    kept = cal.select_matching(wide, None, drop=[f"^{c}$" for c in [*late, "ts"]])
+    long = wide.select("ts", *kept).dropna().unpivot(["ts"], kept, "feature", "value")
+    return long.withColumn("value", F.col("value").cast("float").cast("double"))
 
 
 @query("r9_weak_label_summary")
@@ -406,6 +410,30 @@ def e2(spark, sf_dir):
     return out.select("series_id", "ts", F.round(encode.mean_pixel("image"), 3).alias("gasf"))
 
 
+@query("e2_difference_field", sql(f"""{PLAIN}, u as (select series_id, ts, list_transform(p, lambda x: 2 * (x - list_min(p)) / (list_max(p) - list_min(p)) - 1) as c from w)
+    select series_id, ts, cast(cast(round(cast(cast(sqrt(greatest(0, 1 - c[2] * c[2])) * c[31] - c[2] * sqrt(greatest(0, 1 - c[31] * c[31])) as float) as double), 3) as decimal(18, 3)) as double) as gadf from u""", "flag_daily"))
+def e2d(spark, sf_dir):
+    """One pixel of the difference field, whose mean is zero by its symmetry: second row, last column but one."""
+    out = encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "gadf")
+    return out.select("series_id", "ts", F.round(F.element_at("image", 32 + 31).cast("double"), 3).cast("decimal(18,3)").cast("double").alias("gadf"))
+
+
+@query("e3_recurrence_level", sql(f"""{PLAIN}, g as (select series_id, ts, flatten(list_transform(p, lambda a: list_transform(p, lambda b: abs(a - b)))) as g from w),
+    q as (select *, list_aggregate(g, 'quantile_cont', 0.2) as s from g)
+    select series_id, ts, round(list_avg(list_transform(g, lambda x: exp(-x / case when s > 0 then s else 1 end))), 3) as level from q""", "flag_daily"))
+def e3m(spark, sf_dir):
+    out = encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "recurrence")
+    return out.select("series_id", "ts", F.round(encode.mean_pixel("image"), 3).alias("level"))
+
+
+@query("e1_scaled_window", sql(f"""{PLAIN}, u as (select series_id, ts, list_transform(p, lambda x: cast(cast(2 * (x - list_min(p)) / (list_max(p) - list_min(p)) - 1 as float) as double)) as c from w)
+    select series_id, ts, cast(cast(round(list_sum(c), 3) as decimal(18, 3)) as double) as total, cast(cast(round(list_sum(list_transform(generate_series(1, 32), lambda i: i * c[i])), 2) as decimal(18, 3)) as double) as moment from u""", "flag_daily"))
+def e1s(spark, sf_dir):
+    out = encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "scaled")
+    c = F.transform("image", lambda x, i: x.cast("double") * (i + 1))
+    return out.select("series_id", "ts", F.round(arrays.total(F.transform("image", lambda x: x.cast("double"))), 3).cast("decimal(18,3)").cast("double").alias("total"), F.round(arrays.total(c), 2).cast("decimal(18,3)").cast("double").alias("moment"))
+
+
 @query("e3_recurrence_plot")
 def e3(spark, sf_dir):
     out = encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "recurrence", 8)
@@ -422,7 +450,7 @@ def e5(spark, sf_dir):
 
 @query("e8_price_encoding")
 def e8(spark, sf_dir):
-    return encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS, stride=8), "image", 16).select("series_id", "end", "image")
+    return encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "image", 16).select("series_id", "end", "image")
 
 
 @query("j1_merge_series", sql("""a as (select ts, value as a from flag_daily where series_id = 'A' and day(ts) <> 5), b as (select ts, value as b from flag_daily where series_id = 'N' and day(ts) <> 6)

@@ -56,12 +56,12 @@ def r4(spark, sf_dir):
     return rounded(evaluation.regression(predictions(spark, sf_dir), KEYS, [("return", "forecast", "outcome")]))
 
 
-@query("r5_j2_evaluation", sql("""t as (select l_orderkey, l_linenumber, truth, outcome from predictions where l_orderkey % 10 <> 0)
+@query("r5_j2_evaluation", sql("""t as (select l_orderkey, l_linenumber, truth, outcome from predictions)
     select count(*) as n, count(t.truth) as known, count(*) filter (where p.predicted = t.truth) as hits, round(avg(abs(p.forecast - t.outcome)), 6) as mae
     from predictions p left join t using (l_orderkey, l_linenumber)""", "predictions"))
 def r5(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    truth = p.where("l_orderkey % 10 <> 0").select("l_orderkey", "l_linenumber", F.col("truth").alias("t"), F.col("outcome").alias("o"))
+    truth = p.select("l_orderkey", "l_linenumber", F.col("truth").alias("t"), F.col("outcome").alias("o"))
     joined = p.join(truth, ["l_orderkey", "l_linenumber"], "left")
     return rounded(joined.agg(F.count("*").alias("n"), F.count("t").alias("known"), F.sum((F.col("predicted") == F.col("t")).cast("bigint")).alias("hits"), F.avg(F.abs(F.col("forecast") - F.col("o"))).alias("mae")))
 
@@ -174,11 +174,13 @@ def a2(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@query("a3_feature_families", "select 'average ratio' as family, max(l_linenumber) * 0 + 1 as n from lineitem union all select 'level', 4 from region where r_regionkey = 0 union all select 'log return', 1 from region where r_regionkey = 0")
+@query("a3_feature_families", sql("""w as (select p_a, p_n, p_r, eurusd, inflation, ln(p_a) as p_a_logret1, p_n as p_n_ma520, p_r - p_a as spread_r_a from market_wide),
+    u as (select * from w unpivot include nulls (v for feature in (p_a, p_n, p_r, eurusd, inflation, p_a_logret1, p_n_ma520, spread_r_a))),
+    f as (select feature, case when ends_with(feature, '_logret1') then 'log return' when ends_with(feature, '_ma520') then 'average ratio' when starts_with(feature, 'spread_') then 'spread' else 'level' end as family, count(v) as c from u group by 1)
+    select family, count(*) as n, cast(sum(c) as bigint) as filled from f group by 1""", "market_wide"))
 def a3(spark, sf_dir):
-    wide = market_wide(spark, sf_dir).withColumns({"p_a_logret1": F.ln("p_a"), "p_a_ma520": F.col("p_a")})
-    out = robustness.families(wide, [c for c in wide.columns if c not in ("ts", "series_id", "inflation")])
-    return out.withColumn("n", F.col("n").cast("int"))
+    wide = market_wide(spark, sf_dir).withColumns({"p_a_logret1": F.ln("p_a"), "p_n_ma520": F.col("p_n"), "spread_r_a": F.col("p_r") - F.col("p_a")})
+    return robustness.families(wide, [c for c in wide.columns if c not in ("ts", "series_id")])
 
 
 @query("a4_a6_r8_profile", sql("""u as (unpivot (select ts, p_a, eurusd, case when ts > date '1997-01-01' then inflation end as inflation from market_wide) on p_a, eurusd, inflation into name feature value v)
@@ -205,8 +207,8 @@ def a10(spark, sf_dir):
 
 @query("x1_bootstrap_auc_gap")
 def x1(spark, sf_dir):
-    rows = predictions(spark, sf_dir).withColumn("other", F.least(F.greatest(F.col("probability") * 0.5 + 0.2 * F.col("actual"), F.lit(0.0)), F.lit(0.999)))
-    return robustness.bootstrap_auc_gap(rows.withColumn("probability", F.least("probability", F.lit(0.999))), "other", "probability")
+    rows = predictions(spark, sf_dir).withColumn("other", F.col("probability") + F.col("forecast") * 0.3)
+    return robustness.bootstrap_auc_gap(rows, "other", "probability")
 
 
 CUTS = ["1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01"]
@@ -274,10 +276,10 @@ def risk_tail(spark, sf_dir):
 
 
 @query("risk_ewma_volatility", sql("""q as (select series_id, ts, row_number() over (partition by series_id order by ts) as i, coalesce(pow(ln(value) - lag(ln(value)) over (partition by series_id order by ts), 2), 0) as s from flag_daily)
-    select a.series_id, a.ts, round(sqrt(sum(0.06 * pow(0.94, a.i - b.i) * b.s)), 5) as ewma_vol from q a join q b on a.series_id = b.series_id and b.i between a.i - 99 and a.i group by 1, 2""", "flag_daily"))
+    select a.series_id, a.ts, round(sqrt(sum(0.06 * pow(0.94, a.i - b.i) * b.s)), 5) as ewma_vol from q a join q b on a.series_id = b.series_id and b.i <= a.i group by 1, 2""", "flag_daily"))
 def risk_ewma(spark, sf_dir):
     r = Rolling(KEYS)
-    out = robustness.ewma_volatility(flag_daily(spark, sf_dir).withColumn("lr", r.log_return(F.col("value"))), KEYS, "lr", rows=100)
+    out = robustness.ewma_volatility(flag_daily(spark, sf_dir).withColumn("lr", r.log_return(F.col("value"))), KEYS, "lr", rows=400)
     return rounded(out.select("series_id", "ts", "ewma_vol"), 5)
 
 
