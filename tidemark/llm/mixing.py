@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, store, weighted_cuts, whole_row
+from .common import BROADCAST_BYTES, WORD, store, weighted_cuts, whole_row
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -42,22 +42,27 @@ def hashed(docs: DataFrame, seed: int, id_col: str, text_col: str) -> Column:
 
 
 def source_rates(table: DataFrame, weigh: Callable[[list], list[float]], share: float, max_epochs: float) -> DataFrame:
-    """One row per source of a stored table (source, size, hash): target, whole repetitions, and where one more ends."""
+    """One row per source of a stored table (source, size, hash): target, whole repetitions, and where one more ends.
+
+    It is marked to be broadcast while it is small.
+    """
     sums = table.groupBy("source").agg(F.sum("size").alias("size")).collect()
     sums = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [int(r["size"]) for r in sums]
     targets = water_fill(sizes, weigh([r["source"] for r in sums]), share * sum(sizes), max_epochs)
     whole = [math.floor(t / n) if n else 0 for n, t in zip(sizes, targets, strict=True)]
     kind = table.schema["source"].dataType.simpleString()
+    # Beyond the bound a shuffle joins them, whose hot sources Spark splits.
+    sent = F.broadcast if sum(len(r["source"] or "") + 64 for r in sums) <= BROADCAST_BYTES else lambda df: df
     names = table.sparkSession.createDataFrame([(k, r["source"]) for k, r in enumerate(sums)], f"code int, _source {kind}")
-    coded = table.join(names, F.col("source").eqNullSafe(F.col("_source")))
+    coded = table.join(sent(names), F.col("source").eqNullSafe(F.col("_source")))
     needs = {k: t - w * n for k, (n, t, w) in enumerate(zip(sizes, targets, whole, strict=True)) if n and t > w * n}
     cuts = weighted_cuts(coded, "code", ["hash"], "size", needs) if needs else {}
     rows = []
     for k, (r, n, t, w) in enumerate(zip(sums, sizes, targets, whole, strict=True)):
         (at, *_), inclusive = cuts.get(k, ([0], False))
         rows.append((r["source"], n, t, w, at + inclusive))
-    return table.sparkSession.createDataFrame(rows, f"_source {kind}, source_size bigint, target double, _whole int, _more_below bigint")
+    return sent(table.sparkSession.createDataFrame(rows, f"_source {kind}, source_size bigint, target double, _whole int, _more_below bigint"))
 
 
 def sizes_table(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -95,9 +100,8 @@ def mix_plan(
     point is found by distributed sums. The same rows and seed give the same mix. Rows alike in
     id and text have the same hash and are taken alike; null and empty texts are taken by the same
     rule, as often as their source's others. Null ids and sources are values like others; other
-    columns are not read; an empty table gives no rows. The driver gets one row a source; Spark
-    broadcasts those while they are small and joins them by a shuffle, whose hot sources it
-    splits, beyond. Returns the id, size, source, source_size, target, repeats, taken.
+    columns are not read; an empty table gives no rows. The driver gets one row a source; they
+    are broadcast up to ``BROADCAST_BYTES`` and joined by a shuffle beyond. Returns the id, size, source, source_size, target, repeats, taken.
     """
     table = sizes_table(docs, seed, id_col, text_col, source_col)
     rates = source_rates(table, weigh, share, max_epochs)
