@@ -110,6 +110,43 @@ def test_quality_on_awkward_rows(spark, docs, odd, none):
     assert quality.keep_good(odd, labels).count() <= 6 and quality.keep_good(none, labels).count() == 0
 
 
+def test_features_match_plain_counts():
+    rng = random.Random(2)
+    texts = ["The cat sat. The end!\nBUY | NOW 42%\n\nthe cat sat.", "x", "é é\tÀb  c;", "".join(rng.choice("ab C9.!|\né") for _ in range(500))]
+    for text in texts:
+        data, words = text.encode(), words_of(text)
+        got = dict(zip(quality.FEATURES, quality.features(data), strict=True))
+        lower, lines = [w.lower() for w in words], [x for x in data.split(b"\n") if x.strip()]
+        share = lambda test: sum(map(test, data)) / len(data)
+        want = {
+            "log_words": np.log(1 + len(words)), "word_length": sum(map(len, words)) / len(words), "upper": share(lambda c: 65 <= c <= 90), "digits": share(lambda c: 48 <= c <= 57),
+            "non_ascii": share(lambda c: c > 127), "shouts": data.count(b"!") / len(data), "pipes": data.count(b"|") / len(data), "distinct_words": len(set(lower)) / len(words),
+            "top_word": max(map(lower.count, lower)) / len(words), "log_lines": np.log(1 + len(lines)), "distinct_lines": len(set(lines)) / len(lines),
+            "byte_entropy": -sum(data.count(c) / len(data) * np.log2(data.count(c) / len(data)) for c in set(data)),
+            "distinct_pairs": len(set(zip(lower, lower[1:]))) / max(1, len(words) - 1), "function_words": sum(w in quality.FUNCTION_WORDS for w in lower) / len(words),
+        }
+        assert {k: got[k] for k in want} == pytest.approx(want)
+    assert set(quality.features(b" \n")) == {0.0}
+
+
+def test_trees_match_an_exhaustive_search():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        g, h = rng.normal(size=7), rng.random(7) + 0.1
+        gain = lambda *parts: sum(g[p].sum() ** 2 / (h[p].sum() + 2.0) for p in parts)
+        cuts = {k: gain(slice(0, k), slice(k, 7)) for k in range(1, 7)}
+        k = max(cuts, key=cuts.get)
+        parts = [slice(0, k), slice(k, 7)] if cuts[k] > gain(slice(0, 7)) + 1e-12 else [slice(0, 7)]
+        assert quality.leaves(g, h, 1, 2.0) == pytest.approx(np.concatenate([np.full(len(g[p]), g[p].sum() / (h[p].sum() + 2.0)) for p in parts]))
+        a, b = rng.normal(size=(4, 5)), rng.random((4, 5)) + 0.1
+        cells = lambda i, j: [(slice(None, i), slice(None, j)), (slice(None, i), slice(j, None)), (slice(i, None), slice(None, j)), (slice(i, None), slice(j, None))]
+        best = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda c: sum(a[x].sum() ** 2 / (b[x].sum() + 2.0) for x in cells(*c)))
+        step = np.empty((4, 5))
+        for x in cells(*best):
+            step[x] = a[x].sum() / (b[x].sum() + 2.0)
+        assert quality.quadrants(a, b, 2.0) == pytest.approx(step)
+
+
 def test_lookup_tables_add_up():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 8, (4000, 2))
@@ -137,7 +174,7 @@ def kept_by_brute_force(rows, window):
     return out
 
 
-@pytest.mark.parametrize("batches,hot", [(1, 5), (3, 512), (2, 2)])
+@pytest.mark.parametrize("batches,hot", [(1, 512), (3, 2)])
 def test_substring_dedup_matches_brute_force(docs, rows, batches, hot):
     out = substring_dedup.remove_repeats(docs, batches=batches, hot=hot, with_text=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == kept_by_brute_force(rows, 20)
@@ -156,7 +193,7 @@ def test_substring_dedup_on_awkward_rows(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("batches,hot,parts", [(2, 512, 1), (2, 2, 3)])
+@pytest.mark.parametrize("batches,hot,parts", [(2, 2, 3)])
 def test_substring_dedup_tells_texts_of_one_id_apart(spark, batches, hot, parts):
     prose = lambda seed, n: " ".join(str(random.Random(seed * 1000 + k).random()) for k in range(n))
     texts = ["a " * 70, None, "", "short one", prose(1, 50), prose(1, 25) + " " + prose(2, 30), prose(2, 40), "b " * 30]
@@ -181,7 +218,7 @@ def test_substring_dedup_compares_words_not_hashes(spark):
     assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 0, 3: 20}
 
 
-@pytest.mark.parametrize("fanout", [2, 4])
+@pytest.mark.parametrize("fanout", [2])
 def test_index_stays_for_later_runs(spark, tmp_path, rows, fanout):
     """Batches in separate runs, each opening the index anew, give what one run over all gives."""
     folder, got = f"file://{tmp_path}/index", {}
