@@ -148,11 +148,12 @@ def test_episodes_match_a_plain_scan(spark, confirm, min_life):
         assert all((r.end_date - r.start_date).days == r.duration and r.event == int(r.breakout_dir != "") for r in got)
 
 
-def test_cox_finds_the_maximum_of_its_likelihood(spark):
+@pytest.mark.parametrize("block", [2, 50_000])
+def test_cox_finds_the_maximum_of_its_likelihood(spark, block):
     rng = random.Random(5)
     rows = [(float(rng.randint(1, 6)), int(rng.random() < 0.7), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(80)]
     df = spark.createDataFrame(rows, "duration double, event int, x double, y double")
-    beta = survival.fit_cox(df, ["x", "y"])
+    beta = survival.fit_cox(df, ["x", "y"], block=block)
 
     def likelihood(b):
         out = -0.05 * len(rows) * float(b @ b)
@@ -167,6 +168,51 @@ def test_cox_finds_the_maximum_of_its_likelihood(spark):
     assert all(likelihood(beta + np.array(d)) <= top + 1e-9 for d in ([0.02, 0], [-0.02, 0], [0, 0.02], [0, -0.02]))
 
 
+def test_efron_sums_of_any_number_of_ties():
+    deaths = np.array([1, 2, 31, 33, 200, 5000])
+    at_risk, died = np.array([3.0, 2.0, 40.0, 33.1, 900.0, 1e9]), np.array([0.1, 2.0, 9.0, 33.0, 80.0, 4e3])
+    d, one, two = survival.efron(at_risk, died, deaths)
+    for k in range(len(deaths)):
+        u = at_risk[k] - np.arange(deaths[k]) / deaths[k] * died[k]
+        assert d[k] == deaths[k] and one[k] == pytest.approx((1 / u).sum(), rel=1e-10) and two[k] == pytest.approx((1 / u**2).sum(), rel=1e-10)
+
+
+@pytest.mark.parametrize("block", [3, 50_000])
+def test_survival_curves_by_ranges(spark, block):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), float(rng.choice([0, 1, 4, rng.randint(1, 30)])), rng.randint(0, 1), rng.random() + 0.5) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, duration double, event int, risk double")
+    curve = {(r.k, r.t): r for r in survival.kaplan_meier(df, ["k"], block=block).collect()}
+    hazard = {r.t: r.hazard for r in survival.baseline_hazard(df, block=block).collect()}
+    for key in ("a", "b", None):
+        s = 1.0
+        mine = [(max(t, 0.5), e) for k, t, e, _ in rows if k == key]
+        for t in sorted({t for t, _ in mine}):
+            at_risk, died = sum(u >= t for u, _ in mine), sum(e for u, e in mine if u == t)
+            s *= 1 - died / at_risk
+            assert (curve[key, t].at_risk, curve[key, t].deaths) == (at_risk, died) and curve[key, t].survival == pytest.approx(s)
+    total = 0.0
+    for t in sorted({max(r[1], 0.5) for r in rows}):
+        total += sum(r[2] for r in rows if max(r[1], 0.5) == t) / sum(r[3] for r in rows if max(r[1], 0.5) >= t)
+        assert hazard[t] == pytest.approx(total)
+    test = df.withColumn("horizon", F.explode(F.array(*map(F.lit, (2.0, 5.0, 11.0))))).withColumn("survival", F.exp(-F.col("horizon") * F.col("risk") / 20))
+    got = survival.integrated_brier(test, df, [2.0, 5.0, 11.0], block=block).first()
+    whole = [(max(t, 0.5), e, r) for _, t, e, r in rows]
+
+    def free(at):
+        out = 1.0
+        for t in sorted({t for t, _, _ in whole if t <= at}):
+            out *= 1 - sum(1 - e for u, e, _ in whole if u == t) / sum(u >= t for u, _, _ in whole)
+        return out
+
+    def brier(h):
+        parts = [math.exp(-h * r / 20) ** 2 / free(t) if t <= h and e else (1 - math.exp(-h * r / 20)) ** 2 / free(h) if t > h else 0.0 for t, e, r in whole]
+        return sum(parts) / len(parts)
+
+    b = [brier(h) for h in (2.0, 5.0, 11.0)]
+    assert got.n_grid == 3 and got.ibs == pytest.approx((3 * (b[0] + b[1]) / 2 + 6 * (b[1] + b[2]) / 2) / 9)
+
+
 def test_classification_of_a_published_kind_of_matrix(spark):
     rows = [("a", "a")] * 5 + [("a", "b")] * 3 + [("b", "b")] * 2 + [("x", "a")] * 4
     m = evaluation.confusion(spark.createDataFrame(rows, "truth string, predicted string"), ["a", "b", "c"])
@@ -266,6 +312,8 @@ def test_stream_keeps_the_latest_signal(spark, tmp_path):
         got = {r.series_id: r for r in latest.current(spark, str(tmp_path / "out"), KEYS).collect()}
         want = {r.series_id: r for r in latest.latest_signals(df.where(f"dayofyear(ts) <= {40 if k == 0 else 60}"), KEYS).collect()}
         assert {s: (r.end_date, r.label) for s, r in got.items()} == {s: (r.end_date, r.label) for s, r in want.items()}
+        state = spark.read.parquet(str(tmp_path / f"out/state/turn={k}")).groupBy(*KEYS).count().collect()
+        assert len(state) == len(want) and all(r["count"] == 32 for r in state)
 
 
 @pytest.mark.parametrize("block", [15, 60, 50_000])

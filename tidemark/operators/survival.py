@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import patterns
@@ -91,19 +91,53 @@ def _life(v, atr, e0, slope, start, sd, lookback, band, tolerance, confirm, step
     return last, ""
 
 
-def kaplan_meier(df: DataFrame, keys: list[str] = (), duration: str = "duration", event: str = "event") -> DataFrame:
+def ranged(df: DataFrame, column: str, out: str, block: int = 50_000) -> tuple[DataFrame, int]:
+    """``df`` with the number of the range of ``column`` that each row falls into, and how many ranges there are.
+
+    A range holds about ``block`` distinct values. Values need not be spread evenly: cuts are quantiles of them.
+    """
+    values = df.select(F.col(column).alias("v")).distinct()
+    ranges = max(1, -(-values.count() // block))
+    found = values.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
+    splits = [-float("inf"), *sorted(set(found or [])), float("inf")]
+    if len(splits) == 2:
+        return df.withColumn(out, F.lit(0.0)), 1
+    return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df), len(splits) - 1
+
+
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], down: bool = False, part: str = "_part") -> DataFrame:
+    """Add running sums along ``order``, from the least value up or from the greatest down.
+
+    ``part`` numbers the ranges of ``order`` (see :func:`ranged`). A window runs within a range; what the
+    ranges before it hold, one row each, is added to it, so no task gets all rows of a key.
+    """
+    way = F.desc if down else F.asc
+    df = df.withColumns({f"_x_{c}": x for c, x in sums.items()})
+    inside = Window.partitionBy(*keys, part).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(way(part)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, part).agg(*[F.sum(f"_x_{c}").alias(f"_t_{c}") for c in sums])
+    offsets = [F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
+    totals = totals.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, part)], *offsets)
+    same = F.lit(True)
+    for c in (*keys, part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    met = df.join(totals, same).drop(*[f"_k_{c}" for c in (*keys, part)])
+    added = {c: F.col(f"_o_{c}") + F.coalesce(F.sum(f"_x_{c}").over(inside), F.lit(0)) for c in sums}
+    return met.withColumns(added).drop(*[f"{x}{c}" for c in sums for x in ("_x_", "_o_")])
+
+
+def kaplan_meier(df: DataFrame, keys: list[str] = (), duration: str = "duration", event: str = "event", block: int = 50_000) -> DataFrame:
     """(keys, t, at_risk, deaths, survival): one row per duration, those under 0.5 counted as 0.5.
 
-    Durations are counted first, so the windows run over distinct durations.
+    Durations are counted first, so the sums run over distinct durations, by ranges of ``block`` of them.
     """
+    keys = list(keys)
     t = F.greatest(F.col(duration).cast("double"), F.lit(0.5))
     counts = df.groupBy(*keys, t.alias("t")).agg(F.count("*").alias("_c"), F.sum(event).alias("deaths"))
-    w = Window.partitionBy(*keys)
-    counts = counts.withColumn("at_risk", F.sum("_c").over(w.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)))
+    counts = running(ranged(counts, "t", "_part", block)[0], keys, "t", {"at_risk": F.col("_c")}, down=True)
     left = 1 - F.col("deaths") / F.col("at_risk")
-    up = w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    none = F.max((left <= 0).cast("int")).over(up) == 1
-    s = F.when(none, 0.0).otherwise(F.exp(F.sum(F.when(left > 0, F.ln(left))).over(up)))
+    counts = running(counts, keys, "t", {"_log": F.when(left > 0, F.ln(left)).otherwise(0.0), "_none": (left <= 0).cast("int")})
+    s = F.when(F.col("_none") > 0, 0.0).otherwise(F.exp("_log"))
     return counts.withColumn("survival", s).select(*keys, "t", "at_risk", "deaths", "survival")
 
 
@@ -187,45 +221,90 @@ def concordance(df: DataFrame, risk: str = "risk", duration: str = "duration", e
     return out.select(*keys, "comparable", F.try_divide("good", F.col("comparable").cast("double")).alias("c_index"))
 
 
-def fit_cox(df: DataFrame, features: list[str], duration: str = "duration", event: str = "event", penalty: float = 0.1, steps: int = 25) -> np.ndarray:
+def efron(at_risk: np.ndarray, died: np.ndarray, deaths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each duration its deaths and the sums of 1 / u and 1 / u**2 over Efron's total weights u, in closed form.
+
+    With a weight W at risk, D of it dying in d deaths, u is W - (l / d) D for l = 0 .. d - 1. A mean weighted like
+    that is a / u + b for two numbers a and b of its duration, so these sums are all that ties need.
+    """
+    d = deaths.astype(float)
+    x = at_risk / died * d
+    near = np.minimum(d, 32)
+    k = np.arange(32)
+    direct = x[:, None] - d[:, None] + 1 + k
+    counted = k < near[:, None]
+    many = d - near
+    low, high = x - d + near + 0.5, x + 0.5
+    # The rest of a harmonic sum by the midpoint rule and its first two corrections.
+    one = (counted / direct).sum(1) + np.log1p(many / low) - (low**-2.0 - high**-2.0) / 24 + 7 / 960 * (low**-4.0 - high**-4.0)
+    two = (counted / direct**2).sum(1) + many / (low * high) - (low**-3.0 - high**-3.0) / 12 + 7 / 240 * (low**-5.0 - high**-5.0)
+    return d, one * d / died, two * (d / died) ** 2
+
+
+def fit_cox(df: DataFrame, features: list[str], duration: str = "duration", event: str = "event", penalty: float = 0.1, steps: int = 25, block: int = 50_000) -> np.ndarray:
     """Coefficients of a proportional-hazards model with Efron's ties and an L2 penalty per row.
 
     Every Newton step is one aggregation by duration of exp(xb), its moments and those of the
-    events, at most one row per distinct duration; the driver adds these up from the longest
-    duration down and solves a system of as many unknowns as features.
+    events. Tasks go through ranges of durations, each from what longer ranges hold, and sum the
+    terms of all ties in closed form (see :func:`efron`); the driver gets a row per range and
+    solves a system of as many unknowns as features.
     """
     p = len(features)
     beta = np.zeros(p)
     t = F.greatest(F.col(duration).cast("double"), F.lit(0.5)).alias("t")
-    base = df.select(t, F.col(event).alias("e"), *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)]).cache()
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    base = df.select(t, F.col(event).cast("double").alias("e"), *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)])
+    base, ranges = ranged(base, "t", "part", block)
+    base = base.cache()
+    i, j = np.triu_indices(p)
     n = base.count()
+    products = [F.lit(1.0), *[F.col(f"x{k}") for k in range(p)], *[F.col(f"x{a}") * F.col(f"x{b}") for a, b in zip(i, j, strict=True)]]
+    width = len(products)
+
+    def square(flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((p, p))
+        out[i, j] = out[j, i] = flat
+        return out
+
+    def terms_of(longer: dict[float, np.ndarray]):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("t", ascending=False)
+            held = np.stack(frame["held"].to_numpy())
+            at_risk = np.cumsum(held, axis=0) + longer.get(float(frame["part"].iloc[0]), 0.0)
+            died, own, deaths = np.stack(frame["died"].to_numpy()), np.stack(frame["own"].to_numpy()), frame["d"].to_numpy()
+            some = deaths > 0
+            gradient, hessian = own[some].sum(0), np.zeros((p, p))
+            if some.any():
+                w, v = at_risk[some], died[some]
+                d, one, two = efron(w[:, 0], v[:, 0], deaths[some])
+                b = v[:, 1:] / v[:, :1]
+                a = w[:, 1:] - b * w[:, :1]
+                means = a * one[:, None] + b * d[:, None]
+                gradient = gradient - means[:, :p].sum(0)
+                a1, b1 = a[:, :p], b[:, :p]
+                cross = (a1 * one[:, None]).T @ b1
+                outer = (a1 * two[:, None]).T @ a1 + cross + cross.T + (b1 * d[:, None]).T @ b1
+                hessian = outer - square(means[:, p:].sum(0))
+            return pd.DataFrame({"g": [gradient.tolist()], "h": [hessian.ravel().tolist()]})
+
+        return run
+
     for _ in range(steps):
         xb = F.lit(0.0)
         for k in range(p):
             xb = xb + F.col(f"x{k}") * F.lit(float(beta[k]))
-        dead = F.col("e") == 1
-        sums = [F.sum("w").alias("s0"), F.sum(F.when(dead, F.col("w")).otherwise(0.0)).alias("d0"), F.sum(F.col("e")).alias("d")]
-        sums += [x for k in range(p) for x in (F.sum(F.col("w") * F.col(f"x{k}")), F.sum(F.when(dead, F.col("w") * F.col(f"x{k}")).otherwise(0.0)), F.sum(F.when(dead, F.col(f"x{k}")).otherwise(0.0)))]
-        sums += [x for i, j in pairs for x in (F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")), F.sum(F.when(dead, F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).otherwise(0.0)))]
-        table = np.array([list(map(float, r)) for r in base.withColumn("w", F.exp(xb)).groupBy("t").agg(*sums).orderBy(F.desc("t")).collect()])
-        gradient, hessian = -penalty * n * beta, -penalty * n * np.eye(p)
-        at_risk = np.zeros(1 + p + len(pairs))
-        for row in table:
-            ones, twos = row[4 : 4 + 3 * p].reshape(p, 3), row[4 + 3 * p :].reshape(len(pairs), 2)
-            at_risk += np.r_[row[1], ones[:, 0], twos[:, 0]]
-            died = np.r_[row[2], ones[:, 1], twos[:, 1]]
-            d = int(row[3])
-            gradient += ones[:, 2]
-            if d:
-                # Efron's terms of all deaths of this duration at once.
-                terms = at_risk - (np.arange(d) / d)[:, None] * died
-                means = terms[:, 1 : 1 + p] / terms[:, :1]
-                second = np.zeros((p, p))
-                for (i, j), v in zip(pairs, (terms[:, 1 + p :] / terms[:, :1]).sum(0), strict=True):
-                    second[i, j] = second[j, i] = v
-                gradient -= means.sum(0)
-                hessian -= second - means.T @ means
+        weighed, dead = base.withColumn("w", F.exp(xb)), F.col("e") == 1
+        held = F.array(*[F.sum(F.col("w") * x) for x in products]).alias("held")
+        longer, so_far = {}, np.zeros(width)
+        if ranges > 1:
+            for row in weighed.groupBy("part").agg(held).orderBy(F.desc("part")).collect():
+                longer[row["part"]] = so_far
+                so_far = so_far + np.array(row["held"])
+        died = F.array(*[F.sum(F.when(dead, F.col("w") * x).otherwise(0.0)) for x in products]).alias("died")
+        own = F.array(*[F.sum(F.when(dead, x).otherwise(0.0)) for x in products[1 : 1 + p]]).alias("own")
+        by_time = weighed.groupBy("part", "t").agg(held, died, own, F.sum(dead.cast("bigint")).alias("d"))
+        parts = by_time.groupBy("part").applyInPandas(terms_of(longer), "g array<double>, h array<double>").collect()
+        gradient = np.sum([r["g"] for r in parts], axis=0) - penalty * n * beta
+        hessian = np.sum([r["h"] for r in parts], axis=0).reshape(p, p) - penalty * n * np.eye(p)
         move = np.linalg.solve(hessian, gradient)
         beta = beta - move
         if np.abs(move).max() < 1e-9:
@@ -242,13 +321,12 @@ def cox_risk(df: DataFrame, features: list[str], beta: np.ndarray) -> DataFrame:
     return df.withColumn("risk", F.exp(xb))
 
 
-def baseline_hazard(df: DataFrame, duration: str = "duration", event: str = "event") -> DataFrame:
-    """(t, hazard): Breslow's cumulative baseline hazard from rows with a ``risk``."""
+def baseline_hazard(df: DataFrame, duration: str = "duration", event: str = "event", block: int = 50_000) -> DataFrame:
+    """(t, hazard): Breslow's cumulative baseline hazard from rows with a ``risk``, by ranges of ``block`` durations."""
     t = F.greatest(F.col(duration).cast("double"), F.lit(0.5))
     counts = df.groupBy(t.alias("t")).agg(F.sum("risk").alias("_r"), F.sum(event).alias("_d"))
-    w = Window.partitionBy()  # one row per distinct duration
-    counts = counts.withColumn("_at", F.sum("_r").over(w.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)))
-    return counts.select("t", F.sum(F.col("_d") / F.col("_at")).over(w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)).alias("hazard"))
+    counts = running(ranged(counts, "t", "_part", block)[0], [], "t", {"_at": F.col("_r")}, down=True)
+    return running(counts, [], "t", {"hazard": F.col("_d") / F.col("_at")}).select("t", "hazard")
 
 
 def cox_survival(df: DataFrame, hazard: DataFrame, horizons: list[float]) -> DataFrame:
@@ -258,22 +336,26 @@ def cox_survival(df: DataFrame, hazard: DataFrame, horizons: list[float]) -> Dat
     return df.join(F.broadcast(steps)).withColumn("survival", F.exp(-F.col("_h") * F.col("risk"))).drop("_h")
 
 
-def integrated_brier(test: DataFrame, train: DataFrame, horizons: list[float], duration: str = "duration", event: str = "event") -> DataFrame:
+def integrated_brier(test: DataFrame, train: DataFrame, horizons: list[float], duration: str = "duration", event: str = "event", block: int = 50_000) -> DataFrame:
     """(n_grid, ibs) of test rows with ``horizon`` and ``survival``; null with fewer than two usable horizons.
 
     Rows are weighted by the train rows' censoring curve; the score is the trapezoid over the
     horizons strictly within the test durations.
     """
-    censoring = kaplan_meier(train.withColumn("_censored", 1 - F.col(event)), duration=duration, event="_censored").select(F.col("t").alias("_t"), F.col("survival").alias("_g"))
+    censoring = kaplan_meier(train.withColumn("_censored", 1 - F.col(event)), duration=duration, event="_censored", block=block).select(F.col("t").alias("_t"), F.col("survival").alias("_g"))
     spans = test.agg(F.min(duration).alias("_lo"), F.max(duration).alias("_hi"))
     rows = test.join(F.broadcast(spans)).where((F.col("horizon") > F.col("_lo")) & (F.col("horizon") < F.col("_hi")))
     t = F.greatest(F.col(duration).cast("double"), F.lit(0.5))
-    # The curve at all times that are asked for: one row per distinct duration, joined by time.
+    # The curve at all times that are asked for, joined by time. A curve never rises, so its last value is its least so far.
     asked = rows.select(t.alias("_t")).union(rows.select(F.col("horizon").cast("double"))).distinct().withColumn("_g", F.lit(None).cast("double"))
-    filled = F.last("_g", ignorenulls=True).over(Window.orderBy("_t", F.col("_g").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    curve = censoring.unionByName(asked).select("_t", F.coalesce(filled, F.lit(1.0)).alias("_g"), F.col("_g").isNull().alias("_asked")).where("_asked").drop("_asked")
-    rows = rows.withColumn("_t", t).join(curve.withColumnRenamed("_g", "_at_end"), "_t", "left").drop("_t")
-    rows = rows.withColumn("_t", F.col("horizon").cast("double")).join(curve.withColumnRenamed("_g", "_at_horizon"), "_t", "left").drop("_t")
+    both, _ = ranged(censoring.unionByName(asked), "_t", "_part", block)
+    least = both.groupBy("_part").agg(F.min("_g").alias("_least"))
+    carried = least.select("_part", F.min("_least").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_least"))  # one row a range
+    inside = Window.partitionBy("_part").orderBy("_t", F.col("_g").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    curve = both.join(carried, "_part").select("_t", F.coalesce(F.least(F.min("_g").over(inside), "_least"), F.lit(1.0)).alias("_at"), F.col("_g").isNull().alias("_asked"))
+    curve = curve.where("_asked").drop("_asked")
+    rows = rows.withColumn("_t", t).join(curve.withColumnRenamed("_at", "_at_end"), "_t", "left").drop("_t")
+    rows = rows.withColumn("_t", F.col("horizon").cast("double")).join(curve.withColumnRenamed("_at", "_at_horizon"), "_t", "left").drop("_t")
     died = (t <= F.col("horizon")) & (F.col(event) == 1)
     part = F.when(died, F.try_divide(F.pow("survival", 2), F.col("_at_end"))).when(t > F.col("horizon"), F.try_divide(F.pow(1 - F.col("survival"), 2), F.col("_at_horizon"))).otherwise(0.0)
     by_horizon = rows.groupBy("horizon").agg(F.avg(F.coalesce(part, F.lit(0.0))).alias("bs"))

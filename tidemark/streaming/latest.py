@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.windows import inference_windows, label
@@ -19,18 +20,22 @@ def start(stream: DataFrame, keys: list[str], folder: str, lookback: int = 32, t
     """Append each micro-batch, without repeated rows within the watermark, to ``folder``/prices, and the
     latest signals of the series it touches to ``folder``/signals; see :func:`current`.
 
-    Frames of rows are not for streams, so a batch takes the halo of earlier rows from the table.
-    A batch that is run again overwrites what it wrote before.
+    Frames of rows are not for streams, so ``folder``/state holds the last ``lookback`` rows of every series. A
+    batch reads the state before it, never the prices, and writes the one after it; the two take
+    turns, so a batch that is run again finds what it started from and overwrites what it wrote.
+    A row that comes later than the last ``lookback`` of its series enters the prices only.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/prices/batch={batch_id}")
-        touched = batch.select(*keys).distinct()
-        history = spark.read.parquet(f"{folder}/prices").drop("batch").join(touched, keys, "left_semi").dropDuplicates([*keys, ts])
-        latest_signals(history, keys, lookback=lookback, ts=ts).write.mode("overwrite").parquet(f"{folder}/signals/batch={batch_id}")
+        known = batch
+        if batch_id:
+            known = spark.read.schema(batch.schema).parquet(f"{folder}/state/turn={(batch_id - 1) % 2}").unionByName(batch).dropDuplicates([*keys, ts])
+        touched = known.join(batch.select(*keys).distinct(), keys, "left_semi")
+        latest_signals(touched, keys, lookback=lookback, ts=ts).write.mode("overwrite").parquet(f"{folder}/signals/batch={batch_id}")
+        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))
+        known.withColumn("_n", newest).where(F.col("_n") <= lookback).drop("_n").write.mode("overwrite").parquet(f"{folder}/state/turn={batch_id % 2}")
 
     unique = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([*keys, ts])
     return unique.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
