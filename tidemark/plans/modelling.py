@@ -9,6 +9,7 @@ from tidemark.functions import patterns
 from tidemark.operators import calendar as cal
 from tidemark.operators import models, outliers, splits, survival, windows
 
+from . import shapes
 from .panels import brand_daily, flag_daily, predictions, sql, table
 from .registry import query, rounded
 
@@ -99,11 +100,13 @@ def a1(spark, sf_dir):
     return rounded(outliers.fit_templates(predictions(spark, sf_dir), ["probability", "forecast", "outcome"], "truth"), 5)
 
 
-@query("a1_pattern_templates")
+@query("a1_pattern_templates", sql(f"""{shapes.shapes('brand_daily', 0.35)}, m as (select label, {', '.join(f'{x} as {name}' for name, x in shapes.METRICS.items())} from indexed where {shapes.TRAINED}),
+    u as (unpivot m on {', '.join(f'{name}' for name in shapes.METRICS)} into name metric value v)
+    select label, metric, round(avg(v), 4) as mean, round(case when stddev_pop(v) <= 1e-8 then 1 else stddev_pop(v) end, 4) as std from u group by 1, 2""", "brand_daily"))
 def a1_patterns(spark, sf_dir):
     """Templates of the shape metrics by label over the training windows."""
     table_ = windows.training_windows(cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
-    return outliers.fit_templates(table_, patterns.METRICS)
+    return rounded(outliers.fit_templates(table_, patterns.METRICS), 4)
 
 
 @query("o3_entropy", sql("""e as (select l_orderkey, l_linenumber, [least(greatest(p, 1e-12), 1) for p in [probability / 3, (1 - probability) / 3 + 0.1, 0.2]] as ps from predictions)

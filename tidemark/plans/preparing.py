@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import arrays
+from tidemark.functions import arrays, patterns
 from tidemark.operators import calendar as cal
 from tidemark.operators import encode, features, windows
 from tidemark.sources import series, sinks
 
+from . import shapes
 from .panels import brand_daily, events_hourly, flag_daily, market_wide, orders_daily, sql, table
 from .registry import query, rounded, single
 
@@ -90,7 +91,7 @@ def t2(spark, sf_dir):
     return cal.first_per_date(rows, KEYS, [F.col("o_orderkey")])
 
 
-BIN = "cast(ts as date) - greatest(0, isodow(ts) - 5)::int"
+BIN = shapes.BIN
 CALENDAR = """c as (select series_id, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as ts from (select series_id, min(ts) lo, max(ts) hi from b group by 1))"""
 
 
@@ -297,10 +298,24 @@ def business(spark, sf_dir):
     return cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"])
 
 
-@query("l1_window_table")
+def placed(df, *more):
+    """A window's place and price, and more columns, rounded."""
+    place = [F.col(c).cast("bigint").alias(c) for c in ("start", "end")]
+    price = F.col("price").cast("float").cast("double").alias("price")
+    return df.select("series_id", *place, "end_date", price, *[F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in df.select(*more).dtypes])
+
+
+SCORED = [*[f"score_{p}" for p in patterns.PATTERNS], "confidence", "label", "pattern_idx"]
+TARGETS = ["future_return", "support_ratio", "resistance_ratio"]
+TARGET_SQL = """round(future_return, 5) as future_return, round(support_price / price - 1, 5) as support_ratio, round(resistance_price / price - 1, 5) as resistance_ratio,
+    cast(cast(support_price as float) as double) as support_price, cast(cast(resistance_price as float) as double) as resistance_price"""
+
+
+@query("l1_window_table", sql(f"{shapes.shapes('brand_daily', 0.35)} select {shapes.PLACE}, {shapes.LABELLED}, {shapes.rounds(shapes.METRICS, 5)}, {TARGET_SQL} from indexed where {shapes.TRAINED}", "brand_daily"))
 def l1(spark, sf_dir):
-    out = windows.training_windows(business(spark, sf_dir), KEYS)
-    return out.drop("prices", "ts", "value")
+    prices = ("support_price", "resistance_price")
+    rows = windows.training_windows(business(spark, sf_dir), KEYS).withColumns({c: F.col(c).cast("float") for c in prices})
+    return placed(rows, *SCORED, *patterns.METRICS, *TARGETS, *prices).withColumns({c: F.col(c).cast("double") for c in prices})
 
 
 @query("w18_provided_target", sql(f"""n as (select *, row_number() {W} as "end", ln(value) - lag(ln(value)) {W} as lr, count(value) {AHEAD} as ahead from flag_daily)
@@ -343,9 +358,10 @@ def x6(spark, sf_dir):
     return long.withColumn("value", F.col("value").cast("float").cast("double"))
 
 
-@query("r9_weak_label_summary")
+@query("r9_weak_label_summary", sql(f"{shapes.shapes('flag_daily', 0.35)} select {shapes.PLACE}, label, round(confidence, 5) as confidence, round(future_return, 5) as future_return, pattern_idx from indexed where {shapes.TRAINED}", "flag_daily"))
 def r9(spark, sf_dir):
-    return windows.training_windows(cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"]), KEYS).select("series_id", "end_date", "label", "confidence", "price", "future_return", "pattern_idx")
+    rows = windows.training_windows(cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
+    return placed(rows, "label", "confidence", "future_return", "pattern_idx")
 
 
 @query("l2_inference_windows", sql(f"""n as (select *, row_number() {W} as "end" from brand_daily)
@@ -365,12 +381,12 @@ def l5(spark, sf_dir):
     return out.select("series_id", "ts", F.round(arrays.slope(s), 5).alias("slope"), F.round(arrays.extent(s), 4).alias("extent"), F.round(arrays.mean(s), 4).alias("level"))
 
 
-@query("l7_l15_pattern_labels")
+@query("l7_l15_pattern_labels", sql(f"{shapes.shapes('brand_daily', 0.35)} select {shapes.PLACE}, {shapes.LABELLED} from indexed", "brand_daily"))
 def l15(spark, sf_dir):
-    return windows.label(windows.inference_windows(business(spark, sf_dir), KEYS)).drop("prices", "ts", "value")
+    return placed(windows.label(windows.inference_windows(business(spark, sf_dir), KEYS)), *SCORED)
 
 
-@query("label_counts")
+@query("label_counts", sql(f"{shapes.shapes('flag_daily', 0.35)} select series_id, label, count(*) as n, round(avg(confidence), 6) as confidence from indexed group by 1, 2", "flag_daily"))
 def label_counts(spark, sf_dir):
     daily = cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"])
     return windows.label(windows.inference_windows(daily, KEYS)).groupBy("series_id", "label").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
@@ -382,14 +398,14 @@ def l16(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumn("idx", windows.class_index(name)).groupBy("l_returnflag", "l_linestatus", "idx").agg(F.count("*").alias("n"))
 
 
-@query("l17_shape_metrics")
+@query("l17_shape_metrics", sql(f"{shapes.shapes('brand_daily', 0.35)} select {shapes.PLACE}, {shapes.rounds(shapes.METRICS, 5)} from indexed", "brand_daily"))
 def l17(spark, sf_dir):
-    return windows.with_metrics(windows.inference_windows(business(spark, sf_dir), KEYS)).drop("prices", "ts", "value")
+    return placed(windows.with_metrics(windows.inference_windows(business(spark, sf_dir), KEYS)), *patterns.METRICS)
 
 
-@query("l18_l19_channel_features")
+@query("l18_l19_channel_features", sql(f"{shapes.shapes('brand_daily', 0.30)} select {shapes.PLACE}, {shapes.LABELLED}, cast(label like '%channel' as int) as is_channel, {shapes.rounds({'atr': 'atr'} | shapes.FEATURES, 5)} from indexed", "brand_daily"))
 def l19(spark, sf_dir):
-    return windows.channel_windows(business(spark, sf_dir), KEYS).drop("prices", "ts", "value")
+    return placed(windows.channel_windows(business(spark, sf_dir), KEYS), *SCORED, "is_channel", "atr", *patterns.CHANNEL_FEATURES)
 
 
 @query("l20_tensor_windows", sql(f"""n as (select *, row_number() {W} as rn from market_wide)

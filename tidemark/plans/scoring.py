@@ -8,6 +8,7 @@ from tidemark.operators import backtest, evaluation, robustness, windows
 from tidemark.operators import calendar as cal
 from tidemark.operators.features import Rolling
 
+from . import shapes
 from .panels import brand_daily, flag_daily, market_wide, predictions, sql, table
 from .registry import query, rounded
 
@@ -124,10 +125,75 @@ def b3(spark, sf_dir):
     return rounded(backtest.performance(main, KEYS, "strategy_return").drop("psr_vs_zero"), 4)
 
 
-@query("b5_probabilistic_sharpe")
+def normal(z: str) -> str:
+    """The normal distribution function by its series of positive terms; beyond 8 it is 0 or 1."""
+    x = f"least(abs({z}), 8)"
+    terms = f"list_sum(list_transform(range(200), lambda k: exp((2 * k + 1) * ln({x}) - lgamma(k + 1.5) - (k + 1) * ln(2) + ln(pi()) / 2)))"
+    return f"(case when {z} = 0 then 0.5 else 0.5 + sign({z}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {terms} end)"
+
+
+def inverse_normal(p: str) -> str:
+    """The normal quantile by halving an interval."""
+    half = f"case when {normal('(a[1] + a[2]) / 2')} < {p} then [(a[1] + a[2]) / 2, a[2]] else [a[1], (a[1] + a[2]) / 2] end"
+    return f"list_reduce(list_transform(range(60), lambda i: [0::double, 0::double]), lambda a, x: {half}, [-8::double, 8::double])[1]"
+
+
+def moments_sql(rows: str) -> str:
+    """Moments of ``ret`` by series, from a table of it."""
+    return f"""select series_id, count(*) as n, any_value(a) as mean, any_value(d) as sd, any_value(a / d) as sharpe, avg(pow(ret - a, 3)) / pow(any_value(d), 3) as skew, avg(pow(ret - a, 4)) / pow(any_value(d), 4) as kurt
+        from {rows} join (select series_id, avg(ret) as a, stddev_samp(ret) as d from {rows} group by 1) using (series_id) group by 1"""
+
+
+def z_of(above: str) -> str:
+    return f"({above}) * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe, 1e-12))"
+
+
+@query("b5_probabilistic_sharpe", sql(f"""{RETURNS}, m as ({moments_sql('s')}), z as (select *, {z_of('sharpe')} as z from m)
+    select series_id, n, round(mean, 6) as mean, round(sd, 6) as sd, round(sharpe, 6) as sharpe, round(skew, 5) as skew, round(kurt, 5) as kurt, round({normal('z')}, 6) as psr from z""", "predictions"))
 def b5(spark, sf_dir):
     main = backtest.strategy(daily(spark, sf_dir), KEYS, "forecast", "outcome")
-    return backtest.probabilistic_sharpe(backtest.moments(main, KEYS, "strategy_return"))
+    out = backtest.probabilistic_sharpe(backtest.moments(main, KEYS, "strategy_return"))
+    return out.select("series_id", "n", *[F.round(c, 5 if c in ("skew", "kurt") else 6).alias(c) for c in ("mean", "sd", "sharpe", "skew", "kurt", "psr")])
+
+
+def performance_sql(rows: str, order: str = "ts", periods: int = 252) -> str:
+    """The performance of ``ret`` by series, from a table of it."""
+    run = f"over (partition by series_id order by {order})"
+    return f"""select series_id, any_value(m.n) as n, any_value(mean) * {periods} as annualized_return, any_value(sd) * sqrt({periods}) as annualized_vol, any_value(sharpe) * sqrt({periods}) as sharpe_annual, any_value({normal('z')}) as psr_vs_zero,
+        arg_max(equity, {order}) - 1 as cumulative_return, min(dd) as max_drawdown, coalesce(avg(cast(ret > 0 as int)) filter (where ret <> 0), 0) as hit_rate
+        from (select *, equity / max(equity) {run} - 1 as dd from (select *, case when min(abs(1 + ret)) {run} = 0 then 0 else pow(-1, count(*) filter (where ret < -1) {run}) * exp(sum(ln(nullif(abs(1 + ret), 0))) {run}) end as equity from {rows}))
+        join (select *, {z_of('sharpe')} as z from ({moments_sql(rows)})) m using (series_id) group by 1"""
+
+
+def report_sql(fee: float) -> str:
+    """WITH items of a backtest: returns, their deflated Sharpe ratio against yearly trials, and overfitting of the variants."""
+    variants = {"sign": RULES["sign"], "long_only": RULES["long_only"].replace("0.001", "0"), "thr_lo": RULES["threshold"].replace("0.003", "0.001"), "thr_hi": RULES["threshold"], "proportional": RULES["proportional"]}
+    turn = f"abs({{0}} - lag({{0}}, 1, 0.0) {{1}}) * {fee}"
+    k = len(variants)
+    yearly = "over (partition by series_id, year(ts) order by ts)"
+    halves = ", ".join(f"sum(r_{v}) filter (where side = 1) / sum(c) filter (where side = 1) as i{j}, sum(r_{v}) filter (where side = 0) / sum(c) filter (where side = 0) as o{j}" for j, v in enumerate(variants, 1))
+    return f"""{DAILY}, p as (select *, {', '.join(f'{x} as p_{v}' for v, x in variants.items())} from d),
+    s as (select *, p_sign * outcome - {turn.format('p_sign', W)} as ret, p_sign * outcome - {turn.format('p_sign', yearly)} as in_year, {', '.join(f"p_{v} * outcome - {turn.format(f'p_{v}', W)} as r_{v}" for v in variants)} from p),
+    trials as (select series_id, year(ts) as y, coalesce(avg(in_year) / nullif(stddev_samp(in_year), 0), 0) * sqrt(252) as trial from s group by 1, 2),
+    tried as (select series_id, count(*) as n_trials, coalesce(var_samp(trial), 0) as sharpe_variance from trials group by 1),
+    expected as (select *, sqrt(sharpe_variance) * ((1 - {backtest.EULER_GAMMA}) * {inverse_normal('(1 - 1.0::double / n_trials)')} + {backtest.EULER_GAMMA} * {inverse_normal('(1 - 1 / (n_trials * exp(1)))')}) as expected_max_sharpe_annual from tried),
+    above as (select *, {z_of('sharpe - expected_max_sharpe_annual / sqrt(252)')} as z from ({moments_sql('s')}) join expected using (series_id)),
+    deflated as (select series_id, n_trials, sharpe_variance, expected_max_sharpe_annual, {normal('z')} as deflated_sharpe_ratio from above),
+    blocks as (select series_id, b, count(*) as c, {', '.join(f'sum(r_{v}) as r_{v}' for v in variants)} from (select *, ntile(16) {W} - 1 as b from s) group by 1, 2),
+    halves as (select series_id, mask, {halves} from (select *, (mask >> b) & 1 as side from blocks, (select range as mask from range(65536) where bit_count(range) = 8)) group by 1, 2),
+    ranked as (select series_id, [{', '.join(f'i{j}' for j in range(1, k + 1))}] as ins, [{', '.join(f'o{j}' for j in range(1, k + 1))}] as outs from halves),
+    chosen as (select *, list_position(ins, list_max(ins)) as best from ranked),
+    logits as (select series_id, len(list_filter(generate_series(1, {k}), lambda j: outs[j] < outs[best] or (outs[j] = outs[best] and j <= best))) / {k + 1} as w from chosen),
+    pbo as (select series_id, avg(cast(w <= 0.5 as int)) as pbo, count(*) as n_combinations, avg(ln(w / (1 - w))) as logit_mean, median(ln(w / (1 - w))) as logit_median from logits group by 1)"""
+
+
+def rounded_sql(names: list[str], places: int = 4) -> str:
+    return ", ".join(f"round({c}, {places}) as {c}" for c in names)
+
+
+PERFORMANCE = ["annualized_return", "annualized_vol", "sharpe_annual", "psr_vs_zero", "cumulative_return", "max_drawdown", "hit_rate"]
+DEFLATED = ["sharpe_variance", "expected_max_sharpe_annual", "deflated_sharpe_ratio"]
+OVERFIT = ["pbo", "logit_mean", "logit_median"]
 
 
 @query("b5_return_moments", sql(f"""{RETURNS}, m as (select series_id, avg(ret) a, stddev_samp(ret) d from s group by 1)
@@ -150,23 +216,24 @@ def b4(spark, sf_dir):
     return out.withColumn("fold_id", F.col("fold_id").cast("bigint"))
 
 
-@query("b6_b7_deflated_sharpe")
+@query("b6_b7_deflated_sharpe", sql(f"{report_sql(0)} select series_id, n_trials, {rounded_sql(DEFLATED)} from deflated", "predictions"))
 def b7(spark, sf_dir):
-    return backtest.walk_forward_report(folded(spark, sf_dir), KEYS, "forecast", "outcome", "fold_id")["deflated_sharpe"]
+    return rounded(backtest.walk_forward_report(folded(spark, sf_dir), KEYS, "forecast", "outcome", "fold_id")["deflated_sharpe"], 4)
 
 
-@query("b8_b9_overfitting")
+@query("b8_b9_overfitting", sql(f"{report_sql(0)} select series_id, n_combinations, {rounded_sql(OVERFIT)} from pbo", "predictions"))
 def b8(spark, sf_dir):
     variants, names = backtest.variant_returns(daily(spark, sf_dir), KEYS, "forecast", "outcome")
-    return backtest.overfitting(variants, KEYS, names)
+    return rounded(backtest.overfitting(variants, KEYS, names), 4)
 
 
-@query("b10_backtest_report")
+@query("b10_backtest_report", sql(f"""{report_sql(0.0001)}, held as (select series_id, ts, outcome as ret from d), both_paths as (select 'strategy' as path, * from ({performance_sql('s')}) union all select 'buy_and_hold', * from ({performance_sql('held')}))
+    select series_id, path, n, {rounded_sql(PERFORMANCE)}, n_trials, {rounded_sql(DEFLATED)}, n_combinations, {rounded_sql(OVERFIT)} from both_paths join deflated using (series_id) join pbo using (series_id)""", "predictions"))
 def b10(spark, sf_dir):
     """Strategy and buy-and-hold side by side, with the deflated Sharpe ratio."""
     report = backtest.walk_forward_report(folded(spark, sf_dir), KEYS, "forecast", "outcome", "fold_id", fee_bps=1)
     rows = report["strategy"].withColumn("path", F.lit("strategy")).unionByName(report["buy_and_hold"].withColumn("path", F.lit("buy_and_hold")))
-    return rows.join(report["deflated_sharpe"], KEYS).join(report["pbo"], KEYS)
+    return rounded(rows.join(report["deflated_sharpe"], KEYS).join(report["pbo"], KEYS), 4)
 
 
 @query("a2_counts", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2")
@@ -247,14 +314,15 @@ def x5(spark, sf_dir):
     return out.select("ts", F.round("p_a_logret1", 6).alias("p_a_logret1"), F.round("eurusd_logret1", 6).alias("eurusd_logret1"), F.round("eurusd_corr", 5).alias("eurusd_corr"))
 
 
-@query("x7_channel_strategy")
+@query("x7_channel_strategy", sql(f"""{shapes.shapes('flag_daily', 0.30)}, s as (select series_id, "end" as ts, future_return * case label when 'ascending_channel' then 1 when 'descending_channel' then -1 else 0 end as ret from indexed where "end" % 5 = 0 and future_return is not null)
+    select series_id, n, {rounded_sql(PERFORMANCE)} from ({performance_sql('s', periods=50)})""", "flag_daily"))
 def x7(spark, sf_dir):
     """Long ascending and short descending channels, one position per five days, without overlap."""
     rows = windows.label(windows.sliding(cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"]), KEYS), 0.30)
     r = Rolling(KEYS, "end")
     rows = rows.withColumn("outcome", F.try_divide(F.lead("price", 5).over(r.w), F.col("price")) - 1).where("`end` % 5 = 0 and outcome is not null")
     rows = rows.withColumn("forecast", F.when(F.col("label") == "ascending_channel", 1.0).when(F.col("label") == "descending_channel", -1.0).otherwise(0.0))
-    return backtest.performance(backtest.strategy(rows, KEYS, "forecast", "outcome", order="end"), KEYS, "strategy_return", "end", 50)
+    return rounded(backtest.performance(backtest.strategy(rows, KEYS, "forecast", "outcome", order="end"), KEYS, "strategy_return", "end", 50), 4)
 
 
 @query("x8_volatility_persistence", sql(f"""q as (select series_id, ts, ln(value) - lag(ln(value)) {W} as lr from brand_daily),
