@@ -221,9 +221,23 @@ def channel_lives(spark, sf_dir):
     return survival.episodes(cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
 
 
-@query("v1_channel_episodes")
+BEYOND = "abs({v} - (middle + slope * (15.5 + {j} - e0))) > 2 * rest + coalesce({atr}, rest)"
+#: Every channel's life by itself, then the chain of those that start after the one before has ended.
+EPISODES = f"""{shapes.shapes('brand_daily', 0.30)},
+    r as (select series_id, "end" as j, end_date as day, price as v, atr, lag(price) over o as pv, lag(atr) over o as patr, max("end") over (partition by series_id) as n from rowed window o as (partition by series_id order by end_date)),
+    c as (select *, "end" as e0 from indexed where label like '%channel'),
+    b as (select c.series_id, e0, min(j) as broken from c join r on c.series_id = r.series_id and j > e0 + 1 where ({BEYOND.format(v='r.v', j='j', atr='r.atr')}) and ({BEYOND.format(v='pv', j='j - 1', atr='patr')}) group by 1, 2),
+    l as (select c.*, coalesce(broken, n) as last, broken is not null as event from c left join b using (series_id, e0) join (select distinct series_id, n from r) using (series_id)),
+    f as (select l.*, (select min(x.e0) from c x where x.series_id = l.series_id and x.e0 > l.last) as next from l),
+    chain as (select series_id, min(e0) as e0 from c group by 1 union all select f.series_id, f.next from chain join f using (series_id, e0) where f.next is not null)
+    select f.series_id, f.end_date as start_date, r.day as end_date, replace(label, '_channel', '') as direction, round(confidence, 5) as conf_detection, cast(last - f.e0 as int) as duration, event::int as event,
+        case when not event then '' when r.v > middle + slope * (15.5 + last - f.e0) then 'up' else 'down' end as breakout_dir, {shapes.rounds({k: x.replace('atr', 'f.atr') for k, x in shapes.FEATURES.items()}, 5)}
+    from chain join f using (series_id, e0) join r on r.series_id = f.series_id and r.j = f.last where event or last > f.e0"""
+
+
+@query("v1_channel_episodes", sql(EPISODES, "brand_daily").replace("with ", "with recursive ", 1))
 def v1(spark, sf_dir):
-    return channel_lives(spark, sf_dir)
+    return rounded(channel_lives(spark, sf_dir), 5)
 
 
 def split_lives(spark, sf_dir):
@@ -270,10 +284,17 @@ def rising(matrix: np.ndarray) -> np.ndarray:
     return np.column_stack([scores / scores.sum(1, keepdims=True), drift, np.minimum(drift, 0), np.maximum(drift, 0)])
 
 
-@query("m3_batch_scoring")
+SHARES = {p: f"(score_{p} + 1e-9) / ({' + '.join(f'score_{q}' for q in patterns.PATTERNS)} + 8e-9)" for p in patterns.PATTERNS}
+DRIFTS = {"pred_return": "drift", "pred_support": "least(drift, 0)", "pred_resistance": "greatest(drift, 0)"}
+
+
+@query("m3_batch_scoring", sql(f"""{shapes.shapes('flag_daily', 0)}, x as (select *, p[32] / p[1] - 1 as drift from indexed)
+    select series_id, "end", end_date, label as predicted_pattern, {shapes.rounds({f'prob_{p}': x for p, x in SHARES.items()} | DRIFTS, 6)}, {', '.join(f'cast(cast(price * (1 + {x}) as float) as double) as {n}_price' for n, x in DRIFTS.items())} from x""", "flag_daily"))
 def m3(spark, sf_dir):
     rows = windows.inference_windows(cal.resample_business(flag_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
-    return models.batch_score(rows, lambda: rising, patterns.PATTERNS).drop("prices", "ts", "value")
+    out = models.batch_score(rows, lambda: rising, patterns.PATTERNS)
+    place = ["series_id", F.col("end").cast("bigint").alias("end"), "end_date", "predicted_pattern", *[F.round(c, 6).alias(c) for c in (*[f"prob_{p}" for p in patterns.PATTERNS], *DRIFTS)]]
+    return out.select(*place, *[F.col(f"{c}_price").cast("float").cast("double").alias(f"{c}_price") for c in DRIFTS])
 
 
 @query("m5_channel_formation")
