@@ -15,6 +15,8 @@ WRITTEN: list[str] = []
 NAMED: list[str] = []
 #: Rows that a window's task gets when :func:`gapless_rank` deals a group into buckets.
 BUCKET_ROWS = 200_000
+#: Whole texts that an Arrow batch carries to a Python worker at a time.
+BATCH_TEXTS = 512
 #: Tables up to this many bytes may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -34,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def short_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, in a session whose Arrow batches hold few rows.
+
+    Spark's 10,000 rows are tens of MB of whole texts, held by the JVM and by the worker at once, in
+    every task. The setting is the session's, since batches are made when the result is read.
+    """
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_TEXTS:
+        conf.set(name, BATCH_TEXTS)
+    return texts
+
+
 def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep_rows, store, whole_row, with_groups
+from .common import BROADCAST_BYTES, keep_rows, short_batches, store, whole_row, with_groups
 
 #: Fingerprints that a task gathers before it emits its filter; filters merge without loss.
 FLUSH = 1 << 20
@@ -164,7 +164,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     column under its own name and keep_id, group_size, kept, text_sha256.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), normalise(text_col).alias("text"))
-    digests = store(source.mapInArrow(_digest(pa.int64(), False), "doc_id bigint, print bigint, sha string"), "digests")
+    digests = store(short_batches(source).mapInArrow(_digest(pa.int64(), False), "doc_id bigint, print bigint, sha string"), "digests")
     blocks = max(1, digests.count() // rows_per_block)
     block_bits = min(20, int(blocks - 1).bit_length())
     filters = digests.select("print").mapInArrow(_filters(block_bits), FILTER_SCHEMA)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, store, whole_row, with_groups
+from .common import keep_rows, short_batches, store, whole_row, with_groups
 
 WORDS = 3
 RADIUS = 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(whole_row(docs)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
-    return source.mapInArrow(_fingerprints, "doc_id bigint, row bigint, fp bigint")
+    return short_batches(source).mapInArrow(_fingerprints, "doc_id bigint, row bigint, fp bigint")
 
 
 def roots_of(nodes: DataFrame, dense: int) -> DataFrame:

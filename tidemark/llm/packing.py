@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, store
+from .common import gapless_rank, short_batches, store
 
 END_ID = 2
 #: Fillings that the branch-and-bound over the histogram looks at before it settles for the best plan so far.
@@ -50,6 +51,12 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
+@cache
+def encoder(json_path: str, ranks_path: str, pattern: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(json_path, ranks_path, pattern)
+
+
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: the first takes what whole pieces leave."""
     n = len(ids)
@@ -59,17 +66,19 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, paths: dict[str, str], capacity: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(**paths)
+        encode = encoder(**paths)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), END_ID], "<u4")
+                found = encode(text or "")
+                found.append(END_ID)
+                ids = np.array(found, "<u4")
                 rows.extend((doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(ids, capacity)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return short_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, PIECES)
 
 
 def complete_bins(counts: dict[int, int], capacity: int, small_first: bool = False) -> list[tuple[int, dict[int, int]]]:

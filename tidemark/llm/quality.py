@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import short_batches, store
 
 # Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -142,7 +142,7 @@ def train(
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.col(label_col).cast("double").alias("label"), F.xxhash64(text_col, label_col).alias("row")
     )
     schema = "label double, row bigint, " + ", ".join(f"{f} double" for f in FEATURES)
-    sample = store(rows.mapInArrow(measure, schema), "quality-sample")
+    sample = store(short_batches(rows).mapInArrow(measure, schema), "quality-sample")
     cuts = [k / bins for k in range(1, bins)]
     quantiles = sample.agg(*[F.percentile_approx(f, cuts, 2000).alias(f) for f in FEATURES]).first()
     edges = [np.unique(np.array(quantiles[f] or [], np.float64)) for f in FEATURES]
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-total)))], names=["doc_id", "score"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, score double").withColumnRenamed("doc_id", id_col)
+    return short_batches(source).mapInArrow(run, "doc_id bigint, score double").withColumnRenamed("doc_id", id_col)
 
 
 def held_out(id_col: str):
@@ -226,8 +226,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     model = train(training_rows(docs, labels, id_col=id_col, text_col=text_col, **options))
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series(log_odds([bytes(t) for t in texts], model) >= 0)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(log_odds(texts.to_pylist(), model) >= 0)
 
-    return docs.where(good(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return short_batches(docs).where(good(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
