@@ -86,6 +86,24 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, salt: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label): all rows of ``docs`` whose id has a label, or a sample of about 0.95 * ``bound`` if they are more.
+
+    Labels are drawn by a hash of their id, so that few enough are left to be broadcast; an id with
+    several labels has the largest. Where ids repeat so often that their rows are still more than
+    ``bound``, different ones are drawn by a hash of id and text, and alike ones count once.
+    """
+    part = lambda share, *cols: F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 30)) < int(share * (1 << 30))
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    n = usable.count()
+    chosen = usable.where(part(min(1.0, 0.95 * bound / max(1, n)), id_col))
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+    found = rows.count()
+    if found > bound:
+        rows = rows.where(part(0.95 * bound / found, id_col, "text")).dropDuplicates([id_col, "text"])
+    return rows.select("text", "label")
+
+
 def whole_row(docs: DataFrame) -> Column:
     """All columns of a row as one, so that added columns never clash with its own; see :func:`keep_rows`."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

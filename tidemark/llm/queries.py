@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dialogue, exact_dedup, lm_scoring, merkle, mixing, near_dedup, packing, quality, sharding, substring_dedup, topk_search, url_filter
+from . import dialogue, exact_dedup, lm_scoring, merkle, mixing, near_dedup, packing, quality, sharding, substring_dedup, topk_search, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("net/", "block"),
@@ -73,6 +73,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
+        "op11_toxicity": op11_toxicity,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_conversation_repair": op13_conversation_repair,
     }
