@@ -148,6 +148,39 @@ def test_episodes_match_a_plain_scan(spark, confirm, min_life):
         assert all((r.end_date - r.start_date).days == r.duration and r.event == int(r.breakout_dir != "") for r in got)
 
 
+@pytest.mark.parametrize("chunk,block", [(8, None), (32, 60)])
+def test_episodes_across_chunks_match_a_plain_scan(spark, chunk, block):
+    df = panel(spark, n=300, names=("a", "b"), seed=9, gaps=(90, 91, 180))
+    got = survival.episodes(df, KEYS, lookback=16, chunk=chunk, block=block).collect()
+    for s in ("a", "b"):
+        v = [r.value for r in df.where(F.col("series_id") == s).orderBy("ts").collect()]
+        assert sorted(((r.start_date - DAY).days, r.duration, r.breakout_dir) for r in got if r.series_id == s) == plain_episodes(v, 16, 2, 1)
+
+
+def test_a_life_goes_on_over_many_chunks(spark):
+    """One window's channel holds for 100 rows of chunks of 8, beside one that ends with the series and one at its last row."""
+    rows = [("a", k, 10.0 + (30.0 if k in (120, 121) else 0.0), 1.0) for k in range(125)]
+    series = spark.createDataFrame(rows, "series_id string, row_idx bigint, _v double, atr double")
+    windows = spark.createDataFrame([("a", 20, 0.0, 10.0, 1.0), ("a", 122, 0.0, 10.0, 1.0), ("a", 124, 0.0, 10.0, 1.0)], "series_id string, row_idx bigint, _slope double, _icept double, _sd double")
+    got = survival.lives(series, windows, KEYS, 16, 2.0, 1.0, 2, 8).orderBy("row_idx").collect()
+    assert [(r["_last"], r["duration"], r["event"], r["breakout_dir"]) for r in got] == [(121, 101, 1, "up"), (124, 2, 0, ""), (124, 0, 0, "")]
+
+
+@pytest.mark.parametrize("chunk", [2, 16, 10_000])
+def test_reached_windows_are_those_of_a_walk(spark, chunk):
+    rng = np.random.default_rng(chunk)
+    rows = [(s, int(k), int(k + rng.integers(0, 9))) for s in ("a", "b", None) for k in np.flatnonzero(rng.random(400) < 0.3)]
+    got = {(r["series_id"], r["row_idx"]) for r in survival.reached(spark.createDataFrame(rows, "series_id string, row_idx bigint, _last bigint"), KEYS, chunk).collect()}
+    want = set()
+    for s in ("a", "b", None):
+        last = -1
+        for _, k, end in [r for r in rows if r[0] == s]:
+            if k > last:
+                want.add((s, k))
+                last = end
+    assert got == want
+
+
 @pytest.mark.parametrize("block", [2, 50_000])
 def test_cox_finds_the_maximum_of_its_likelihood(spark, block):
     rng = random.Random(5)

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Column names under which public data providers ship dates and values, best first.
+from . import scan
+
+# Column names under which public data providers ship dates and values, best first.
 DATE_NAMES = ("date", "DATE", "observation_date", "TIME_PERIOD", "time_period")
 VALUE_NAMES = ("value", "VALUE", "OBS_VALUE", "obs_value")
 
@@ -65,17 +67,17 @@ def business_calendar(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return spans.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))).alias(ts)).where(F.weekday(ts) < 5)
 
 
-def fill_forward(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
-    w = by_time(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+def fill_forward(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts", block: int | None = None) -> DataFrame:
+    """Nulls become the last value before them; series longer than ``block`` are filled by ranges, see :mod:`.scan`."""
+    return scan.run(df, keys, ts, {c: (scan.LAST, F.col(c)) for c in columns}, block)
 
 
-def fill_backward(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
-    w = by_time(keys, ts).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in columns})
+def fill_backward(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts", block: int | None = None) -> DataFrame:
+    """Nulls become the next value after them, by ranges as in :func:`fill_forward`."""
+    return scan.run(df, keys, ts, {c: (scan.LAST, F.col(c)) for c in columns}, block, backward=True)
 
 
-def resample_business(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
+def resample_business(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts", block: int | None = None) -> DataFrame:
     """Business days with each column's last non-null value of the day, gaps filled forward.
 
     Saturday and Sunday belong to the Friday before, even when that is earlier than the series.
@@ -84,19 +86,19 @@ def resample_business(df: DataFrame, keys: list[str], columns: list[str], ts: st
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in columns]
     )
     days = days.withColumnRenamed("_bin", ts)
-    return fill_forward(business_calendar(days, keys, ts).join(days, [*keys, ts], "left"), keys, columns, ts)
+    return fill_forward(business_calendar(days, keys, ts).join(days, [*keys, ts], "left"), keys, columns, ts, block)
 
 
-def reindex_business(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
+def reindex_business(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts", block: int | None = None) -> DataFrame:
     """Business days between a series' first and last date, gaps filled forward; weekend rows are left out."""
-    return fill_forward(business_calendar(df, keys, ts).join(df.select(*keys, ts, *columns), [*keys, ts], "left"), keys, columns, ts)
+    return fill_forward(business_calendar(df, keys, ts).join(df.select(*keys, ts, *columns), [*keys, ts], "left"), keys, columns, ts, block)
 
 
-def reindex_hourly(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
+def reindex_hourly(df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts", block: int | None = None) -> DataFrame:
     """Every hour between a series' first and last one, gaps filled forward."""
     spans = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     hours = spans.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 hour"))).alias(ts))
-    return fill_forward(hours.join(df.select(*keys, ts, *columns), [*keys, ts], "left"), keys, columns, ts)
+    return fill_forward(hours.join(df.select(*keys, ts, *columns), [*keys, ts], "left"), keys, columns, ts, block)
 
 
 def infinities_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -120,9 +122,13 @@ def prefix_columns(df: DataFrame, columns: list[str], prefix: str = "z__") -> Da
     return df.withColumnsRenamed({c: prefix + c for c in columns})
 
 
-def row_index(df: DataFrame, keys: list[str], ts: str = "ts", name: str = "row_idx") -> DataFrame:
-    """The row's place in its series, from 0."""
-    return df.withColumn(name, F.row_number().over(by_time(keys, ts)) - 1)
+def row_index(df: DataFrame, keys: list[str], ts: str = "ts", name: str = "row_idx", block: int | None = None) -> DataFrame:
+    """The row's place in its series, from 0; places of series longer than ``block`` are counted by ranges."""
+    size = scan.block_of(df, ts, block)
+    cut = scan.ranged(df, keys, ts, size) if size else None
+    if cut is None:
+        return df.withColumn(name, F.row_number().over(by_time(keys, ts)).cast("bigint") - 1)
+    return scan.scan(cut, keys, ts, {name: (scan.TOTAL, F.lit(1))}).withColumn(name, F.col(name) - 1).drop(scan.PART)
 
 
 def stats(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .calendar import by_time, fill_backward, fill_forward, finite
 
 
@@ -71,15 +72,21 @@ class Rolling:
         return F.coalesce(self.ahead(F.max, flag, rows), F.lit(0))
 
 
-def equity(df: DataFrame, keys: list[str], returns: str, ts: str = "ts") -> DataFrame:
-    """Add equity (the running product of 1 + r), its peak and the drawdown; a return of -1 ends at zero."""
-    w = by_time(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
+def equity(df: DataFrame, keys: list[str], returns: str, ts: str = "ts", block: int | None = None) -> DataFrame:
+    """Add equity (the running product of 1 + r), its peak and the drawdown; a return of -1 ends at zero.
+
+    The product is two sums and a maximum, of signs, logarithms and zeros, so series longer than
+    ``block`` run by ranges, see :mod:`.scan`.
+    """
     growth = 1 + F.col(returns)
-    sign = F.pow(F.lit(-1.0), F.sum(F.when(growth < 0, 1).otherwise(0)).over(w))
-    size = F.exp(F.sum(F.ln(F.abs(growth))).over(w))
-    gone = F.max(F.when(growth == 0, 1).otherwise(0)).over(w) == 1
-    df = df.withColumn("equity", F.when(gone, 0.0).otherwise(F.coalesce(size, F.lit(1.0)) * sign))
-    df = df.withColumn("peak", F.max("equity").over(w))
+    df = scan.run(
+        df, keys, ts,
+        {"_turns": (scan.TOTAL, F.when(growth < 0, 1).otherwise(0)), "_logs": (scan.TOTAL, F.ln(F.abs(growth))), "_gone": (scan.MAXIMUM, F.when(growth == 0, 1).otherwise(0))},
+        block,
+    )
+    worth = F.coalesce(F.exp("_logs"), F.lit(1.0)) * F.pow(F.lit(-1.0), F.col("_turns"))
+    df = df.withColumn("equity", F.when(F.col("_gone") == 1, 0.0).otherwise(worth)).drop("_turns", "_logs", "_gone")
+    df = scan.run(df, keys, ts, {"peak": (scan.MAXIMUM, F.col("equity"))}, block)
     return df.withColumn("drawdown", F.try_divide(F.col("equity"), F.col("peak")) - 1)
 
 

@@ -11,45 +11,128 @@ from pyspark.sql import functions as F
 
 from .evaluation import auc
 from .features import Rolling
+from .tables import store
+
+
+#: Cells whose weights are drawn at a time, and cells of a bin of the tree, about; bins are at most 2 ** TOP.
+CELLS, BIN_CELLS, TOP = 1024, 512, 16
+
+
+def splits_of(places: np.ndarray, counts: np.ndarray, depth: int) -> list[list[float]]:
+    """For each cell, at ``depth`` and below, the share of rows on the left side of each node on its way, until it is alone.
+
+    ``places`` are sorted unsigned 64-bit numbers; a node parts them by their next bit.
+    """
+    out: list[list[float]] = [[] for _ in places]
+    todo = [(0, len(places), depth)]
+    while todo:
+        lo, hi, bit = todo.pop()
+        if hi - lo < 2 or bit > 63:
+            continue
+        cut = lo + int((((places[lo:hi] >> np.uint64(63 - bit)) & np.uint64(1)) == 0).sum())
+        share = float(counts[lo:cut].sum() / counts[lo:hi].sum())
+        for k in range(lo, hi):
+            out[k].append(share)
+        todo += [(lo, cut, bit + 1), (cut, hi, bit + 1)]
+    return out
+
+
+def dealt(total: int, places: np.ndarray, shares: list[list[float]], replicates: int, salt: int) -> np.ndarray:
+    """How many of ``total`` draws with replacement each cell gets, a row a cell and a column a replicate.
+
+    The draws of a node go left by a binomial count, made from the node's own counter-based generator,
+    so whoever asks for a cell's draws finds the same, and all cells' draws add up to ``total``. Cells
+    are asked for in the order of their places; what they share of the way is drawn once.
+    """
+    out = np.empty((len(places), replicates), np.int64)
+    path: list[tuple[int, np.ndarray]] = []  # prefix, and the draws that come to that node
+    for k, (place, way) in enumerate(zip(places.tolist(), shares, strict=True)):
+        same = 0
+        while same < min(len(path), len(way)) and path[same][0] == place >> (63 - same):
+            same += 1
+        del path[same:]
+        for depth in range(same, len(way)):
+            above = path[-1][1] if path else np.full(replicates, total, np.int64)
+            node = (place >> (64 - depth)) if depth else 0
+            left = np.random.Generator(np.random.Philox(key=np.array([node, salt << 6 | depth], np.uint64))).binomial(above, way[depth])
+            path.append((place >> (63 - depth), above - left if place >> (63 - depth) & 1 else left))
+        out[k] = path[len(way) - 1][1] if way else total
+    return out
+
+
+def bootstrap_cells(df: DataFrame, first: str, second: str, actual: str, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows counted by class and exact scores, with each cell's place in its class's tree and the shares on its way; and the classes' rows.
+
+    A cell's place is a hash. The tree's upper levels come from sums by bins, of which there are at most
+    2 ** TOP at any size; below, each bin is a group of its own.
+    """
+    counts = df.dropna(subset=[actual, first, second]).groupBy(F.col(actual).cast("int").alias("actual"), F.col(first).cast("double").alias("first"), F.col(second).cast("double").alias("second"))
+    counts = store(counts.agg(F.count("*").alias("n")).withColumn("place", F.xxhash64(F.lit(seed), "actual", "first", "second")), "bootstrap-counts")
+    top = min(TOP, max(0, (counts.count() // BIN_CELLS).bit_length()))
+    binned = counts.withColumn("bin", F.shiftrightunsigned("place", 64 - top).cast("int") if top else F.lit(0))
+    held = {}
+    for r in binned.groupBy("actual", "bin").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect():
+        held.setdefault(r["actual"], np.zeros(1 << top))[r["bin"]] = r["n"]
+    sums = {y: [x.reshape(1 << d, -1).sum(axis=1) for d in range(top + 1)] for y, x in held.items()}
+
+    def ways(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        y, number = int(key[0]), int(key[1])
+        places = frame["place"].to_numpy(np.int64).view(np.uint64)
+        frame = frame.iloc[np.argsort(places)]
+        above = []
+        for d in range(top):
+            node = number >> (top - d)
+            above.append(float(sums[y][d + 1][2 * node] / sums[y][d][node]))
+        below = splits_of(np.sort(places), frame["n"].to_numpy(), top)
+        return frame.assign(shares=[above + x for x in below])[["actual", "first", "second", "n", "place", "shares"]]
+
+    schema = "actual int, first double, second double, n bigint, place bigint, shares array<double>"
+    return store(binned.groupBy("actual", "bin").applyInPandas(ways, schema), "bootstrap-cells"), {y: int(x.sum()) for y, x in held.items()}
 
 
 def bootstrap_auc_gap(df: DataFrame, first: str, second: str, actual: str = "actual", replicates: int = 3000, seed: int = 7) -> DataFrame:
     """(replicates, delta, low, high, p_better): AUC(first) - AUC(second) with a 95 % interval.
 
-    Rows are counted by their exact scores and class. A replicate draws a Poisson weight for each
-    count, the same for both models, and an AUC divides by the weights of either class, so
-    classes are resampled each by itself. A score's order does not change from replicate to
-    replicate: tasks go through ranges of it once, for all replicates together, and ranges meet
-    in sums. ``delta`` is the gap of the rows as they are. Null scores are left out.
+    Each replicate draws as many positives and as many negatives as there are, with replacement, the
+    same rows for both models. Rows are counted by class and exact scores; the draws of a class are
+    dealt down a tree by binomial counts (:func:`dealt`), so totals are exact and tasks need not talk
+    to each other. Tasks go through ranges of the scores once, for all replicates as matrices, and
+    ranges meet in sums. ``delta`` is the gap of the rows as they are. Null scores are left out;
+    without replicates only ``delta`` is told.
     """
-    counts = df.dropna(subset=[actual, first, second]).groupBy(F.col(actual).cast("int").alias("actual"), F.col(first).cast("double").alias("first"), F.col(second).cast("double").alias("second"))
-    counts = counts.agg(F.count("*").alias("n")).withColumn("key", F.xxhash64(F.lit(seed), "actual", "first", "second"))
+    cells, totals = bootstrap_cells(df, first, second, actual, seed)
 
     def ranged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wins, below, pos, neg, hits = (np.zeros(replicates + 1) for _ in range(5))
+        wins, below, hits = (np.zeros(replicates + 1) for _ in range(3))
+        pos, neg = np.zeros(replicates + 1), np.zeros(replicates + 1)
         score = part = None
-
-        def close() -> None:
-            # Equal scores count half.
-            wins.__iadd__(pos * (below + neg / 2))
-            below.__iadd__(neg)
-            hits.__iadd__(pos)
-            pos[:], neg[:] = 0, 0
-
-        for frame in frames:
-            for s, y, n, key, number in frame[["score", "actual", "n", "key", "part"]].itertuples(index=False):
-                if s != score:
-                    close()
-                score, part = s, number
-                weights = np.r_[n, np.random.Generator(np.random.Philox(key % (1 << 63))).poisson(n, replicates)]
-                (pos if y == 1 else neg).__iadd__(weights)
+        for whole in frames:
+            for at in range(0, len(whole), CELLS):
+                frame = whole.iloc[at : at + CELLS]
+                part = int(frame["part"].iloc[0])
+                weights = np.empty((len(frame), replicates + 1))
+                weights[:, 0] = frame["n"]
+                places = frame["place"].to_numpy(np.int64).view(np.uint64)
+                for y in frame["actual"].unique():
+                    mine = np.flatnonzero(frame["actual"].to_numpy() == y)
+                    mine = mine[np.argsort(places[mine])]
+                    weights[mine, 1:] = dealt(totals[int(y)], places[mine], [list(x) for x in frame["shares"].iloc[mine]], replicates, seed << 1 | int(y == 1))
+                values, positive = frame["score"].to_numpy(), frame["actual"].to_numpy() == 1
+                for lo, hi in _equal_runs(values):
+                    if values[lo] != score:  # equal scores count half
+                        wins += pos * (below + neg / 2)
+                        below += neg
+                        hits += pos
+                        pos, neg, score = np.zeros(replicates + 1), np.zeros(replicates + 1), values[lo]
+                    pos += weights[lo:hi][positive[lo:hi]].sum(axis=0)
+                    neg += weights[lo:hi][~positive[lo:hi]].sum(axis=0)
         if part is not None:
-            close()
-            yield pd.DataFrame({"part": part, "replicate": np.arange(replicates + 1), "wins": wins, "pos": hits, "neg": below})
+            wins += pos * (below + neg / 2)
+            yield pd.DataFrame({"part": part, "replicate": np.arange(replicates + 1), "wins": wins, "pos": hits + pos, "neg": below + neg})
 
     def areas(score: str) -> DataFrame:
-        ranges = counts.withColumn("score", F.col(score)).repartitionByRange("score").withColumn("part", F.spark_partition_id()).sortWithinPartitions("score")
-        sums = ranges.select("score", "actual", "n", "key", "part").mapInPandas(ranged, "part int, replicate int, wins double, pos double, neg double")
+        ranges = cells.withColumn("score", F.col(score)).repartitionByRange("score").withColumn("part", F.spark_partition_id()).sortWithinPartitions("score")
+        sums = ranges.select("score", "actual", "n", "place", "shares", "part").mapInPandas(ranged, "part int, replicate int, wins double, pos double, neg double")
         before = F.coalesce(F.sum("neg").over(Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         met = sums.withColumn("wins", F.col("wins") + F.col("pos") * before)
         return met.groupBy("replicate").agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias(score))
@@ -61,6 +144,11 @@ def bootstrap_auc_gap(df: DataFrame, first: str, second: str, actual: str = "act
     )
 
 
+def _equal_runs(values: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True))
+
+
 def ageing_auc(df: DataFrame, cutoffs: list[str], date: str = "ts", actual: str = "actual", score: str = "score") -> DataFrame:
     """(age, n, auc): the AUC of rows by the age of the last model before them, in months: 0-1, 1-3, 3-6, 6-12."""
     last = F.array_max(F.filter(F.array(*[F.to_date(F.lit(c)) for c in cutoffs]), lambda c: c < F.col(date)))

@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import patterns
 
+from . import scan
 from .calendar import row_index
 from .features import Rolling
+from .tables import store
 from .windows import channel_line, channel_shape, label, sliding
 
 
+#: Rows of a chunk in which lives are followed by one task.
+CHUNK = 4096
+#: Windows whose lives are followed at a time, and rows that they look ahead at a time.
+TOGETHER, AHEAD = 256, 64
+
+
 def episodes(
     df: DataFrame,
     keys: list[str],
@@ -26,6 +34,8 @@ def episodes(
     confirm: int = 2,
     min_life: int = 1,
     ts: str = "ts",
+    chunk: int = CHUNK,
+    block: int | None = None,
 ) -> DataFrame:
     """Non-overlapping lives of price channels, one row each.
 
@@ -33,62 +43,162 @@ def episodes(
     rows in a row beyond a band by more than ``tolerance`` average ranges of that row; it is
     censored at a null or the end of the series. The next window may end two rows after the last.
 
-    Labels, lines and features come from whole-column expressions over all windows. Only the scan
-    that skips from one life to the next runs series by series, over a few numbers per row, and
-    looks at each row about once.
+    A series may have any length: ``chunk`` rows of it are a group. Every window's life is followed to
+    its end, from chunk to chunk where it is long (:func:`lives`); the window that may start next is
+    looked up for all at once by a scan; and which windows are reached from the first one is found
+    by doubling pointers (:func:`reached`). With ``block``, windows too are made by ranges.
     """
-    r = Rolling(keys, ts)
-    step, average = r.average_range(F.col(value))
-    series = row_index(df, keys, ts).withColumn("_step", step).withColumn("atr", average(F.col("_step"))).drop("_step")
-    windows = label(sliding(series.drop("row_idx"), keys, value, lookback, ts=ts), threshold).where(F.col("label").isin(*patterns.CHANNELS))
-    rising = F.col("label") == patterns.CHANNELS[0]
-    windows = windows.withColumns({"_l": channel_line("prices"), "_f": channel_shape("prices", "atr", rising)})
-    windows = windows.select(*keys, (F.col("end") - 1).alias("row_idx"), "label", "confidence", "_l", "_f")
-    rows = series.select(*keys, "row_idx", F.col(ts).alias("_ts"), F.col(value).alias("_v"), "atr").join(windows, [*keys, "row_idx"], "left")
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row_idx")
-        v, atr, dates = frame["_v"].to_numpy(float), frame["atr"].to_numpy(float), frame["_ts"].to_numpy()
-        slope, start, sd = (frame[c].to_numpy(float) for c in ("_slope", "_icept", "_sd"))
-        lives, at, n = [], 0, len(frame)
-        for e0 in np.flatnonzero(frame["label"].notna().to_numpy()):
-            if e0 < at:
-                continue
-            last, way = _life(v, atr, e0, slope[e0], start[e0], sd[e0], lookback, band, tolerance, confirm)
-            if way or last - e0 >= min_life:
-                lives.append((e0, dates[last], last - e0, int(bool(way)), way))
-            at = last + 1
-        out = frame.iloc[[x[0] for x in lives]][[*keys, "row_idx"]].copy()
-        for k, name in enumerate(("end_date", "duration", "event", "breakout_dir"), 1):
-            out[name] = [x[k] for x in lives]
-        return out
 
-    narrow = rows.select(*keys, "row_idx", "_ts", "_v", "atr", "label", F.col("_l.slope").alias("_slope"), F.col("_l.intercept").alias("_icept"), F.col("_l.resid_std").alias("_sd"))
-    kinds = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
-    day = series.schema[ts].dataType.simpleString()
-    lives = narrow.groupBy(*keys).applyInPandas(scan, f"{kinds}, row_idx int, end_date {day}, duration int, event int, breakout_dir string")
-    return lives.join(rows.drop("_v", "atr"), [*keys, "row_idx"]).select(
-        *keys, F.col("_ts").alias("start_date"), "end_date", F.regexp_replace("label", "_channel", "").alias("direction"), F.col("confidence").alias("conf_detection"),
+    def with_range(frame: DataFrame, keys: list[str]) -> DataFrame:
+        r = Rolling(keys, ts)
+        step, average = r.average_range(F.col(value))
+        return frame.withColumn("_step", step).withColumn("atr", average(F.col("_step"))).drop("_step")
+
+    def labelled(frame: DataFrame, keys: list[str]) -> DataFrame:
+        rows = label(sliding(frame, keys, value, lookback, ts=ts), threshold).where(F.col("label").isin(*patterns.CHANNELS))
+        rising = F.col("label") == patterns.CHANNELS[0]
+        return rows.withColumns({"_l": channel_line("prices"), "_f": channel_shape("prices", "atr", rising)}).drop("prices")
+
+    # The average range of a row needs the change of the row before its frame.
+    series = row_index(scan.bounded(df.select(*keys, ts, value), keys, ts, 15, 0, with_range, block), keys, ts, block=block)
+    series = store(series.select(*keys, "row_idx", F.col(ts).alias("_ts"), F.col(value).alias("_v"), "atr"), "channel-rows")
+    plain = series.select(*keys, "row_idx", F.col("_ts").alias(ts), F.col("_v").alias(value), "atr")
+    found = scan.bounded(plain.withColumnRenamed("row_idx", "_place"), keys, ts, lookback - 1, 0, labelled, block)
+    windows = found.select(*keys, F.col("_place").alias("row_idx"), F.col(ts).alias("start_date"), "label", "confidence", F.col("_l.slope").alias("_slope"), F.col("_l.intercept").alias("_icept"), F.col("_l.resid_std").alias("_sd"), "_f")
+    windows = store(windows, "channel-windows")
+    ends = lives(series, windows, keys, lookback, band, tolerance, confirm, chunk)
+    chosen = reached(ends, keys, chunk).where((F.col("breakout_dir") != "") | (F.col("duration") >= min_life))
+    at = [*keys, "row_idx"]
+    chosen = chosen.withColumnsRenamed({c: f"_c_{c}" for c in at})
+    told = windows.drop("_slope", "_icept", "_sd").join(chosen, scan.alike(at, [f"_c_{c}" for c in at]))
+    dates = series.select(*[F.col(c).alias(f"_d_{c}") for c in at], F.col("_ts").alias("end_date"))
+    met = told.join(dates, scan.alike([*keys, "_last"], [f"_d_{c}" for c in at]))
+    return met.select(
+        *keys, "start_date", "end_date", F.regexp_replace("label", "_channel", "").alias("direction"), F.col("confidence").alias("conf_detection"),
         "duration", "event", "breakout_dir", *[F.col(f"_f.{c}").alias(c) for c in patterns.CHANNEL_FEATURES],
     )
 
 
-def _life(v, atr, e0, slope, start, sd, lookback, band, tolerance, confirm, step=256) -> tuple[int, str]:
-    """The last row of a channel detected at ``e0`` and the side on which it broke, or "" where it is censored."""
-    last, run = e0, 0
-    for lo in range(e0 + 1, len(v), step):
-        j = np.arange(lo, min(lo + step, len(v)))
-        off = v[j] - (start + slope * (lookback - 1 + j - e0))
-        room = band * sd + tolerance * np.where(np.isnan(atr[j]), sd, atr[j])
-        up, down, gone = off > room, off < -room, np.isnan(off)
-        for k in range(len(j)):
-            if gone[k]:
-                return last, ""
-            run = run + 1 if up[k] or down[k] else 0
-            last = int(j[k])
-            if run >= confirm:
-                return last, "up" if up[k] else "down"
-    return last, ""
+def kinds_of(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def lives(series: DataFrame, windows: DataFrame, keys: list[str], lookback: int, band: float, tolerance: float, confirm: int, chunk: int) -> DataFrame:
+    """(keys, row_idx, _last, duration, event, breakout_dir): the end of each window's channel, of stored tables.
+
+    A round follows the open channels through the chunk they have come to, all windows of a chunk as
+    matrices; those still open go on to the next chunk with the rows that they were outside for.
+    """
+    rows = series.select(*keys, "row_idx", "_v", "atr").withColumn("_chunk", F.floor(F.col("row_idx") / chunk))
+    open_lives = windows.select(*keys, "row_idx", "_slope", "_icept", "_sd", F.lit(0).alias("_run"), (F.col("row_idx") + 1).alias("_at"))
+    carried = [*keys, "row_idx", "_slope", "_icept", "_sd", "_run", "_at"]
+    schema = f"{kinds_of(open_lives, carried)}, _last bigint, _way string"
+
+    def follow(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out = wanted[carried].copy()
+        if not len(found):  # the chunk after the last one
+            return out.assign(_last=out["_at"] - 1, _way="").reset_index(drop=True)
+        if not len(wanted):
+            return out.assign(_last=pd.Series(dtype="int64"), _way=pd.Series(dtype=object))
+        found = found.sort_values("row_idx")
+        first = int(found["row_idx"].iloc[0])
+        v, atr = found["_v"].to_numpy(float), found["atr"].to_numpy(float)
+        parts = [_follow(v, atr, first, out.iloc[a : a + TOGETHER], lookback, band, tolerance, confirm) for a in range(0, len(out), TOGETHER)]
+        out["_run"], out["_at"], out["_last"], out["_way"] = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(v) < chunk:  # the series ends in this chunk
+            out["_last"] = np.where(out["_last"] < 0, out["_at"] - 1, out["_last"])
+        # Whole numbers with none for the open ones.
+        out["_last"] = out["_last"].astype("Int64").where(out["_last"] >= 0)
+        return out.reset_index(drop=True)
+
+    done = None
+    while True:
+        asked = open_lives.withColumn("_chunk", F.floor(F.col("_at") / chunk))
+        told = store(asked.groupBy(*keys, "_chunk").cogroup(rows.groupBy(*keys, "_chunk")).applyInPandas(lambda wanted, found: follow(found, wanted), schema), "channel-lives")
+        ended = told.where("_last is not null")
+        done = ended if done is None else done.unionByName(ended)
+        open_lives = told.where("_last is null").select(*carried)
+        if open_lives.isEmpty():
+            break
+    return done.select(*keys, "row_idx", "_last", (F.col("_last") - F.col("row_idx")).cast("int").alias("duration"), (F.col("_way") != "").cast("int").alias("event"), F.col("_way").alias("breakout_dir"))
+
+
+def _follow(v, atr, first, wanted, lookback, band, tolerance, confirm) -> tuple[np.ndarray, ...]:
+    """Follow channels through a chunk of rows: rows outside so far, the next row, the last row or -1 if open, and the side of the break."""
+    e0, at = wanted["row_idx"].to_numpy(), wanted["_at"].to_numpy().copy()
+    slope, start, sd = (wanted[c].to_numpy(float) for c in ("_slope", "_icept", "_sd"))
+    run, last, way = wanted["_run"].to_numpy().copy(), np.full(len(e0), -1), np.full(len(e0), "", dtype=object)
+    todo, end = np.arange(len(e0)), first + len(v)
+    while len(todo):
+        j = at[todo, None] + np.arange(AHEAD)
+        here = j < end
+        k = np.where(here, j - first, 0)
+        off = v[k] - (start[todo, None] + slope[todo, None] * (lookback - 1 + j - e0[todo, None]))
+        room = band * sd[todo, None] + tolerance * np.where(np.isnan(atr[k]), sd[todo, None], atr[k])
+        gone, outside = here & np.isnan(off), here & (np.abs(off) > room)
+        # Rows outside up to here: since the last row inside, or since before this look.
+        inside = np.maximum.accumulate(np.where(outside, -1, np.arange(AHEAD)), axis=1)
+        runs = np.where(inside < 0, run[todo, None] + np.arange(1, AHEAD + 1), np.arange(AHEAD) - inside)
+        stops = gone | (outside & (runs >= confirm))
+        stop = np.where(stops.any(axis=1), stops.argmax(axis=1), AHEAD)
+        hit = np.flatnonzero(stop < AHEAD)
+        broke = ~gone[hit, stop[hit]]
+        last[todo[hit]] = j[hit, stop[hit]] - ~broke
+        way[todo[hit]] = np.where(broke, np.where(off[hit, stop[hit]] > 0, "up", "down"), "")
+        left = np.flatnonzero(stop == AHEAD)
+        seen = here[left].sum(axis=1)
+        run[todo[left]] = np.where(seen > 0, np.where(outside[left, np.maximum(seen - 1, 0)], runs[left, np.maximum(seen - 1, 0)], 0), run[todo[left]])
+        at[todo[left]] += seen
+        todo = todo[left][at[todo[left]] < end]
+    return run, at, last, way
+
+
+def reached(ends: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """The rows of ``ends`` (keys, row_idx, _last and others) that follow one another from the first: each starts after the last one's end.
+
+    The window after each one is the next in order, found by a scan back over starts and ends. Within
+    a chunk these pointers are followed by a task, to the window where they leave it; between chunks
+    they are doubled, so a series of n chunks needs about log2 n rounds of joins.
+    """
+    ends = store(ends, "channel-ends")
+    starts = ends.select(*keys, (F.col("row_idx") * 2).alias("_pos"), F.col("row_idx").alias("_next"), F.lit(None).cast("bigint").alias("row_idx"))
+    after = ends.select(*keys, (F.col("_last") * 2 + 1).alias("_pos"), F.lit(None).cast("bigint").alias("_next"), "row_idx")
+    follows = scan.run(starts.unionByName(after), keys, "_pos", {"_next": (scan.LAST, F.col("_next"))}, backward=True).where("row_idx is not null")
+    follows = store(follows.select(*keys, "row_idx", "_next", F.floor(F.col("row_idx") / chunk).alias("_chunk")), "channel-next")
+
+    def leave(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row_idx")
+        place, after = frame["row_idx"].tolist(), frame["_next"].tolist()
+        exits: dict[int, float] = {}
+        for a, b in zip(reversed(place), reversed(after), strict=True):
+            exits[a] = b if pd.isna(b) else exits.get(int(b), b)
+        frame["_exit"] = pd.array([exits[a] for a in place], dtype="Int64")
+        return frame[[*keys, "row_idx", "_exit"]]
+
+    jumps = store(follows.groupBy(*keys, "_chunk").applyInPandas(leave, f"{kinds_of(follows, [*keys, 'row_idx'])}, _exit bigint"), "channel-jumps")
+    marked = store(follows.groupBy(*keys).agg(F.min("row_idx").alias("row_idx")), "channel-marks")
+    left = lambda df, names: df.select(*[F.col(c).alias(f"_r_{c}") for c in names])
+    pair = lambda a: scan.alike([*keys, a], [f"_r_{k}" for k in (*keys, "row_idx")])
+    while not jumps.where("_exit is not null").isEmpty():
+        far = left(jumps, [*keys, "row_idx", "_exit"])
+        more = marked.join(far, pair("row_idx")).where("_r__exit is not null").select(*keys, F.col("_r__exit").alias("row_idx"))
+        marked = store(marked.unionByName(more).distinct(), "channel-marks")
+        jumps = store(jumps.where("_exit is not null").join(far, pair("_exit"), "left").select(*keys, "row_idx", F.col("_r__exit").alias("_exit")), "channel-jumps")
+    entered = marked.withColumn("_entry", F.lit(1)).select(*[F.col(c).alias(f"_r_{c}") for c in (*keys, "row_idx")], "_entry")
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row_idx")
+        after = dict(zip(frame["row_idx"].tolist(), frame["_next"].tolist(), strict=True))
+        seen = set()
+        for at in frame.loc[frame["_entry"].notna(), "row_idx"].tolist():
+            while at in after and at not in seen:
+                seen.add(at)
+                at = after[at]
+        return frame.loc[frame["row_idx"].isin(seen), [*keys, "row_idx"]]
+
+    walked = follows.join(entered, pair("row_idx"), "left").groupBy(*keys, "_chunk").applyInPandas(walk, kinds_of(follows, [*keys, "row_idx"]))
+    met = left(walked, [*keys, "row_idx"])
+    return ends.join(met, pair("row_idx"), "left_semi")
 
 
 def ranged(df: DataFrame, column: str, out: str, block: int = 50_000) -> tuple[DataFrame, int]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, patterns
 from tidemark.operators import calendar as cal
-from tidemark.operators import encode, features, windows
+from tidemark.operators import encode, features, scan, windows
 from tidemark.sources import series, sinks
 
 from . import shapes
@@ -14,6 +14,8 @@ from .panels import brand_daily, events_hourly, flag_daily, market_wide, orders_
 from .registry import query, rounded, single
 
 KEYS = ["series_id"]
+#: Rows of a range where queries run by ranges: few, so that the given tables' series have several.
+RANGE = 500
 R = features.Rolling(KEYS)
 W = "over (partition by series_id order by ts)"
 
@@ -98,19 +100,19 @@ CALENDAR = """c as (select series_id, cast(unnest(generate_series(lo, hi, interv
 @query("t3_resample_business", sql(f"""b as (select series_id, {BIN} as ts, arg_max(value, ts) as value from brand_daily group by 1, 2), {CALENDAR}
     select series_id, ts, {f32(f'last_value(value ignore nulls) {W}')} as value from c left join b using (series_id, ts) where isodow(ts) < 6""", "brand_daily"))
 def t3(spark, sf_dir):
-    return single(cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"]))
+    return single(cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"], block=RANGE))
 
 
 @query("t4_reindex_business", sql(f"""b as (select * from brand_daily), {CALENDAR}
     select series_id, ts, {f32(f'last_value(value ignore nulls) {W}')} as value from (select c.series_id, c.ts, value from c left join b using (series_id, ts) where isodow(c.ts) < 6)""", "brand_daily"))
 def t4(spark, sf_dir):
-    return single(cal.reindex_business(brand_daily(spark, sf_dir), KEYS, ["value"]))
+    return single(cal.reindex_business(brand_daily(spark, sf_dir), KEYS, ["value"], block=RANGE))
 
 
 @query("t4_reindex_hourly", sql(f"""c as (select series_id, unnest(generate_series(lo, hi, interval 1 hour)) as ts from (select series_id, min(ts) lo, max(ts) hi from events_hourly group by 1))
     select series_id, ts, {f32(f'last_value(value ignore nulls) {W}')} as value from c left join events_hourly using (series_id, ts)""", "events_hourly"))
 def t4h(spark, sf_dir):
-    return single(cal.reindex_hourly(events_hourly(spark, sf_dir), KEYS, ["value"]))
+    return single(cal.reindex_hourly(events_hourly(spark, sf_dir), KEYS, ["value"], block=RANGE))
 
 
 @query("t5_fill", sql(f"""g as (select series_id, ts, case when day(ts) % 3 <> 0 then value end as value from flag_daily)
@@ -118,7 +120,7 @@ def t4h(spark, sf_dir):
     {f32('first_value(value ignore nulls) over (partition by series_id order by ts rows between current row and unbounded following)')} as backward from g""", "flag_daily"))
 def t5(spark, sf_dir):
     gaps = flag_daily(spark, sf_dir).withColumn("forward", F.when(F.dayofmonth("ts") % 3 != 0, F.col("value"))).withColumn("backward", F.col("forward")).drop("value")
-    return single(cal.fill_backward(cal.fill_forward(gaps, KEYS, ["forward"]), KEYS, ["backward"]))
+    return single(cal.fill_backward(cal.fill_forward(gaps, KEYS, ["forward"], block=RANGE), KEYS, ["backward"], block=RANGE))
 
 
 @query("t6_infinity_to_null", "select o_orderkey, case when o_orderkey % 5 = 0 then null else round(o_totalprice, 2) end as x from orders")
@@ -136,7 +138,7 @@ def t10(spark, sf_dir):
 
 @query("t12_row_index", sql(f"select series_id, ts, row_number() {W} - 1 as row_idx from brand_daily", "brand_daily"))
 def t12(spark, sf_dir):
-    return cal.row_index(brand_daily(spark, sf_dir), KEYS).drop("value").withColumn("row_idx", F.col("row_idx").cast("bigint"))
+    return cal.row_index(brand_daily(spark, sf_dir), KEYS, block=RANGE).drop("value").withColumn("row_idx", F.col("row_idx").cast("bigint"))
 
 
 @query("t13_replay_zscore", sql("select ts, round((p_a - 1500) / 20, 6) as z__p_a, round(p_n - 1490, 6) as z__p_n from market_wide", "market_wide"))
@@ -191,7 +193,11 @@ def w5(spark, sf_dir):
 
 @query("w6_drawdown", sql(f"select series_id, ts, {f32(least('max', 'value', 60, 10))} as peak, round(value / {least('max', 'value', 60, 10)} - 1, 6) as drawdown from brand_daily", "brand_daily"))
 def w6(spark, sf_dir):
-    out = brand_daily(spark, sf_dir).select("series_id", "ts", R.maximum(F.col("value"), 60, 10).alias("peak"), R.drawdown(F.col("value")).alias("drawdown"))
+    def drawdown(df, keys):
+        r = features.Rolling(keys)
+        return df.withColumns({"peak": r.maximum(F.col("value"), 60, 10), "drawdown": r.drawdown(F.col("value"))}).drop("value")
+
+    out = scan.bounded(brand_daily(spark, sf_dir), KEYS, "ts", 59, 0, drawdown, RANGE)
     return out.withColumns({"peak": F.col("peak").cast("float").cast("double"), "drawdown": F.round("drawdown", 6)})
 
 
