@@ -431,12 +431,12 @@ def test_bounds_hold_for_components_of_any_size(scales):
     x = np.floor(256 * rng.normal(size=(900, 8)) * rng.choice(scales, size=(900, 1)))
     ids = np.arange(900)
     pa = topk_search.pa
-    held = pa.table({"vec_id": ids, "v": pa.array(list(map(list, x)), pa.list_(pa.float64()))})
+    held = pa.table({"vec_id": ids, "own": ids, "v": pa.array(list(map(list, x)), pa.list_(pa.float64()))})
     q = [0, 50, 100, 450]
     exact = {i: sorted((-int(s), j) for j, s in enumerate(topk_search.scores(x, x[i])) if j != i)[:5] for i in q}
     assert exact[0] == sorted((-min(2**63 - 1, max(-(2**63), sum(int(a) * int(b) for a, b in zip(x[0], x[j], strict=True)))), j) for j in range(1, 900))[:5]
     for floors in ([None] * 4, [float(-exact[i][-1][0]) for i in q]):
-        wanted = pa.table({"vec_id": pa.array(q), "v": pa.array([list(x[i]) for i in q], pa.list_(pa.float64())), "floor": pa.array(floors, pa.float64())})
+        wanted = pa.table({"own": pa.array(q), "v": pa.array([list(x[i]) for i in q], pa.list_(pa.float64())), "floor": pa.array(floors, pa.float64())})
         out, _ = topk_search.block_best(held, wanted, 5, resolve=8)
         for i in q:
             assert [(-s, j) for a, j, s in out if a == i][:5] == exact[i]
@@ -459,14 +459,20 @@ def test_lists_are_read_in_part():
 
 
 def test_top_k_on_awkward_rows(spark):
-    rows = [(0, [1.0]), (0, [1.0]), (50, [2.0, 3.0]), (100, []), (150, [1e300]), (3, [1e17, -1e17]), (200, [-1e17, 4.0])]
+    rows = [(0, [1.0]), (0, [1.0]), (50, [2.0, 3.0]), (50, [-7.0, 1.0]), (100, []), (150, [1e300]), (3, [1e17, -1e17]), (200, [-1e17, 4.0])]
     docs = spark.createDataFrame([(*r, 1.0) for r in [*rows, (None, [1.0])]], "vec_id long, embedding array<double>, score double")
-    vectors = topk_search.integral(docs)
-    out = topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()
-    # A repeated row is a candidate each time, but its query is asked once.
-    want = [r for r in best_by_brute_force(rows) if r[0]] + [r for r in best_by_brute_force(rows[1:]) if not r[0]]
+    vectors = topk_search.rows_named(topk_search.integral(docs))
+    out = topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), row_col="row").collect()
+    # Every row is a candidate and, if its id is one, a query of its own; only itself is no candidate.
+    whole = [(i, [float(int(256 * x // 1)) if abs(x) < 1e14 else 256 * x for x in v]) for i, v in rows]
+    want = []
+    for k, (query_id, q) in enumerate(whole):
+        if query_id % 50 == 0:
+            found = [(sum(int(a) * int(b) for a, b in zip(q, v)), i) for j, (i, v) in enumerate(whole) if j != k]
+            found = sorted((-min((1 << 63) - 1, max(-(1 << 63), s)), i) for s, i in found)[:5]
+            want += [(query_id, r, i, -s) for r, (s, i) in enumerate(found, 1)]
     assert sorted(map(tuple, out)) == sorted(want)
-    assert topk_search.top_k(vectors.where("false"), vectors.where("false")).count() == 0
+    assert topk_search.top_k(vectors.where("false"), vectors.where("false"), row_col="row").count() == 0
 
 
 # 6 near dedup
@@ -822,3 +828,60 @@ def test_sweep_deletes_what_was_written(spark):
     assert common.sweep(spark) == 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+# Ids, bytes and kinds of columns that an earlier version changed or refused
+
+
+def test_page_ids_stay_what_they_are(spark):
+    ids = [None, (1 << 53) + 1, (1 << 60) + 7, -(1 << 63)]
+    pages = spark.createDataFrame([(i, "http://a.net/" + "x" * 100_000, 1) for i in ids], "page_id bigint, url string, host int").coalesce(1)
+    got = url_filter.judge_urls(pages, queries.RULES).collect()
+    assert sorted(map(str, ids)) == sorted(str(r["page_id"]) for r in got) and {r["rule"] for r in got} == {"net/"}
+    assert url_filter.judge_urls(pages.limit(0), queries.RULES).count() == 0
+
+
+def test_shards_of_ids_that_are_far_apart(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(-(1 << 63), (1 << 63) - 1), "x" * rng.randint(0, 50), "en", rng.choice("ab")) for _ in range(400)] + [(-(1 << 63), "a", "en", "a"), ((1 << 63) - 1, "b", "en", "a")]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), shards=5).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(out) == len(rows) and len(sizes) == 5 and sizes.max() - sizes.min() < 0.05 * sizes.mean() + 60
+
+
+def test_language_model_groups_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 3000)
+    texts = [b"word " * 300, b"x" * 9000, b"", b"y z " * 200, b"q" * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array([False] * 5)], names=["doc_id", "text", "wanted"])
+    from tidemark.llm.substring_dedup import Hasher
+
+    groups = list(lm_scoring.grouped(iter([batch.slice(k, 1) for k in range(5)]), Hasher()))
+    assert [len(data) for _, data, _ in groups] and all(len(data) <= 3000 or len(docs) == 1 for docs, data, _ in groups)
+    words = [bytes(data[a:b]) for _, data, (_, _, start, end) in groups for a, b in zip(start, end)]
+    assert words == [w for t in texts for w in t.split()]
+
+
+def test_least_id_and_no_id_are_told_apart(spark):
+    passage = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, passage), (-(1 << 63), passage), (5, passage), (5, passage + " more")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert sorted(r["n_removed"] for r in got) == [0, 40, 40, 40]
+
+
+def test_columns_that_cannot_be_hashed(spark):
+    rows = [(1, "one two three four", {"a": 1}), (2, "one two three four", {"a": 2}), (3, "ONE two three four", None), (3, "ONE two three four", None), (9, "quite another text here", {"b": 1})]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, tags map<string,int>").withColumn("deep", F.array(F.struct("tags")))
+    assert {r["doc_id"] for r in near_dedup.near_groups(df).collect()} == {1, 2, 3, 9}
+    assert sorted((r["doc_id"], r["tags"]) for r in near_dedup.drop_near(df).collect()) == [(1, {"a": 1}), (9, {"b": 1})]
+    assert sorted((r["doc_id"], str(r["tags"])) for r in exact_dedup.drop_exact(df).collect()) == [(3, "None"), (9, "{'b': 1}")]
+
+
+def test_a_hot_fingerprint_is_no_key_of_the_last_join(spark):
+    rows = [(k, None if k % 3 else f"text number {k}") for k in range(3000)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.count() == 3000
+    zero = got.where("fingerprint = '0000000000000000'")
+    assert zero.count() >= 2000 and zero.agg(F.min("component_id")).first()[0] in (0, 1)

@@ -109,15 +109,21 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row. Columns of kinds that Spark does not hash, such as maps, count as their JSON."""
+    odd = lambda kind: "map<" in kind or "variant" in kind
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if odd(kind) else F.col(f"`{c}`") for c, kind in docs.dtypes])
+
+
 def keep_rows(keyed: DataFrame, contested: DataFrame) -> DataFrame:
-    """Rows (``_row``, ``_key``) as they were: all whose key is not contested, and one for each contested key that is ``kept``.
+    """Rows (``_row``, ``_key``, ``_hash``) as they were: all whose key is not contested, and one for each contested key that is ``kept``.
 
     ``contested`` is a stored table (_key, kept). While it is small enough to be broadcast, only
     the rows of its kept keys are moved.
     """
     small = contested.count() * 128 <= BROADCAST_BYTES
     sent = F.broadcast if small else lambda df: df.hint("merge")
-    one = Window.partitionBy("_key").orderBy(F.xxhash64("_row"))
+    one = Window.partitionBy("_key").orderBy("_hash")
     fought = keyed.join(sent(contested.where("kept").select("_key")), "_key", "left_semi")
     fought = fought.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
     return keyed.join(sent(contested.select("_key")), "_key", "left_anti").select("_row.*").unionByName(fought)
@@ -218,7 +224,8 @@ def weighted_cuts(
             .where(fits)
             .withColumn("_k", current)
             .where(F.col("_k").between(F.col("_lo"), F.col("_hi")))
-            .groupBy("_g", F.expr("(_k - _lo) div _step").alias("_i"))
+            # Not counted from _lo: the difference of two longs may not be one.
+            .groupBy("_g", F.expr("_k div _step").alias("_i"))
             .agg(F.sum(weight).alias("_w"), F.min("_k").alias("_min"), F.max("_k").alias("_max"))
         )
         found: dict = {}

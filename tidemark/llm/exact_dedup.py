@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep_rows, short_batches, store, whole_row, with_groups
+from .common import BROADCAST_BYTES, keep_rows, row_hash, short_batches, store, whole_row, with_groups
 
 #: Fingerprints that a task gathers before it emits its filter; filters merge without loss.
 FLUSH = 1 << 20
@@ -160,7 +160,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     on the bytes themselves, which Spark combines before the shuffle.
 
     The largest id of a group stays; a null id counts as the smallest. Where rows repeat that id,
-    ``kept`` is true on each, see :func:`drop_exact`. An empty table gives no rows. Returns the id
+    ``kept`` is true on each, see :func:`drop_exact`. Texts are compared whole, however long; other
+    columns are not read. An empty table gives no rows. Returns the id
     column under its own name and keep_id, group_size, kept, text_sha256.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), normalise(text_col).alias("text"))
@@ -197,4 +198,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = exact_groups(docs, id_col, text_col).where("group_size > 1")
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     contested = store(groups.select(key(id_col, F.col("text_sha256")), "kept").distinct(), "contested")
-    return keep_rows(docs.select(whole_row(docs), key(id_col, F.sha2(lower, 256))), contested)
+    return keep_rows(docs.select(whole_row(docs), row_hash(docs).alias("_hash"), key(id_col, F.sha2(lower, 256))), contested)

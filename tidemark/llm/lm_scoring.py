@@ -19,6 +19,8 @@ SIZE = 256**ORDER
 SPACE = 32
 #: Words of a group of documents whose word counts travel together.
 GROUP_WORDS = 1 << 20
+#: Bytes of a group, unless one text alone is longer; places of words are 32-bit.
+GROUP_BYTES = 64 << 20
 #: Words that are spelled at a time.
 SPELLED = 1 << 17
 #: The most frequent words, whose counts are sent to all tasks. The others are joined by a shuffle.
@@ -69,7 +71,7 @@ def grouped(batches: Iterator[pa.RecordBatch], hasher: Hasher) -> Iterator[tuple
         ids, wanted = batch.column("doc_id").to_pylist(), batch.column("wanted").to_pylist()
         for first, data, offsets in chunks(batch.column("text")):
             start, end, owner = split_words(data, offsets)
-            if documents and (n_words + len(start) > GROUP_WORDS or len(documents) + len(offsets) > GROUP_DOCS):
+            if documents and (n_words + len(start) > GROUP_WORDS or len(documents) + len(offsets) > GROUP_DOCS or n_bytes + len(data) > GROUP_BYTES):
                 yield group()
                 documents, n_words, n_bytes = [], 0, 0
             tokens = np.bincount(owner, minlength=len(offsets) - 1).tolist()

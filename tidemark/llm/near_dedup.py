@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, short_batches, store, whole_row, with_groups
+from .common import keep_rows, row_hash, short_batches, store, whole_row, with_groups
 
 WORDS = 3
 RADIUS = 2
@@ -49,11 +49,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(prints)], names=["doc_id", "row", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, fp): id, hash of the whole row and fingerprint."""
-    source = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(whole_row(docs)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    )
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+    """(doc_id, row, fp): id, hash of the whole row if asked for, and fingerprint."""
+    row = row_hash(docs) if rows else F.lit(0).cast("bigint")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return short_batches(source).mapInArrow(_fingerprints, "doc_id bigint, row bigint, fp bigint")
 
 
@@ -158,11 +157,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unless all its ids are null.
     """
     table = store(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = store(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    linked = roots_of(nodes, dense)
+    nodes = store(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
+    linked = store(roots_of(nodes, dense), "simhash-roots")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(names, "root").select("fp", "component_id")
-    return table.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = store(linked.join(names, "root").select("fp", "n", "component_id"), "simhash-named")
+    # A fingerprint that many rows share, as of empty texts, is no hot key there.
+    return with_groups(table, named, ["fp"], "n").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +174,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     are a component by themselves are not moved. An empty table gives no rows.
     """
     key = lambda doc_id, row: F.concat_ws(" ", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), row.cast("string")).alias("_key")
-    table = store(fingerprints(docs, id_col, text_col), "simhash")
+    table = store(fingerprints(docs, id_col, text_col, rows=True), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     nodes = store(table.groupBy("fp").agg(first, F.count("*").alias("n")), "simhash-nodes")
     linked = store(roots_of(nodes, DENSE), "simhash-roots")
@@ -184,4 +184,4 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = with_groups(table, members, ["fp"], "n").where("first is not null")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
     contested = store(rows.select(key(F.col("doc_id"), F.col("row")), kept.alias("kept")).distinct(), "contested")
-    return keep_rows(docs.select(whole_row(docs), key(F.col(id_col), F.xxhash64(whole_row(docs)))), contested)
+    return keep_rows(docs.select(whole_row(docs), row_hash(docs).alias("_hash"), key(F.col(id_col), row_hash(docs))), contested)

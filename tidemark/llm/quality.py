@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, store
+from .common import labelled_sample, short_batches, store
 
 # Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -196,20 +196,17 @@ def held_out(id_col: str):
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = 20_000) -> DataFrame:
     """A sample of about 0.95 * ``bound`` labelled rows outside the held-out third, or all if fewer.
 
-    Rows are chosen by a hash of their id. The bound makes it safe to send their ids to all tasks.
+    The bound holds however often ids repeat, see :func:`.common.labelled_sample`.
     """
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(label_col).cast("int").alias("label"))
-    n = usable.count()
-    share = min(1.0, 0.95 * bound / n) if n else 0.0
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit("quality"), F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label")
+    return labelled_sample(docs, labels.where(~held_out(id_col)), label_col, bound, "quality", id_col, text_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Scores of all rows of ``docs`` under a model learned from ``labels``: id, held_out, score, predicted.
 
     The score uses the text alone. Empty and null texts are scored like others, by their features.
-    Null ids are not held out. Repeated rows get equal scores; an empty table gives no rows.
+    Null ids are not held out. Repeated rows get equal scores; an empty table gives no rows. Texts
+    are read whole, however long; other columns are not read.
     """
     model = train(training_rows(docs, labels, id_col=id_col, text_col=text_col, **options))
     scored = score(docs, model, id_col, text_col)

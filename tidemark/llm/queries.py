@@ -48,8 +48,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk_search.integral(table(spark, sf_dir, "embeddings"))
-    return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    vectors = topk_search.rows_named(topk_search.integral(table(spark, sf_dir, "embeddings")))
+    return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), row_col="row")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,7 +335,7 @@ class SubstringIndex:
             drop_table(self.spark, path)
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Take a batch of (doc_id, key, text): its texts as stored, and (key, marks) of their repeated windows.
+        """Take a batch of (doc_id, key, no_id, text): its texts as stored, and (key, marks) of their repeated windows.
 
         A window repeats if it starts earlier in the batch, or anywhere in an earlier one.
         """
@@ -397,9 +397,12 @@ class SubstringIndex:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    ).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+    )
+    # A row of the least id is not one without an id.
+    key = F.when(F.col("no_id") | (F.col("doc_id") != NO_ID), F.xxhash64("doc_id", "text")).otherwise(F.xxhash64("no_id", "doc_id", "text"))
+    return rows.select("doc_id", key.alias("key"), "no_id", "text")
 
 
 def kept_words(texts: DataFrame, marks: DataFrame, window: int, id_col: str, with_text: bool) -> DataFrame:
@@ -422,10 +425,12 @@ def kept_words(texts: DataFrame, marks: DataFrame, window: int, id_col: str, wit
             columns = list(zip(*out, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            names = ["doc_id", "no_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("no_id"), *arrays], names=names)
 
-    done = texts.join(marks.hint("shuffle_hash"), "key", "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
-    done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).withColumnRenamed("doc_id", id_col)
+    schema = "doc_id bigint, no_id boolean, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+    done = texts.join(marks.hint("shuffle_hash"), "key", "left").mapInArrow(run, schema)
+    done = done.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id").withColumnRenamed("doc_id", id_col)
     return done if with_text else done.drop("kept_text")
 
 
@@ -437,7 +442,7 @@ def remove_repeats(
     A word goes if a window of ``window`` words covers it whose word sequence also starts earlier,
     in a smaller id or before in the same text. Words are runs of anything but ASCII white space.
     Null and empty texts have no words and shorter ones no window. The ids order the documents,
-    null ids come first (as does the least long, which counts as null). Rows alike in id and text
+    null ids come first, among rows of the least long. Rows alike in id and text
     are one document; different texts of one id, or of none, are documents of their own, in the
     order of the hashes of id and text. Columns other than the two do not matter; an empty table
     gives no rows.

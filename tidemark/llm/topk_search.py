@@ -105,32 +105,33 @@ def matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def block_best(held: pa.Table, wanted: pa.Table, k: int, resolve: int = RESOLVE) -> tuple[list[tuple[int, int, int]], int]:
-    """(query, id, score) of the rows of a block that may be among a query's ``k`` best, and the entries read."""
+    """(own, id, score) of the rows of a block that may be among a query's ``k`` best, and the entries read. A query's own row is none."""
     longest = [max(c.combine_chunks().value_lengths().to_pylist(), default=0) for c in (held.column("v"), wanted.column("v"))]
     dims = max(longest)
     x, q = matrix(held.column("v"), dims), matrix(wanted.column("v"), dims)
-    ids, query_ids = held.column("vec_id").to_numpy(), wanted.column("vec_id").to_numpy()
+    ids, rows_of, asking = held.column("vec_id").to_numpy(), held.column("own").to_numpy(), wanted.column("own").to_numpy()
     known = np.array([-np.inf if f is None else f for f in wanted.column("floor").to_pylist()], float)
     known -= np.where(np.isinf(known), 0, np.abs(known) * 1e-15)
     lists, out = SortedLists(x), []
     for a in range(0, len(q), TOGETHER):
         some = slice(a, a + TOGETHER)
-        able = lists.reach(q[some], k, ids[:, None] == query_ids[None, some], known[some], resolve=resolve)
-        for query_id, weights, rows in zip(query_ids[some].tolist(), q[some], able, strict=True):
+        able = lists.reach(q[some], k, rows_of[:, None] == asking[None, some], known[some], resolve=resolve)
+        for own, weights, rows in zip(asking[some].tolist(), q[some], able, strict=True):
             found = scores(x[rows], weights)
             best = np.lexsort((ids[rows], -found.astype(object) if len(found) and found.min() == LEAST else -found))[:k]
-            out.extend((query_id, int(ids[rows[i]]), int(found[i])) for i in best)
+            out.extend((own, int(ids[rows[i]]), int(found[i])) for i in best)
     return out, lists.read
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, id, score): for each query its ``k`` largest inner products with other ids' vectors.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 4096, row_col: str | None = None) -> DataFrame:
+    """(query_id, rank, id, score): for each query its ``k`` largest inner products with other rows' vectors.
 
     Both tables hold an id and an array of integral doubles, as :func:`integral` gives them, and
     perhaps other columns; shorter vectors count as padded with zeros. Ties go to the smaller id.
-    Rows of the query's own id do not count; repeated ids are candidates of their own, and a
-    repeated query is asked once. Scores outside the range of a long count as its end. Empty
-    tables give no rows.
+    ``row_col`` is a long that names a row in both tables (see :func:`rows_named`), so that a query's own
+    row is no candidate while other rows of its id are, and every query row gets its own result.
+    Without it the id names the row, and ids must not repeat. Scores outside the range of a long
+    count as its end. Empty tables give no rows.
 
     Candidates are dealt into blocks by hash and visited in rounds, each of ``WIDER`` times the blocks
     of those before. The k-th best score that the rounds so far have found is a query's floor in
@@ -138,35 +139,42 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     blocks: what beats the best of an eighth of the candidates is about ``WIDER`` times k. Each pair
     of a block of candidates and a block of queries is one group of bounded size.
     """
-    candidates = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v")).groupBy("query_id").agg(F.min("v").alias("v"))
+    own = F.col(row_col or id_col).cast("bigint").alias("own")
+    candidates = vectors.select(F.col(id_col).alias("vec_id"), own, F.col(vector_col).alias("v"))
+    asked = queries.select(F.col(id_col).alias("query_id"), own, F.col(vector_col).alias("v"))
     n_candidates, n_asked = vectors.count(), queries.count()
     blocks, query_blocks = max(1, -(-n_candidates // block_rows)), max(1, -(-n_asked // query_rows))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    candidates = store(candidates.withColumn("cb", deal("vec_id", blocks)), "candidates")
-    asked = store(asked.withColumn("qb", deal("query_id", query_blocks)), "queries")
+    candidates = store(candidates.withColumn("cb", deal("own", blocks)), "candidates")
+    asked = store(asked.withColumn("qb", deal("own", query_blocks)), "queries")
 
     def run(held: pa.Table, wanted: pa.Table) -> pa.Table:
         out = block_best(held, wanted, k)[0] if held.num_rows and wanted.num_rows else []
         columns = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("own", "vec_id", "score"), columns, strict=True)})
 
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id"))
     best, low = None, 0
     while low < blocks:
         high = min(blocks, max(1, low * WIDER))
         known = asked.withColumn("floor", F.lit(None).cast("double"))
         if best is not None:
-            floors = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-            known = asked.join(floors.hint("merge"), "query_id", "left")
+            floors = best.where(F.col("rank") == k).select("own", F.col("score").cast("double").alias("floor"))
+            known = asked.join(floors.hint("merge"), "own", "left")
         left = candidates.where(F.col("cb").between(low, high - 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        right = known.withColumnRenamed("query_id", "vec_id").withColumn("cb", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
-        found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        right = known.drop("query_id").withColumn("cb", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(run, "own bigint, vec_id bigint, score bigint")
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         best = store(found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k), "best-so-far")
         low = high
-    return best.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    named = asked.select("own", "query_id").hint("merge")
+    return best.join(named, "own").select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+
+
+def rows_named(vectors: DataFrame, name: str = "row") -> DataFrame:
+    """``vectors`` with a number of its own for each row, written, so that it stays what it is."""
+    return store(vectors.withColumn(name, F.monotonically_increasing_id()), "vectors")
 
 
 def integral(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,25 +76,28 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     fewest URLs have. A URL's tokens fetch the rules filed under them, and only their regular
     expressions run. Of fitting rules the longest wins, of equally long ones the first of the
     list. No rule: ``rule`` is null and the verdict is ``default``. Null or malformed URLs have
-    empty host and path. No row is moved, so repeated rows and hot hosts cost nothing more.
+    empty host and path; URLs are read whole, however long. Ids are handed on as they are, null ones
+    and the largest too. No row is moved, so repeated rows and hot hosts cost nothing more. Other
+    columns are not read, and an empty table gives no rows.
     """
     rules = list(rules)
     counts = token_counts(pages, [t for r in rules for t in r.tokens], url_col) if rules else {}
     index, rest = build_index(rules, counts)
     sources = [r.pattern for r in rules]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [re.compile(x) for x in sources]
-        for frame in frames:
+        for batch in batches:
             out = []
-            for url in frame["url"]:
+            for url in batch.column("url").to_pylist():
                 host, path = split_url(url)
                 asked = {k for t in url_tokens(host, path) for k in index.get(t, ())}
                 fits = [k for k in (*asked, *rest) if host and compiled[k].match(host + path)]
                 best = min(fits, key=lambda k: (-len(rules[k].text), k), default=None)
                 out.append((host, path, None if best is None else rules[best].text, default if best is None else rules[best].verdict))
-            yield pd.concat([frame[["page_id"]], pd.DataFrame(out, columns=["host", "path", "rule", "verdict"], index=frame.index, dtype=object)], axis=1)
+            told = [pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *told], names=["page_id", "host", "path", "rule", "verdict"])
 
     asked = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"))
-    judged = asked.mapInPandas(run, "page_id bigint, host string, path string, rule string, verdict string")
+    judged = asked.mapInArrow(run, "page_id bigint, host string, path string, rule string, verdict string")
     return judged.withColumnRenamed("page_id", id_col)
