@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import patterns
 from tidemark.operators import calendar as cal
-from tidemark.operators import models, outliers, splits, survival, windows
+from tidemark.operators import evaluation, many_models, models, outliers, splits, survival, windows
+from tidemark.operators.tables import store
 
 from . import shapes
 from .panels import brand_daily, flag_daily, predictions, sql, table
@@ -313,3 +314,35 @@ def m6(spark, sf_dir):
     rows = channel_lives(spark, sf_dir).where("event = 1").withColumn("up", (F.col("breakout_dir") == "up").cast("int"))
     rows = splits.split_by_date(rows, KEYS, date="start_date", order="start_date").cache()
     return models.formation_report(rows.where("split = 'train'"), rows.where("split = 'test'"), patterns.CHANNEL_FEATURES, "up")
+
+
+CUTOFFS = [f"{1995 + (k + 6) // 12}-{(k + 6) % 12 + 1:02d}-01" for k in range(65)]
+
+
+def forming(spark, sf_dir):
+    """Windows outside a channel, their features, and whether one forms within ten days."""
+    from tidemark.operators.features import Rolling
+
+    rows = windows.channel_windows(cal.resample_business(brand_daily(spark, sf_dir), KEYS, ["value"]), KEYS)
+    rows = rows.withColumn("soon", Rolling(KEYS, "end").upcoming_flag(F.col("is_channel"), 10)).where("is_channel = 0")
+    return store(rows.select("series_id", "end", "end_date", "soon", *patterns.CHANNEL_FEATURES), "forming-channels")
+
+
+@query("x2_rolling_refits")
+def x2_refits(spark, sf_dir):
+    """65 monthly cutoffs, a model refitted at each, all in one pass a step: the scores' AUC by the model's age."""
+    scored = many_models.rolling_refits(forming(spark, sf_dir), RISKS, "soon", CUTOFFS, gap_days=14)
+    age = F.col("age")
+    aged = scored.withColumn("age", F.when(age <= 1, "0-1m").when(age <= 3, "1-3m").when(age <= 6, "3-6m").otherwise("6-12m"))
+    return evaluation.auc(aged, ["age"], "soon", "score").join(aged.groupBy("age").agg(F.count("*").alias("n"), F.countDistinct("cutoff").alias("models")), "age")
+
+
+@query("x4_gated_heads")
+def x4_heads(spark, sf_dir):
+    """A head for each regime of volatility beside one for all, judged after a date, regime by regime."""
+    from tidemark.operators import robustness
+
+    rows = robustness.regime(forming(spark, sf_dir), KEYS, "vol20").where("vol20 is not null")
+    scored = store(many_models.gated_scores(rows, RISKS, "soon", "regime", 3, F.col("end_date") < F.lit("2000-08-20").cast("date")), "gated-scores")
+    gated, pooled = (evaluation.auc(scored, ["regime"], "soon", c).withColumnRenamed("auc", f"auc_{c}") for c in ("gated", "pooled"))
+    return gated.join(pooled, "regime").join(scored.groupBy("regime").agg(F.count("*").alias("n")), "regime")

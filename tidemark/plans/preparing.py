@@ -456,23 +456,74 @@ def e1s(spark, sf_dir):
     return out.select("series_id", "ts", F.round(arrays.total(F.transform("image", lambda x: x.cast("double"))), 3).cast("decimal(18,3)").cast("double").alias("total"), F.round(arrays.total(c), 2).cast("decimal(18,3)").cast("double").alias("moment"))
 
 
-@query("e3_recurrence_plot")
+SIDE = 5
+#: For each pixel the four cells around its place among 32 x 32, and its distance from the first.
+GRID = f"""grid as (select a, b, least(floor(a * 31 / {SIDE - 1}.0), 30)::bigint + 1 as i, a * 31 / {SIDE - 1}.0 - least(floor(a * 31 / {SIDE - 1}.0), 30) as fa,
+    least(floor(b * 31 / {SIDE - 1}.0), 30)::bigint + 1 as j, b * 31 / {SIDE - 1}.0 - least(floor(b * 31 / {SIDE - 1}.0), 30) as fb from range({SIDE}) x(a), range({SIDE}) y(b))"""
+
+
+def between(cell) -> str:
+    """A pixel by linear interpolation of the four cells."""
+    row = lambda i: f"((1 - fb) * ({cell(i, 'j')}) + fb * ({cell(i, 'j + 1')}))"
+    return f"((1 - fa) * {row('i')} + fa * {row('i + 1')})"
+
+
+def banded(name: str, values: str) -> str:
+    """A list scaled to -1 ... 1, and the sines that belong to it."""
+    scaled = f"list_transform({values}, lambda x: 2 * (x - list_min({values})) / (list_max({values}) - list_min({values})) - 1)"
+    return f"{scaled} as {name}, list_transform({scaled}, lambda x: sqrt(greatest(0, 1 - x * x))) as {name}_s"
+
+
+def field(c: str, difference: bool = False) -> str:
+    cell = f"{c}_s[k] * {c}[m] - {c}[k] * {c}_s[m]" if difference else f"{c}[k] * {c}[m] - {c}_s[k] * {c}_s[m]"
+    return f"flatten(list_transform(generate_series(1, 32), lambda k: list_transform(generate_series(1, 32), lambda m: {cell})))"
+
+
+def robust(values: str) -> str:
+    """A feature's robust z-scores from 0 to 1."""
+    q = lambda p: f"list_aggregate({values}, 'quantile_cont', {p})"
+    return f"list_transform({values}, lambda x: least(greatest(((x - {q(0.5)}) / (case when {q(0.75)} = {q(0.25)} then 1 else {q(0.75)} - {q(0.25)} end) + 3) / 6, 0), 1))"
+
+
+def images(windows_sql: str, key: str, z: str, feature) -> str:
+    """Pixels of the three-channel image of windows ``p`` with lists of features."""
+    gain = "list_transform(generate_series(1, 32), lambda k: case when k = 1 then 0 else (p[k] - p[k - 1]) / greatest(p[k], 1e-8) end)"
+    cell = lambda g: between(lambda i, j: f"({g}[({i} - 1) * 32 + {j}] - {g}_lo) / ({g}_hi - {g}_lo)")
+    return f"""{windows_sql}, r as (select *, {gain} as gain from w), c as (select *, {banded('c', 'p')}, {banded('d', 'gain')}, {z} from r),
+    g as (select *, {field('c')} as s, {field('d', True)} as f from c), l as (select *, list_min(s) as s_lo, list_max(s) as s_hi, list_min(f) as f_lo, list_max(f) as f_hi from g),
+    {GRID}, t as (select {key}, a, b, {cell('s')} as c0, {cell('f')} as c1, {between(feature)} as c2 from l, grid),
+    u as (unpivot t on c0, c1, c2 into name channel value v)
+    select {key}, ((a * {SIDE} + b) * 3 + substr(channel, 2)::int)::int as pixel, cast(cast(least(greatest(v * 255, 0), 255) as float) as double) + 0 as value from u"""
+
+
+def pixels(df, *key):
+    return df.select(*key, F.posexplode("image").alias("pixel", "value")).withColumn("value", F.col("value").cast("double") + 0.0)
+
+
+@query("e3_recurrence_plot", sql(f"""{PLAIN}, q as (select *, list_aggregate(flatten(list_transform(p, lambda x: list_transform(p, lambda y: abs(x - y)))), 'quantile_cont', 0.2) as s from w), {GRID}
+    select series_id, ts, (a * {SIDE} + b)::int as pixel, cast(cast({between(lambda i, j: f"exp(-abs(p[{i}] - p[{j}]) / case when s > 0 then s else 1 end)")} as float) as double) + 0 as value from q, grid""", "flag_daily"))
 def e3(spark, sf_dir):
-    out = encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "recurrence", 8)
-    return out.select("series_id", "ts", "image")
+    return pixels(encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "recurrence", SIDE), "series_id", "ts")
 
 
-@query("e4_e5_channel_images")
+@query("e4_e5_channel_images", sql(images(
+    f"""n as (select series_id, ts as end_date, {', '.join(f'list({c}) {over(32)} as {c}' for c in ('p_a', 'p_n', 'p_r'))}, count(p_a + p_n + p_r) {over(32)} as full_rows from market_wide),
+    w as (select series_id, end_date, p_a as p, {', '.join(f'list_transform({c}, lambda x: cast(cast(x as float) as double)) as f_{c}' for c in ('p_a', 'p_n', 'p_r'))} from n where full_rows = 32)""",
+    "series_id, end_date", ", ".join(f"{robust(f'f_{c}')} as z{k}" for k, c in enumerate(("p_a", "p_n", "p_r"))),
+    # Three features are stretched to 32 rows first.
+    lambda i, j: f"case when ({i} - 1) * 2 / 31.0 < 1 then (1 - ({i} - 1) * 2 / 31.0) * z0[{j}] + ({i} - 1) * 2 / 31.0 * z1[{j}] else (2 - ({i} - 1) * 2 / 31.0) * z1[{j}] + (({i} - 1) * 2 / 31.0 - 1) * z2[{j}] end",
+), "market_wide"))
 def e5(spark, sf_dir):
     wide = market_wide(spark, sf_dir)
     both = windows.tensor_windows(wide, KEYS, ["p_a", "p_n", "p_r"], "p_a").withColumnRenamed("window", "features")
     prices = windows.sliding(wide, KEYS, "p_a").select("series_id", F.col("ts").alias("end_date"), "prices")
-    return encode.encode_features(both.join(prices, ["series_id", "end_date"]), "prices", "features", 16).select("series_id", "end_date", "image")
+    return pixels(encode.encode_features(both.join(prices, ["series_id", "end_date"]), "prices", "features", SIDE), "series_id", "end_date")
 
 
-@query("e8_price_encoding")
+@query("e8_price_encoding", sql(images(f"""n as (select series_id, row_number() {W} as "end", list(value) {over(32)} as p from flag_daily), w as (select * from n where "end" >= 32)""",
+    'series_id, "end"', f"{robust('p')} as z", lambda i, j: f"z[{j}]"), "flag_daily"))
 def e8(spark, sf_dir):
-    return encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "image", 16).select("series_id", "end", "image")
+    return pixels(encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "image", SIDE), "series_id", "end")
 
 
 @query("j1_merge_series", sql("""a as (select ts, value as a from flag_daily where series_id = 'A' and day(ts) <> 5), b as (select ts, value as b from flag_daily where series_id = 'N' and day(ts) <> 6)

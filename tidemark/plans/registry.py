@@ -35,7 +35,7 @@ def single(df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import modelling, preparing, scoring  # noqa: F401
+    from . import landing, modelling, preparing, scoring  # noqa: F401
 
     return dict(QUERIES)
 

@@ -296,14 +296,16 @@ def x1_gap(spark, sf_dir):
 CUTS = ["1996-01-01", "1997-01-01", "1998-01-01", "1999-01-01"]
 
 
-@query("x2_ageing", sql(f"""x as (select actual, probability, date_diff('day', make_date(year(ts)::int, 1, 1), ts) as d, ts from predictions where ts > date '1996-01-01' and ts < date '1999-12-31'),
-    y as (select actual, probability, case when ts <= make_date(year(ts)::int, 2, 1) then '0-1m' when ts <= make_date(year(ts)::int, 4, 1) then '1-3m' when ts <= make_date(year(ts)::int, 7, 1) then '3-6m' else '6-12m' end as age
-        from x where d > 0),
+LAST_CUT = "list_max(list_filter([" + ", ".join(f"date '{c}'" for c in CUTS) + "], lambda c: c < ts))"
+AGES = "case when ts <= last + interval 1 month then '0-1m' when ts <= last + interval 3 month then '1-3m' when ts <= last + interval 6 month then '3-6m' when ts <= last + interval 12 month then '6-12m' end"
+
+
+@query("x2_ageing", sql(f"""x as (select actual, probability, ts, {LAST_CUT} as last from predictions), y as (select * from (select actual, probability, {AGES} as age from x) where age is not null),
     {AUC.format('probability', 'age', 'y')}
     select age, count(*) as n, round((sum(rk) filter (where actual = 1) - count(*) filter (where actual = 1) * (count(*) filter (where actual = 1) + 1) / 2.0) / (count(*) filter (where actual = 1) * count(*) filter (where actual = 0)), 6) as auc from r group by 1""", "predictions"))
 def x2(spark, sf_dir):
-    rows = predictions(spark, sf_dir).where("ts > '1996-01-01' and ts < '1999-12-31' and dayofyear(ts) > 1")
-    return rounded(robustness.ageing_auc(rows, CUTS, "ts", "actual", "probability"))
+    """All rows: those before the first cutoff or a year after the last have no age, those of a cutoff's own day belong to the one before."""
+    return rounded(robustness.ageing_auc(predictions(spark, sf_dir), CUTS, "ts", "actual", "probability"))
 
 
 @query("x4_multi_scale_windows", sql(f"""n as (select series_id, ts, value, row_number() {W} as rn, ln(value) - lag(ln(value)) {W} as lr from brand_daily),
