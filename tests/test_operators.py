@@ -275,6 +275,24 @@ def test_overfitting_matches_all_combinations(spark):
     assert out.n_combinations == 70 and out.pbo == pytest.approx(np.mean(np.array(logits) <= 0)) and out.logit_mean == pytest.approx(np.mean(logits))
 
 
+def test_combinations_are_all_halves_in_order():
+    from itertools import combinations
+
+    for size in (2, 6, 10):
+        got = backtest.combinations(size, np.arange(math.comb(size, size // 2)))
+        masks = [int(sum(1 << k for k in np.flatnonzero(r))) for r in got]
+        assert masks == sorted(sum(1 << k for k in c) for c in combinations(range(size), size // 2))
+
+
+def test_overfitting_of_many_blocks_sends_no_masks(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([("a", k, *map(float, rng.normal(size=3))) for k in range(90)], "series_id string, ts int, p double, q double, r double")
+    out = backtest.overfitting(df, KEYS, ["p", "q", "r"], partitions=20)
+    assert "Range (" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first().n_combinations == math.comb(20, 10)
+
+
+
 def test_outlier_control_matches_a_plain_loop(spark):
     rng = random.Random(7)
     rows = []

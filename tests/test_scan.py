@@ -90,3 +90,33 @@ def test_empty_series(spark, series):
     none = series.limit(0)
     assert calendar.fill_forward(none, KEYS, ["x"], block=10).count() == 0
     assert calendar.row_index(none, KEYS, block=10).count() == 0
+
+
+def test_volatility_of_many_blocks_is_the_plain_recursion(spark):
+    rng = random.Random(2)
+    rows = [("a", k, None if k % 17 == 3 else rng.gauss(0, 0.02)) for k in range(1500)]
+    df = spark.createDataFrame(rows, "series_id string, ts bigint, r double")
+    from tidemark.operators import robustness
+
+    got = {r["ts"]: r["ewma_vol"] for r in robustness.ewma_volatility(df, KEYS, "r", rows=20, block=200).collect()}
+    v = 0.0
+    for _, k, r in rows:
+        v = 0.94 * v + 0.06 * (r or 0.0) ** 2
+        assert got[k] == pytest.approx(v**0.5, rel=1e-9)
+    with pytest.raises(ValueError, match="no weight"):
+        robustness.ewma_volatility(df, KEYS, "r", rows=100_000)
+
+
+def test_bundles_are_compared_by_their_sums(spark):
+    from tidemark.operators import robustness
+
+    rows = [(k if k else None, float(k), None if k % 9 == 0 else k) for k in range(500)]
+    left = spark.createDataFrame(rows, "key int, x double, y int")
+    same = robustness.bundle_differences(left, left.repartition(7), ["key"], ["x", "y"])
+    assert tuple(same.first()) == (500, 0, 0)
+    joined = [n for n in same._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FullOuter" in n]
+    assert len(joined) == 1
+    other = left.where("key is null or key <> 44").withColumn("x", F.when(F.col("key") == 7, F.col("x") + 1).when(F.col("key") == 8, F.col("x") + 1e-9).otherwise(F.col("x")))
+    other = other.withColumn("y", F.when(F.col("key") == 10, None).otherwise(F.col("y"))).unionByName(spark.createDataFrame([(900, 1.0, 1)], left.schema))
+    assert tuple(robustness.bundle_differences(left, other, ["key"], ["x", "y"]).first()) == (501, 2, 2)
+    assert tuple(robustness.bundle_differences(left.limit(0), left.limit(0), ["key"], ["x", "y"]).first()) == (0, 0, 0)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -115,7 +118,8 @@ def overfitting(df: DataFrame, keys: list[str], returns: list[str], order: str =
 
     Periods form an even number of blocks. Every half of them picks its best column (the first among
     equals), whose rank on the other half, equals ranked in column order, gives a logit. Only block
-    sums, a few numbers, meet the combinations, which are the bit masks with half of the bits set.
+    sums, a few numbers, meet the combinations: those are numbered, and a task makes its range of
+    numbers into combinations by itself and hands on how often each rank came up.
     """
     blocks = partitions + partitions % 2
     size = Window.partitionBy(*keys)
@@ -127,24 +131,67 @@ def overfitting(df: DataFrame, keys: list[str], returns: list[str], order: str =
     edge = long * (short + 1)
     block = F.when(F.col("_i") < edge, F.floor(F.col("_i") / (short + 1))).otherwise(long + F.floor((F.col("_i") - edge) / F.greatest(short, F.lit(1))))
     sums = placed.withColumn("_s", blocks_of).groupBy(*keys, "_s", block.cast("int").alias("_b")).agg(F.count("*").alias("_c"), *[F.sum(r).alias(r) for r in returns])
-    items = sums.groupBy(*keys, "_s").agg(F.collect_list(F.struct("_b", "_c", F.array(*returns).alias("v"))).alias("blocks"))
-    masks = df.sparkSession.range(1 << blocks).select(F.col("id").alias("mask"), F.bit_count("id").alias("bits"))
-    halves = items.join(F.broadcast(masks), (F.col("bits") * 2 == F.col("_s")) & F.expr("mask < shiftleft(1L, _s)"))
-
-    def mean(k: int, inside: int) -> Column:
-        part = F.filter("blocks", lambda b: F.getbit(F.col("mask"), b["_b"]) == inside)
-        total = F.aggregate(part, F.lit(0.0), lambda a, b: a + F.get(b["v"], k))
-        return total / F.aggregate(part, F.lit(0).cast("bigint"), lambda a, b: a + b["_c"])
-
-    scored = halves.select(*keys, "mask", F.array(*[mean(k, 1) for k in range(len(returns))]).alias("ins"), F.array(*[mean(k, 0) for k in range(len(returns))]).alias("outs"))
-    best = F.array_position("ins", F.array_max("ins")).cast("int") - 1
-    scored = scored.withColumn("best", best).withColumn("own", F.get("outs", F.col("best")))
-    below = F.size(F.filter("outs", lambda x, i: (x < F.col("own")) | ((x == F.col("own")) & (i <= F.col("best")))))
-    w = F.least(F.greatest(below / (len(returns) + 1), F.lit(1e-6)), F.lit(1 - 1e-6))
-    logit = scored.select(*keys, F.ln(w / (1 - w)).alias("logit"))
+    items = sums.groupBy(*keys, "_s").agg(F.sort_array(F.collect_list(F.struct("_b", F.col("_c").cast("double").alias("_c"), F.array(*[F.coalesce(F.col(r).cast("double"), F.lit(0.0)) for r in returns]).alias("v")))).alias("blocks"))
+    ranges = F.ceil(_halves("_s", blocks) / COMBINATIONS).cast("bigint")
+    parts = items.where("_s >= 2").select(
+        *keys, F.transform("blocks", lambda b: b["_c"]).alias("counts"), F.flatten(F.transform("blocks", lambda b: b["v"])).alias("values"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), ranges - 1)).alias("_part"),
+    )
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def ranks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                counts = np.array(row["counts"], float)
+                values = np.array(row["values"], float).reshape(len(counts), -1)
+                low = int(row["_part"]) * COMBINATIONS
+                chosen = combinations(len(counts), np.arange(low, min(low + COMBINATIONS, math.comb(len(counts), len(counts) // 2))))
+                inside, outside = (_means(mask, counts, values) for mask in (chosen, ~chosen))
+                best = inside.argmax(axis=1)
+                own = outside[np.arange(len(best)), best][:, None]
+                below = ((outside < own) | ((outside == own) & (np.arange(len(returns)) <= best[:, None]))).sum(axis=1)
+                for k, n in enumerate(np.bincount(below, minlength=len(returns) + 1)):
+                    if n:
+                        yield pd.DataFrame([[*(row[c] for c in keys), k, n]], columns=[*keys, "below", "n"])
+
+    found = parts.repartition(F.xxhash64(*keys, "_part")).mapInPandas(ranks, (kinds + ", " if kinds else "") + "below int, n bigint")
+    w = F.least(F.greatest(F.col("below") / (len(returns) + 1), F.lit(1e-6)), F.lit(1 - 1e-6))
+    logit = found.groupBy(*keys, "below").agg(F.sum("n").alias("n")).select(*keys, "n", F.ln(w / (1 - w)).alias("logit"))
+    total = F.sum("n")
     return logit.groupBy(*keys).agg(
-        F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count("*").alias("n_combinations"), F.avg("logit").alias("logit_mean"), F.percentile("logit", 0.5).alias("logit_median")
-    )
+        (F.sum(F.when(F.col("logit") <= 0, F.col("n")).otherwise(0)) / total).alias("pbo"), total.alias("n_combinations"),
+        (F.sum(F.col("logit") * F.col("n")) / total).alias("logit_mean"), F.percentile("logit", 0.5, F.col("n")).alias("logit_median"),
+    )
+
+
+#: Combinations that a task makes at a time.
+COMBINATIONS = 1 << 14
+
+
+def _halves(size: str, most: int) -> Column:
+    """How many halves so many blocks have."""
+    return F.coalesce(*[F.when(F.col(size) == k, F.lit(math.comb(k, k // 2))) for k in range(2, most + 1, 2)])
+
+
+def combinations(size: int, numbers: np.ndarray) -> np.ndarray:
+    """The halves of ``size`` blocks with these numbers, in the order of their bit masks, as rows of booleans."""
+    left, numbers = np.full(len(numbers), size // 2), numbers.copy()
+    out = np.zeros((len(numbers), size), bool)
+    table = np.array([[math.comb(n, k) for k in range(size // 2 + 1)] for n in range(size)])
+    for block in range(size - 1, -1, -1):
+        below = table[block][left]  # halves of the blocks before this one alone
+        out[:, block] = (left > 0) & (numbers >= below)
+        numbers = numbers - np.where(out[:, block], below, 0)
+        left = left - out[:, block]
+    return out
+
+
+def _means(chosen: np.ndarray, counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Each column's mean over the chosen blocks, added up in their order."""
+    total = np.zeros((len(chosen), values.shape[1]))
+    for k in range(len(counts)):
+        total += np.where(chosen[:, k, None], values[k], 0.0)
+    return total / (chosen @ counts)[:, None]
 
 
 def variant_returns(df: DataFrame, keys: list[str], forecast: str, realized: str, fee_bps: float = 0.0, order: str = "ts") -> tuple[DataFrame, list[str]]:

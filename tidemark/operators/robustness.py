@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+from .calendar import row_index
 from .evaluation import auc
 from .features import Rolling
 from .tables import store
@@ -184,19 +187,23 @@ def volatility_persistence(df: DataFrame, keys: list[str], returns: str, horizon
     return both.join(medians, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_back", "_ahead").alias("corr"), F.avg(same.cast("double")).alias("hit"))
 
 
-def ewma_volatility(df: DataFrame, keys: list[str], returns: str, decay: float = 0.94, rows: int = 1000, ts: str = "ts") -> DataFrame:
+def ewma_volatility(df: DataFrame, keys: list[str], returns: str, decay: float = 0.94, rows: int = 1000, ts: str = "ts", block: int | None = None) -> DataFrame:
     """Add ``ewma_vol`` and ``inverse_vol``: the exponentially weighted volatility over all returns so far.
 
     A series is cut into blocks of ``rows``. A block's running sum weighs each return by its place, and
-    what the blocks before leave, one number each, is carried over their whole length.
+    what the blocks before leave, one number each, is carried over their whole length: of so many of
+    them as have a weight above zero in double precision, so the work is in proportion to the rows.
+    ``decay`` is below 1 and ``rows`` short enough that ``decay ** rows`` is above zero.
     """
-    every = Window.partitionBy(*keys).orderBy(ts)
+    if not 0 < decay**rows < 1:
+        raise ValueError("decay and rows leave no weight")
+    reach = int(745 / (-math.log(decay) * rows)) + 1
     q = F.pow(F.coalesce(F.col(returns), F.lit(0.0)), 2) * (1 - decay)
-    df = df.withColumn("_i", F.row_number().over(every) - 1)
+    df = row_index(df, keys, ts, "_i", block)
     df = df.withColumns({"_b": F.floor(F.col("_i") / rows), "_k": (F.col("_i") % rows).cast("double"), "_q": q})
     inside = F.sum(F.col("_q") * F.pow(F.lit(decay), -F.col("_k"))).over(Window.partitionBy(*keys, "_b").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
     left = df.groupBy(*keys, "_b").agg(F.sum(F.col("_q") * F.pow(F.lit(decay), rows - 1 - F.col("_k"))).alias("_v"))
-    before = F.collect_list("_v").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.collect_list("_v").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(-reach, -1))
     carry = F.aggregate(before, F.lit(0.0), lambda a, v: a * decay**rows + v)
     df = df.join(left.select(*keys, "_b", carry.alias("_carry")), [*keys, "_b"])
     variance = F.pow(F.lit(decay), F.col("_k")) * (inside + F.col("_carry") * decay)
@@ -222,16 +229,39 @@ def stability_index(df: DataFrame, column: str, recent: str, edges: list[float])
     return counts.select(((q - p) * F.ln(q / p)).alias("x")).agg(F.sum("x").alias("psi"))
 
 
-def bundle_differences(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-6) -> DataFrame:
-    """(rows, missing, different): how far two frames agree: keys on one side only, values apart."""
-    joined = left.select(*keys, F.lit(1).alias("_l"), *[F.col(c).alias(f"l_{c}") for c in columns]).join(
-        right.select(*keys, F.lit(1).alias("_r"), *[F.col(c).alias(f"r_{c}") for c in columns]), keys, "full"
+def checksums(df: DataFrame, keys: list[str], columns: list[str], buckets: int, side: str) -> DataFrame:
+    """(bucket, rows and two sums of row hashes of a side): sums do not depend on the rows' order."""
+    whole = lambda seed: F.sum(F.xxhash64(F.lit(seed), *keys, *columns).cast("decimal(38,0)"))
+    return df.groupBy(bucket(keys, buckets)).agg(F.count("*").alias(f"{side}_n"), whole(1).alias(f"{side}_1"), whole(2).alias(f"{side}_2"))
+
+
+def bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+
+
+def bundle_differences(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-6, buckets: int = 4096) -> DataFrame:
+    """(rows, missing, different): how far two frames agree: keys on one side only, values apart.
+
+    Keys do not repeat on a side. Each side is added up by buckets of its keys, partially in every
+    task; only rows of buckets whose sums differ are joined and compared value by value. So equal
+    frames move nothing but the sums, and a few changes move as many buckets.
+    """
+    sums = store(checksums(left, keys, columns, buckets, "l").join(checksums(right, keys, columns, buckets, "r"), "bucket", "full"), "bundle-sums")
+    equal = F.col("l_n").eqNullSafe(F.col("r_n")) & F.col("l_1").eqNullSafe(F.col("r_1")) & F.col("l_2").eqNullSafe(F.col("r_2"))
+    odd = F.broadcast(sums.where(~equal).select("bucket"))  # at most ``buckets`` rows
+    rows_of = lambda df, side: df.withColumn("bucket", bucket(keys, buckets)).join(odd, "bucket", "left_semi").select(
+        *[F.col(k).alias(f"{side}k_{k}") for k in keys], F.lit(1).alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in columns]
     )
+    same = scan.alike([f"lk_{k}" for k in keys], [f"rk_{k}" for k in keys])
+    joined = rows_of(left, "l").join(rows_of(right, "r"), same, "full")
     apart = F.lit(False)
     for c in columns:
-        apart = apart | (F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) > tolerance) | (F.col(f"l_{c}").isNull() != F.col(f"r_{c}").isNull())
+        apart = apart | F.coalesce(F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) > tolerance, F.lit(False)) | (F.col(f"l_{c}").isNull() != F.col(f"r_{c}").isNull())
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    return joined.agg(F.count("*").alias("rows"), F.sum((~both).cast("int")).alias("missing"), F.sum((both & apart).cast("int")).alias("different"))
+    found = joined.agg(F.count("*").alias("n"), F.sum((~both).cast("int")).alias("missing"), F.sum((both & apart).cast("int")).alias("different"))
+    agreed = sums.where(equal).agg(F.coalesce(F.sum("l_n"), F.lit(0)).alias("agreed"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return found.crossJoin(F.broadcast(agreed)).select((F.col("n") + F.col("agreed")).alias("rows"), count("missing").alias("missing"), count("different").alias("different"))  # one row beside one
 
 
 def profile(df: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:

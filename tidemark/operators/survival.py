@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
@@ -208,20 +210,24 @@ def ranged(df: DataFrame, column: str, out: str, block: int = 50_000) -> tuple[D
     """
     values = df.select(F.col(column).alias("v")).distinct()
     ranges = max(1, -(-values.count() // block))
-    found = values.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
+    found = values.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], max(10_000, 100 * ranges))).first()[0] if ranges > 1 else []
     splits = [-float("inf"), *sorted(set(found or [])), float("inf")]
     if len(splits) == 2:
         return df.withColumn(out, F.lit(0.0)), 1
     return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df), len(splits) - 1
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], down: bool = False, part: str = "_part") -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], down: bool = False, part: str = "_part", ranges: int | None = None) -> DataFrame:
     """Add running sums along ``order``, from the least value up or from the greatest down.
 
     ``part`` numbers the ranges of ``order`` (see :func:`ranged`). A window runs within a range; what the
-    ranges before it hold, one row each, is added to it, so no task gets all rows of a key.
+    ranges before it hold, one row each, is added to it, so no task gets all rows of a key. Where
+    there is one range, as ``ranges`` may tell, the window is all.
     """
     way = F.desc if down else F.asc
+    if ranges == 1:
+        alone = Window.partitionBy(*keys, part).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.coalesce(F.sum(x).over(alone), F.lit(0)) for c, x in sums.items()})
     df = df.withColumns({f"_x_{c}": x for c, x in sums.items()})
     inside = Window.partitionBy(*keys, part).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(way(part)).rowsBetween(Window.unboundedPreceding, -1)
@@ -244,9 +250,10 @@ def kaplan_meier(df: DataFrame, keys: list[str] = (), duration: str = "duration"
     keys = list(keys)
     t = F.greatest(F.col(duration).cast("double"), F.lit(0.5))
     counts = df.groupBy(*keys, t.alias("t")).agg(F.count("*").alias("_c"), F.sum(event).alias("deaths"))
-    counts = running(ranged(counts, "t", "_part", block)[0], keys, "t", {"at_risk": F.col("_c")}, down=True)
+    counts, ranges = ranged(counts, "t", "_part", block)
+    counts = running(counts, keys, "t", {"at_risk": F.col("_c")}, down=True, ranges=ranges)
     left = 1 - F.col("deaths") / F.col("at_risk")
-    counts = running(counts, keys, "t", {"_log": F.when(left > 0, F.ln(left)).otherwise(0.0), "_none": (left <= 0).cast("int")})
+    counts = running(counts, keys, "t", {"_log": F.when(left > 0, F.ln(left)).otherwise(0.0), "_none": (left <= 0).cast("int")}, ranges=ranges)
     s = F.when(F.col("_none") > 0, 0.0).otherwise(F.exp("_log"))
     return counts.withColumn("survival", s).select(*keys, "t", "at_risk", "deaths", "survival")
 
@@ -291,13 +298,15 @@ def concordance(df: DataFrame, risk: str = "risk", duration: str = "duration", e
     of risk of about ``block`` of these cells. Pairs within a range of duration are counted there,
     those of two such ranges within a range of risk there (see :func:`dominance`), and all others
     from the ranges' counts alone. So no pairs are joined and no task gets more than a range.
-    Rows without risk or duration do not compare.
+    A range grows with the root of the cells where that is more than ``block``, so the grid of ranges
+    never has more rows than there are cells. Rows without risk or duration do not compare.
     """
     keys = list(keys)
     cells = df.groupBy(*keys, F.greatest(F.col(duration).cast("double"), F.lit(0.5)).alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("risk"))
     cells = cells.agg(F.count("*").cast("double").alias("c")).dropna(subset=["t", "e", "risk"])
-    ranges = max(1, -(-cells.count() // block))
-    cuts = cells.agg(*[F.percentile_approx(c, [k / ranges for k in range(1, ranges)], 10_000) for c in ("t", "risk")]).first() if ranges > 1 else (None, None)
+    found = cells.count()
+    ranges = max(1, -(-found // max(block, math.isqrt(found))))
+    cuts = cells.agg(*[F.percentile_approx(c, [k / ranges for k in range(1, ranges)], max(10_000, 100 * ranges)) for c in ("t", "risk")]).first() if ranges > 1 else (None, None)
     for c, out, found in zip(("t", "risk"), ("bt", "br"), cuts, strict=True):
         splits = [-float("inf"), *sorted(set(found or [])), float("inf")]
         cells = Bucketizer(splits=splits, inputCol=c, outputCol=out).transform(cells) if len(splits) > 2 else cells.withColumn(out, F.lit(0.0))

@@ -276,7 +276,7 @@ def v4_boosted(spark, sf_dir):
     if survival.enough(train, test):
         return spark.createDataFrame([], "horizon double, survival double, c_index double")
     bounded = train.withColumn("ends_by", F.when(F.col("event") == 1, F.col("duration")))
-    model = boosted_aft.fit(bounded, RISKS, "duration", "ends_by", rounds=20, depth=2)
+    model = boosted_aft.fit(bounded, RISKS, "duration", "ends_by", rounds=12, depth=2)
     scored = store(boosted_aft.predict(test, model).withColumn("risk", -F.col("log_life")), "boosted-scores")
     index = survival.concordance(scored).select("c_index")
     return boosted_aft.survival(scored, model, [5, 10, 20]).groupBy("horizon").agg(F.avg("survival").alias("survival")).crossJoin(F.broadcast(index))
