@@ -773,13 +773,26 @@ def test_water_fill_clamps_and_shares():
     assert mixing.water_fill([], [], 0, 2) == []
 
 
+def plain_targets(sizes):
+    """The one level at which shares in proportion to 5, 2, 1, cut at twice the sizes, add up to 150 %, by bisection."""
+    weights = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+    low, high = 0.0, 2.0 * sum(sizes) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(2 * n, level * w) for n, w in zip(sizes, weights)) < 1.5 * sum(sizes):
+            low = level
+        else:
+            high = level
+    return [min(2 * n, high * w) for n, w in zip(sizes, weights)]
+
+
 def test_mixing_meets_targets(docs, rows):
     plan = mixing.mix_plan(docs).collect()
     sizes = {}
     for d, text, _, source in rows:
         sizes[source] = sizes.get(source, 0) + len(words_of(text))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = dict(zip(names, mixing.water_fill([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(sizes.values()), 2), strict=True))
+    targets = dict(zip(names, plain_targets([sizes[s] for s in names]), strict=True))
     taken, largest = dict.fromkeys(names, 0), {}
     texts = {r[0]: r[1] for r in rows}
     for r in plan:

@@ -5,8 +5,8 @@ import random
 import numpy as np
 
 from corpus_pipeline import STAGES, run
-from tests.llm.test_operators import ascii_lower, check_packing, exact_encode, simhash_components, words_of  # noqa: F401
-from tidemark.llm import mixing, quality
+from tests.llm.test_operators import ascii_lower, check_packing, exact_encode, plain_targets, simhash_components, words_of  # noqa: F401
+from tidemark.llm import quality
 
 
 def fixture_rows():
@@ -38,6 +38,9 @@ def test_stages_match_plain_versions(spark, tmp_path, exact_encode):  # noqa: F8
     scores = quality.classify(source, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
     assert {r.doc_id for r in judged} == {r.doc_id for r in scores if r.predicted}
     assert np.mean([good[r.text] for r in judged]) > 0.97
+    kept = {r.doc_id for r in judged}
+    assert np.mean([i in kept for i, text, *_ in rows if good[text]]) > 0.97
+    assert np.mean([i in kept for i, text, *_ in rows if not good[text]]) < 0.03
 
     last = {}
     for r in judged:
@@ -51,7 +54,7 @@ def test_stages_match_plain_versions(spark, tmp_path, exact_encode):  # noqa: F8
     for r in near:
         sizes[r.source] = sizes.get(r.source, 0) + len(words_of(r.text))
     names = sorted(sizes)
-    targets = mixing.water_fill([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(sizes.values()), 2)
+    targets = plain_targets([sizes[s] for s in names])
     largest = max(len(words_of(r.text)) for r in near)
     for s, t in zip(names, targets, strict=True):
         assert abs(sum(len(words_of(r.text)) for r in mixed if r.source == s) - t) <= largest

@@ -248,7 +248,8 @@ def score_documents(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id",
     the spelling weighs as many occurrences as the model has distinct words, and one. A loss is
     the mean of -log2 p per word, the score background_loss - target_loss: the higher, the closer
     to the target. Null texts and those without words have losses and score 0. Repeated rows
-    count, and are scored, each; null ids are of the background only. Other columns are not read.
+    count, and are scored, each; null ids are of the background only. Texts are read whole, each up to
+    Arrow's 2 GiB; a group of texts is bounded by its bytes. Other columns are not read.
     Empty tables give no rows.
 
     Tasks get the counts of bytes, at most 2 ** 24 rows whatever the input, and of the ``frequent``

@@ -99,7 +99,7 @@ def mix_plan(
     order of a seeded hash, up to the point where the words taken come nearest the target. That
     point is found by distributed sums. The same rows and seed give the same mix. Rows alike in
     id and text have the same hash and are taken alike; null and empty texts are taken by the same
-    rule, as often as their source's others. Null ids and sources are values like others; other
+    rule, as often as their source's others. Texts count whole, however long. Null ids and sources are values like others; other
     columns are not read; an empty table gives no rows. The driver gets one row a source; they
     are broadcast up to ``BROADCAST_BYTES`` and joined by a shuffle beyond. Returns the id, size, source, source_size, target, repeats, taken.
     """

@@ -87,8 +87,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     through at most one group, and only if leaving that whole would put more than ``SLACK`` of a
     shard on the wrong side. A null id counts as -1, a null of the metadata comes before all
     values. Repeated rows each get a slot, those alike in any order among themselves. Other
-    columns are not read; an empty table gives no rows. Works from metadata only: texts are read
-    once and never moved.
+    columns are not read; an empty table gives no rows. Works from metadata only: texts, however
+    long, are read once and never moved; ids may be as far apart as longs are.
     """
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     table = store(
