@@ -68,11 +68,11 @@ def s7(spark, sf_dir):
     return rounded(bundle.zscore)
 
 
-@query("s8_download_bundle", sql(f"""select ts as date, {f32("max(value) filter (where series_id = 'A')")} as first, {f32("max(value) filter (where series_id = 'R')")} as second
-    from flag_daily where series_id in ('A', 'R') and ts <= date '2000-12-31' group by 1""", "flag_daily"))
+@query("s8_download_bundle", sql(f"""select ts as date, {f32("max(value) filter (where series_id = 'A')")} as first, {f32("max(value) filter (where series_id = 'R')")} as second,
+    {f32("max(value) filter (where series_id = 'N')")} as third from flag_daily where ts <= date '2000-12-31' group by 1""", "flag_daily"))
 def s8(spark, sf_dir):
     daily = flag_daily(spark, sf_dir)
-    landed = {n: daily.where(F.col("series_id") == f).select(F.col("ts").alias("date"), "value") for n, f in (("first", "A"), ("second", "R"))}
+    landed = {n: daily.where(F.col("series_id") == f).select(F.col("ts").alias("date"), "value") for n, f in (("first", "A"), ("second", "R"), ("third", "N"))}
     return single(series.download_bundle(landed, end="2000-12-31"))
 
 
@@ -526,12 +526,13 @@ def e8(spark, sf_dir):
     return pixels(encode.encode(windows.sliding(flag_daily(spark, sf_dir), KEYS), "image", SIDE), "series_id", "end")
 
 
-@query("j1_merge_series", sql("""a as (select ts, value as a from flag_daily where series_id = 'A' and day(ts) <> 5), b as (select ts, value as b from flag_daily where series_id = 'N' and day(ts) <> 6)
-    select coalesce(a.ts, b.ts) as ts, cast(cast(a as float) as double) as a, cast(cast(b as float) as double) as b from a full join b on a.ts = b.ts""", "flag_daily"))
+@query("j1_merge_series", sql("""a as (select ts, value as a from flag_daily where series_id = 'A' and day(ts) <> 5), b as (select ts, value as b from flag_daily where series_id = 'N' and day(ts) <> 6),
+    c as (select ts, value as c from flag_daily where series_id = 'R' and day(ts) <> 7)
+    select ts, cast(cast(a as float) as double) as a, cast(cast(b as float) as double) as b, cast(cast(c as float) as double) as c from a full join b using (ts) full join c using (ts)""", "flag_daily"))
 def j1(spark, sf_dir):
     daily = flag_daily(spark, sf_dir)
     part = lambda f, d, n: daily.where((F.col("series_id") == f) & (F.dayofmonth("ts") != d)).select("ts", F.col("value").alias(n))
-    return single(series.merge_series([part("A", 5, "a"), part("N", 6, "b")], [], ts="ts"))
+    return single(series.merge_series([part("A", 5, "a"), part("N", 6, "b"), part("R", 7, "c")], [], ts="ts"))
 
 
 @query("chunk_with_halo", sql("""n as (select series_id, ts, value, row_number() over (partition by series_id order by ts) - 1 as i from brand_daily)
