@@ -16,6 +16,12 @@ def confusion(df: DataFrame, classes: list[str], truth: str = "truth", predicted
     return grid.join(counts, [*keys, "truth", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def confusion_sheet(matrix: DataFrame, classes: list[str], keys: list[str] = ()) -> DataFrame:
+    """A confusion matrix as people read it: a row for each true class, a column for each predicted one, and the row's total."""
+    cell = lambda c: F.coalesce(F.sum(F.when(F.col("predicted") == c, F.col("n"))), F.lit(0)).alias(c)
+    return matrix.groupBy(*keys, "truth").agg(*map(cell, classes), F.sum("n").alias("total"))
+
+
 def per_class(matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
     """(keys, label, support, precision, recall, f1) from a confusion matrix; 0 on empty."""
     true = matrix.groupBy(*keys, F.col("truth").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hits"))

@@ -134,7 +134,7 @@ def daily_predictions(spark, sf_dir):
     share = lambda c: F.round(F.avg((F.col("predicted") == c).cast("double")), 6)
     return p.groupBy(F.col("p_brand").alias("series_id"), "ts").agg(
         share("A").alias("prob_A"), share("N").alias("prob_N"), share("R").alias("prob_R"), F.round(F.avg("forecast"), 6).alias("pred_return"),
-        F.max("predicted").alias("predicted_pattern"), F.round(F.avg(F.abs("outcome")), 6).alias("metric_distance"),
+        F.max("predicted").alias("predicted_pattern"), F.round(F.avg(F.abs("outcome")), 6).alias("metric_distance"), F.round(F.avg("outcome"), 9).alias("outcome"),
     )
 
 
@@ -163,6 +163,14 @@ def o5(spark, sf_dir):
     return rounded(out.select(*KEYS, "ts", "volatility_spike", "dominant_pattern_window", "dominant_confidence_window", "weighted_outlier_score", "outlier_flag"), 4)
 
 
+@query("o6_spikes_of_outcomes", sql(CONTROL.replace("round(avg(forecast), 6) as ret", "round(avg(outcome), 9) as ret"), "predictions"))
+def o6(spark, sf_dir):
+    """Where the outcome is known, its volatility is the spikes' source, not the forecast's."""
+    rows = outliers.with_entropy(daily_predictions(spark, sf_dir).withColumnRenamed("outcome", "future_return"), ["prob_A", "prob_N", "prob_R"])
+    out = outliers.control(rows, KEYS, ["A", "N", "R"], "ts")
+    return rounded(out.select(*KEYS, "ts", "volatility_spike", "dominant_pattern_window", "dominant_confidence_window", "weighted_outlier_score", "outlier_flag"), 4)
+
+
 @query("o2_weighted_vote", sql("select series_id, predicted, round(sum(probability), 2) as vote from predictions group by 1, 2", "predictions"))
 def o2(spark, sf_dir):
     return rounded(outliers.weighted_vote(predictions(spark, sf_dir), KEYS, "predicted", "probability"), 2)

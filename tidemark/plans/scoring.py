@@ -28,6 +28,11 @@ def r1(spark, sf_dir):
     return evaluation.confusion(predictions(spark, sf_dir), CLASSES)
 
 
+@query("r6_confusion_sheet", sql(f"{GRID} select truth, {', '.join(f'cast(sum(n) filter (where predicted = {chr(39)}{c}{chr(39)}) as bigint) as {chr(34)}{c}{chr(34)}' for c in 'ANR')}, cast(sum(n) as bigint) as total from m group by 1", "predictions"))
+def r6_sheet(spark, sf_dir):
+    return evaluation.confusion_sheet(evaluation.confusion(predictions(spark, sf_dir), CLASSES), CLASSES)
+
+
 @query("r2_classification", sql(f"{PER_CLASS} select cast(sum(support) as bigint) as n, round(sum(r * support) / sum(support), 6) as accuracy, round(avg(r), 6) as balanced_accuracy, round(avg(2 * p * r / (p + r)), 6) as macro_f1 from s", "predictions"))
 def r2(spark, sf_dir):
     return rounded(evaluation.classification(evaluation.confusion(predictions(spark, sf_dir), CLASSES)))
