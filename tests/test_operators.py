@@ -354,6 +354,23 @@ def test_sinks_and_latest_rows(spark, tmp_path):
     assert {(r.series_id, r.end) for r in spark.read.json(str(tmp_path / "p/latest")).collect()} == {("a", 2), ("b", 5)}
 
 
+def test_keyed_stream_tells_of_touched_series_only(spark, tmp_path):
+    df = panel(spark, n=60, names=("a", "b", "c")).withColumn("ts", F.col("ts").cast("timestamp"))
+    early, late = df.where("dayofyear(ts) <= 40"), df.where("dayofyear(ts) > 40 and series_id <> 'b'")
+    told = 0
+    for days, part in ((40, early.unionByName(early)), (60, late)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        latest.start_keyed(stream, KEYS, str(tmp_path / "out")).awaitTermination()
+        got = {r.series_id: r for r in latest.newest(spark, str(tmp_path / "out"), KEYS).collect()}
+        seen = early if days == 40 else df.where("dayofyear(ts) <= 40 or series_id <> 'b'")
+        want = {r.series_id: r for r in latest.latest_signals(seen, KEYS).collect()}
+        assert {s: (r.end_date, r.label, round(r.confidence, 9)) for s, r in got.items()} == {s: (r.end_date, r.label, round(r.confidence, 9)) for s, r in want.items()}
+        rows = spark.read.parquet(str(tmp_path / "out/signals")).count()
+        assert rows - told == (3 if days == 40 else 2)
+        told = rows
+
+
 def test_stream_keeps_the_latest_signal(spark, tmp_path):
     df = panel(spark, n=60).withColumn("ts", F.col("ts").cast("timestamp"))
     for k, part in enumerate((df.where("dayofyear(ts) <= 40"), df.where("dayofyear(ts) > 40"))):

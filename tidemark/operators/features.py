@@ -153,6 +153,13 @@ def market_features(df: DataFrame, keys: list[str], value: str = "value", eurusd
     return df.dropna(subset=names)
 
 
+def rename_target(df: DataFrame, target: str, name: str = "value") -> DataFrame:
+    """The column ``target`` under the name that the library's operators take for it; another column of that name is an error."""
+    if target not in df.columns or name in df.columns and name != target:
+        raise ValueError(f"no column {target}, or another one named {name}")
+    return df.withColumnRenamed(target, name)
+
+
 def latest_starters(df: DataFrame, columns: list[str], top: int, ts: str = "ts") -> DataFrame:
     """(feature, first_valid): the columns whose first value comes latest; columns without any count as latest of all."""
     long = df.select(F.col(ts), F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("feature", "v"))

@@ -129,6 +129,11 @@ def t6(spark, sf_dir):
     return cal.infinities_to_null(table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x")), ["x"])
 
 
+@query("t8_rename_target", sql(f"select series_id, ts, {f32('p_n')} as value, {f32('eurusd')} as eurusd from market_wide", "market_wide"))
+def t8(spark, sf_dir):
+    return single(features.rename_target(market_wide(spark, sf_dir).select("series_id", "ts", "p_n", "eurusd"), "p_n"))
+
+
 @query("t9_t10_select_features", sql(f"select ts, {f32('p_a')} as z__p_a, {f32('p_r')} as z__p_r from market_wide", "market_wide"))
 def t10(spark, sf_dir):
     wide = market_wide(spark, sf_dir)
