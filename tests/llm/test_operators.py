@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -246,6 +247,55 @@ def test_failed_batch_leaves_the_index_as_it_was(spark, tmp_path):
     assert [r.n_removed for r in again.remove_repeats(spark.createDataFrame([(2, prose)], "doc_id long, text string")).collect()] == [40]
 
 
+def test_substring_index_hashes_each_text_once(spark, tmp_path, monkeypatch):
+    """Neither later batches nor the comparison of words hash a text again, whatever they share with it."""
+    log = tmp_path / "hashed"
+    log.mkdir()
+
+    class Counting(substring_dedup.Hasher):
+        def words(self, data, start, end):
+            with tempfile.NamedTemporaryFile("w", dir=log, delete=False) as f:
+                f.write(str(len(start)))
+            return super().words(data, start, end)
+
+    monkeypatch.setattr(substring_dedup, "Hasher", Counting)
+    passage = " ".join(f"w{k}" for k in range(50))
+    rows = [(k, f"{passage[: 40 + 20 * k]} {k}  own\n{passage}\t") for k in range(9)]
+    index, got = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index"), {}
+    for k in range(3):
+        docs = spark.createDataFrame(rows[3 * k : 3 * k + 3], "doc_id long, text string")
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.remove_repeats(docs).collect()}
+    assert got == kept_by_brute_force(rows, 20)
+    assert sum(int(f.read_text()) for f in log.iterdir()) == sum(len(text.split()) for _, text in rows)
+
+
+def test_runs_of_windows_that_select_one_place():
+    rng, hasher = random.Random(5), substring_dedup.Hasher()
+    for _ in range(60):
+        texts = [b"".join(rng.choice([b"a", b"b ", b" ", b"\n", b"cd ", b"\t\x0b"]) for _ in range(rng.choice([0, 1, 3, 60, 200]))) for _ in range(rng.randint(1, 6))]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        plain, places, start, end, owner, _ = substring_dedup.single_spaced(data, offsets)
+        assert [bytes(plain[a:b]) for a, b in zip(places, places[1:])] == [b" ".join(t.split()) for t in texts]
+        words = hasher.words(plain, start, end)
+        inner, want, last = hasher.runs(words, 8), [], None
+        for i in range(len(words) - 19):
+            if owner[i] == owner[i + 19]:
+                place = min(range(i, i + 13), key=lambda k: (inner[k], k))
+                if last == (owner[i], place):
+                    want[-1][2] += 1
+                else:
+                    want.append([inner[place], i, 1])
+                last = owner[i], place
+        assert want == [list(x) for x in zip(*substring_dedup.selections(words, owner, hasher, 20, 8))]
+
+
+def test_index_of_an_older_layout_is_refused(spark, tmp_path):
+    index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index")
+    index._commit([("texts", "texts_old", f"file://{tmp_path}/index/texts_old", "doc_id bigint, key bigint, no_id boolean, text binary", "key", 2, 0)], 1)
+    with pytest.raises(ValueError, match="anew"):
+        substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index")
+
+
 # 3 exact dedup
 
 

@@ -110,125 +110,139 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return (pick(out[:-rest], out[rest:]) if len(out) > rest else out[:0]) if rest else out
 
 
-def window_minima(words: np.ndarray, owner: np.ndarray, hasher: Hasher, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each full window its least inner fingerprint and whether it lies in one text; and all inner fingerprints."""
+def single_spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The texts with their words joined by one space, as bytes and offsets; of every word start, end and text; each text's first word."""
+    start, end, owner = split_words(data, offsets)
+    more = np.r_[owner[1:] == owner[:-1], np.zeros(min(1, len(owner)), bool)]
+    keep = ~IS_SPACE[data]
+    keep[end[more]] = True
+    stop = np.cumsum(end - start + more)
+    begin = np.r_[np.zeros(1, np.int64), stop]
+    plain = data[keep]
+    plain[stop[more] - 1] = 32
+    bounds = np.searchsorted(owner, np.arange(len(offsets)))
+    return plain, begin[bounds], begin[:-1], stop - more, owner, bounds
+
+
+def selections(words: np.ndarray, owner: np.ndarray, hasher: Hasher, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, first window and length of each run of neighbouring full windows that select one place.
+
+    A window selects the first of its inner windows of the least fingerprint. Windows of one run
+    differ from each other, since like windows select places as far apart as they are.
+    """
+    if len(words) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inner = hasher.runs(words, anchor)
     least = sliding(inner, window - anchor + 1, np.minimum)
-    whole = owner[window - 1 :] == owner[: len(owner) - window + 1] if len(owner) >= window else np.zeros(0, bool)
-    return least, whole, inner
+    whole = owner[window - 1 :] == owner[: len(owner) - window + 1]
+    # The place is left behind by the next window, or a lesser one comes in.
+    new = np.r_[True, (inner[: len(least) - 1] == least[:-1]) | (least[1:] < least[:-1]) | ~whole[:-1]] | ~whole
+    at = np.flatnonzero(new)
+    count = np.diff(np.r_[at, len(least)])
+    at, count = at[whole[at]], count[whole[at]]
+    return least[at], at, count
+
+
+PREPARED = "doc_id bigint, key bigint, no_id boolean, text binary, run_fps array<bigint>, run_windows array<int>"
 
 
-def scan(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(fp, key, n): the fingerprints that a document's windows select, and how often."""
+def prepared(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The documents with single-spaced texts and, for each, the :func:`selections` of its windows, which follow each other.
+
+    This is the only place where words are hashed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, width = Hasher(), window - anchor + 1
+        hasher = Hasher()
         for batch in batches:
-            key = batch.column("key").to_numpy()
+            names = [batch.column(c) for c in ("doc_id", "key", "no_id")]
             for first, data, offsets in chunks(batch.column("text")):
-                start, end, owner = split_words(data, offsets)
-                if len(start) < window:
-                    continue
-                least, whole, inner = window_minima(hasher.words(data, start, end), owner, hasher, window, anchor)
-                chosen = np.where(whole, least, np.uint64(0))
-                # A place is selected if it attains the minimum of a window that covers it.
-                best = sliding(np.r_[np.zeros(width - 1, np.uint64), chosen, np.zeros(width - 1, np.uint64)], width, np.maximum)
-                at = np.flatnonzero(best == inner)
-                pairs = np.empty(len(at), [("doc", np.int64), ("fp", np.uint64)])
-                pairs["doc"], pairs["fp"] = owner[at], inner[at]
-                pairs, n = np.unique(pairs, return_counts=True)
-                columns = (pairs["fp"].copy().view(np.int64), key[first + pairs["doc"]], n.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["fp", "key", "n"])
-
-    return texts.select("key", "text").mapInArrow(run, "fp bigint, key bigint, n int")
-
-
-def runs_of(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each run, given for each row but the first whether it goes on its predecessor's."""
-    goes_on = same[0]
-    for s in same[1:]:
-        goes_on = goes_on & s
-    begin = np.flatnonzero(np.r_[True, ~goes_on])
-    return begin, np.r_[begin[1:], len(goes_on) + 1]
-
-
-def repeated_windows(texts: DataFrame, hits: DataFrame, seq: int, is_new: bool, window: int, anchor: int) -> DataFrame:
+                plain, places, start, end, owner, bounds = single_spaced(data, offsets)
+                fp, at, count = selections(hasher.words(plain, start, end), owner, hasher, window, anchor)
+                n = len(places) - 1
+                text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(plain)])
+                of = pa.array(np.searchsorted(at, bounds).astype(np.int32))
+                runs = [pa.ListArray.from_arrays(of, pa.array(x)) for x in (fp.view(np.int64), count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for c in names), text, *runs], names=["doc_id", "key", "no_id", "text", "run_fps", "run_windows"])
+
+    return docs.select("doc_id", "key", "no_id", "text").mapInArrow(run, PREPARED)
+
+
+def lists(column: pa.Array) -> tuple[list[int], np.ndarray]:
+    """Offsets and values of a column of lists of numbers."""
+    return column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
+
+
+def word_edges(text: bytes) -> np.ndarray:
+    """The spaces of a single-spaced text, and its two ends: word k lies between the k-th and the next."""
+    return np.r_[-1, np.flatnonzero(np.frombuffer(text, np.uint8) == 32), len(text)]
+
+
+def repeated_windows(texts: DataFrame, hits: DataFrame, seq: int, is_new: bool, window: int) -> DataFrame:
     """Rows of ``FOUND``: the windows of the batch ``seq`` that may repeat, and those that do so nearby.
 
     ``hits`` has each document's shared fingerprints. Only windows that select one of them can
-    repeat. A task compares those of the documents of one Arrow batch itself and passes on one
-    window of each kind, so a passage that a third of the documents share is a few rows.
-    Neighbouring windows that select one fingerprint travel as one row with all their words.
-    Around a shared passage the windows differ from text to text but select the same fingerprint;
-    those of a hot one are dealt out by a hash of their words. Rows without words are windows that
-    are known to start earlier too; of a batch that is not ``is_new`` they are left out.
+    repeat. The windows of a run travel as one row with all their words. A task compares the runs of
+    the documents of one Arrow batch itself and passes on one of each kind, so a passage that a
+    third of the documents share is a few rows. Around a shared passage the windows differ from
+    text to text but select the same fingerprint; those of a hot one are taken one by one and dealt
+    out by a hash of their words. Rows without words are windows that are known to start earlier
+    too; of a batch that is not ``is_new`` they are left out.
     """
+    names = [f.split()[0] for f in FOUND.split(", ")]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
-            rows = np.empty(len(batch), [("doc_id", np.int64), ("key", np.int64)])
-            for c in ("doc_id", "key"):
-                rows[c] = batch.column(c).to_numpy()
-            ids, own = np.unique(rows, return_inverse=True)
-            plain = [b" ".join(t.split()) for t in batch.column("text").to_pylist()]
-            text_of = dict(zip(own.tolist(), plain, strict=True))
-            wanted, hot_ones = batch.column("fps"), batch.column("hot_fps")
-            found: list[tuple[np.ndarray, ...]] = []
-            for first, data, offsets in chunks(pa.array(plain, pa.binary())):
-                start, end, owner = split_words(data, offsets)
-                if len(start) < window:
-                    continue
-                words = hasher.words(data, start, end)
-                least, whole, _ = window_minima(words, owner, hasher, window, anchor)
-                bounds = np.searchsorted(owner, np.arange(len(offsets)), side="left")
-                take, hot = np.zeros(len(least), bool), np.zeros(len(least), bool)
-                for k in range(len(offsets) - 1):
-                    a, b = bounds[k], min(bounds[k + 1], len(least))
-                    if a < b:
-                        take[a:b] = np.isin(least[a:b].view(np.int64), wanted[first + k].values.to_numpy())
-                        if len(hot_ones[first + k]):
-                            hot[a:b] = np.isin(least[a:b].view(np.int64), hot_ones[first + k].values.to_numpy())
-                at = np.flatnonzero(take & whole)
-                if len(at):
-                    text = owner[at]
-                    found.append((least[at], hasher.runs(words, window)[at], own[first + text], at - bounds[text], start[at] - offsets[text], end[at + window - 1] - offsets[text], hot[at]))
-            if not found:
-                continue
-            fp, sign, doc, start, low, high, hot = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, doc, sign, fp))
-            fp, sign, doc, start, low, high, hot = (x[order] for x in (fp, sign, doc, start, low, high, hot))
-            new = np.r_[True, (fp[1:] != fp[:-1]) | (sign[1:] != sign[:-1])]
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-
-            # Windows like an earlier one of the batch, in runs that have their likes in a run too.
-            later = np.flatnonzero((doc != doc[lead]) | (start != start[lead]))
-            later = later[np.lexsort((start[later], doc[later]))]
-            like = lead[later]
-            near = lambda x, step: x[1:] == x[:-1] + step
+            ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
+            texts_ = batch.column("text")
+            (fp_of, fps), (_, counts), (hit_of, hit), (hot_of, hot) = (lists(batch.column(c)) for c in ("run_fps", "run_windows", "fps", "hot_fps"))
+            seen: set[bytes] = set()
             out: list[tuple] = []
-            begin, close = runs_of(near(doc[later], 0), near(start[later], 1), near(doc[like], 0), near(start[like], 1)) if len(later) else (later, later)
-            for a, b in zip(begin.tolist(), close.tolist(), strict=True):
-                i, j, p, q = later[a], later[b - 1], like[a], like[b - 1]
-                name = ids[doc[i]]
-                if text_of[doc[i]][low[i] : high[j]] == text_of[doc[p]][low[p] : high[q]]:
-                    if is_new:
-                        out.append((int(name["key"]), 0, seq, int(name["doc_id"]), int(name["key"]), int(start[i]), b - a, None))
+            last = None
+            # In the order of the documents, so that the first of its kind is the earliest.
+            for r in np.lexsort((keys, ids)).tolist():
+                doc_id, key = name = int(ids[r]), int(keys[r])
+                if name == last:  # a row alike
                     continue
-                for k in range(a, b):  # equal hashes of unequal words: these windows are settled later
-                    new[later[k]] = True
-
-            by_place = np.flatnonzero(new)
-            by_place = by_place[np.lexsort((start[by_place], doc[by_place]))]
-            fp, doc, start, low, high, hot = (x[by_place] for x in (fp, doc, start, low, high, hot))
-            begin, close = runs_of(near(doc, 0), near(start, 1), near(fp, 0), ~hot[1:])
-            names = ids[doc[begin]]
-            for a, b, fp_, doc_id, key in zip(begin.tolist(), close.tolist(), fp[begin].view(np.int64).tolist(), names["doc_id"].tolist(), names["key"].tolist(), strict=True):
-                words = text_of[doc[a]][low[a] : high[b - 1]]
-                part = xxhash.xxh3_64_intdigest(words) >> 1 if hot[a] else 0
-                out.append((fp_, part, seq, doc_id, key, int(start[a]), b - a, words))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
-
+                last = name
+                shared, singly = set(hit[hit_of[r] : hit_of[r + 1]].tolist()), set(hot[hot_of[r] : hot_of[r + 1]].tolist())
+                here = fps[fp_of[r] : fp_of[r + 1]].tolist()
+                at = [k for k, f in enumerate(here) if f in shared]
+                if not at:
+                    continue
+                text = texts_[r].as_py()
+                edges = word_edges(text)
+                count = counts[fp_of[r] : fp_of[r + 1]].astype(np.int64)
+                begin = np.cumsum(count) - count
+                begin, count = begin[at], count[at]
+                low, high = (edges[begin] + 1).tolist(), edges[begin + count + window - 1].tolist()
+                since = until = 0  # the windows known to repeat that are not yet passed on
+                for k, a, b, s, c in zip(at, low, high, begin.tolist(), count.tolist(), strict=True):
+                    fp = here[k]
+                    if fp in singly:
+                        single = [(s + j, 1, text[edges[s + j] + 1 : edges[s + j + window]]) for j in range(c)]
+                    else:
+                        single = ((s, c, text[a:b]),)
+                    for s_, c_, words in single:
+                        if words not in seen:
+                            seen.add(words)
+                            out.append((fp, xxhash.xxh3_64_intdigest(words) >> 1 if fp in singly else 0, seq, doc_id, key, s_, c_, words))
+                        elif is_new:
+                            if s_ != until:
+                                if until > since:
+                                    out.append((key, 0, seq, doc_id, key, since, until - since, None))
+                                since = s_
+                            until = s_ + c_
+                if until > since:
+                    out.append((key, 0, seq, doc_id, key, since, until - since, None))
+                if len(out) >= 10_000:
+                    yield table(out)
+                    out = []
+            if out:
+                yield table(out)
+
+    texts = texts.select("doc_id", "key", "text", "run_fps", "run_windows")
     # The text stays where its bucket is; the hits of a bucket fit in memory beside it.
     return texts.join(hits.hint("shuffle_hash"), "key").mapInArrow(run, FOUND)
 
@@ -236,31 +250,52 @@ def repeated_windows(texts: DataFrame, hits: DataFrame, seq: int, is_new: bool,
 def settle(found: DataFrame, seq: int, window: int) -> DataFrame:
     """(doc_id, key, mark): the windows of batch ``seq`` that also start earlier, as start << 32 | count.
 
-    The windows of a fingerprint meet in one task in their order and are compared by their words.
+    The windows of a fingerprint meet in one task in their order and are compared by their words:
+    first by whole runs, then, where runs differ, one by one.
     """
 
+    def windows_of(words: bytes, count: int) -> list[bytes]:
+        if count == 1:
+            return [words]
+        parts = words.split(b" ")
+        return [b" ".join(parts[k : k + window]) for k in range(count)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen = None, {}
+        # The runs of the fingerprint so far, each by its first place; the windows of all of them
+        # are made when a second one comes, since those of one run differ.
+        group, leads, seen = None, {}, None
         for batch in batches:
             out: list[tuple[int, int, int]] = []
-            for fp, part, seq_, doc_id, key, start, count, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words_ = batch.column("words").to_pylist()
+            for fp, part, seq_, doc_id, key, start, count, words in zip(*(c.to_numpy().tolist() for c in batch.columns[:-1]), words_, strict=True):
                 if words is None:
                     out.append((doc_id, key, start << 32 | count))
                     continue
                 if (fp, part) != group:
-                    group, seen = (fp, part), {}
-                parts = words.split(b" ") if count > 1 else None
+                    group, leads, seen = (fp, part), {}, None
+                here = (seq_, doc_id, key, start)
+                lead = leads.setdefault(words, here)
+                if lead is not here:
+                    if seq_ == seq and lead != here:
+                        out.append((doc_id, key, start << 32 | count))
+                    continue
+                if len(leads) == 1:
+                    only = count
+                    continue
+                if seen is None:
+                    seen = set(windows_of(next(iter(leads)), only))
                 since = None
-                for k in range(count):
-                    here = (seq_, doc_id, key, start + k)
-                    first = seen.setdefault(words if parts is None else b" ".join(parts[k : k + window]), here)
-                    again = seq_ == seq and first != here
+                for k, w in enumerate(windows_of(words, count)):
+                    again = w in seen
+                    if not again:
+                        seen.add(w)
                     if again and since is None:
                         since = k
                     elif not again and since is not None:
-                        out.append((doc_id, key, start + since << 32 | k - since))
+                        if seq_ == seq:
+                            out.append((doc_id, key, start + since << 32 | k - since))
                         since = None
-                if since is not None:
+                if since is not None and seq_ == seq:
                     out.append((doc_id, key, start + since << 32 | count - since))
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "key", "mark"])
@@ -272,8 +307,9 @@ def settle(found: DataFrame, seq: int, window: int) -> DataFrame:
 class SubstringIndex:
     """The texts seen so far and sorted immutable runs of their windows' fingerprints, in a shared folder.
 
-    A batch's texts are written once, bucketed by their key, and its fingerprints as a run (fp, n),
-    bucketed and sorted by fingerprint. The batch is merge-joined with all runs without moving
+    A batch's texts are written once, bucketed by their key, with the fingerprints that their windows
+    select, so no text is hashed again; the fingerprints are also written as a run (fp, n), bucketed
+    and sorted by fingerprint. The batch is merge-joined with all runs without moving
     them; what shares a fingerprint is verified word by word, and when ``fanout`` runs have gathered
     they are compacted into one. What a batch added is entered in a new manifest, as the last step,
     so a failed batch leaves the index as it was. ``folder`` may be one that an earlier run has left,
@@ -301,10 +337,12 @@ class SubstringIndex:
         self.version = max(versions)
         rows = self.spark.read.json(f"{where}/{self.version}").collect()
         self.held = [(r["kind"], r["name"], r["path"], r["columns"], r["key"], r["buckets"], r["batch"]) for r in rows if r["kind"] != "settings"]
+        if any(t[0] == "texts" and "run_fps" not in t[3] for t in self.held):
+            raise ValueError(f"the index in {self.folder} has texts without the runs of their windows: build it anew")
         settings = next(r for r in rows if r["kind"] == "settings")
         self.seq, self.window, self.anchor = settings["batch"], settings["buckets"], int(settings["columns"])
-        for kind, name, path, columns, key, buckets, _ in self.held:
-            if kind != "scanned" and not self.spark.catalog.tableExists(name):
+        for _, name, path, columns, key, buckets, _ in self.held:
+            if not self.spark.catalog.tableExists(name):
                 self.spark.sql(f"create table {name} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {buckets} buckets location '{path}'")
 
     def _commit(self, held: list[tuple], seq: int) -> None:
@@ -316,22 +354,18 @@ class SubstringIndex:
     def _write(self, kind: str, df: DataFrame, key: str, buckets: int, batch: int) -> tuple:
         name = f"{kind}_{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}"
-        if kind == "scanned":
-            df.write.option("compression", "zstd").parquet(path)
-        else:
-            df.write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
         return kind, name, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), key, buckets, batch
 
     def _read(self, table: tuple) -> DataFrame:
-        return self.spark.read.schema(table[3]).parquet(table[2]) if table[0] == "scanned" else self.spark.table(table[1])
+        return self.spark.table(table[1])
 
     def _of(self, kind: str, held: list[tuple] | None = None) -> list[tuple]:
         return [t for t in (self.held if held is None else held) if t[0] == kind]
 
     def _erase(self, tables: list[tuple]) -> None:
-        for kind, name, path, *_ in tables:
-            if kind != "scanned":
-                self.spark.sql(f"drop table if exists {name}")
+        for _, name, path, *_ in tables:
+            self.spark.sql(f"drop table if exists {name}")
             drop_table(self.spark, path)
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -342,14 +376,14 @@ class SubstringIndex:
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int((docs.agg(F.sum(F.length("text"))).first()[0] or 0) >> 28))
         wrote: list[tuple] = []
         try:
-            wrote.append(self._write("texts", docs.repartition(buckets, "key"), "key", buckets, self.seq))
+            ready = prepared(docs.repartition(buckets, "key"), self.window, self.anchor)
+            wrote.append(self._write("texts", ready, "key", buckets, self.seq))
             texts = self._read(wrote[0])
-            wrote.append(self._write("scanned", scan(texts, self.window, self.anchor), "", 0, self.seq))
             runs = self._of("run")
             run_buckets = runs[-1][5] if runs else buckets
-            fresh = self._read(wrote[1]).groupBy("fp").agg(F.sum("n").alias("n"))
+            fresh = texts.select(F.explode("run_fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
             wrote.append(self._write("run", fresh.repartition(run_buckets, "fp"), "fp", run_buckets, self.seq))
-            shared = self._read(wrote[2])
+            shared = self._read(wrote[1])
             for k, run in enumerate(runs):
                 shared = shared.join(self._read(run).withColumnRenamed("n", f"n{k}").hint("merge"), "fp", "left")
             total = F.col("n")
@@ -359,10 +393,10 @@ class SubstringIndex:
             found = None
             for table in [*self._of("texts"), wrote[0]]:
                 batch = table[6]
-                scanned = next(t for t in [*self._of("scanned"), wrote[1]] if t[6] == batch)
+                selected = self._read(table).select("key", F.explode("run_fps").alias("fp"))
                 # Shared fingerprints grow with the documents, so they are never broadcast.
-                hits = self._read(scanned).join(shared.hint("merge"), "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot_fps"))
-                rows = repeated_windows(self._read(table), hits, batch, batch == self.seq, self.window, self.anchor)
+                hits = selected.join(shared.hint("merge"), "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"), F.collect_set(F.when(F.col("hot"), F.col("fp"))).alias("hot_fps"))
+                rows = repeated_windows(self._read(table), hits, batch, batch == self.seq, self.window)
                 found = rows if found is None else found.unionByName(rows)
             marks = settle(found, self.seq, self.window).groupBy("key").agg(F.collect_list(F.struct("doc_id", "mark")).alias("marks"))
             marks = store(marks, "marks")
@@ -409,19 +443,22 @@ def kept_words(texts: DataFrame, marks: DataFrame, window: int, id_col: str, wit
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[tuple] = []
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
-                words = text.split()
-                n = len(words)
-                if found:
-                    gone = np.zeros(n + 1, np.int64)
-                    for m in found:
-                        if m["doc_id"] == doc_id:
-                            start, count = m["mark"] >> 32, m["mark"] & 0xFFFFFFFF
-                            gone[start] += 1
-                            gone[start + count - 1 + window] -= 1
-                    words = [w for w, g in zip(words, np.cumsum(gone).tolist(), strict=False) if not g]
-                kept = b" ".join(words)
-                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+            found = batch.column("marks")
+            of, of_doc, marks_ = found.offsets.to_pylist(), *(found.values.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
+            for r, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_numpy().tolist(), batch.column("text").to_pylist(), strict=True)):
+                n = text.count(b" ") + 1 if text else 0
+                kept, left = text, n
+                if of[r] < of[r + 1]:
+                    here = slice(of[r], of[r + 1])
+                    mark = np.sort(marks_[here][of_doc[here] == doc_id])
+                    start = mark >> 32
+                    stop = np.maximum.accumulate(start + (mark & 0xFFFFFFFF) - 1 + window)
+                    low, high = np.r_[0, stop], np.r_[start, n]
+                    some = low < high
+                    low, high, edges = low[some], high[some], word_edges(text)
+                    kept = b" ".join([text[a:b] for a, b in zip((edges[low] + 1).tolist(), edges[high].tolist(), strict=True)])
+                    left = int((high - low).sum())
+                out.append((n, n - left, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
             columns = list(zip(*out, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -429,7 +466,7 @@ def kept_words(texts: DataFrame, marks: DataFrame, window: int, id_col: str, wit
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("no_id"), *arrays], names=names)
 
     schema = "doc_id bigint, no_id boolean, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
-    done = texts.join(marks.hint("shuffle_hash"), "key", "left").mapInArrow(run, schema)
+    done = texts.select("doc_id", "key", "no_id", "text").join(marks.hint("shuffle_hash"), "key", "left").mapInArrow(run, schema)
     done = done.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id").withColumnRenamed("doc_id", id_col)
     return done if with_text else done.drop("kept_text")
 
